@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import decontaminate, exact_dedup, language_id, sentencepiece_fst
 
 _QUERIES = {
     "op1_exact_dedup": (exact_dedup.op1_exact_dedup, exact_dedup.ORACLE_SQL),
+    "op5_benchmark_decontamination": (decontaminate.op5_benchmark_decontamination, decontaminate.ORACLE_SQL),
+    "op7_language_id": (language_id.op7_language_id, None),
+    "op9_sentencepiece": (sentencepiece_fst.op9_sentencepiece, None),
 }
 
 
