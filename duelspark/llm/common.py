@@ -172,3 +172,53 @@ def shingles(words: np.ndarray, bounds: np.ndarray, size: int = 5) -> tuple[np.n
         else:
             out[have] = out[have] * factor + words[at[have] + k]
     return mix(out), limits
+
+
+# -- shapes that hot keys need ----------------------------------------------------------------------------------------
+
+
+def bounded_batches(spark: SparkSession, size: int = 16 << 20) -> None:
+    """Let a batch for Python hold about so many bytes, however long its texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
+def salted_join(rows: DataFrame, groups: DataFrame, key: str, spread: str, per_salt: int = 512) -> DataFrame:
+    """rows joined to groups (one wide row a key) where a key may have very many rows.
+
+    A key with more than per_salt rows gets its group row copied to as many salts as it has such shares, and its rows are
+    dealt over them by the hash of `spread`. Only keys above 1/HOT_SHARE of all rows are treated so: HOT_SHARE at most.
+    """
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    total = rows.count()
+    hot = counts.where(F.col("__n") > max(per_salt, total // HOT_SHARE)).select(key, F.ceil(F.col("__n") / per_salt).cast("int").alias("__salts"))
+    hot = saved(hot, "hot")
+    salts = F.coalesce("__salts", F.lit(1))
+    left = rows.join(F.broadcast(hot), key, "left").withColumn("__salt", F.pmod(F.xxhash64(spread), salts).cast("int")).drop("__salts")
+    right = groups.join(F.broadcast(hot), key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
+    return left.join(right, [key, "__salt"]).drop("__salt")
+
+
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
+    """(node, root) of every node of the undirected edges (a, b); root is the smallest node it is connected to.
+
+    Alternating large-star and small-star steps (Kiveris et al. 2014), each written to the shared folder, until every
+    node points at a root that points nowhere. Hubs are looked up by their groups' sizes.
+    """
+    at = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    while True:
+        both = at.unionByName(at.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        # large star: every larger neighbour of a node points at the node's smallest neighbour
+        large = lookup(both, low, ["a"], "n", 2 * at.count()).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = saved(large, name)
+        # small star: a node and its smaller neighbours point at the smallest of them
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = large.join(low.where("n > 1"), "a", "left")
+        small = small.select("a", F.coalesce("m", "b").alias("b")).unionByName(small.where("m is not null and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
+        small = saved(small, name)
+        dropped(at, large)
+        at = small
+        parents = at.select(F.col("b").alias("a")).distinct()
+        n, distinct = at.agg(F.count(F.lit(1)), F.countDistinct("a")).first()
+        if n == distinct and at.join(parents, "a", "left_semi").isEmpty():
+            return at.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(parents.select(F.col("a").alias("node"), F.col("a").alias("root")))
