@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, license_scan, near_dedup, sentencepiece_fst, token_counts
+from . import decontaminate, exact_dedup, language_id, license_scan, near_dedup, sentencepiece_fst, token_counts, warc
 
 _QUERIES = {
     "op1_exact_dedup": (exact_dedup.op1_exact_dedup, exact_dedup.ORACLE_SQL),
     "op2_license_scan": (license_scan.op2_license_scan, license_scan.ORACLE_SQL),
     "op3_minhash_near_dedup": (near_dedup.op3_minhash_near_dedup, None),
+    "op4_warc": (warc.op4_warc, warc.ORACLE_SQL),
     "op5_benchmark_decontamination": (decontaminate.op5_benchmark_decontamination, decontaminate.ORACLE_SQL),
     "op6_token_counts": (token_counts.op6_token_counts, token_counts.ORACLE_SQL),
     "op7_language_id": (language_id.op7_language_id, None),
