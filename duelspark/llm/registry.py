@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, license_scan, near_dedup, sentencepiece_fst, token_counts, warc
+from . import decontaminate, exact_dedup, html_extract, language_id, license_scan, near_dedup, sentencepiece_fst, token_counts, warc
 
 _QUERIES = {
     "op1_exact_dedup": (exact_dedup.op1_exact_dedup, exact_dedup.ORACLE_SQL),
@@ -12,6 +12,7 @@ _QUERIES = {
     "op5_benchmark_decontamination": (decontaminate.op5_benchmark_decontamination, decontaminate.ORACLE_SQL),
     "op6_token_counts": (token_counts.op6_token_counts, token_counts.ORACLE_SQL),
     "op7_language_id": (language_id.op7_language_id, None),
+    "op8_html_extraction": (html_extract.op8_html_extraction, None),
     "op9_sentencepiece": (sentencepiece_fst.op9_sentencepiece, None),
 }
 
