@@ -37,8 +37,9 @@ from .common import CHUNK, _powers, bounded_batches, buffers, mix, pieces, saved
 
 LENGTH = 100
 PART_BYTES = 16 << 20  # text bytes whose fragments one task compares
-MERGE_BYTES = 2 << 20  # fragment bytes of one merge
-SHARD_BYTES = 512 << 10
+TASK_BYTES = 2 << 20  # fragment bytes that one task merges
+MERGE_BYTES = 96 << 10  # fragment bytes of one merge: small enough for a core's cache
+SHARD_BYTES = 32 << 10
 FLUSH_BYTES = 48 << 20  # text bytes of which a task combines fragments before it sends them
 HOT = 2048  # distinct fragments of one minimiser in one task beyond which its strings are dealt out one by one
 
@@ -49,7 +50,7 @@ SPAN = np.dtype([("id", "<i8"), ("start", "<u4"), ("end", "<u4")])
 
 
 def _gram(length: int) -> int:
-    return max(1, min(16, length // 4))
+    return max(1, min(32, length // 3))
 
 
 def fragments(raw: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -143,19 +144,22 @@ def _lists(values: np.ndarray, names: list[str]) -> tuple[pa.Array, pa.Array]:
 # -- merging Burrows-Wheeler transforms -------------------------------------------------------------------------------
 
 
-def shard_transform(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array sorted by the first `depth` symbols, the transform) of a shard; 0 ends each of its strings."""
+def shard_transform(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(suffix array by the first `depth` symbols, the transform, the transform by pairs) of a shard; 0 ends its strings.
+
+    A pair is the two symbols before a suffix, the nearer one in the low byte.
+    """
     n = len(symbols)
     key = symbols.astype(np.uint64)
-    padded = np.concatenate([key, np.zeros(7, np.uint64)])
+    padded = np.concatenate([key, np.zeros(8, np.uint64)])
     packed = np.zeros(n, np.uint64)
     alive = np.ones(n, bool)
-    for k in range(7):  # seven symbols of nine bits; what follows an end counts as ends
+    for k in range(8):  # eight symbols to a number; what follows an end counts as ends
         value = np.where(alive, padded[k : k + n], np.uint64(0))
         alive &= value > 0
-        packed = (packed << np.uint64(9)) | value
+        packed = (packed << np.uint64(8)) | value
     order = np.argsort(packed, kind="stable")
-    seen = 7
+    seen = 8
     rank = np.zeros(n + 1, np.int64)
     sorted_ = packed[order]
     rank[order] = np.cumsum(np.concatenate([[1], sorted_[1:] != sorted_[:-1]]))
@@ -168,36 +172,44 @@ def shard_transform(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.nda
         open_[:n] &= open_[ahead]
         rank[order] = np.cumsum(np.concatenate([[1], sorted_[1:] != sorted_[:-1]]))
         seen *= 2
-    return order, symbols[order - 1]  # before the first symbol stands the last one, an end
+    near, far = symbols[order - 1], symbols[order - 2]  # before the first symbol stands the last one, an end
+    return order, near, (far.astype(np.uint16) << np.uint16(8)) | near
+
 
+def merge_transforms(transforms: list[np.ndarray], pairs: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(interleave: which transform each merged entry comes from; starts of the blocks that share `depth` symbols).
 
-def merge_transforms(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(interleave: which transform each merged entry comes from; starts of the blocks that share `depth` symbols)."""
+    A refinement by pairs of symbols does the work of two; an odd depth begins with a single one.
+    """
     total = sum(map(len, transforms))
     lanes = np.uint8 if len(transforms) < 256 else np.uint16
     interleave = np.repeat(np.arange(len(transforms), dtype=lanes), [len(t) for t in transforms])
-    symbols = np.concatenate(transforms)
+    single, double = np.concatenate(transforms), np.concatenate(pairs)
     new = np.zeros(total, bool)
     new[:1] = True
     block = np.zeros(total, np.int32)
-    for _ in range(depth):
-        current = np.empty(total, symbols.dtype)
-        current[np.argsort(interleave, kind="stable")] = symbols  # every transform's entries, in its own order
+    for step in [single] * (depth % 2) + [double] * (depth // 2):
+        current = np.empty(total, step.dtype)
+        current[np.argsort(interleave, kind="stable")] = step  # every transform's entries, in its own order
         deal = np.argsort(current, kind="stable")
         interleave, dealt, before = interleave[deal], current[deal], block[deal]
-        new[1:] = (dealt[1:] != dealt[:-1]) | (before[1:] != before[:-1]) | (dealt[1:] == 0)
+        new[1:] = dealt[1:] != dealt[:-1]
+        new[1:] |= before[1:] != before[:-1]
+        ended = (dealt & 255) == 0 if step is single else ((dealt & 255) == 0) | (dealt < 256)
+        new |= ended
+        new[:1] = True
         block = np.cumsum(new, dtype=np.int32)
     return interleave, np.flatnonzero(new)
 
 
 def repeats(strings: list[bytes], ids: np.ndarray, starts: np.ndarray, length: int, shard_bytes: int = SHARD_BYTES) -> np.ndarray:
     """The spans of all strings of `length` bytes in the fragments that also start earlier among them."""
-    transforms, texts, places, held, size = [], [], [], [], 0
+    transforms, pairs, texts, places, held, size = [], [], [], [], [], 0
     for i, text in enumerate(strings):
         held.append(i)
         size += len(text) + 1
         if size >= shard_bytes or i == len(strings) - 1:
-            shard = np.zeros(size, np.uint16)
+            shard = np.zeros(size, np.uint8)  # bytes plus one: UTF-8 has no byte 255
             owner, place = np.zeros(size, np.int64), np.zeros(size, np.int64)
             at = 0
             for j in held:
@@ -206,14 +218,15 @@ def repeats(strings: list[bytes], ids: np.ndarray, starts: np.ndarray, length: i
                 shard[at : at + n] += 1
                 owner[at : at + n + 1], place[at : at + n + 1] = j, np.arange(n + 1)
                 at += n + 1
-            order, transform = shard_transform(shard, length)
+            order, transform, double = shard_transform(shard, length)
             transforms.append(transform)
+            pairs.append(double)
             texts.append(owner[order])
             places.append(place[order])
             held, size = [], 0
     if not transforms:
         return np.zeros(0, SPAN)
-    interleave, heads = merge_transforms(transforms, length)
+    interleave, heads = merge_transforms(transforms, pairs, length)
     counts = np.diff(np.append(heads, len(interleave)))
     many = np.repeat(counts > 1, counts)
     lane = np.argsort(interleave, kind="stable")
@@ -303,7 +316,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
 
     wants = found.where("wants is not null").groupBy("num").agg(F.flatten(F.collect_list("wants")).alias("wants"))
     wanted = found.where("wants is not null").select(F.explode("wants").alias("w")).agg(F.sum(F.col("w.n") + length).alias("n")).first()["n"] or 0
-    merges = max(1, -(-wanted // MERGE_BYTES))
+    merges = max(1, -(-wanted // TASK_BYTES))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The bytes of the wanted fragments; of a crowded minimiser each string by its own hash, once a batch."""

@@ -50,18 +50,18 @@ def test_equals_brute_force(spark, monkeypatch, length, hot):
     assert got == brute(rows, length)
 
 
-def test_merge_equals_sorting():
+@pytest.mark.parametrize("depth", [1, 2, 11, 12])
+def test_merge_equals_sorting(depth):
     rng = np.random.default_rng(4)
-    shards = [np.concatenate([np.append(rng.integers(1, 4, rng.integers(1, 40)), 0) for _ in range(6)]).astype(np.uint16) for _ in range(5)]
-    depth = 12
+    shards = [np.concatenate([np.append(rng.integers(1, 4, rng.integers(1, 40)), 0) for _ in range(6)]).astype(np.uint8) for _ in range(5)]
     sorted_ = [s.shard_transform(x, depth) for x in shards]
-    interleave, heads = s.merge_transforms([t for _, t in sorted_], depth)
+    interleave, heads = s.merge_transforms([t for _, t, _ in sorted_], [p for _, _, p in sorted_], depth)
 
     def prefix(shard, at):
         out = shards[shard][at : at + depth].tolist()
         return out[: out.index(0) + 1] if 0 in out else out
 
-    nexts = [iter(order.tolist()) for order, _ in sorted_]
+    nexts = [iter(order.tolist()) for order, _, _ in sorted_]
     merged = [prefix(i, next(nexts[i])) for i in interleave.tolist()]
     assert merged == sorted(merged)
     blocks = np.split(np.arange(len(merged)), heads[1:])
