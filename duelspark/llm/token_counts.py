@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,8 +45,6 @@ def byte_count(text: Column) -> Column:
 
 def bpe_count(ranks_file: str, pattern: str) -> Callable[[Column], Column]:
     """Counts by a byte-level BPE vocabulary file of ranks; the file, of some megabytes, is read once a worker."""
-    import pandas as pd
-
     held: dict = {}
 
     @F.pandas_udf("long")
