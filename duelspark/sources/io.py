@@ -105,7 +105,7 @@ def flatten_members(rows: DataFrame, key: str, members: str) -> DataFrame:
 
 def split_zip(names: Column, hrefs: Column) -> Column:
     """Both lists split, trimmed and zipped, the shorter one deciding; an id comes from the link."""
-    a, b = (F.transform(F.split(c, ","), F.trim) for c in (names, hrefs))
+    a, b = (F.transform(F.split(c, ","), lambda x: F.trim(x)) for c in (names, hrefs))
     n = F.least(F.size(a), F.size(b))
     pairs = F.arrays_zip(F.slice(a, 1, n).alias("name"), F.slice(b, 1, n).alias("href"))
     return F.transform(pairs, lambda p: F.struct(p["name"].alias("name"), p["href"].alias("href"), F.regexp_extract(p["href"], r"/(\d+)(?:/|$)", 1).try_cast("bigint").alias("id")))
