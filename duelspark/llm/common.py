@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +43,18 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    released(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished steps: it does so once the driver has collected its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def dropped(*tables: DataFrame) -> None:
     """Remove saved tables that no later step reads."""
     for df in tables:
@@ -62,18 +70,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # -- hot keys ---------------------------------------------------------------------------------------------------------
 
 
-def lookup(rows: DataFrame, groups: DataFrame, key: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
-    """rows joined to groups (one row a key, with its number of rows in `count`).
+def lookup(rows: DataFrame, groups: DataFrame, key: list[str], count: str, total: int) -> DataFrame:
+    """rows joined to groups, a saved table of one row a key with its number of rows in `count`.
 
-    Groups above total/HOT_SHARE rows, of which there can be HOT_SHARE at most, are broadcast; all others are joined by
-    an ordinary shuffle, where no key holds more than that share.
+    Groups above total/HOT_SHARE rows, of which there can be HOT_SHARE at most, are broadcast and their rows picked out
+    by a literal list of their keys; all others are joined by an ordinary shuffle, where no key holds more than that.
     """
-    limit = max(1, total // HOT_SHARE)
-    hot = groups.where(F.col(count) > limit)
-    flagged = rows.join(F.broadcast(hot.select(*key, F.lit(True).alias("__hot"))), key, "left")
-    first = flagged.where("__hot").drop("__hot").join(F.broadcast(hot), key)
-    rest = flagged.where("__hot is null").drop("__hot").join(groups.where(F.col(count) <= limit), key, how)
-    return first.unionByName(rest)
+    limit = max(64, total // HOT_SHARE)
+    hot = groups.where(F.col(count) > limit).collect()
+    rest = groups.where(F.col(count) <= limit)
+    if not hot:
+        return rows.join(rest, key)
+    is_hot = F.col(key[0]).isin([r[key[0]] for r in hot])
+    few = rows.sparkSession.createDataFrame(hot, groups.schema)
+    keys = [r[key[0]] for r in hot]
+    first = rows.where(is_hot).join(F.broadcast(few), key)
+    cold = rows.where(~is_hot).join(rest, key)
+    if len(key) == 1 or groups.where(F.col(key[0]).isin(keys) & (F.col(count) <= limit)).isEmpty():
+        return first.unionByName(cold)
+    return first.unionByName(cold).unionByName(rows.where(is_hot).join(rest.where(F.col(key[0]).isin(keys)), key))
 
 
 def ascii_lower(text: Column) -> Column:
@@ -182,20 +197,20 @@ def bounded_batches(spark: SparkSession, size: int = 16 << 20) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
-def salted_join(rows: DataFrame, groups: DataFrame, key: str, spread: str, per_salt: int = 512) -> DataFrame:
-    """rows joined to groups (one wide row a key) where a key may have very many rows.
+def salted(pairs: DataFrame, key: str, spread: str, per_salt: int = 512) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(pairs with a column __salt, a function that copies rows with the key to all its salts).
 
-    A key with more than per_salt rows gets its group row copied to as many salts as it has such shares, and its rows are
-    dealt over them by the hash of `spread`. Only keys above 1/HOT_SHARE of all rows are treated so: HOT_SHARE at most.
+    A key with more than per_salt pairs, and over 1/HOT_SHARE of them, has its pairs dealt by the hash of `spread` over as
+    many salts as it has such shares. There are HOT_SHARE such keys at most.
     """
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    total = rows.count()
-    hot = counts.where(F.col("__n") > max(per_salt, total // HOT_SHARE)).select(key, F.ceil(F.col("__n") / per_salt).cast("int").alias("__salts"))
-    hot = saved(hot, "hot")
+    total = pairs.count()
+    hot = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > max(per_salt, total // HOT_SHARE)).collect()
+    if not hot:
+        return pairs.withColumn("__salt", F.lit(0)), lambda df: df.withColumn("__salt", F.lit(0))
+    few = F.broadcast(pairs.sparkSession.createDataFrame([(r[key], -(-r["__n"] // per_salt)) for r in hot], f"{key} long, __salts int"))
     salts = F.coalesce("__salts", F.lit(1))
-    left = rows.join(F.broadcast(hot), key, "left").withColumn("__salt", F.pmod(F.xxhash64(spread), salts).cast("int")).drop("__salts")
-    right = groups.join(F.broadcast(hot), key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
-    return left.join(right, [key, "__salt"]).drop("__salt")
+    dealt = pairs.join(few, key, "left").withColumn("__salt", F.pmod(F.xxhash64(spread), salts).cast("int")).drop("__salts")
+    return dealt, lambda df: df.join(few, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -206,19 +221,19 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """
     at = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     while True:
-        both = at.unionByName(at.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        n, distinct, parents = at.agg(F.count(F.lit(1)), F.countDistinct("a"), F.countDistinct("b")).first()
+        nodes = at.select(F.explode(F.array("a", "b")).alias("node")).distinct().count()
+        if n == distinct and nodes == distinct + parents:  # each node has one parent, and no parent has one
+            return at.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(at.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         # large star: every larger neighbour of a node points at the node's smallest neighbour
-        large = lookup(both, low, ["a"], "n", 2 * at.count()).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        both = at.unionByName(at.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = saved(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("n")), name)
+        large = lookup(both, low, ["a"], "n", 2 * n).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = saved(large, name)
         # small star: a node and its smaller neighbours point at the smallest of them
-        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = large.join(low.where("n > 1"), "a", "left")
-        small = small.select("a", F.coalesce("m", "b").alias("b")).unionByName(small.where("m is not null and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
-        small = saved(small, name)
-        dropped(at, large)
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        small = large.join(least, "a", "left")
+        links = F.array_compact(F.array(F.struct(F.col("a"), F.coalesce("m", "b").alias("b")), F.when(F.col("m").isNotNull() & (F.col("b") != F.col("m")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))))
+        small = saved(small.select(F.inline(links)).distinct(), name)
+        dropped(at, low, large)
         at = small
-        parents = at.select(F.col("b").alias("a")).distinct()
-        n, distinct = at.agg(F.count(F.lit(1)), F.countDistinct("a")).first()
-        if n == distinct and at.join(parents, "a", "left_semi").isEmpty():
-            return at.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(parents.select(F.col("a").alias("node"), F.col("a").alias("root")))
