@@ -11,7 +11,8 @@ the two side by side are what merging makes of their joint text, which is known
 encoding. All its arcs weigh nothing. The relation is computed when a pair is first met and kept.
 
 Texts are cut before a piece mark that follows another symbol, where no piece of the model reaches across (checked when
-the model is compiled; other models are composed whole), so the composition of a cut is done once and kept.
+the model is compiled; other models are composed whole), and further between symbols that no piece has side by side. No
+path crosses such a cut, so the composition of a cut is done once and kept.
 
 Defined cases: null encodes to null and decodes to null; the empty text has no ids; any text is encoded whole, whatever
 its length; an empty table gives an empty result; rows that repeat are each encoded; other columns are carried along.
@@ -32,7 +33,8 @@ from .common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-KEPT = 1 << 18  # cuts whose encodings a task keeps; the older half goes when there are more
+KEPT = 3 << 17  # cuts, and parts of cuts, whose encodings a worker keeps; beyond it starts anew
+LONGEST = 64  # symbols of a cut that is kept
 #: Fixed values of the model format: piece types and model types.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -99,7 +101,9 @@ class Transducer:
                 node = node.setdefault(c, {})
             node[""] = i
         self.cuttable = not any(a != MARK and b == MARK for p in self.ids for a, b in zip(p, p[1:], strict=False))
+        self.joined = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.kept: dict[str, tuple[int, ...]] = {}
+        self.parts: dict[str, tuple[int, ...]] = {}
         self.follows: dict[tuple[int, int], bool] = {}
         self.whole: dict[int, bool] = {}
         low = min(self.scores, default=0.0)
@@ -165,7 +169,7 @@ class Transducer:
         """Whether merging keeps pieces a and b apart, and whole, in their joint text."""
         known = self.follows.get((a, b))
         if known is None:
-            if len(self.follows) > KEPT:
+            if len(self.follows) > 4 * KEPT:
                 self.follows.clear()
             known = self.follows[a, b] = self._merged(self.pieces[a] + self.pieces[b]) == [self.pieces[a], self.pieces[b]]
         return known
@@ -196,64 +200,101 @@ class Transducer:
         return tuple(i for ids in reversed(out) for i in ids)
 
     def _shortest_bpe(self, text: str) -> tuple[int, ...]:
-        """States are (place, last piece); the last piece is -1 at the start and after a character no piece has."""
-        states: list[dict[int, tuple[int, int, tuple[int, ...]]]] = [{} for _ in range(len(text) + 1)]
-        states[0][-1] = (0, 0, ())
-        for at in range(len(text)):
-            if not states[at]:
-                continue
-            alone = True
-            for end, i in self.arcs(text, at):
-                alone &= end != at + 1
-                if i in states[end] or not self.may_stand(i):
-                    continue
-                for last in states[at]:
-                    if last < 0 or self.may_follow(last, i):
-                        states[end][i] = (at, last, (i,))
+        """The one accepted path, searched for depth first with the longest arcs first.
+
+        A place is reached by one accepted path at most (the encoding of what stands before it), so a place from which
+        the end was not reached needn't be tried again.
+        """
+        n, trie, follows, dead = len(text), self.trie, self.follows, set()
+        path: list[int] = []
+        ways: list[list[tuple[int, int]]] = []
+        at = 0
+        while at < n:
+            node, arcs = trie, []
+            for end in range(at, n):
+                node = node.get(text[end])
+                if node is None:
+                    break
+                i = node.get("")
+                if i is not None:
+                    arcs.append((end + 1, i))
+            ways.append(arcs)
+            while True:
+                arcs, last = ways[-1], path[-1] if path else -1
+                while arcs:
+                    end, i = arcs.pop()
+                    if end in dead:
+                        continue
+                    if last < 0:
+                        good = self.whole.get(i)
+                        if good is None:
+                            good = self.may_stand(i)
+                    else:
+                        good = follows.get((last, i))
+                        if good is None:
+                            good = self.may_follow(last, i)
+                    if good:
+                        path.append(i)
                         break
-            if alone and -1 not in states[at + 1]:
-                states[at + 1][-1] = (at, next(iter(states[at])), self._outside(text[at]))
-        out, at, last = [], len(text), next(iter(states[-1]))
-        while at > 0:
-            at, last, ids = states[at][last]
-            out.append(ids)
-        return tuple(i for ids in reversed(out) for i in ids)
+                else:
+                    ways.pop()
+                    dead.add(at)
+                    at -= len(self.pieces[path.pop()])
+                    continue
+                break
+            at = end
+        return tuple(path)
 
     # -- encoding and decoding
 
     def encode(self, text: str) -> list[int]:
         symbols = self.normalise(text)
         if not self.cuttable:
-            return list(self.shortest(symbols))
+            return list(self._composed(symbols))
         out: list[int] = []
-        kept = self.kept
+        kept, waiting = self.kept, ""
         parts = symbols.split(MARK)
-        marks = 0
-        first = parts[0]
-        if first:
-            out.extend(self._cut(first))
+        if parts[0]:
+            out.extend(self._composed(parts[0]))
         last = len(parts) - 1
-        for k in range(1, len(parts)):
-            marks += 1
+        for k in range(1, last + 1):
             word = parts[k]
             if word or k == last:
-                key = word if marks == 1 else (MARK * (marks - 1)) + word
+                key = waiting + word
                 ids = kept.get(key)
                 if ids is None:
-                    ids = self._keep(key, self.shortest(MARK + key))
+                    ids = self._keep(key, self._composed(MARK + key))
                 out.extend(ids)
-                marks = 0
+                waiting = ""
+            else:
+                waiting += MARK
         return out
 
-    def _cut(self, text: str) -> tuple[int, ...]:
-        """A cut without a mark in front."""
-        return self.shortest(text)
+    def _composed(self, text: str) -> tuple[int, ...]:
+        """The ids of a cut, which is cut further between symbols that stand side by side in no piece."""
+        joined, start, out = self.joined, 0, []
+        for k in range(1, len(text) + 1):
+            if k < len(text) and text[k - 1 : k + 1] in joined:
+                continue
+            part = text[start:k]
+            start = k
+            if len(part) == 1 and part not in self.ids:
+                out.extend(self._outside(part))
+                continue
+            ids = self.parts.get(part)
+            if ids is None:
+                ids = self.shortest(part)
+                if len(part) <= LONGEST:
+                    if len(self.parts) >= KEPT:
+                        self.parts.clear()
+                    self.parts[part] = ids
+            out.extend(ids)
+        return tuple(out)
 
     def _keep(self, key: str, ids: tuple[int, ...]) -> tuple[int, ...]:
         if len(self.kept) >= KEPT:
-            for old in list(self.kept)[: KEPT // 2]:
-                del self.kept[old]
-        if len(key) <= 64:
+            self.kept.clear()
+        if len(key) <= LONGEST:
             self.kept[key] = ids
         return ids
 
