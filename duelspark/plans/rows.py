@@ -159,3 +159,49 @@ def _(x):
 
 query("t02_product_rows", "SELECT event_id, team1_id, team2_id, score1, score2 FROM v_feed WHERE event_type IN ('click', 'purchase') AND score1 <> score2", ("v_feed",))(lambda x: __import__("duelspark.streaming.live", fromlist=["product_only"]).product_only(x.feed, ["click", "purchase"]).select("event_id", "team1_id", "team2_id", "score1", "score2"))
 query("t04_distinct", "SELECT DISTINCT event_id FROM v_feed", ("v_feed",))(lambda x: x.feed.dropDuplicates(["event_id"]).select("event_id"))
+
+# -- joins by names, and maps of traits
+
+
+@query("j08_any_form", "SELECT c_name AS name FROM customer WHERE c_custkey % 3 <> 0")
+def _(x):
+    from duelspark.operators import joins
+
+    rows = x.table("customer").select(F.col("c_name").alias("name"))
+    known = x.table("customer").where("c_custkey % 3 = 0").select(F.concat(F.lit("The "), F.translate("c_name", "#", " ")).alias("name"))
+    return joins.anti_any_form(rows, known, "name")
+
+
+@query("j10_j11_aliases", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN n_name ELSE 'zz' END AS side FROM customer JOIN nation ON n_nationkey = c_nationkey")
+def _(x):
+    from duelspark.operators import joins
+
+    n = x.table("nation")
+    raw = F.concat(F.lit("alias of "), F.col("n_nationkey").cast("string"))
+    names = n.select(F.col("n_nationkey").alias("scope"), raw.alias("raw"))
+    found = joins.resolve_aliases(names, n.select(F.col("n_nationkey").alias("scope"), F.col("n_name").alias("name")), "scope", n.select(raw.alias("alias"), F.col("n_name").alias("name")))
+    rows = x.table("customer").select("c_custkey", F.col("c_nationkey").alias("scope"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("alias of "), F.col("c_nationkey").cast("string"))).otherwise("zz").alias("side"))
+    return joins.apply_aliases(rows, found, "scope", ["side"]).select("c_custkey", "side")
+
+
+@query("j17_id_or_name", "SELECT c_custkey, n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey")
+def _(x):
+    from duelspark.operators import joins
+
+    rows = x.table("customer").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.col("c_nationkey")).alias("n_nationkey"), F.concat(F.lit("nation "), F.col("c_nationkey").cast("string")).alias("n_name"))
+    return joins.by_id_or_name(rows, x.table("nation"), "n_nationkey", "n_name", "n_regionkey").select("c_custkey", "n_regionkey")
+
+
+@query("j20_roster", "WITH t AS (SELECT s_nationkey AS team, s_name AS player, CASE WHEN s_suppkey % 3 = 0 THEN 1 ELSE 0 END AS profiled, s_suppkey AS place FROM supplier), k AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY profiled DESC, place, player) AS slot FROM t) SELECT team, player, profiled, slot FROM k WHERE slot <= 5")
+def _(x):
+    from duelspark.operators import joins
+
+    rows = x.table("supplier").select(F.col("s_nationkey").alias("team"), F.col("s_name").alias("player"), F.col("s_suppkey").alias("place"))
+    return joins.roster(rows.where("place % 3 = 0"), rows, "team")
+
+
+query("m17_traits", "SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN 2.0 ELSE 1.0 END AS a, 1.0 AS b, 3.0 AS c FROM orders")(
+    lambda x: (lambda m: x.table("orders").select("o_orderkey", m["a"].alias("a"), m["b"].alias("b"), m["c"].alias("c")))(
+        merge.merge_maps(F.create_map(F.lit("a"), F.lit(1.0), F.lit("b"), F.lit(1.0)), F.create_map(F.lit("a"), F.when(F.col("o_custkey") % 2 == 0, 2.0), F.lit("b"), F.lit(None).cast("double"), F.lit("c"), F.lit(3.0)))
+    )
+)
