@@ -41,7 +41,7 @@ TASK_BYTES = 2 << 20  # fragment bytes that one task merges
 MERGE_BYTES = 96 << 10  # fragment bytes of one merge: small enough for a core's cache
 SHARD_BYTES = 32 << 10
 FLUSH_BYTES = 48 << 20  # text bytes of which a task combines fragments before it sends them
-HOT = 2048  # distinct fragments of one minimiser in one task beyond which its strings are dealt out one by one
+HOT = 1 << 15  # distinct fragments of one minimiser (some megabytes) beyond which its strings are dealt out one by one
 
 _VALUES = np.random.default_rng(91).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _AT = np.uint64(CHUNK.bit_length())
