@@ -379,7 +379,7 @@ def _(x):
 
 
 def elo(x: Fixtures, where: str = "true") -> DataFrame:
-    return fold.elo_pools(x.matches.where(where), "event_id", F.when(F.col("event_tier") == "S-Tier", fold.K_TOP).otherwise(fold.K_OTHER))
+    return fold.elo(x.matches.where(where), F.when(F.col("event_tier") == "S-Tier", fold.K_TOP).otherwise(fold.K_OTHER), saved)
 
 
 query("r01_elo")(lambda x: elo(x))
@@ -396,7 +396,7 @@ def _(x):
     return fold.elo_periods(x.matches, F.when(F.year("match_ts") < 1996, 0).otherwise(1), 2, k, saved)
 
 
-query("r03_online_elo")(lambda x: fold.online_elo(x.feed, "event_type"))
+query("r03_online_elo")(lambda x: fold.online(x.feed, saved))
 query("r04_form", f"""{SIDES}, a AS (SELECT team_id, won, row_number() OVER (PARTITION BY team_id ORDER BY match_ts DESC, match_id DESC) - 1 AS age FROM s)
 SELECT team_id, 0.5 * pow(9 / 11.0, count(*)) + 2 / 11.0 * sum(won * pow(9 / 11.0, age)) AS form FROM a GROUP BY 1""", ("v_matches",))(lambda x: fold.form_ewma(prior.contest_sides(x.matches)))
 

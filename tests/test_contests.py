@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from duelspark.functions import clean, rules
 from duelspark.operators import aggregate, expect, fold, joins, merge, model, prior, select
+from duelspark.plans import contests as contest_plans
 from duelspark.sources import io, pages
+from duelspark.sources.fixtures import Fixtures
 
 T0 = datetime(2025, 1, 1)
 MATCH = "match_id long, match_ts timestamp, team1_id int, team2_id int, target_team1_win int, event_id int, event_tier string, match_phase string, is_playoff int, is_elimination int"
@@ -74,6 +76,59 @@ def test_elo_folds(spark):
     assert all(r.after1 == 1500.0 for r in gated)
 
 
+def plain_elo(rows):
+    """Ratings before each contest and after all, one a team."""
+    elo, before = {}, {}
+    for r in sorted(rows, key=lambda r: (r.match_ts, r.match_id)):
+        a, b = before[r.match_id] = elo.get(r.team1_id, 1500.0), elo.get(r.team2_id, 1500.0)
+        d = (28.0 if r.event_tier == "S-Tier" else 20.0) * (r.target_team1_win - 1 / (1 + 10 ** ((b - a) / 400)))
+        elo[r.team1_id], elo[r.team2_id] = a + d, b - d
+    return before, elo
+
+
+def test_closed_pools(spark):
+    pairs = spark.createDataFrame([(9, 8), (8, 7), (6, 7), (6, 5), (1, 2), (2, 3), (20, 21)], "team1_id int, team2_id int")
+    assert dict(cells(fold.closed_pools(pairs, contest_plans.saved), "team_id", "pool")) == {5: 5, 6: 5, 7: 5, 8: 5, 9: 5, 1: 1, 2: 1, 3: 1, 20: 20, 21: 20}
+    assert {r.team_id for r in fold.open_pools(contests(spark), "event_id").collect()} == set(range(5))
+
+
+@pytest.mark.parametrize("stretch", [7, 1000])
+def test_elo_carries_over_events_and_stretches(spark, stretch):
+    m = contests(spark)
+    other = m.select(*[(F.col(c) + n).alias(c) if n else c for c, n in zip(m.columns, (100, 0, 10, 10, 0, 0, 0, 0, 0, 0), strict=True)])
+    both = m.unionByName(other)
+    k = F.when(F.col("event_tier") == "S-Tier", 28.0).otherwise(20.0)
+    got = {r.match_id: r for r in fold.elo(both.repartition(5), k, contest_plans.saved, stretch=stretch).collect()}
+    before, _ = plain_elo(both.collect())
+    assert got.keys() == before.keys() and {r.pool for r in got.values()} == {0, 10}
+    assert all((got[i].elo1, got[i].elo2) == pytest.approx(e) for i, e in before.items())
+    still = fold.elo(m, k, contest_plans.saved, F.lit(False), stretch).collect()
+    assert all(r.after1 == 1500.0 for r in still)
+
+
+def test_online_elo_carries_over(spark):
+    rows = [(i, T0 + timedelta(hours=i // 3), i % 5, (i + 1 + i % 3) % 5, i % 4, (i * 7) % 3) for i in range(60)]
+    rows = [r for r in rows if r[2] != r[3]]
+    feed = spark.createDataFrame(rows + rows[::10], "event_id long, ts timestamp, team1_id int, team2_id int, score1 int, score2 int")
+    elo, want = {2: 1600.0}, {}
+    for e, _, a, b, s, t in rows:
+        if s != t:
+            x, y = elo.get(a, 1500.0), elo.get(b, 1500.0)
+            d = 22.0 * min(1.35, 1.0 + 0.12 * abs(s - t)) * ((s > t) - 1 / (1 + 10 ** ((y - x) / 400)))
+            want[e] = elo[a], elo[b] = round(x + d, 2), round(y - d, 2)
+    got = fold.online(feed.repartition(3), contest_plans.saved, {2: 1600.0}, 7).collect()
+    assert len(got) == len(want) and {r.event_id: (r.elo1, r.elo2) for r in got} == want
+
+
+def test_registered_elo_and_state_keep_one_rating(spark):
+    x = Fixtures(spark, "/root/testdata/sf0.001")
+    before, last = plain_elo(x.matches.collect())
+    got = {r.match_id: (r.elo1, r.elo2) for r in contest_plans.QUERIES["r01_elo"](spark, x.sf_dir).collect()}
+    assert got.keys() == before.keys() and all(got[i] == pytest.approx(e) for i, e in before.items())
+    state = contest_plans.QUERIES["r05_state"](spark, x.sf_dir).collect()
+    assert len(state) == len(last) and all(r.elo == pytest.approx(last[r.team_id], abs=0.006) for r in state)
+
+
 def test_form_is_the_fold(spark):
     sides = prior.contest_sides(contests(spark))
     want = {}
