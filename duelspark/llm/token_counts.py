@@ -10,7 +10,8 @@ already there is left as it is, so a replay changes nothing, and a batch that wa
 
 Defined cases: null texts count no tokens but are documents; null sources, languages and tokenizer versions are groups of
 their own; totals that are zero in documents and tokens are not reported; an empty batch commits its id only; an empty
-rollup gives no rows; other columns of a feed are ignored.
+rollup gives no rows; other columns of a feed are ignored. Of exact copies the row with the least id stays, null ids last;
+rows that repeat an id are each judged on their own text.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RAW_WORD, scratch_path, table
+from .common import RAW_WORD, saved, scratch_path, table
 from .exact_dedup import exact_groups
 
 KEYS = ["source", "lang", "tokenizer"]
@@ -149,24 +150,32 @@ class Rollup:
         self._fs.delete(self._folder("_compacted"), True)
 
 
-def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents are loaded, later exact copies deleted, word counts revised to leave out numbers; batches are replayed."""
-    docs = table(spark, sf_dir, "documents")
-    rollup = Rollup(spark, scratch_path(spark, "token-rollup"))
-    tokenizers = {"words@1": word_count, "utf8_bytes@1": byte_count}
-    rollup.apply("load", counted(docs, tokenizers))
-    copies = exact_groups(docs).where("not kept").select(F.col("doc_id").alias("__copy"))
-    gone = docs.join(copies, docs["doc_id"] == F.col("__copy"), "left_semi")
+def corpus_rollup(docs: DataFrame) -> DataFrame:
+    """All documents are loaded, later exact copies deleted, word counts revised to leave out numbers; batches are replayed.
+
+    Each row is counted once and its counts go through the search for copies in place of its id, so a row is deleted or
+    revised by what that search says of this very row, whatever other rows have its id.
+    """
+    word, number, octets = word_count(F.col("text")), number_count(F.col("text")), byte_count(F.col("text"))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "source", "lang", word.alias("words"), number.alias("numbers"), octets.alias("bytes"))
+    rows = saved(exact_groups(docs.select(row.alias("counts"), "text"), "counts").select("counts.*", "kept"), "counts")
+    rollup = Rollup(docs.sparkSession, scratch_path(docs.sparkSession, "token-rollup"))
+    tokenizers = {"words@1": lambda _: F.col("words"), "utf8_bytes@1": lambda _: F.col("bytes")}
+    gone, numbers = rows.where("not kept"), rows.where("kept and numbers > 0")
+    rollup.apply("load", counted(rows, tokenizers))
     rollup.apply("copies", counted(gone, tokenizers, -1))
-    numbers = docs.where(number_count(F.col("text")) > 0).join(copies, docs["doc_id"] == F.col("__copy"), "left_anti")
-    before = counted(numbers, {"words@1": word_count}, -1)
-    after = counted(numbers, {"words@1": lambda t: word_count(t) - number_count(t)})
+    before = counted(numbers, {"words@1": lambda _: F.col("words")}, -1)
+    after = counted(numbers, {"words@1": lambda _: F.col("words") - F.col("numbers")})
     rollup.apply("revision", before.unionByName(after))
-    rollup.apply("load", counted(docs, tokenizers))  # replays: no-ops
+    rollup.apply("load", counted(rows, tokenizers))  # replays: no-ops
     rollup.apply("copies", counted(gone, tokenizers, -1))
     return rollup.totals()
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_rollup(table(spark, sf_dir, "documents"))
+
+
 ORACLE_SQL = r"""
 WITH d AS (SELECT *, row_number() OVER (PARTITION BY sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) ORDER BY doc_id) AS copy FROM documents),
 w AS (SELECT source, lang, coalesce(octet_length(encode(text)), 0) AS bytes,

@@ -232,6 +232,12 @@ def test_rollup_recovers(spark, tmp_path):
     assert rollup.committed() == ["x"]
 
 
+def test_rollup_of_repeated_and_null_ids(spark):
+    rows = [(1, "one 2 three", "web", "en"), (1, "one 2 three", "web", "en"), (2, "four  five", "web", "en"), (3, "four five", "book", "en"), (3, "six 77 eight nine", "book", "de"), (None, "four five", "web", None), (None, "ten 1", None, "en"), (4, None, "web", "en"), (None, "", "web", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(3)
+    assert by_spark(token_counts.corpus_rollup(docs)) == by_sql(token_counts.ORACLE_SQL, documents=docs.toPandas().astype({"doc_id": "Int64"}))
+
+
 def test_bpe_counts(spark):
     import public_tokenizers as P
     import tiktoken
