@@ -8,10 +8,11 @@ A suffix is kept in an array only if its first `min_match` words all occur in th
 that far. Words are compared as numbers of the benchmark's vocabulary (0: not in it); a match ends at 0.
 
 The benchmark is the query set. It is broadcast in blocks of at most BLOCK_BYTES of text, one pass over the documents a
-block, so what is broadcast is bounded however large the benchmark is.
+block, so what is broadcast is bounded however large the benchmark is. Blocks are made
+one at a time; those already sent are files of their broadcasts.
 
 Defined cases: null or empty text has no words and is never contaminated; an item without words is ignored; items that
-repeat an id count once; an item shorter than a window is one window; empty tables give empty or uncontaminated results;
+repeat an id count once and with all their texts; items without an id are matched but not named; an item shorter than a window is one window; empty tables give empty or uncontaminated results;
 rows that repeat a doc_id are each judged on their own text; other columns are ignored.
 """
 
@@ -175,14 +176,16 @@ class Shard:
 
 
 def query_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, min_match: int, block_bytes: int = BLOCK_BYTES) -> Iterator[Queries]:
-    """The benchmark's items in blocks of bounded size; an id that repeats counts once, with its smallest text."""
-    items = benchmark.groupBy(F.col(id_col).alias("id")).agg(F.min(text_col).alias("text"))
+    """The benchmark's distinct items in blocks of bounded size; `of` is the number of blocks."""
+    items = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).distinct()
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = -(-size // block_bytes) or 1
-    dealt = items.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)))
     for block in range(blocks):
         rows = dealt.where(F.col("block") == block).select("id", "text").collect()
-        yield Queries([r["id"] for r in rows], [r["text"] for r in rows], window, min_match)
+        queries = Queries([r["id"] for r in rows], [r["text"] for r in rows], window, min_match)
+        queries.of = blocks
+        yield queries
 
 
 def shards(batches: Iterator[pa.RecordBatch], queries: Queries, text_at: int = 1) -> Iterator[tuple[pa.RecordBatch, Shard, np.ndarray]]:
@@ -205,19 +208,20 @@ def covered(starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
 
 
 def _judged(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, window: int, min_match: int) -> DataFrame:
-    """(row, id, n_words, spans, items) of every document, spans being the hit word runs; items sorted as strings."""
+    """(id, row, n_words, spans, items) of every document, spans being the hit word runs; items sorted as strings.
+
+    `row` is a hash of id and text where there are several blocks, else null.
+    """
     spark, id_type = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = None
-    blocks = list(query_blocks(benchmark, item_col, item_text_col, window, min_match))
-    if len(blocks) > 1:
-        narrow = narrow.withColumn("row", F.xxhash64(F.col("id"), F.col("text")))
-    for queries in blocks:
+    for queries in query_blocks(benchmark, item_col, item_text_col, window, min_match):
+        blocks = queries.of
         sent = spark.sparkContext.broadcast(queries)
 
         def judge(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             q = sent.value
-            names = [str(x) for x in q.ids]
+            names = [None if x is None else str(x) for x in q.ids]
 
             for rows, shard, bounds in shards(batches, q):
                 ids = rows.column(0)
@@ -227,25 +231,26 @@ def _judged(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, i
                 pair = np.unique(doc * (len(names) + 1) + q.item[suffix])
                 items: list[list[str]] = [[] for _ in range(len(ids))]
                 for d, i in zip((pair // (len(names) + 1)).tolist(), (pair % (len(names) + 1)).tolist(), strict=True):
-                    items[d].append(names[i])
+                    if names[i] is not None:
+                        items[d].append(names[i])
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
                 spans: list[list[dict]] = [[] for _ in range(len(ids))]
                 home = np.searchsorted(shard.first, edges[::2], "right") - 1
                 for d, a, b in zip(home.tolist(), (edges[::2] - shard.first[home]).tolist(), (edges[1::2] - shard.first[home]).tolist(), strict=True):
                     spans[d].append({"start": a, "end": b})
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(np.diff(bounds), pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
+                    [ids, pa.array(np.diff(bounds), pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string()))],
                     names=["id", "n_words", "spans", "items"],
                 )
 
         schema = f"id {id_type}, n_words long, spans array<struct<start: long, end: long>>, items array<string>"
-        if len(blocks) == 1:
-            return narrow.mapInArrow(judge, schema)
+        if blocks == 1:
+            return narrow.mapInArrow(judge, schema).withColumn("row", F.lit(None).cast("long"))
         # Several blocks: each pass names a document by id and text, so that the passes can be put together.
-        part = narrow.select(F.struct("id", "row").alias("id"), "text").mapInArrow(judge, schema.replace(f"id {id_type}", f"id struct<id: {id_type}, row: long>", 1))
+        part = narrow.select(F.struct("id", F.xxhash64("id", "text").alias("row")).alias("id"), "text").mapInArrow(judge, schema.replace(f"id {id_type}", f"id struct<id: {id_type}, row: long>", 1))
         out = part if out is None else out.unionByName(part)
-    same = out.groupBy("id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"), (F.count(F.lit(1)) / len(blocks)).cast("int").alias("copies"))
-    return same.select(F.explode(F.array_repeat("id.id", F.col("copies"))).alias("id"), "n_words", "spans", F.array_sort(F.array_distinct("items")).alias("items"))
+    same = out.groupBy("id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"), (F.count(F.lit(1)) / blocks).cast("int").alias("copies"))
+    return same.select(F.explode(F.array_repeat("id", F.col("copies"))).alias("id"), "n_words", "spans", F.array_sort(F.array_distinct("items")).alias("items")).select("id.*", "n_words", "spans", "items")
 
 
 def hit_words(spans) -> F.Column:
@@ -258,6 +263,10 @@ def hit_words(spans) -> F.Column:
     return merged["n"]
 
 
+def _flag(n_hit: F.Column) -> F.Column:
+    return (n_hit > 0) & (20 * n_hit >= F.col("n_words"))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, min_match: int = 2) -> DataFrame:
     """One row a document: (id, n_words, n_hit, n_items, items_sha256, contaminated, spans, items)."""
     judged = _judged(docs, benchmark, id_col, text_col, item_col, item_text_col, window, min_match)
@@ -268,7 +277,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         n_hit.alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+        _flag(n_hit).alias("contaminated"),
         "spans",
         "items",
     )
@@ -277,7 +286,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_match: int = 8) -> DataFrame:
     """(item, item_word, id, doc_word, length): the longest verbatim match of every benchmark suffix over all shards, with its place.
 
-    Ties go to the smallest document id, then the earliest word. Suffixes that match fewer than min_match words give no row.
+    Where items repeat an id, a word's match is the longest over their texts. Ties go to the smallest document id, then the earliest word. Suffixes that match fewer than min_match words give no row.
     """
     spark = docs.sparkSession
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType
@@ -292,7 +301,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
                 suffix, place, length = shard.longest()
                 doc = np.searchsorted(shard.first, place, "right") - 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([str(q.ids[i]) for i in q.item[suffix]], pa.string()), pa.array(q.offset[suffix]), ids.take(pa.array(doc)), pa.array(place - shard.first[doc]), pa.array(length)],
+                    [pa.array([None if q.ids[i] is None else str(q.ids[i]) for i in q.item[suffix]], pa.string()), pa.array(q.offset[suffix]), ids.take(pa.array(doc)), pa.array(place - shard.first[doc]), pa.array(length)],
                     names=["item", "item_word", "id", "doc_word", "length"],
                 )
 
@@ -307,11 +316,11 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
     With one benchmark block this is one pass without a shuffle; with several, each row is first judged over all of them.
     """
-    blocks = list(query_blocks(benchmark, item_col, item_text_col, window, min_match))
-    if len(blocks) > 1:
-        found = contamination(docs, benchmark, id_col, text_col, item_col, item_text_col, window, min_match).where("contaminated").select(F.col(id_col).alias("__id")).distinct()
-        return docs.join(found, docs[id_col].eqNullSafe(F.col("__id")), "left_anti")
-    sent, text_at = docs.sparkSession.sparkContext.broadcast(blocks[0]), docs.columns.index(text_col)
+    first = next(query_blocks(benchmark, item_col, item_text_col, window, min_match))
+    if first.of > 1:
+        bad = _judged(docs, benchmark, id_col, text_col, item_col, item_text_col, window, min_match).where(_flag(hit_words(F.col("spans")))).select(F.col("id").alias("__id"), F.col("row").alias("__row")).distinct()
+        return docs.join(bad, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[id_col], docs[text_col]) == F.col("__row")), "left_anti")
+    sent, text_at = docs.sparkSession.sparkContext.broadcast(first), docs.columns.index(text_col)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = sent.value

@@ -169,6 +169,20 @@ def test_contamination_matches_sql(spark, monkeypatch, block):
     assert bad is not None and {r.doc_id for r in kept.collect()} == {r[0] for r in rows} - flagged and flagged
 
 
+@pytest.mark.parametrize("block", [1 << 20, 40])
+def test_items_and_documents_that_repeat_or_lack_ids(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate.query_blocks, "__defaults__", (block,))
+    items = [(1, "alpha beta gamma"), (1, "delta epsilon zeta"), (1, "alpha beta gamma"), (None, "eta theta"), (None, "iota kappa"), (2, "delta epsilon zeta")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = ["x alpha beta gamma y", "delta epsilon zeta", "a eta theta", "iota kappa", "alpha beta gamma and delta epsilon zeta", "clean", None]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], SCHEMA).repartition(2)
+    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    assert by_spark(decontaminate.contamination(docs, bench).select(*names)) == by_sql(decontaminate.ORACLE_SQL, documents=docs.toPandas(), benchmark=bench.toPandas().astype({"item_id": "Int64"}))
+    same = [(7, "alpha beta gamma"), (7, "clean one"), (None, "iota kappa"), (None, "clean two"), (None, None), (7, "clean one")]
+    kept = decontaminate.drop_contaminated(spark.createDataFrame(same, "doc_id long, text string").repartition(2), bench)
+    assert by_spark(kept) == sorted([(7, "clean one"), (7, "clean one"), (None, "clean two"), (None, None)], key=str)
+
+
 def test_longest_matches(spark):
     rows, items = contaminated_corpus(9)
     docs, bench = spark.createDataFrame(rows, SCHEMA).repartition(2), spark.createDataFrame(items, "item_id long, text string")
