@@ -319,15 +319,36 @@ def test_unigram_shortest_path():
     machine = sentencepiece_fst.Transducer(open(sentencepiece_fst.MODEL, "rb").read())
     machine.kind = sentencepiece_fst.UNIGRAM
     names = {"▁a": 1.0, "▁": 2.0, "a": 1.5, "ab": 1.0, "b": 1.0, "▁ab": 3.5}
-    machine.trie, machine.scores = {}, [0.0] * len(machine.pieces)
-    for piece, cost in names.items():
-        i = machine.ids[piece]
-        machine.scores[i] = -cost
-        node = machine.trie
-        for c in piece:
-            node = node.setdefault(c, {})
-        node[""] = i
-    assert [machine.pieces[i] for i in machine.shortest("▁ab")] == ["▁a", "b"]
+    ids = {piece: machine.ids[piece] for piece in names}
+    machine.scores = [0.0] * len(machine.pieces)
+    for piece, i in ids.items():
+        machine.scores[i] = -names[piece]
+    machine.compile(ids)
+
+    def cheapest(text):
+        """All segmentations."""
+        if not text:
+            return 0.0, []
+        ways = [(names[text[:k]] + cost, [text[:k], *rest]) for k in range(1, len(text) + 1) if text[:k] in names for cost, rest in [cheapest(text[k:])]]
+        return min(ways)
+
+    texts = ["▁ab", "▁aab", "ab▁", "abab▁▁b"]
+    found, sizes = machine.shortest(texts)
+    upto = [0]
+    for n in sizes:
+        upto.append(upto[-1] + int(n))
+    for k, text in enumerate(texts):
+        path = [machine.pieces[i] for i in found[upto[k] : upto[k + 1]]]
+        assert "".join(path) == text and sum(names[p] for p in path) == cheapest(text)[0]
+    assert [machine.pieces[i] for i in found[: upto[1]]] == ["▁a", "b"]
+
+
+def test_result_columns_that_are_there_already(spark):
+    docs = spark.createDataFrame([(1, "some words", "x"), (2, None, "y")], "doc_id long, text string, ids string")
+    out = sentencepiece_fst.encode(docs)
+    assert out.columns == ["doc_id", "text", "ids"]
+    back = sentencepiece_fst.decode(out)
+    assert back.columns == ["doc_id", "ids", "text"] and sorted((r.doc_id, r.text) for r in back.collect()) == [(1, "some words"), (2, None)]
 
 
 # -- shared helpers
