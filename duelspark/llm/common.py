@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gc
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +25,11 @@ HOT_SHARE = 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/duelspark"
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset and all is one machine."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return named or "file:///tmp/checkpoints/duelspark"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -38,12 +41,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written once to the shared folder and read back: cuts lineage and survives lost executors."""
+def saved(df: DataFrame, name: str, sweep: bool = True) -> DataFrame:
+    """The rows of df, written once to the shared folder and read back: cuts lineage and survives lost executors.
+
+    sweep: let go of the shuffle files so far; a step with small ones needn't.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    released(spark)
+    if sweep:
+        released(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
@@ -67,6 +74,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 # -- hot keys ---------------------------------------------------------------------------------------------------------
 
 
@@ -97,7 +112,7 @@ def ascii_lower(text: Column) -> Column:
 
 # -- byte-level scanning of Arrow text --------------------------------------------------------------------------------
 
-CHUNK = 2 << 20  # bytes of text that one numpy pass handles; a longer text is a pass of its own
+CHUNK = 1 << 19  # bytes of text that one numpy pass handles
 
 _rng = np.random.default_rng(20240607)
 _BYTE = np.arange(256)
@@ -112,7 +127,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and its inverse's powers modulo 2**64."""
     have = _POWERS.get("up")
     if have is None or len(have) < n:
-        size = max(n, CHUNK + 1)
+        size = max(n, 2 * CHUNK + 1)
         inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
         for name, base in (("up", _BASE), ("down", inverse)):
             step = np.full(size, base, np.uint64)
@@ -149,6 +164,34 @@ def pieces(offsets: np.ndarray, chunk: int = CHUNK) -> Iterator[tuple[int, int]]
         row = upto
 
 
+def _segments(word: np.ndarray) -> list[int]:
+    """Places that cut a long text into passes of about CHUNK bytes, each before a byte that is in no word."""
+    cuts, n = [0], len(word)
+    while n - cuts[-1] > CHUNK:
+        at = cuts[-1] + CHUNK
+        while at < n:
+            gap = np.flatnonzero(~word[at : at + CHUNK])
+            if len(gap):
+                at += int(gap[0])
+                break
+            at += CHUNK
+        cuts.append(min(at, n))
+    return [*cuts, n] if cuts[-1] < n else cuts
+
+
+def _scan(raw: np.ndarray, word: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, its start) of one pass."""
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts
+    up, down = _powers(len(raw))
+    total = _VALUE[raw]
+    total *= up[: len(raw)]
+    np.cumsum(total, out=total)
+    before = np.where(starts > 0, total[starts - 1], np.uint64(0))
+    return mix((np.append(before[1:], total[-1]) - before) * down[starts]), starts
+
+
 def scan_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For texts at data[offsets[i]:offsets[i+1]]: a hash of each lower-cased word, its byte start, words before each text."""
     begin, end = int(offsets[0]), int(offsets[-1])
@@ -160,14 +203,14 @@ def scan_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     first[1:] &= ~word[:-1]
     at = local[:-1][local[:-1] < len(raw)]
     first[at] = word[at]
-    starts = np.flatnonzero(first)
-    up, down = _powers(len(raw))
-    total = _VALUE[raw]
-    total *= up[: len(raw)]
-    np.cumsum(total, out=total)
-    before = np.where(starts > 0, total[starts - 1], np.uint64(0)) if len(starts) else np.zeros(0, np.uint64)
-    after = np.append(before[1:], total[-1]) if len(starts) else before
-    return mix((after - before) * down[starts]), starts, np.searchsorted(starts, local)
+    if len(raw) <= 2 * CHUNK:
+        hashes, starts = _scan(raw, word, first)
+    else:
+        cuts = _segments(word)
+        parts = [_scan(raw[a:b], word[a:b], first[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        hashes = np.concatenate([h for h, _ in parts])
+        starts = np.concatenate([s + a for (_, s), a in zip(parts, cuts, strict=False)])
+    return hashes, starts, np.searchsorted(starts, local)
 
 
 def shingles(words: np.ndarray, bounds: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -197,43 +240,28 @@ def bounded_batches(spark: SparkSession, size: int = 16 << 20) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
-def salted(pairs: DataFrame, key: str, spread: str, per_salt: int = 512) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
-    """(pairs with a column __salt, a function that copies rows with the key to all its salts).
-
-    A key with more than per_salt pairs, and over 1/HOT_SHARE of them, has its pairs dealt by the hash of `spread` over as
-    many salts as it has such shares. There are HOT_SHARE such keys at most.
-    """
-    total = pairs.count()
-    hot = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > max(per_salt, total // HOT_SHARE)).collect()
-    if not hot:
-        return pairs.withColumn("__salt", F.lit(0)), lambda df: df.withColumn("__salt", F.lit(0))
-    few = F.broadcast(pairs.sparkSession.createDataFrame([(r[key], -(-r["__n"] // per_salt)) for r in hot], f"{key} long, __salts int"))
-    salts = F.coalesce("__salts", F.lit(1))
-    dealt = pairs.join(few, key, "left").withColumn("__salt", F.pmod(F.xxhash64(spread), salts).cast("int")).drop("__salts")
-    return dealt, lambda df: df.join(few, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
-
-
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) of every node of the undirected edges (a, b); root is the smallest node it is connected to.
 
-    Alternating large-star and small-star steps (Kiveris et al. 2014), each written to the shared folder, until every
-    node points at a root that points nowhere. Hubs are looked up by their groups' sizes.
+    Alternating large-star and small-star steps (Kiveris et al. 2014), each written to the shared folder, until they
+    change nothing: every node then points at a root that points nowhere. Hubs are looked up by their groups' sizes.
     """
-    at = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    at = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name, False)
+    before = None
     while True:
-        n, distinct, parents = at.agg(F.count(F.lit(1)), F.countDistinct("a"), F.countDistinct("b")).first()
-        nodes = at.select(F.explode(F.array("a", "b")).alias("node")).distinct().count()
-        if n == distinct and nodes == distinct + parents:  # each node has one parent, and no parent has one
+        n, sign = at.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first()
+        if (n, sign) == before or not n:
             return at.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(at.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        before = n, sign
         # large star: every larger neighbour of a node points at the node's smallest neighbour
         both = at.unionByName(at.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = saved(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("n")), name)
+        low = saved(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("n")), name, False)
         large = lookup(both, low, ["a"], "n", 2 * n).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = saved(large, name)
+        large = saved(large, name, False)
         # small star: a node and its smaller neighbours point at the smallest of them
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1")
         small = large.join(least, "a", "left")
         links = F.array_compact(F.array(F.struct(F.col("a"), F.coalesce("m", "b").alias("b")), F.when(F.col("m").isNotNull() & (F.col("b") != F.col("m")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))))
-        small = saved(small.select(F.inline(links)).distinct(), name)
+        small = saved(small.select(F.inline(links)).distinct(), name, False)
         dropped(at, low, large)
         at = small

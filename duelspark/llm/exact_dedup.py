@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import free_name, saved, table
 
 COUNTERS = 1024  # Misra-Gries counters a partition, and so the bound of broadcast winners
 
@@ -78,12 +78,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
     """The rows of docs that stay, with all their columns; text is shuffled once, frequent copies not at all."""
     names = docs.columns
-    keyed = docs.withColumn("__digest", text_digest(F.col(text_col)))
-    narrow = saved(keyed.select(F.col(id_col).alias("id"), F.col("__digest").alias("digest")), "digests")
-    winners = saved(heavy_winners(narrow, ["id"], counters), "winners").select(F.col("digest").alias("__digest"), F.col("winner").alias("__winner"))
-    rest = keyed.join(F.broadcast(winners), "__digest", "left").where(F.col("__winner").isNull() | F.col("__winner.id").eqNullSafe(F.col(id_col)))
-    rank = F.row_number().over(Window.partitionBy("__digest").orderBy(F.col(id_col).asc_nulls_last()))
-    return rest.withColumn("__rank", rank).where("__rank = 1").select(*names)
+    digest, winner, rank = (free_name(docs, name) for name in ("digest", "winner", "rank"))
+    keyed = docs.withColumn(digest, text_digest(F.col(text_col)))
+    narrow = saved(keyed.select(F.col(id_col).alias("id"), F.col(digest).alias("digest")), "digests")
+    winners = saved(heavy_winners(narrow, ["id"], counters), "winners").select(F.col("digest").alias(digest), F.col("winner").alias(winner))
+    rest = keyed.join(F.broadcast(winners), digest, "left").where(F.col(winner).isNull() | F.col(f"{winner}.id").eqNullSafe(F.col(id_col)))
+    order = F.row_number().over(Window.partitionBy(digest).orderBy(F.col(id_col).asc_nulls_last()))
+    return rest.withColumn(rank, order).where(F.col(rank) == 1).select(*names)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

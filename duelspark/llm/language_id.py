@@ -12,7 +12,7 @@ order of a hash of their id and language. Predictions read the text alone.
 
 Defined cases: a null text, and one without any letter, is `und` with score 0; labels that are null teach nothing; a table
 without any label predicts `und` everywhere; one language only predicts it for every text with a letter; rows that repeat
-an id are each predicted from their own text; other columns are ignored.
+an id are each predicted from their own text; other columns are carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import buffers, pieces, table
@@ -36,7 +36,7 @@ EXHAUSTIVE = 6
 CODE_BITS = 48
 EPOCHS = 150
 AMBIGUOUS = 0.2  # a score below it flags a text as ambiguous
-SLICE = 256 << 10  # text bytes of one pass
+SLICE, SLICE_ROWS = 256 << 10, 256  # text bytes and texts of one pass
 
 _BYTE = np.arange(256)
 #: A-Z folded, digits as one value, all other ASCII but letters as a space.
@@ -86,6 +86,13 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Row ranges of about SLICE bytes and at most SLICE_ROWS texts: a text's features take the same room, long or short."""
+    for a, b in pieces(offsets, SLICE):
+        for lo in range(a, b, SLICE_ROWS):
+            yield lo, min(b, lo + SLICE_ROWS)
+
+
 def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Whether each text has a letter of any script."""
     begin, end = int(offsets[0]), int(offsets[-1])
@@ -102,15 +109,14 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_langu
     """The languages in order, and (text, lang) of at most per_language labelled texts of each, by the order of a hash."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r["lang"]: r["n"] for r in labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    order = F.xxhash64(F.col(id_col).cast("string"), F.col(lang_col))
-    picked = None
-    for lang, n in sorted(counts.items()):
-        # The hash is even over its range: twice the share that is wanted leaves few rows to order, and enough of them.
-        share = min(1.0, 2 * per_language / n + 20 / n)
-        part = labelled.where((F.col(lang_col) == lang) & (F.abs(F.shiftright(order, 11)) < int(share * (1 << 52))))
-        part = part.orderBy(order).limit(per_language).select(F.col(text_col).alias("text"), F.lit(lang).alias("lang"))
-        picked = part if picked is None else picked.unionByName(part)
-    return sorted(counts), picked
+    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.col(lang_col)).alias("order"))
+    # The hash is even over its range: twice the share that is wanted leaves few rows of a language to order, and enough.
+    shares = [x for lang, n in counts.items() for x in (F.lit(lang), F.lit(int(min(1.0, (2 * per_language + 20) / n) * (1 << 52))))]
+    if not shares:
+        return [], rows.select("text", "lang").limit(0)
+    likely = rows.where(F.abs(F.shiftright("order", 11)) < F.create_map(*shares)[F.col("lang")])
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", F.xxhash64("text")))
+    return sorted(counts), likely.withColumn("rank", rank).where(F.col("rank") <= per_language).select("text", "lang")
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> dict:
@@ -124,7 +130,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         bit = int(rows["bit"].iloc[0])
         data, offsets = buffers(pa.array(rows["text"], pa.string()))
-        x = np.concatenate([features(data, offsets[a : b + 1]) for a, b in pieces(offsets, SLICE)])
+        x = np.concatenate([features(data, offsets[a : b + 1]) for a, b in slices(offsets)])
         y = code[rows["lang"].map(index).to_numpy(), bit].astype(np.float32)
         weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32)
         w, b, vw, vb = np.zeros(x.shape[1], np.float32), np.float32(0), np.full(x.shape[1], 1e-8, np.float32), np.float32(1e-8)
@@ -136,7 +142,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return pd.DataFrame({"bit": [bit], "weights": [w.astype(np.float32).tobytes()], "bias": [float(b)]})
 
     rows = picked.withColumn("bit", F.explode(F.array([F.lit(i) for i in range(code.shape[1])])))
-    fitted = sorted(rows.groupBy("bit").applyInPandas(fit, "bit int, weights binary, bias double").collect())
+    # A partition for each bit, so that they are fitted beside each other.
+    fitted = sorted(rows.repartition(code.shape[1], "bit").groupBy("bit").applyInPandas(fit, "bit int, weights binary, bias double").collect())
     return {"languages": languages, "code": code, "weights": np.stack([np.frombuffer(r["weights"], np.float32) for r in fitted], 1), "bias": np.array([r["bias"] for r in fitted], np.float32)}
 
 
@@ -150,8 +157,15 @@ def decode(margins: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return best, np.clip((two[:, 1] - two[:, 0]) / np.maximum(two[:, 1], 1e-9), 0, 1)
 
 
-def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs with lang_pred, lang_score and lang_ambiguous; one pass, no shuffle."""
+RESULT = ("lang_pred", "lang_score", "lang_ambiguous")
+
+
+def predict(docs: DataFrame, model: dict, text_col: str = "text", names: tuple[str, str, str] = RESULT) -> DataFrame:
+    """All columns of docs with the language, its score and whether it is ambiguous; one pass, no shuffle.
+
+    Columns of docs that have one of these names are replaced; other names can be given.
+    """
+    docs, results = docs.drop(*names), names
     sent, text_at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,15 +175,15 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
             data, offsets = buffers(batch.column(text_at))
             best, score = np.full(batch.num_rows, len(names) - 1), np.zeros(batch.num_rows)
             if len(names) > 1:
-                for a, b in pieces(offsets, SLICE):
+                for a, b in slices(offsets):
                     sure = has_letter(data, offsets[a : b + 1])
                     picked, certain = decode(features(data, offsets[a : b + 1]) @ m["weights"] + m["bias"], m["code"])
                     best[a:b], score[a:b] = np.where(sure, picked, len(names) - 1), np.where(sure, certain, 0)
             lang = pa.array(names[best], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, lang, pa.array(score), pc.less(pa.array(score), AMBIGUOUS)], names=[*batch.schema.names, "lang_pred", "lang_score", "lang_ambiguous"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, lang, pa.array(score), pc.less(pa.array(score), AMBIGUOUS)], names=[*batch.schema.names, *results])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(label, f"{fields}, lang_pred string, lang_score double, lang_ambiguous boolean")
+    return docs.mapInArrow(label, f"{fields}, `{results[0]}` string, `{results[1]}` double, `{results[2]}` boolean")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

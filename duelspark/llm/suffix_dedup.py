@@ -177,9 +177,10 @@ def shard_transform(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.nda
 
 
 def merge_transforms(transforms: list[np.ndarray], pairs: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(interleave: which transform each merged entry comes from; starts of the blocks that share `depth` symbols).
+    """(interleave: which transform each merged entry comes from; the common prefix of each entry and the one before).
 
-    A refinement by pairs of symbols does the work of two; an odd depth begins with a single one.
+    A refinement by pairs of symbols does the work of two; an odd depth begins with a single one. Two neighbours share the
+    symbols of all refinements before the one that parts them, so a prefix is known to two symbols, up to `depth`.
     """
     total = sum(map(len, transforms))
     lanes = np.uint8 if len(transforms) < 256 else np.uint16
@@ -188,6 +189,7 @@ def merge_transforms(transforms: list[np.ndarray], pairs: list[np.ndarray], dept
     new = np.zeros(total, bool)
     new[:1] = True
     block = np.zeros(total, np.int32)
+    prefix, seen = np.full(total, depth, np.int16), 0
     for step in [single] * (depth % 2) + [double] * (depth // 2):
         current = np.empty(total, step.dtype)
         current[np.argsort(interleave, kind="stable")] = step  # every transform's entries, in its own order
@@ -198,8 +200,10 @@ def merge_transforms(transforms: list[np.ndarray], pairs: list[np.ndarray], dept
         ended = (dealt & 255) == 0 if step is single else ((dealt & 255) == 0) | (dealt < 256)
         new |= ended
         new[:1] = True
+        prefix[new & (prefix == depth)] = seen  # a border once drawn stays
+        seen += 1 if step is single else 2
         block = np.cumsum(new, dtype=np.int32)
-    return interleave, np.flatnonzero(new)
+    return interleave, prefix
 
 
 def repeats(strings: list[bytes], ids: np.ndarray, starts: np.ndarray, length: int, shard_bytes: int = SHARD_BYTES) -> np.ndarray:
@@ -226,7 +230,8 @@ def repeats(strings: list[bytes], ids: np.ndarray, starts: np.ndarray, length: i
             held, size = [], 0
     if not transforms:
         return np.zeros(0, SPAN)
-    interleave, heads = merge_transforms(transforms, pairs, length)
+    interleave, prefix = merge_transforms(transforms, pairs, length)
+    heads = np.flatnonzero(prefix < length)  # a repeated interval goes on where the common prefix has the whole length
     counts = np.diff(np.append(heads, len(interleave)))
     many = np.repeat(counts > 1, counts)
     lane = np.argsort(interleave, kind="stable")

@@ -86,6 +86,7 @@ class Rollup:
         return sorted(x for name in self._folders() for x in self._inside(name))
 
     def _folders(self) -> list[str]:
+        self.recover()
         if not self._fs.exists(self._Path(self.path)):
             return []
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._Path(self.path)) if s.isDirectory() and s.getPath().getName().startswith("batch="))
@@ -124,23 +125,22 @@ class Rollup:
     def compact(self) -> None:
         """One batch in place of all: written aside; the old ones go first, then it is renamed into place.
 
-        A run cut short between those two steps is finished by `recover`.
+        A run cut short between those two steps is finished by `recover`, which comes before every read and commit.
         """
-        old = self._folders()
+        old, ids = self._folders(), self.committed()
         if len(old) < 2:
             return
-        name, aside = f"batch=all-{len(self.committed())}", self._folder("_compacted")
+        name, aside = f"batch=all-{len(ids)}", self._folder("_compacted")
         self._fs.delete(aside, True)
         self.totals().write.parquet(f"{aside.toString()}/{name}")
-        self.spark.createDataFrame([(x,) for x in self.committed()], "value string").coalesce(1).write.text(f"{aside.toString()}/{name}/_ids")
+        self.spark.createDataFrame([(x,) for x in ids], "value string").coalesce(1).write.text(f"{aside.toString()}/{name}/_ids")
         self.spark.createDataFrame([(x,) for x in old], "value string").coalesce(1).write.text(f"{aside.toString()}/_old")
         self.recover()
 
     def recover(self) -> None:
-        """Finish a compaction whose new batch and list of old ones are complete."""
+        """Finish a compaction whose new batch and list of old ones are complete; one that isn't counts for nothing."""
         listed = f"{self.path}/_compacted/_old"
         if not self._fs.exists(self._Path(f"{listed}/_SUCCESS")):
-            self._fs.delete(self._folder("_compacted"), True)
             return
         for r in self.spark.read.text(listed).collect():
             self._fs.delete(self._folder(r["value"]), True)
@@ -151,7 +151,9 @@ class Rollup:
 
 
 def corpus_rollup(docs: DataFrame) -> DataFrame:
-    """All documents are loaded, later exact copies deleted, word counts revised to leave out numbers; batches are replayed.
+    """All documents are loaded, later exact copies deleted, counts of words@2 revised to leave out numbers; batches are replayed.
+
+    words@1 and words@2 are two versions of one tokenizer; the second was loaded with the counts of the first.
 
     Each row is counted once and its counts go through the search for copies in place of its id, so a row is deleted or
     revised by what that search says of this very row, whatever other rows have its id.
@@ -160,12 +162,12 @@ def corpus_rollup(docs: DataFrame) -> DataFrame:
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "source", "lang", word.alias("words"), number.alias("numbers"), octets.alias("bytes"))
     rows = saved(exact_groups(docs.select(row.alias("counts"), "text"), "counts").select("counts.*", "kept"), "counts")
     rollup = Rollup(docs.sparkSession, scratch_path(docs.sparkSession, "token-rollup"))
-    tokenizers = {"words@1": lambda _: F.col("words"), "utf8_bytes@1": lambda _: F.col("bytes")}
+    tokenizers = {"words@1": lambda _: F.col("words"), "words@2": lambda _: F.col("words"), "utf8_bytes@1": lambda _: F.col("bytes")}
     gone, numbers = rows.where("not kept"), rows.where("kept and numbers > 0")
     rollup.apply("load", counted(rows, tokenizers))
     rollup.apply("copies", counted(gone, tokenizers, -1))
-    before = counted(numbers, {"words@1": lambda _: F.col("words")}, -1)
-    after = counted(numbers, {"words@1": lambda _: F.col("words") - F.col("numbers")})
+    before = counted(numbers, {"words@2": lambda _: F.col("words")}, -1)
+    after = counted(numbers, {"words@2": lambda _: F.col("words") - F.col("numbers")})
     rollup.apply("revision", before.unionByName(after))
     rollup.apply("load", counted(rows, tokenizers))  # replays: no-ops
     rollup.apply("copies", counted(gone, tokenizers, -1))
@@ -179,7 +181,8 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = r"""
 WITH d AS (SELECT *, row_number() OVER (PARTITION BY sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) ORDER BY doc_id) AS copy FROM documents),
 w AS (SELECT source, lang, coalesce(octet_length(encode(text)), 0) AS bytes,
-  len(list_filter(coalesce(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), []), lambda x: NOT regexp_full_match(x, '[0-9]+'))) AS words FROM d WHERE copy = 1)
-SELECT source, lang, 'words@1' AS tokenizer, count(*) AS n_docs, CAST(sum(words) AS BIGINT) AS n_tokens FROM w GROUP BY ALL
+  coalesce(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), []) AS words FROM d WHERE copy = 1)
+SELECT source, lang, 'words@1' AS tokenizer, count(*) AS n_docs, CAST(sum(len(words)) AS BIGINT) AS n_tokens FROM w GROUP BY ALL
+UNION ALL SELECT source, lang, 'words@2', count(*), CAST(sum(len(list_filter(words, lambda x: NOT regexp_full_match(x, '[0-9]+')))) AS BIGINT) FROM w GROUP BY ALL
 UNION ALL SELECT source, lang, 'utf8_bytes@1', count(*), CAST(sum(bytes) AS BIGINT) FROM w GROUP BY ALL
 """

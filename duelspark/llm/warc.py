@@ -23,6 +23,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -66,7 +67,7 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | st
     """(header, block, end) of the plain record at a place, or which check it fails."""
     if not re.compile(rb"WARC/1\.[01]\r\n").match(data, at):
         return "no version line"
-    close = data.find(b"\r\n\r\n", at, at + (64 << 10))
+    close = data.find(b"\r\n\r\n", at)
     if close < 0:
         return "no end of the header"
     header: dict[str, str] = {}
@@ -201,15 +202,16 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     bounded_batches(spark, 8 << 20)
     again = revisits(pages, id_col, html_col, min_bytes).select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), F.col("refers_to").alias("__refers"))
     payload = F.coalesce(F.col(html_col), F.lit(""))
-    own = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("html"), F.unhex(F.sha1(payload)).alias("digest"), F.spark_partition_id().alias("part"))
+    own = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("html"), F.unhex(F.sha1(payload)).alias("digest"))
     # Revisits are few and narrow: Spark broadcasts them if their table's size allows, and else joins by a shuffle.
-    rows = own.join(again, F.col("id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")), "left").select("id", "url", "html", F.col("__refers").alias("refers_to"), "part")
+    rows = own.join(again, F.col("id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")), "left").select("id", "url", "html", F.col("__refers").alias("refers_to"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = size = 0
+        # Archives are named by the task that writes them, so there are few however the rows came to it.
+        number, size, part = 0, 0, TaskContext.get().partitionId()
         for batch in batches:
             names, texts = [], []
-            for page_id, url, html, refers_to, part in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for page_id, url, html, refers_to in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if size > archive_bytes:
                     number, size = number + 1, 0
                 record = build_record(page_id, url, html.encode("utf-8", "surrogatepass"), refers_to)
@@ -222,9 +224,13 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_path(spark, "warc")
-    write_archives(table(spark, sf_dir, "pages"), path)
-    records = read_archives(spark, path).where("kind = 'record'")
+    pages, path = table(spark, sf_dir, "pages"), scratch_path(spark, "warc")
+    write_archives(pages, path)
+    rows = saved(read_archives(spark, path), "warc-rows-and-gaps")
+    records, written = rows.where("kind = 'record'"), pages.count()
+    if (n := records.count()) != written:
+        gaps = rows.where("kind = 'gap'").select("archive", "start_byte", "end_byte", "reason").limit(20).collect()
+        raise ValueError(f"{written} records were written and {n} read back; the first gaps: {gaps}")
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

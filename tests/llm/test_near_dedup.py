@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 
 pytest.importorskip("duelspark.llm.near_dedup")
-from duelspark.llm.near_dedup import FLOOR, drop_near_duplicates, near_classes  # noqa: E402
+from duelspark.llm.near_dedup import corpus_weights, drop_near_duplicates, near_classes  # noqa: E402
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -25,9 +25,8 @@ def brute_classes(rows, threshold=0.8):
     """{row number: smallest id of its class} over all pairs."""
     sets = [shingle_counts(text) for _, text in rows]
     df = Counter(s for one in sets for s in one)
-    floor = max(1.0, len(rows) / FLOOR, 2.5 * sum(map(len, sets)) / ((1 << 14) + 1))
-    top = 1 + math.log(len(rows) / floor)
-    weights = [{s: n * (1 + math.log(len(rows) / max(df[s], floor))) / top for s, n in one.items()} for one in sets]
+    some = sum(map(bool, sets))
+    weights = [{s: n * (1 + math.log(some / max(df[s], some / 1024), 1024)) for s, n in one.items()} for one in sets]
     root = list(range(len(rows)))
 
     def find(i):
@@ -83,6 +82,41 @@ def test_edge_rows(spark):
     kept = drop_near_duplicates(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 7]
+    again = spark.createDataFrame([(5, "a b"), (5, "a b"), (9, None), (None, "c d e f g h i"), (None, "c d e f g h i")], "doc_id long, text string").repartition(2)
+    assert sorted((r.doc_id or 0, r.kept) for r in near_classes(again).collect()) == [(0, False), (0, True), (5, False), (5, True), (9, True)]
+    assert sorted(r.doc_id or 0 for r in drop_near_duplicates(again.withColumn("KEY", again.text)).collect()) == [0, 5, 9]
+
+
+def test_document_frequencies_are_exact(spark):
+    """Each frequent shingle has the idf of its true count; rare ones share one."""
+    rows = [(i, f"common words that all of them share {'and some that half has too ' * (i % 2)} own{i} a{i} b{i} c{i} d{i}") for i in range(3000)] + [(4000, None)]
+    weights = corpus_weights(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), "text")
+    df = Counter(s for _, t in rows for s in shingle_counts(t))
+    want = sorted((1 + math.log(3000 / n, 1024)) / 2 for n in df.values() if n * 1024 >= 3000)
+    assert sorted(weights.idf) == pytest.approx(want) and len(want) > 3
+
+
+def test_large_group_and_planted_pairs(spark):
+    """A group of near copies with most of all rows, and planted pairs at similarities around the threshold: recall and precision."""
+    rng = random.Random(11)
+    bag = ["".join(rng.choice("abcdefghiklmnoprstu") for _ in range(rng.randint(2, 7))) for _ in range(900)]
+    base = [rng.choice(bag) for _ in range(150)]
+    texts = []
+    for _ in range(500):
+        copy = list(base)
+        copy[rng.randrange(150)] = rng.choice(bag)
+        texts.append(" ".join(copy))
+    for _ in range(200):
+        one = [rng.choice(bag) for _ in range(rng.randint(60, 200))]
+        two = list(one)
+        for _ in range(rng.randint(1, 5)):
+            two[rng.randrange(len(two))] = rng.choice(bag)
+        texts += [" ".join(one), " ".join(two)]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.class_id for r in near_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    want = brute_classes(rows)
+    links = [i for i in want if want[i] != i]
+    assert sum(got[i] == want[i] for i in links) >= 0.99 * len(links) and all(got[i] == want[i] for i in want if got[i] != i)
 
 
 def test_empty_table(spark):

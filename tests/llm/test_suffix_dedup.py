@@ -55,7 +55,7 @@ def test_merge_equals_sorting(depth):
     rng = np.random.default_rng(4)
     shards = [np.concatenate([np.append(rng.integers(1, 4, rng.integers(1, 40)), 0) for _ in range(6)]).astype(np.uint8) for _ in range(5)]
     sorted_ = [s.shard_transform(x, depth) for x in shards]
-    interleave, heads = s.merge_transforms([t for _, t, _ in sorted_], [p for _, _, p in sorted_], depth)
+    interleave, shared = s.merge_transforms([t for _, t, _ in sorted_], [p for _, _, p in sorted_], depth)
 
     def prefix(shard, at):
         out = shards[shard][at : at + depth].tolist()
@@ -64,6 +64,10 @@ def test_merge_equals_sorting(depth):
     nexts = [iter(order.tolist()) for order, _, _ in sorted_]
     merged = [prefix(i, next(nexts[i])) for i in interleave.tolist()]
     assert merged == sorted(merged)
+    for a, b, n in zip(merged, merged[1:], shared[1:].tolist(), strict=False):
+        true = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y or x == 0), min(len(a), len(b)))
+        assert n <= true < n + 2 or n == depth == true
+    heads = np.flatnonzero(shared < depth)
     blocks = np.split(np.arange(len(merged)), heads[1:])
     assert all(len({tuple(merged[i]) for i in b}) == 1 for b in blocks)
     assert sum(len(b) > 1 for b in blocks) == sum(n > 1 for n in __import__("collections").Counter(tuple(m) for m in merged if 0 not in m).values())
