@@ -8,7 +8,7 @@ Codes: up to EXHAUSTIVE languages get all distinct splits of the languages in tw
 a fixed seed, redrawn until any two codewords differ in a quarter of the bits.
 
 The classifier is fitted on a sample of at most SAMPLE_PER_LANGUAGE labelled texts a language (whole texts), taken by the
-order of a hash of their id and language. Predictions read the text alone.
+order of a hash of their id, language and text. Predictions read the text alone.
 
 Defined cases: a null text, and one without any letter, is `und` with score 0; labels that are null teach nothing; a table
 without any label predicts `und` everywhere; one language only predicts it for every text with a letter; rows that repeat
@@ -109,13 +109,13 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_langu
     """The languages in order, and (text, lang) of at most per_language labelled texts of each, by the order of a hash."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r["lang"]: r["n"] for r in labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.col(lang_col)).alias("order"))
+    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.col(lang_col), F.col(text_col)).alias("order"))
     # The hash is even over its range: twice the share that is wanted leaves few rows of a language to order, and enough.
     shares = [x for lang, n in counts.items() for x in (F.lit(lang), F.lit(int(min(1.0, (2 * per_language + 20) / n) * (1 << 52))))]
     if not shares:
         return [], rows.select("text", "lang").limit(0)
     likely = rows.where(F.abs(F.shiftright("order", 11)) < F.create_map(*shares)[F.col("lang")])
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", F.xxhash64("text")))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
     return sorted(counts), likely.withColumn("rank", rank).where(F.col("rank") <= per_language).select("text", "lang")
 
 

@@ -1,7 +1,9 @@
 """License scans as an exact set-similarity join, in DataFrame functions only.
 
-A text block is a line of a text, a template a short licence notice; both count as sets of lower-cased words. A block
-meets a template if it holds CONTAINMENT or more of the template's words. All such pairs are found:
+A text block is a line of a text with the LINES - 1 lines after it, since notices wrap, or the line alone where they have
+more than BLOCK_CHARS characters together. A template is a licence notice. Both count as sets of lower-cased words. A
+block meets a template if it holds CONTAINMENT or more of the template's words and, of the words that no other template
+has, half or more: those tell a licence from its neighbours. All such pairs are found:
 
 * tokens are ordered by their frequency over all texts, rarest first (ties by the token itself);
 * prefix filter: a template that must share `alpha` of its words has one of its first size - alpha + 1 words in any block
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import RAW_WORD, ascii_lower, saved, table
 
 CONTAINMENT = 0.8
+LINES, BLOCK_CHARS = 3, 600
 
 #: Phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -39,10 +42,12 @@ TEMPLATES = {
     "cc-by-nd": "licensed under cc by nd 4 0",
     "cc-by-sa": "licensed under cc by sa 4 0",
     "cc0": "dedicated to the public domain under cc0 1 0 universal",
-    "gpl": "this work is licensed under the gnu general public license version 3",
+    "gpl": "licensed under the gnu general public license version 3",
     "lgpl": "licensed under the gnu lesser general public license version 3",
     "mit": "released under the mit license",
     "mpl": "subject to the terms of the mozilla public license version 2 0",
+    "mit-permission": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
+    "no-warranty": "the software is provided as is without warranty of any kind express or implied",
     "reserved": "all rights reserved",
     "unlicense": "this is free and unencumbered software released into the public domain",
 }
@@ -74,6 +79,12 @@ def base_columns(text: Column) -> dict[str, Column]:
     }
 
 
+def own_words(templates: dict[str, str]) -> dict[str, list[str]]:
+    """Of each template the words that no other one has."""
+    sets = {label: set(text.split(" ")) for label, text in templates.items()}
+    return {label: sorted(words.difference(*[x for other, x in sets.items() if other != label])) for label, words in sets.items()}
+
+
 def token_order(docs: DataFrame, text_col: str, vocabulary: list[str]) -> list[str]:
     """The templates' words by their frequency over all texts, rarest first. The counts are as many as the vocabulary."""
     words = docs.select(F.explode(F.split(F.col(text_col), _SEPARATOR + "+")).alias("raw"))
@@ -86,21 +97,22 @@ def template_matches(blocks: DataFrame, templates: dict[str, str], order: list[s
     """(row, label, score) of blocks (row, block, words: sorted array of token ranks) for all pairs that meet the threshold."""
     spark = blocks.sparkSession
     rank = {t: i for i, t in enumerate(order)}
-    prefixes, sets = [], []
+    prefixes, sets, own_of = [], [], own_words(templates)
     for label, text in templates.items():
         have = sorted(rank[t] for t in set(text.split(" ")))
         alpha = math.ceil(containment * len(have) - 1e-9)
-        sets.append((label, have, alpha))
+        sets.append((label, have, alpha, [rank[t] for t in own_of[label]]))
         prefixes += [(label, r, i, len(have), alpha) for i, r in enumerate(have[: len(have) - alpha + 1])]
     prefix = F.broadcast(spark.createDataFrame(prefixes, "label string, token int, at int, size int, alpha int"))
-    whole = F.broadcast(spark.createDataFrame(sets, "label string, have array<int>, alpha int"))
-    least = min(alpha for _, _, alpha in sets)
+    whole = F.broadcast(spark.createDataFrame(sets, "label string, have array<int>, alpha int, marks array<int>"))
+    least = min(alpha for _, _, alpha, _ in sets)
     own = F.size("words")
     starts = blocks.where(own >= least).select("row", "block", "words", F.posexplode(F.slice("words", F.lit(1), own - least + 1)).alias("pos", "token"))
     candidates = starts.join(prefix, "token").where((own >= F.col("alpha")) & (F.col("pos") <= own - F.col("alpha")) & (1 + F.least(F.col("size") - F.col("at") - 1, own - F.col("pos") - 1) >= F.col("alpha")))
     pairs = candidates.select("row", "block", "words", "label").distinct().join(whole, "label")
     overlap = F.size(F.array_intersect("words", "have"))
-    return pairs.where(overlap >= F.col("alpha")).select("row", "label", (overlap / F.size("have")).alias("score"))
+    marked = 2 * F.size(F.array_intersect("words", "marks")) >= F.size("marks")
+    return pairs.where((overlap >= F.col("alpha")) & marked).select("row", "label", (overlap / F.size("have")).alias("score"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, containment: float = CONTAINMENT) -> DataFrame:
@@ -116,7 +128,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
         needed |= set(have[: len(have) - math.ceil(containment * len(have) - 1e-9) + 1])
     holds = F.lit(rf"(?i){_WORD_BEFORE}(?:{'|'.join(sorted(needed))}){_WORD_AFTER}")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.when(F.regexp_like(text, holds), F.filter(F.split(text, "\n"), lambda b: F.regexp_like(b, holds))).otherwise(F.array().cast("array<string>"))
+    split = F.split(text, "\n")
+
+    def block(line: Column, at: Column) -> Column:
+        wide = F.array_join(F.slice(split, at + 1, LINES), "\n")
+        return F.when(F.length(wide) <= BLOCK_CHARS, wide).otherwise(line)
+
+    lines = F.when(F.regexp_like(text, holds), F.filter(F.transform(split, block), lambda b: F.regexp_like(b, holds))).otherwise(F.array().cast("array<string>"))
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), n_words(text).alias("n_words"), *[c.alias(name) for name, c in base_columns(text).items()], lines.alias("lines"))
     base = saved(base, "license-lines")
     ranks = F.broadcast(spark.createDataFrame(list(rank.items()), "token string, rank int"))
@@ -133,7 +151,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
-_VALUES = ", ".join(f"('{label}', '{text}')" for label, text in TEMPLATES.items())
+_VALUES = ", ".join(f"('{label}', '{text}', {own_words(TEMPLATES)[label]})" for label, text in TEMPLATES.items())
 ORACLE_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM d),
@@ -143,11 +161,12 @@ p AS (SELECT r, doc_id, len(w) AS n_words,
   list_filter(range(len(w)), lambda i: w[i + 1] = 'all' AND w[i + 2] = 'rights' AND w[i + 3] = 'reserved') AS c FROM w),
 base AS (SELECT r, doc_id, n_words, len(a) + len(b) + len(c) AS n_base, list_min(a || b || c) AS first_word, list_max(a || b || c) AS last_word,
   (CASE WHEN len(a) > 0 THEN ['cc-by'] ELSE [] END) || (CASE WHEN len(b) > 0 THEN ['gpl'] ELSE [] END) || (CASE WHEN len(c) > 0 THEN ['reserved'] ELSE [] END) AS labels FROM p),
-t AS (SELECT label, list_distinct(string_split(notice, ' ')) AS t FROM (VALUES {_VALUES}) v(label, notice)),
+t AS (SELECT label, list_distinct(string_split(notice, ' ')) AS t, CAST(marks AS VARCHAR[]) AS marks FROM (VALUES {_VALUES}) v(label, notice, marks)),
 lines AS (SELECT r, list_distinct(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS l
-  FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)),
+  FROM (SELECT r, CASE WHEN length(array_to_string(x[i : i + {LINES - 1}], chr(10))) <= {BLOCK_CHARS} THEN array_to_string(x[i : i + {LINES - 1}], chr(10)) ELSE x[i] END AS line
+    FROM (SELECT r, x, unnest(generate_series(1, len(x))) AS i FROM (SELECT r, string_split(text, chr(10)) AS x FROM d)))),
 met AS (SELECT r, list(DISTINCT label) AS more, max(len(list_intersect(l, t)) / len(t)) AS best FROM lines, t
-  WHERE len(list_intersect(l, t)) >= ceil(0.8 * len(t) - 1e-9) GROUP BY r)
+  WHERE len(list_intersect(l, t)) >= ceil(0.8 * len(t) - 1e-9) AND 2 * len(list_intersect(l, marks)) >= len(marks) GROUP BY r)
 SELECT doc_id, n_words, n_base, first_word, last_word, array_to_string(list_sort(labels), ',') AS base_labels,
   array_to_string(list_sort(list_distinct(labels || coalesce(more, []))), ',') AS labels,
   greatest(coalesce(best, 0.0), CASE WHEN n_base > 0 THEN 1.0 ELSE 0.0 END) AS score

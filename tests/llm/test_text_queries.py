@@ -89,16 +89,33 @@ def test_license_scan_matches_sql(spark):
     assert license_scan.scan(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_licences_are_told_apart(spark):
+    texts = [
+        "Licensed under CC BY 4.0",
+        "Released under the Apache license",
+        "Released under the MIT license",
+        "Redistribution and use in source and binary forms,\nwith or without modification, are permitted provided that\nthe following conditions are met",
+        "Licensed under the GNU Lesser General Public License, version 3",
+        "Licensed under CC BY-NC 4.0",
+        "the rights of all are reserved for a reader who wants " + "many more words in one long line " * 30,
+    ]
+    docs = spark.createDataFrame([(1, t) for t in texts] + [(1, texts[0])], "doc_id long, text string")
+    got = by_spark(license_scan.scan(docs).select("labels"))
+    assert got == sorted([("cc-by",), ("cc-by",), ("",), ("mit",), ("bsd",), ("gpl,lgpl",), ("cc-by,cc-by-nc",), ("reserved",)], key=str)
+    assert by_spark(license_scan.scan(docs)) == by_sql(license_scan.ORACLE_SQL, documents=docs.toPandas())
+
+
 def test_license_join_filters_lose_nothing(spark):
     """All pairs by brute force over random token sets, at several thresholds."""
     rng = random.Random(3)
     order = [f"t{i}" for i in range(14)]
     templates = {f"l{i}": " ".join(rng.sample(order, rng.randint(1, 7))) for i in range(9)}
+    marks = license_scan.own_words(templates)
     blocks = [(i, 0, sorted(rng.sample(range(14), rng.randint(0, 12)))) for i in range(200)]
     frame = spark.createDataFrame(blocks, "row long, block int, words array<int>")
     for threshold in (0.5, 0.8, 1.0):
         got = {(r.row, r.label) for r in license_scan.template_matches(frame, templates, order, threshold).collect()}
-        want = {(i, l) for i, _, w in blocks for l, t in templates.items() if len({order[k] for k in w} & set(t.split())) >= threshold * len(set(t.split())) - 1e-9}
+        want = {(i, l) for i, _, w in blocks for l, t in templates.items() if len({order[k] for k in w} & set(t.split())) >= threshold * len(set(t.split())) - 1e-9 and 2 * len({order[k] for k in w} & set(marks[l])) >= len(marks[l])}
         assert got == want
 
 
@@ -119,6 +136,20 @@ def test_warc_round_trip(spark, tmp_path):
     assert all(bytes(r.payload) == texts[r.page_id] for r in out if r.record_type == "response")
 
 
+def test_warc_long_header_few_archives_and_empty(spark, tmp_path):
+    rows = [(i, "http://x/" + "u" * (100_000 if i == 7 else 3), f"<p>{i % 50}</p>", "z") for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, refers_to string").repartition(4)
+    path = f"file://{tmp_path}/w"
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    warc.write_archives(pages, path)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    out = warc.read_archives(spark, path)
+    assert out.where("kind = 'record'").count() == 400 and out.where("kind = 'gap'").count() == 0
+    assert out.select("archive").distinct().count() <= 8
+    warc.write_archives(pages.limit(0), f"file://{tmp_path}/none")
+    assert warc.read_archives(spark, f"file://{tmp_path}/none").count() == 0
+
+
 def test_warc_salvage():
     records = [warc.build_record(i, "http://x", (f"<p>{i}</p>WARC/1.1\r\n" * 3).encode()) for i in range(6)]
     damaged = [records[0], b"junk junk", records[1], records[2][:-30], gzip.compress(records[3]), gzip.compress(records[4])[:60], records[5].replace(b"<p>5", b"<p>6", 1), records[4]]
@@ -205,6 +236,21 @@ def test_longest_matches(spark):
     assert got == want
 
 
+def test_clashing_names_and_repeated_rows(spark):
+    """Columns that bear the operators' own names, and rows that repeat."""
+    rows = [(1, "alpha beta gamma delta", "x", 7, "q"), (1, "alpha beta gamma delta", "x", 7, "q"), (2, None, None, None, None), (None, "other words here", "y", 1, "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest string, rank long, lang_pred string").repartition(2)
+    kept = exact_dedup.drop_exact_duplicates(docs)
+    assert kept.columns == docs.columns and by_spark(kept) == by_spark(docs.distinct())
+    bench = spark.createDataFrame([(5, "beta gamma", "x")], "item_id long, text string, id string")
+    clean = decontaminate.drop_contaminated(docs, bench)
+    assert clean.columns == docs.columns and by_spark(clean) == by_spark(docs.where("doc_id = 2 or doc_id is null"))
+    assert sorted(r.n_hit for r in decontaminate.contamination(docs, bench).collect()) == [0, 0, 2, 2]
+    model = language_id.train(docs.withColumn("lang", docs.digest))
+    out = language_id.predict(docs, model, names=("lang_pred_", "s", "a"))
+    assert out.columns == [*docs.columns, "lang_pred_", "s", "a"] and out.count() == 4
+
+
 def test_contamination_empty(spark):
     docs, bench = spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contamination(docs, bench).count() == 0
@@ -237,6 +283,23 @@ def test_rollup_is_idempotent_and_additive(spark, tmp_path):
     assert rollup.apply("c", token_counts.counted(docs.where("doc_id % 3 <> 0"), tokenizers, -1)) and rollup.totals().count() == 0
 
 
+def test_rollup_cut_between_deletion_and_rename(spark, tmp_path):
+    """All reads and commits finish such a compaction first."""
+    import shutil
+
+    rollup = token_counts.Rollup(spark, f"file://{tmp_path}/r")
+    docs = spark.createDataFrame(documents(4), SCHEMA)
+    for name in "ab":
+        rollup.apply(name, token_counts.counted(docs, {"words@1": token_counts.word_count}))
+    want = by_spark(rollup.totals())
+    recover, rollup.recover = rollup.recover, lambda: None
+    rollup.compact()
+    shutil.rmtree(tmp_path / "r" / "batch=a")  # the cut comes after the first deletion
+    rollup.recover = recover
+    assert by_spark(rollup.totals()) == want and rollup.committed() == ["a", "b"]
+    assert not rollup.apply("a", token_counts.counted(docs, {"words@1": token_counts.word_count})) and by_spark(rollup.totals()) == want
+
+
 def test_rollup_recovers(spark, tmp_path):
     rollup = token_counts.Rollup(spark, f"file://{tmp_path}/r")
     docs = spark.createDataFrame(documents(4), SCHEMA)
@@ -288,6 +351,40 @@ def test_language_id(spark):
     assert language_id.predict(spark.createDataFrame([], SCHEMA), model).count() == 0
 
 
+def test_language_prediction_equals_a_plain_loop(spark):
+    """Features, margins and loss-weighted decoding, one text and one n-gram at a time."""
+    import math
+
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(["das", "ein", "the", "of", "une", "le"][k : k + 2]) for _ in range(9)), "dde"[k // 2] + str(k // 2)) for i in range(60) for k in (0, 2, 4)], "doc_id long, text string, lang string")
+    model = language_id.train(docs, per_language=30)
+    texts = ["das ein das", "the of", "une LE 12 le", "é", "long " * 3000, "x"]
+
+    def plain(text):
+        codes = [int(language_id._CLASS[b]) for b in text.encode()]
+        margins = [float(b) for b in model["bias"]]
+        for k, order in enumerate(language_id.ORDERS):
+            counts = {}
+            for i in range(len(codes) - order + 1):
+                gram = codes[i]
+                for step in range(1, order):
+                    gram = (gram * 0x01000193 & 0xFFFFFFFF) ^ codes[i + step]
+                if order > 1:
+                    gram = (gram * 0x9E3779B1 & 0xFFFFFFFF) >> (33 - language_id.BUCKETS.bit_length())
+                counts[gram] = counts.get(gram, 0) + 1
+            for gram, n in counts.items():
+                for bit in range(len(margins)):
+                    margins[bit] += math.sqrt(n / sum(counts.values())) * float(model["weights"][k * language_id.BUCKETS + gram, bit])
+        losses = [sum(math.log1p(math.exp(-m * c)) for m, c in zip(margins, word, strict=True)) / len(margins) for word in model["code"]]
+        first, second = sorted(losses)[:2]
+        return model["languages"][losses.index(first)], (second - first) / second
+
+    got = {r.text: (r.lang_pred, r.lang_score) for r in language_id.predict(spark.createDataFrame([(t,) for t in texts], "text string"), model).collect()}
+    for text in texts:
+        lang, score = plain(text)
+        assert got[text][0] == lang and got[text][1] == pytest.approx(score, abs=1e-3)
+
+
 def test_codebook_distances():
     for n in (2, 3, 6, 7, 20):
         code = language_id.codebook(n)
