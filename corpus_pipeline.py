@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duelspark.llm import decontaminate, exact_dedup, language_id, near_dedup, sentencepiece_fst
-from duelspark.llm.common import saved, table
+from duelspark.llm.common import free_name, saved, table
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; those predicted `und` go."""
     model = language_id.train(docs.where(~language_id.held_out()))
-    return language_id.predict(docs, model).where("lang_pred <> 'und'").select(*docs.columns)
+    names = tuple(free_name(docs, name) for name in language_id.RESULT)
+    return language_id.predict(docs, model, names=names).where(F.col(names[0]) != "und").select(*docs.columns)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
