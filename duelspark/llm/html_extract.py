@@ -33,8 +33,8 @@ from .common import bounded_batches, table
 
 #: Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math xmp noembed noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style textarea title iframe template svg xmp noembed noframes".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr noscript math mrow mi mn mo ms mtext mfrac msqrt mroot msub msup msubsup munder mover mspace semantics".split())
 CLOSES_P = frozenset("address article aside blockquote details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 CLOSES = {"li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table tbody thead tfoot"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select datalist"), "tbody": ("tr td th thead tbody tfoot", "table"), "body": ("head", "html")}
 CLOSES = {tag: (frozenset(a.split()), frozenset(b.split())) for tag, (a, b) in CLOSES.items()}
@@ -74,6 +74,7 @@ class Page:
 
     def _read(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("html", 0)]  # (tag, block element it is or stands in)
+        held: Counter = Counter()  # open elements by tag: what isn't open needn't be looked for
         links, fresh, at, n = 0, True, 0, len(source)
         match = _TOKEN.match
         while at < n:
@@ -96,9 +97,10 @@ class Page:
                 continue
             tag, attributes = name.lower(), m[3] or m[6] or ""
             if m[1] or m[4]:
-                if any(t == tag for t, _ in stack[1:]):
+                if held[tag]:
                     while True:
                         closed, _ = stack.pop()
+                        held[closed] -= 1
                         links -= closed == "a"
                         fresh |= closed not in INLINE
                         if closed == tag:
@@ -113,28 +115,33 @@ class Page:
             if tag in RAW:
                 end = _RAW_END[tag].search(source, at)
                 at = end.end() if end else n
-                fresh |= tag not in INLINE and tag not in ("script", "style", "noscript", "template")
+                fresh |= tag not in INLINE and tag not in ("script", "style", "template")
                 continue
             if tag in INLINE or tag in VOID:
                 if tag == "hr":
                     fresh = True
                 if tag not in VOID and not attributes.endswith("/"):
                     stack.append((tag, stack[-1][1]))
+                    held[tag] += 1
                     links += tag == "a"
                 continue
             if tag in CLOSES_P:
-                links -= self._close(stack, frozenset(("p",)), frozenset())
+                links -= self._close(stack, held, frozenset(("p",)), frozenset())
             elif tag in CLOSES:
-                links -= self._close(stack, *CLOSES[tag])
+                links -= self._close(stack, held, *CLOSES[tag])
             fresh = True
+            held[tag] += 1
             stack.append((tag, self._open(tag, attributes, stack[-1][1])))
 
     @staticmethod
-    def _close(stack: list[tuple[str, int]], tags: frozenset, within: frozenset) -> int:
+    def _close(stack: list[tuple[str, int]], held: Counter, tags: frozenset, within: frozenset) -> int:
         """Close the innermost open element of `tags`, not looking beyond `within`; how many links that closes."""
+        if not any(held[t] for t in tags):
+            return 0
         for k in range(len(stack) - 1, 0, -1):
             if stack[k][0] in tags:
                 links = sum(t == "a" for t, _ in stack[k:])
+                held.subtract(t for t, _ in stack[k:])
                 del stack[k:]
                 return links
             if stack[k][0] in within or not within and stack[k][0] in ("table", "button", "object", "td", "th"):
@@ -282,4 +289,9 @@ LABELLED = [
     f"<body><header class='top'><p>Welcome to the pages of our town, open every day.</p>{_LIST}</header><div class='wrapper'><div class='ad advert sponsored promo'><p>{_LONG}</p></div><article data-main=1><header><h1>Notes</h1><p>By a writer</p></header><p>{_LONG}</p><pre>some code</pre><ol><li>one</li><li>two</li></ol><p>{_LONG}</p><footer data-main=0><p>Filed under notes</p></footer></article><aside>{_LIST}<p>{_LONG}</p></aside></div><footer><p>{_LONG}</p></footer></body>",
     f"<body><nav>{_LIST}</nav><div class='ad'>{_LONG}</div><article data-main=1><h1>Only a title and a little</h1><p>Yes.</p><p><b>{_LONG}<br><p>{_LONG}</p></article><footer>&copy; example &middot; Contact.</footer>",
     f"<body><nav>{_LIST}</nav><div class='ad'>Few words.</div><article data-main=1><h1>List of words</h1><p>One | two | three</p><p>{_LONG}<p>{_LONG}<h2>More</h2><div><p>{_LONG}</p></div></article><footer>{_LONG}</footer></body>",
+    "<html><head><title>t</title></head><body class='home page'><div id='top-bar' class='topbar navigation'><a href='/1'>Start</a> | <a href='/2'>Archive</a> | <a href='/3'>About</a></div><div id='main' class='content main' data-main=1><h1>How to graft an apple tree</h1><p class='byline'>By the gardener, in March</p><p>Cut the twig in winter while it sleeps and keep it damp and cool until the sap begins to rise in the tree that is to bear it.</p><h2>What you need</h2><ul><li>a sharp knife</li><li>tape or bast</li><li>wax to seal the cut</li></ul><p>Make a long slanting cut on both, fit them so that bark meets bark, bind them, and seal all that is bare.</p><figure><img src=x><figcaption>The finished graft</figcaption></figure></div><div id='right' class='column ads'><p>Garden shears at half the price this week only!</p></div><div class='bottom footer'>Copyright, terms, privacy</div></body></html>",
+    "<body><section class='hero banner promo' id='announcement'><p>Subscribe now and get two months for the price of one.</p></section><main role='main'><div class='story-body' data-main=1><h1>Council votes on new ferry</h1><p>The council voted late on Tuesday to buy a second ferry, after three hours of talk about what it would cost and who would pay.</p><p>Opponents said that a bridge would last longer.</p><div class='pullquote'><p>We have waited twelve years for this.</p></div><p>The boat is to sail from next spring, six times a day in summer and twice in winter.</p><div data-main=0 class='related-links more'><h3>More stories</h3><p><a href='/q'>Harbour closed by storm</a></p><p><a href='/r'>Fish prices fall</a></p></div></div></main><div id='disqus_thread' class='comments-area'><ol><li class='comment'><p>About time too, said everybody I know on this side.</p></li><li class='comment'><p>Who pays?</p></li></ol></div><footer class='site-footer'><ul><li>Contact</li><li>Jobs</li></ul></footer></body>",
+    "<body><table class='layout'><tr><td class='menu nav'><a href='/a'>one</a><br><a href='/b'>two</a><br><a href='/c'>three</a></td><td class='text' data-main=1><h2>Notes on an old clock</h2><p>The clock was made about two hundred years ago in a small shop by the gate, as a label in its case says.</p><p>Its pendulum is of wood, which swells when the air is damp, so that the clock is slow in autumn.</p><dl><dt>Height</dt><dd>two metres</dd><dt>Wheels</dt><dd>of brass</dd></dl></td></tr></table><div class='notice warning'>This page is no longer kept up to date.</div></body>",
+    "<body><div class='skip'><a href='#c'>Skip to content</a></div><header role='banner' class='masthead'><a class='brand' href='/'>Kitchen Notes</a><form class='search'><input name=q><button>Search</button></form></header><article class='recipe entry-content' data-main=1><h1>Barley soup</h1><p>Serves four. Soak the barley over night, then boil it with the bone for an hour on a low flame.</p><h3>Ingredients</h3><ul><li>one cup of barley</li><li>two carrots</li><li>a bone, or some mushrooms</li></ul><h3>Method</h3><ol><li>Chop what is to be chopped.</li><li>Put all into the pot and wait.</li></ol><blockquote>Better on the second day.</blockquote><div data-main=0 class='rating widget'>Rate this: 1 2 3 4 5</div></article><nav class='pagination'><a href='/p'>Older</a> <a href='/n'>Newer</a></nav><section id='respond' class='comment-respond'><h3>Leave a reply</h3><form><p>Your name</p><textarea></textarea></form></section></body>",
+    "<body><div class='wrapper'><div class='breadcrumbs'><a href='/'>Home</a> &gt; <a href='/docs'>Docs</a></div><div class='sidebar toc'><ul><li><a href='#1'>Install</a></li><li><a href='#2'>Use</a></li></ul></div><div class='document body' data-main=1><h1>The tool's handbook</h1><section id='1'><h2>Install</h2><p>Unpack the archive and put the program where your shell looks for programs.</p><pre>tar xf tool.tar</pre></section><section id='2'><h2>Use</h2><p>Give it the name of a file; what it finds is written to the standard output, a line for each.</p><table><tr><th>option</th><th>meaning</th></tr><tr><td>-q</td><td>say less</td></tr></table></section></div></div><div class='footer legal'><p>Built from sources. All trade marks belong to their owners.</p></div><div class='popup modal consent'><p>We and our partners store things on your device.</p></div></body>",
 ]

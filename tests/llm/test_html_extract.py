@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pytest
 
 pytest.importorskip("duelspark.llm.html_extract")
@@ -40,6 +42,44 @@ def test_article_only(model):
     assert h.main_text(source, model) == "Tom & Co\n\nOne two three.\n\nFour <five>"
 
 
+def words_of(page, keep):
+    """The words of a labelled page's main text, or of what a model keeps."""
+    import re
+
+    return Counter(w for (block, parts) in page.texts if keep[block] for w in re.findall(r"\w+", "".join(parts)))
+
+
+def test_held_out_pages(spark):
+    """Each labelled page is read by a model of the others: F1 of words over all pages."""
+    same = kept = true = 0
+    for i, source in enumerate(h.LABELLED):
+        others = [(k, x) for k, x in enumerate(h.LABELLED) if k != i]
+        model = h.train(spark.createDataFrame(others, "page_id long, html string").coalesce(1))
+        page = h.Page(source)
+        got = words_of(page, [p >= 0.5 for p in h.marginals(page, model)])
+        want = words_of(page, page.labels())
+        same, kept, true = same + sum((got & want).values()), kept + sum(got.values()), true + sum(want.values())
+    assert 2 * same / (kept + true) >= 0.9
+
+
+def test_text_by_blocks(model, spark):
+    """Ids, urls and whole texts of pages against their blocks as written down here; repeated rows and other columns."""
+    blocks = ["A & B", "One two", "x = y + 2 holds here", "Script is off", "Last"]
+    source = "<body><nav><a href=/>m</a></nav><article><h1>A &amp; B</h1><p>One\n <b>two</b></p><p>x = <math><mi>y</mi> <mo>+</mo> <mn>2</mn></math> holds here</p><p><noscript>Script is off</noscript></p><p>Last</p></article><footer>&copy; f</footer></body>"
+    pages = spark.createDataFrame([(1, "u1", source, "a", 5), (1, "u1", source, "a", 5), (2, None, "<nav>only</nav>", "b", 6)], "page_id long, url string, html string, text string, n_chars int")
+    got = sorted((r.page_id, r.url, r.text, r.n_chars) for r in h.extract(pages, model).collect() if r.page_id == 1)
+    want = "\n\n".join(blocks)
+    assert got == [(1, "u1", want, len(want))] * 2
+
+
+def test_deep_markup_takes_linear_time():
+    import time
+
+    began = time.time()
+    h.Page("<div><p></b></i></li>" * 30000)
+    assert time.time() - began < 20
+
+
 def test_cut_and_odd_pages(spark, model):
     rows = [(1, None, None), (2, "u", ""), (3, "u", "no tags at all"), (4, "u", "<article><p>cut off &am"), (5, "u", "<article><p title=\"open quote>text here</p></article>"), (6, "u", "<article><p>" + "long " * 50000)]
     out = {r.page_id: r for r in h.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), model).collect()}
