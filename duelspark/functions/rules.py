@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,7 +29,20 @@ FORMATS = {
     "round robin": "round_robin", "league": "round_robin", "mixed": "mixed",
 }
 STATUSES = {"scheduled": "upcoming", "not started": "upcoming", "playing": "live", "in progress": "live", "completed": "finished", "ended": "finished", "final": "finished"}
-PLACEHOLDER = r"(?i)^\s*(?:tbd|tba|to be determined|winner of .*|loser of .*|\?+|)\s*$"
+#: Names that stand for a team that isn't known yet; blanks do too.
+PLACEHOLDERS = ("tbd", "unknown", r"team\s*\d+", r"(?:quarter|semi)?final(?:ist)?\s+(?:winner|loser)", r"(?:winner|loser)\s+of", r"[a-z]+\s+qualifier", "")
+#: Product tiers by how an event's own tier is spelled, _ and - being spaces.
+DECLARED_TIERS = {
+    "tier 1": "tier_1", "major": "tier_1", "s tier": "tier_1", "a tier": "tier_1", "tier 2": "tier_2", "b tier": "tier_2", "c tier": "excluded", "d tier": "excluded",
+    "tier 3": "excluded", "tier3": "excluded", "excluded": "excluded",
+}
+#: State policies, and the worst rank of those that go by ranks.
+POLICIES = ("all", "no_t3", "clean_only", "ranked_top120", "ranked_top200")
+RANKED_POLICIES = {"ranked_top120": 120, "ranked_top200": 200}
+#: Words of a status that tell a contest is over, and the winner's scores that do.
+FINISHED_WORDS, FINISHED_SCORES = ("finished", "completed", "final", "ended"), (2, 3)
+#: Labels of the signals an explanation is made of, in their order.
+SIGNALS = {"rating": "Team rating", "form": "Recent form", "maps": "Map depth", "ranking": "VRS order", "veto": "veto"}
 
 
 def lookup(table: dict, key: Column) -> Column:
@@ -35,7 +50,8 @@ def lookup(table: dict, key: Column) -> Column:
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    """x held in the range; an unknown x stays unknown."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def sigmoid(x: Column) -> Column:
@@ -158,15 +174,10 @@ def training_weight(event: Column, is_lan: Column, risk: Column, out: Column) ->
 
 def product_tier(declared: Column, name: Column) -> Column:
     """tier_1, tier_2, excluded or pending; what is declared wins over the name."""
-    d, n = F.lower(F.trim(F.coalesce(declared, F.lit("")))), F.coalesce(name, F.lit(""))
-    return (
-        F.when(d.isin("tier_1", "tier 1", "major", "s-tier", "s tier", "a-tier", "a tier"), "tier_1")
-        .when(d.isin("tier_2", "tier 2", "b-tier", "b tier"), "tier_2")
-        .when(d.rlike(r"^(?:c-tier|c tier|tier[_ -]?3|d-tier|d tier|excluded)$"), "excluded")
-        .when(n.rlike(TIER_TWO_NAMES), "tier_2")
-        .when(n.rlike(TIER_ONE_NAMES), "tier_1")
-        .otherwise("pending")
-    )
+    said = lookup(DECLARED_TIERS, F.translate(F.lower(F.trim(F.coalesce(declared, F.lit("")))), "_-", "  "))
+    named = F.coalesce(name, F.lit(""))
+    by_name = [F.when(named.rlike(names), tier) for tier, names in (("tier_2", TIER_TWO_NAMES), ("tier_1", TIER_ONE_NAMES))]
+    return F.coalesce(said, *by_name, F.lit("pending"))
 
 
 def tier_label(tier: Column) -> Column:
@@ -187,7 +198,8 @@ def format_alias(c: Column) -> Column:
 
 
 def is_placeholder(name: Column) -> Column:
-    return F.coalesce(name, F.lit("")).rlike(PLACEHOLDER)
+    """Whether a name stands for a team that isn't known yet."""
+    return F.trim(F.coalesce(name, F.lit(""))).rlike(rf"(?i)^(?:{'|'.join(PLACEHOLDERS)})$")
 
 
 def power_probabilities(elo: Column, rank_adv: Column, ranks_known: Column, vrs_adv: Column, vrs_points: Column, vrs_known: Column) -> dict[str, Column]:
@@ -202,7 +214,9 @@ def form_probability(recent: Column, prior: Column, playoff: Column, elimination
 
 
 def bounded_baseline(elo: Column, rank_adv: Column, points: Column, form: Column) -> Column:
-    """The heuristic that a trained model has to beat."""
+    """The heuristic that a trained model has to beat; what is unknown says nothing."""
+    elo = F.coalesce(elo, F.lit(0.5))
+    rank_adv, points, form = (F.coalesce(x, F.lit(0.0)) for x in (rank_adv, points, form))
     return clamp(sigmoid(logit(elo) + 0.009 * clamp(rank_adv, -40.0, 40.0) + 0.00035 * clamp(points, -650.0, 650.0) + 0.3 * clamp(form, -0.5, 0.5)), 0.08, 0.92)
 
 
@@ -215,19 +229,21 @@ def shrunk_rate(wins: Column, n: Column, prior: float = 4.0) -> Column:
 
 
 def trait(c: Column) -> Column:
-    """`NN/100` as a share."""
-    return clamp(F.regexp_extract(c, r"(\d+(?:\.\d+)?)\s*/\s*100", 1).try_cast("double") / 100.0, 0.0, 1.0)
+    """The whole number before the slash of `NN/100`, 0 to 100; null if there is none."""
+    return clamp(F.nullif(F.regexp_extract(c, r"^\s*([+-]?\d+)", 1), F.lit("")).try_cast("double"), 0.0, 100.0)
 
 
 def signal_index(traits: Column, rating: Column) -> Column:
+    """0 to 100, rounded half up: the mean of the known traits, 0 without any, and the rating, 1 if unknown."""
     known = F.filter(traits, lambda x: x.isNotNull())
-    mean = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.size(known)).otherwise(0.5)
-    return 0.55 * mean + 0.45 * clamp(rating / 1.35, 0.0, 1.0)
+    mean = F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size(known), F.lit(1))
+    rated = F.coalesce(F.nullif(rating.cast("double"), F.lit(0.0)), F.lit(1.0))
+    return F.floor(clamp(mean * 0.55 + rated / 1.35 * 100 * 0.45, 0.0, 100.0) + 0.5).cast("int")
 
 
 def player_role(sniping: Column, opening: Column, entrying: Column, utility: Column, clutching: Column) -> Column:
     """The first role whose trait reaches its threshold."""
-    return F.when(sniping >= 0.6, "awper").when(opening >= 0.6, "opener").when(entrying >= 0.6, "entry").when(utility >= 0.6, "support").when(clutching >= 0.6, "closer").otherwise("rifler")
+    return F.when(sniping >= 60, "awper").when(opening >= 60, "opener").when(entrying >= 60, "entry").when(utility >= 60, "support").when(clutching >= 60, "closer").otherwise("rifler")
 
 
 def score_label(map_a: Column, map_b: Column, series_a: Column, series_b: Column) -> Column:
@@ -255,24 +271,75 @@ def event_format(swiss: Column, groups: Column, playoffs: Column) -> Column:
     return F.struct(kind.alias("type"), F.array_join(stages, " + ").alias("label"), stages.alias("stages"))
 
 
-def explanation(p: Column, rating: tuple, form: tuple, depth: tuple, rank: tuple, lineup: Column, map_probability: Column, evidence: Column) -> Column:
-    """struct(confidence, supports, counter, risk, n_signals): signed evidence for the favourite, strongest first."""
+def explanation(p: Column, rating: tuple, form: tuple, depth: tuple, rank: tuple, lineup: tuple, map_probability: Column, evidence: Column, veto_samples: tuple, veto_known: Column) -> Column:
+    """struct(confidence, supports, counter, risk, n_signals): signed evidence for the favourite, strongest first.
+
+    Unknown probabilities, forms and depths count as even, ratings as 1500, counts as none. The veto's signal and risks
+    are there only with a map probability.
+    """
+    or_ = lambda pair, x: [F.coalesce(c.cast("double"), F.lit(x)) for c in pair]
+    p = clamp(F.coalesce(p, F.lit(0.5)), 0.001, 0.999)
     side = F.when(p >= 0.5, 1.0).otherwise(-1.0)
-    signal = lambda key, x: F.struct(clamp(x, -1.0, 1.0).alias("score"), F.lit(key).alias("key"))
-    ranked = (rank[0] > 0) & (rank[1] > 0)
-    signals = F.array_compact(F.array(
-        signal("rating", side * (rating[0] - rating[1]) / 260.0), signal("form", side * (form[0] - form[1]) * 2.2), signal("maps", side * (depth[0] - depth[1]) * 2.0),
-        F.when(ranked, signal("ranking", side * (rank[1] - rank[0]) / 20.0)), F.when(map_probability.isNotNull(), signal("veto", side * (map_probability - p) * 5.0)),
-    ))
-    strong = F.filter(signals, lambda s: F.abs(s["score"]) >= 0.025)
-    ordered = F.reverse(F.array_sort(F.transform(strong, lambda s: F.struct(F.abs(s["score"]).alias("size"), s["score"].alias("score"), s["key"].alias("key")))))
+    (r1, r2), (f1, f2), (d1, d2) = or_(rating, 1500.0), or_(form, 0.5), or_(depth, 0.5)
+    scores = {
+        "rating": side * ((r1 - r2) / 260.0), "form": side * (f1 - f2) * 2.2, "maps": side * (d1 - d2) * 2.0,
+        "ranking": F.when((rank[0] > 0) & (rank[1] > 0), side * (rank[1] - rank[0]) / 20.0), "veto": side * (map_probability - p) * 5.0,
+    }
+    label = {key: F.lit(text) for key, text in SIGNALS.items()} | {"veto": F.when(veto_known, "Official veto").otherwise("Projected veto")}
+    rows = [F.struct((-F.abs(clamp(x, -1.0, 1.0))).alias("size"), F.lit(i).alias("at"), clamp(x, -1.0, 1.0).alias("score"), F.lit(key).alias("key"), label[key].alias("label")) for i, (key, x) in enumerate(scores.items())]
+    ordered = F.array_sort(F.filter(F.array(*rows), lambda s: s["size"] <= -0.025))
     counter = F.get(F.filter(ordered, lambda s: s["score"] < 0), F.lit(0))
-    sure = confidence(clamp(p, 0.001, 0.999))
-    risk = F.when(sure < 0.56, "thin edge").when(lineup < 5, "lineup gap").when(map_probability.isNotNull() & (evidence < 20), "map sample").when(F.abs(counter["score"]) > 0.2, F.concat(counter["key"], F.lit(" disagrees"))).otherwise("balanced evidence")
+    sure, mapped = F.greatest(p, 1.0 - p), map_probability.isNotNull()
+    fewest = lambda pair: F.least(*or_(pair, 0.0))
+    risk = (
+        F.when(sure < 0.56, "Thin edge")
+        .when(fewest(lineup) < 5, "Lineup gap")
+        .when(mapped & (fewest(veto_samples) < 10), "Veto sample")
+        .when(mapped & (F.coalesce(evidence, F.lit(0)) < 20), "Map sample")
+        .when(counter["score"] < -0.2, F.concat(counter["label"], F.lit(" disagrees")))
+        .otherwise("Balanced evidence")
+    )
     supports = F.slice(F.transform(F.filter(ordered, lambda s: s["score"] > 0), lambda s: s["key"]), 1, 3)
     return F.struct(sure.alias("confidence"), supports.alias("supports"), counter["key"].alias("counter"), risk.alias("risk"), F.size(ordered).alias("n_signals"))
 
 
+def ranked_within(n: int, *rankings: tuple[Column, Column]) -> Column:
+    """Whether any ranking knows both sides, neither beyond rank n."""
+    known = [F.coalesce(a.isNotNull() & b.isNotNull() & (F.greatest(a, b) <= n), F.lit(False)) for a, b in rankings]
+    return functools.reduce(lambda x, y: x | y, known)
+
+
+def clean_training(tier: Column, risk: Column) -> Column:
+    """Whether a contest may train a model."""
+    return tier.isin("T1", "T1_5", "T2") & risk.isin("low", "medium")
+
+
+def updates_state(policy: str, tier: Column, risk: Column, *rankings: tuple[Column, Column]) -> Column:
+    """Whether a contest changes the teams' state under a policy."""
+    if policy == "all":
+        return F.lit(True)
+    if policy == "no_t3":
+        return tier.isin("T1", "T1_5", "T2")
+    if policy == "clean_only":
+        return clean_training(tier, risk)
+    if policy in RANKED_POLICIES:
+        return clean_training(tier, risk) | ranked_within(RANKED_POLICIES[policy], *rankings)
+    raise ValueError(f"unknown state policy: {policy}")
+
+
+def wants_detail(state: Column, starts: Column, now: Column) -> Column:
+    """Live, or starting between two hours ago and six hours from now; an unknown start is neither."""
+    near = starts.between(now - F.expr("INTERVAL 2 HOURS"), now + F.expr("INTERVAL 6 HOURS"))
+    return F.coalesce(state == "live", F.lit(False)) | F.coalesce(near, F.lit(False))
+
+
+def is_finished(state: Column, score1: Column, score2: Column) -> Column:
+    """By the status, or by a decisive score of a series."""
+    said = F.lower(F.coalesce(state, F.lit(""))).rlike("|".join(FINISHED_WORDS))
+    most = F.greatest(score1, score2)
+    return said | F.coalesce(score1.isNotNull() & score2.isNotNull() & most.between(*FINISHED_SCORES) & (score1 != score2), F.lit(False))
+
+
 def pick_outcome(picked: Column, winner: Column) -> Column:
     return F.when(winner.isNull(), "pending").when(picked == winner, "won").otherwise("lost")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from duelspark.functions import rules
+
 from duelspark.functions.clean import name_key, slug_key
 
 
@@ -74,6 +76,29 @@ def same_contest(rows: DataFrame, feed: DataFrame, hours: float = 18.0) -> DataF
     return by_id.unionByName(near.select("contest_id", F.col("m.feed_id").alias("feed_id"), F.col("m.gap").alias("gap")))
 
 
+def feed_overlay(board: DataFrame, feed: DataFrame) -> DataFrame:
+    """The board's contests with the feed's state of the same two sides, in whichever order it names them.
+
+    board: id, a, b, locked; feed: a, b, status, score_a, score_b, seq. The feed's last item of a pair counts. A locked
+    contest stays as it is; scores are turned to the board's order.
+    """
+    pair = [F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")]
+    last = feed.groupBy(*pair).agg(F.max_by(F.struct("a", "status", "score_a", "score_b"), "seq").alias("f"))
+    rows = board.withColumn("low", F.least("a", "b")).withColumn("high", F.greatest("a", "b")).join(last, ["low", "high"], "left")
+    score = rules.oriented(F.col("a"), F.col("f.a"), F.col("f.score_a"), F.col("f.score_b"))
+    said = F.lower(F.coalesce("f.status", F.lit("scheduled")))
+    live = said.contains("live") | said.contains("playing")
+    done = ~live & (said.contains("completed") | said.contains("finished") | score["a"].isNotNull() | score["b"].isNotNull())
+    whole = done & score["a"].isNotNull() & score["b"].isNotNull()
+    open_ = ~F.col("locked") & F.col("f").isNotNull()
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("string")
+    return rows.select(
+        "id", "a", "b", F.when(F.col("locked"), "locked").when(open_ & live, "live").when(open_ & done, "locked").otherwise("open").alias("status"),
+        F.when(open_ & live, F.concat_ws(":", zero(score["a"]), zero(score["b"]))).when(open_ & whole, F.concat_ws(":", score["a"].cast("string"), score["b"].cast("string"))).alias("score_label"),
+        F.when(open_ & whole, F.when(score["a"] > score["b"], F.col("a")).otherwise(F.col("b"))).alias("winner"),
+    )
+
+
 def enclosing(blocks: DataFrame, containers: DataFrame, page: str, start: str, end: str, width: int = 4096) -> DataFrame:
     """(block, container): the shortest container of the same page around each block.
 

@@ -41,9 +41,11 @@ def append_tag(source: Column, tag: str) -> Column:
     return F.when(F.array_contains(F.split(s, ";"), tag), s).when(s == "", tag).otherwise(F.concat(s, F.lit(f";{tag}")))
 
 
-def insert_ignore(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """New keys only; the first of repeated new keys."""
-    return old.unionByName(new.dropDuplicates(key).join(old.select(*key), key, "left_anti"))
+def insert_ignore(old: DataFrame, new: DataFrame, key: list[str], seq: list[str] | None = None) -> DataFrame:
+    """New keys only; of repeated new keys the first by `seq`, or by all other columns."""
+    values = [c for c in new.columns if c not in key]
+    first = new.groupBy(*key).agg(F.min_by(F.struct(*values), F.struct(*(seq or values))).alias("v")).select(*key, "v.*") if values else new.distinct()
+    return old.unionByName(first.select(*new.columns).join(old.select(*key), key, "left_anti"))
 
 
 def replace_children(old: DataFrame, new: DataFrame, parent: list[str], touched: DataFrame) -> DataFrame:

@@ -98,6 +98,16 @@ def prior_map_rates(maps: DataFrame, matches: DataFrame, prior: float = 0.0) ->
     return timed.select("match_id", "team_id", "map_name", n.alias("n"), wins.alias("wins"), F.when(n > 0, (wins + 0.5 * prior) / (n + prior)).otherwise(0.5).alias("rate"))
 
 
+def map_advantages(maps: DataFrame, matches: DataFrame, priors: tuple[float, ...]) -> DataFrame:
+    """(match_id, map_evidence, map_advantage_0, ...): as `map_advantage`, for several prior strengths from one pass."""
+    rates = prior_map_rates(maps, matches)
+    played = maps.where("map_name not in ('TBA', 'Default')").select("match_id", "map_index", "map_name", "team1_id", "team2_id")
+    one = lambda side: rates.select("match_id", "map_name", F.col("team_id").alias(f"team{side}_id"), F.col("n").alias(f"n{side}"), F.col("wins").alias(f"w{side}"))
+    both = played.join(one(1), ["match_id", "map_name", "team1_id"]).join(one(2), ["match_id", "map_name", "team2_id"])
+    rate = lambda side, k: F.when(F.col(f"n{side}") > 0, (F.col(f"w{side}") + 0.5 * k) / (F.col(f"n{side}") + k)).otherwise(0.5)
+    return both.groupBy("match_id").agg(F.sum(F.col("n1") + F.col("n2")).alias("map_evidence"), *[F.avg(rate(1, k) - rate(2, k)).alias(f"map_advantage_{i}") for i, k in enumerate(priors)])
+
+
 def map_advantage(maps: DataFrame, matches: DataFrame, prior: float = 0.0) -> DataFrame:
     """(match_id, map_advantage, map_evidence): mean rate difference over a contest's maps, and the maps behind it."""
     rates = prior_map_rates(maps, matches, prior)

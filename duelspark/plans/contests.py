@@ -33,7 +33,10 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
 def saved(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back, to cut lineage."""
     spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/duelspark"
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    base = base or "file:///tmp/checkpoints/duelspark"
     path = f"{base}/step-{uuid.uuid4().hex}"
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
@@ -94,6 +97,7 @@ def feature_rows(x: Fixtures) -> DataFrame:
         (F.col("team1_rank").isNotNull() & F.col("team2_rank").isNotNull()).cast("int").alias("ranks_known"),
         (F.coalesce("team1_points", F.lit(0.0)) - F.coalesce("team2_points", F.lit(0.0))).alias("points_diff"),
         *diffs, "h2h_win_rate_team1", "h2h_match_count", rules.phase_order(F.col("match_phase")).alias("phase_order"),
+        F.greatest("team1_rank", "team2_rank").alias("worst_rank"),
     )
 
 
@@ -110,7 +114,7 @@ FEATURES = f"""{PRIOR}{H2H}{RANKED}, f AS (SELECT m.match_id, m.match_ts, m.even
 """
 F_VIEWS = ("v_matches", "v_rankings")
 
-query("contest_features", f"{FEATURES} SELECT * EXCLUDE (worst, event_tier), CASE WHEN model_tier = 'T2' AND coalesce(worst, 999) <= 120 THEN 'medium' ELSE 'high' END AS integrity_risk FROM f", F_VIEWS)(feature_rows)
+query("contest_features", f"{FEATURES} SELECT * EXCLUDE (worst, event_tier), worst AS worst_rank, CASE WHEN model_tier = 'T2' AND coalesce(worst, 999) <= 120 THEN 'medium' ELSE 'high' END AS integrity_risk FROM f", F_VIEWS)(feature_rows)
 
 
 # -- joins
@@ -174,6 +178,31 @@ def _(x):
 ORACLE["j14_same_contest"] = ORACLE["j14_same_contest"].replace("epoch(ts)::BIGINT", "CAST(floor(epoch(ts)) AS BIGINT)").replace("epoch(fts)::BIGINT", "CAST(floor(epoch(fts)) AS BIGINT)")
 
 
+@query("j15_feed_overlay", """, ff AS (SELECT least(team1_id, team2_id) AS low, greatest(team1_id, team2_id) AS high, arg_max(struct_pack(a := team1_id, status := event_type, x := CASE WHEN event_id % 7 = 0 THEN NULL ELSE score1 END, y := CASE WHEN event_id % 7 = 0 THEN NULL ELSE score2 END), struct_pack(t := ts, e := event_id)) AS f
+  FROM (SELECT event_id, ts, team1_id, team2_id, score1, score2, CASE event_type WHEN 'click' THEN 'Live now' WHEN 'view' THEN 'Scheduled' ELSE 'Finished' END AS event_type FROM v_feed) q GROUP BY 1, 2),
+j AS (SELECT m.match_id AS id, team1_id AS a, team2_id AS b, match_id % 11 = 0 AS locked, f IS NOT NULL AS has, coalesce(f.status, 'scheduled') AS st, CASE WHEN team1_id = f.a THEN f.x ELSE f.y END AS sa, CASE WHEN team1_id = f.a THEN f.y ELSE f.x END AS sb
+  FROM v_matches m LEFT JOIN ff ON ff.low = least(team1_id, team2_id) AND ff.high = greatest(team1_id, team2_id))
+SELECT id, a, b, CASE WHEN locked THEN 'locked' WHEN has AND st = 'Live now' THEN 'live' WHEN has AND (st = 'Finished' OR sa IS NOT NULL OR sb IS NOT NULL) THEN 'locked' ELSE 'open' END AS status,
+  CASE WHEN locked OR NOT has THEN NULL WHEN st = 'Live now' THEN CAST(coalesce(sa, 0) AS VARCHAR) || ':' || CAST(coalesce(sb, 0) AS VARCHAR) WHEN sa IS NOT NULL AND sb IS NOT NULL THEN CAST(sa AS VARCHAR) || ':' || CAST(sb AS VARCHAR) END AS score_label,
+  CASE WHEN NOT locked AND has AND st <> 'Live now' AND sa IS NOT NULL AND sb IS NOT NULL THEN CASE WHEN sa > sb THEN a ELSE b END END AS winner FROM j""", ("v_matches", "v_feed"))
+def _(x):
+    board = x.matches.select(F.col("match_id").alias("id"), F.col("team1_id").alias("a"), F.col("team2_id").alias("b"), (F.col("match_id") % 11 == 0).alias("locked"))
+    kind = F.when(F.col("event_type") == "click", "Live now").when(F.col("event_type") == "view", "Scheduled").otherwise("Finished")
+    score = lambda c: F.when(F.col("event_id") % 7 != 0, F.col(c))
+    feed = x.feed.select(F.col("team1_id").alias("a"), F.col("team2_id").alias("b"), kind.alias("status"), score("score1").alias("score_a"), score("score2").alias("score_b"), F.struct("ts", "event_id").alias("seq"))
+    return joins.feed_overlay(board, feed)
+
+
+@query("p08_p11_feed_state", """, q AS (SELECT DISTINCT event_id, ts, CASE event_type WHEN 'click' THEN 'live' WHEN 'view' THEN 'Completed (late)' WHEN 'purchase' THEN NULL ELSE 'scheduled' END AS st, CASE WHEN event_id % 3 = 0 THEN NULL ELSE score1 END AS s1, score2 AS s2 FROM v_feed),
+n AS (SELECT max(ts) - INTERVAL 5 HOURS AS now FROM q)
+SELECT event_id, coalesce(st = 'live', false) OR (ts >= now - INTERVAL 2 HOURS AND ts <= now + INTERVAL 6 HOURS) AS detail, coalesce(st = 'Completed (late)', false) OR (s1 IS NOT NULL AND greatest(s1, s2) BETWEEN 2 AND 3 AND s1 <> s2) AS finished FROM q, n""", ("v_feed",))
+def _(x):
+    kind = F.when(F.col("event_type") == "click", "live").when(F.col("event_type") == "view", "Completed (late)").when(F.col("event_type") != "purchase", "scheduled")
+    rows = x.feed.select("event_id", F.col("ts").cast("timestamp").alias("ts"), kind.alias("st"), F.when(F.col("event_id") % 3 != 0, F.col("score1")).alias("s1"), F.col("score2").alias("s2")).distinct()
+    last = rows.agg((F.max("ts") - F.expr("INTERVAL 5 HOURS")).alias("now"))
+    return rows.join(F.broadcast(last), how="cross").select("event_id", rules.wants_detail(F.col("st"), F.col("ts"), F.col("now")).alias("detail"), rules.is_finished(F.col("st"), F.col("s1"), F.col("s2")).alias("finished"))
+
+
 @query("j16_pick_owner", "SELECT m.match_id, m.map_index, v.team_id AS picked_by FROM v_maps m LEFT JOIN (SELECT match_id, map_name, min(team_id) AS team_id FROM v_vetoes WHERE action = 'picked' GROUP BY 1, 2) v ON v.match_id = m.match_id AND v.map_name = m.map_name", ("v_matches", "v_maps", "v_vetoes"))
 def _(x):
     picks = x.vetoes.where("action = 'picked'").groupBy("match_id", "map_name").agg(F.min("team_id").alias("picked_by"))
@@ -459,6 +488,15 @@ def _(x):
     return out.select("match_id", "team_id", "side", F.coalesce("n", F.lit(0)).alias("prior_matches"), F.coalesce(F.col("wins") / F.col("n"), F.lit(0.5)).alias("prior_win_rate"))
 
 
+@query("l04_rolling_holdout", f"""{SIDES} SELECT match_id, team_id, side, coalesce(n, 0) AS prior_matches, coalesce(rate, 0.5) AS prior_win_rate FROM (SELECT match_id, team_id, side, event_id, count(won) OVER w AS n, avg(won) OVER w AS rate
+  FROM s WINDOW w AS (PARTITION BY team_id ORDER BY match_ts, match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) q WHERE event_id IN (3, 7)""", ("v_matches",))
+def _(x):
+    """State updated inside the held-out events: all that was played before a contest counts."""
+    before = Window.partitionBy("team_id").orderBy("match_ts", "match_id").rowsBetween(Window.unboundedPreceding, -1)
+    sides = prior.contest_sides(x.matches).select("match_id", "team_id", "side", "event_id", F.count("won").over(before).alias("prior_matches"), F.coalesce(F.avg("won").over(before), F.lit(0.5)).alias("prior_win_rate"))
+    return sides.where("event_id in (3, 7)").drop("event_id")
+
+
 query("l05_standardised", f"{FEATURES}, st AS (SELECT avg(rank_advantage) AS m1, stddev_pop(rank_advantage) AS s1, avg(points_diff) AS m2, stddev_pop(points_diff) AS s2 FROM f) SELECT match_id, greatest(-8, least(8, (rank_advantage - m1) / s1)) AS rank_advantage, greatest(-8, least(8, (points_diff - m2) / s2)) AS points_diff FROM f, st", F_VIEWS)(
     lambda x: model.standardised(feature_rows(x), ["rank_advantage", "points_diff"], "match_id")
 )
@@ -481,25 +519,61 @@ query("l09_blend", f"{PREDICTIONS}, wide AS (SELECT match_id, any_value(y) AS y,
 )
 
 
-@query("l10_map_grid", f"""{FEATURES}{MAP_PRIOR}, j AS (SELECT f.match_id, target_team1_win AS y, rank_advantage, map_advantage, map_evidence FROM f JOIN ma USING (match_id)),
-z AS (SELECT c.name AS config, y, 1 / (1 + exp(-(c.r * rank_advantage + least(1.0, map_evidence / c.d) * c.m * map_advantage))) AS p FROM j, (VALUES ('0.01|1.0|10', 0.01, 1.0, 10), ('0.01|1.0|18', 0.01, 1.0, 18), ('0.01|2.1|10', 0.01, 2.1, 10), ('0.01|2.1|18', 0.01, 2.1, 18), ('0.022|1.0|10', 0.022, 1.0, 10), ('0.022|1.0|18', 0.022, 1.0, 18), ('0.022|2.1|10', 0.022, 2.1, 10), ('0.022|2.1|18', 0.022, 2.1, 18)) c(name, r, m, d))
+GRID_SQL = ", ".join(f"('{r}|{m}|{d}|{k}', {r}::DOUBLE, {m}::DOUBLE, {d}::DOUBLE, {k}::DOUBLE)" for r in model.MAP_GRID["rank"] for m in model.MAP_GRID["map"] for d in model.MAP_GRID["evidence"] for k in model.MAP_GRID["prior"])
+PRIORS_SQL = ", ".join(f"({k}::DOUBLE)" for k in model.MAP_GRID["prior"])
+
+
+@query("l10_map_grid", f"""{FEATURES}{MAP_PRIOR}, pl AS (SELECT match_id, row_number() OVER (ORDER BY match_ts, match_id) - 1 AS place, count(*) OVER () AS n FROM v_matches),
+va AS (SELECT match_id FROM pl WHERE place >= least(greatest(80, floor(n * 0.72)), n - 40)),
+rk AS (SELECT match_id, team_id, map_name, n, k.x AS prior, CASE WHEN n > 0 THEN (wins + 0.5 * k.x) / (n + k.x) ELSE 0.5 END AS rate FROM mp, (VALUES {PRIORS_SQL}) k(x)),
+mk AS (SELECT m.match_id, a.prior, avg(a.rate - b.rate) AS map_advantage, sum(a.n + b.n) AS map_evidence FROM v_maps m JOIN rk a ON a.match_id = m.match_id AND a.map_name = m.map_name AND a.team_id = m.team1_id
+  JOIN rk b ON b.match_id = m.match_id AND b.map_name = m.map_name AND b.team_id = m.team2_id AND b.prior = a.prior WHERE m.map_name <> 'TBA' GROUP BY 1, 2),
+z AS (SELECT c.name AS config, target_team1_win AS y, 1 / (1 + exp(-(c.r * rank_advantage + least(1.0, map_evidence / c.d) * c.m * map_advantage))) AS p
+  FROM f JOIN va USING (match_id) JOIN mk USING (match_id) JOIN (VALUES {GRID_SQL}) c(name, r, m, d, k) ON c.k = mk.prior)
 SELECT config, {METRICS} FROM z GROUP BY 1""", ("v_matches", "v_rankings", "v_maps"))
 def _(x):
-    rows = feature_rows(x).join(prior.map_advantage(x.maps, x.matches, 4.0), "match_id").withColumn("y", F.col("target_team1_win"))
-    return model.map_grid(rows, (0.01, 0.022), (1.0, 2.1), (10, 18))
+    """All 192 settings over the validation part of the chronological split; map state is of earlier contests only."""
+    validation = model.chronological_split(x.matches, "match_ts", "match_id").where("role = 'test'").select("match_id")
+    rows = feature_rows(x).join(validation, "match_id").join(prior.map_advantages(x.maps, x.matches, model.MAP_GRID["prior"]), "match_id")
+    return model.map_grid(rows.withColumn("y", F.col("target_team1_win")))
 
 
 query("l11_phase_selector", f"""{PREDICTIONS}, z AS (SELECT is_playoff, model, {METRICS} FROM pr GROUP BY 1, 2), y AS (SELECT *, row_number() OVER (PARTITION BY is_playoff ORDER BY round(log_loss, 6), round(-accuracy, 6), model) AS k FROM z)
 SELECT is_playoff, CASE WHEN rows >= 8 THEN model ELSE 'rank' END AS model, rows FROM y WHERE k = 1""", F_VIEWS)(lambda x: model.phase_selector(predictions(x), "is_playoff", "rank"))
 
 
-@query("l12_policies", f"""{PREDICTIONS}, po AS (SELECT pr.*, p.policy FROM pr JOIN f USING (match_id), (VALUES ('all'), ('no_t3'), ('clean_only')) p(policy) WHERE p.policy = 'all' OR (p.policy = 'no_t3' AND model_tier <> 'T3') OR (p.policy = 'clean_only' AND model_tier = 'T2' AND coalesce(worst, 999) <= 120))
-SELECT policy, model, {METRICS} FROM po GROUP BY 1, 2""", F_VIEWS)
-def _(x):
+CLEAN = "(model_tier = 'T2' AND coalesce(worst, 999) <= 120)"
+POLICY_SQL = f"""SELECT match_id, policy FROM f, (VALUES ('all'), ('no_t3'), ('clean_only'), ('ranked_top120'), ('ranked_top200')) p(policy) WHERE policy = 'all' OR (policy = 'no_t3' AND model_tier <> 'T3') OR (policy = 'clean_only' AND {CLEAN})
+  OR (policy = 'ranked_top120' AND ({CLEAN} OR (ranks_known = 1 AND worst <= 120))) OR (policy = 'ranked_top200' AND ({CLEAN} OR (ranks_known = 1 AND worst <= 200)))"""
+
+
+def policies(x: Fixtures) -> DataFrame:
+    """(match_id, policy): each contest with the policies under which it counts."""
     tier, risk = F.col("model_tier"), F.col("integrity_risk")
-    policies = F.array_compact(F.array(F.lit("all"), F.when(tier != "T3", "no_t3"), F.when((tier != "T3") & (risk != "high"), "clean_only")))
-    rows = predictions(x).join(feature_rows(x).select("match_id", policies.alias("policies")), "match_id")
-    return rows.withColumn("policy", F.explode("policies")).groupBy("policy", "model").agg(*agg.metric_columns())
+    # One ranking here: its worse rank stands for both sides, null unless both are known.
+    worst = F.when(F.col("ranks_known") == 1, F.col("worst_rank"))
+    held = F.array_compact(F.array(*[F.when(rules.updates_state(p, tier, risk, (worst, worst)), p) for p in rules.POLICIES]))
+    return feature_rows(x).select("match_id", F.explode(held).alias("policy"))
+
+
+query("p05_ranked_within", f"{FEATURES} SELECT match_id, ranks_known = 1 AND worst <= 20 AS within20, ranks_known = 1 AND worst <= 50 AS within50 FROM f", F_VIEWS)(
+    lambda x: ranked_matches(x).select("match_id", *[rules.ranked_within(n, (F.col("team1_rank"), F.col("team2_rank"))).alias(f"within{n}") for n in (20, 50)])
+)
+ORACLE["p05_ranked_within"] = ORACLE["p05_ranked_within"].replace("ranks_known = 1 AND worst <=", "ranks_known = 1 AND coalesce(worst, 999) <=")
+query("p06_policies", f"{FEATURES} {POLICY_SQL}", F_VIEWS)(policies)
+
+
+@query("l12_policies", f"""{PREDICTIONS}{PLACED}, b AS (SELECT i AS fold, (i + 1) * (n // 6) AS lo, CASE WHEN i = 4 THEN n ELSE (i + 2) * (n // 6) END AS hi FROM (SELECT max(n) AS n FROM o), range(5) r(i)),
+t AS (SELECT fold, match_id, match_ts FROM o JOIN b ON place >= lo AND place < hi), c AS (SELECT fold, min(match_ts) - INTERVAL 7 DAYS AS cut FROM t GROUP BY 1),
+tr AS (SELECT fold FROM o JOIN c ON match_ts < cut GROUP BY 1 HAVING count(*) >= 200), po AS ({POLICY_SQL}),
+z AS (SELECT policy, model, fold, {METRICS} FROM pr JOIN po USING (match_id) JOIN t USING (match_id) WHERE fold IN (SELECT fold FROM tr) GROUP BY 1, 2, 3)
+SELECT policy, model, count(*) AS folds, CAST(sum(rows) AS BIGINT) AS rows, avg(accuracy) AS accuracy, avg(log_loss) AS log_loss, avg(brier) AS brier FROM z GROUP BY 1, 2""", F_VIEWS)
+def _(x):
+    """Metrics of each policy and model, averaged over the purged folds' test parts."""
+    tests = model.purged_folds(x.matches, "match_ts", "match_id").where("role = 'test'").select("fold", "match_id")
+    rows = predictions(x).join(policies(x), "match_id").join(tests, "match_id")
+    folds = rows.groupBy("policy", "model", "fold").agg(*agg.metric_columns())
+    return folds.groupBy("policy", "model").agg(F.count(F.lit(1)).alias("folds"), F.sum("rows").alias("rows"), *[F.avg(c).alias(c) for c in ("accuracy", "log_loss", "brier")])
 
 
 query("l14_best_readout", f"{PREDICTIONS}, z AS (SELECT model, {METRICS} FROM pr GROUP BY 1) SELECT model, rows FROM z ORDER BY round(accuracy, 9) DESC, model LIMIT 1", F_VIEWS)(lambda x: predictions(x).groupBy("model").agg(*agg.metric_columns()).orderBy(F.round("accuracy", 9).desc(), "model").limit(1).select("model", "rows"))
@@ -516,9 +590,12 @@ def _(x):
 
 @query("l17_gate")
 def _(x):
-    m = saved(model.evaluated(saved(searched(x)), ["config"]))
-    best = model.best_config(m).withColumn("folds", F.lit(5))
-    return model.promotion_gate(best, model.evaluated(predictions(x).where("model = 'rank'"), ["model"]))
+    """The best searched config against the rank model, both on the folds' test rows; the folds are those that were scored."""
+    scored = saved(searched(x))
+    best = model.best_config(saved(model.evaluated(scored, ["config"])))
+    found = scored.groupBy("config").agg(F.count_distinct("fold").alias("folds"))
+    same = predictions(x).where("model = 'rank'").join(scored.select(F.col("id").alias("match_id")).distinct(), "match_id", "left_semi")
+    return model.promotion_gate(best.drop("folds").join(found, "config"), model.evaluated(same, ["model"]))
 
 
 @query("l18_registry", "SELECT CAST(o_orderkey AS BIGINT) AS version, o_orderstatus = 'F' AS promoted, o_orderkey = (SELECT max(o_orderkey) FROM (SELECT * FROM orders ORDER BY o_orderkey DESC LIMIT 12) WHERE o_orderstatus = 'F') AS champion FROM orders ORDER BY o_orderkey DESC LIMIT 12")
@@ -593,7 +670,7 @@ query("o06_signal", ", l AS (SELECT * FROM v_rankings WHERE ranking_date = (SELE
     lambda x: select.signal_ranking(x.matches, prior.latest_per(x.rankings, "ranking_date"))
 )
 query("o11_search", "SELECT p_brand, p_name, k AS place FROM (SELECT p_brand, p_name, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_name, p_partkey) AS k FROM part WHERE p_name LIKE '%ring%') q WHERE k <= 3")(
-    lambda x: select.search(x.table("part").orderBy("p_partkey").withColumn("o", F.struct(-F.col("p_retailprice"), "p_name", "p_partkey")), "p_brand", "p_name", "Ring", 3, F.col("o")).select("p_brand", "p_name", "place")
+    lambda x: select.search(x.table("part").withColumn("o", F.struct(-F.col("p_retailprice"), "p_name", "p_partkey")), "p_brand", "p_name", "Ring", 3, F.col("o")).select("p_brand", "p_name", "place")
 )
 query("o12_batches", "SELECT match_id, (row_number() OVER (PARTITION BY event_id ORDER BY match_id) - 1) // 25 AS batch FROM v_matches", ("v_matches",))(lambda x: select.batches(x.matches, "event_id", "match_id", 25).select("match_id", "batch"))
 query("o13_team_contests", f"{SIDES}, k AS (SELECT team_id, match_id, row_number() OVER (PARTITION BY team_id ORDER BY CASE WHEN match_ts >= TIMESTAMP '1998-06-01' THEN 0 ELSE 1 END, CASE WHEN match_ts >= TIMESTAMP '1998-06-01' THEN epoch(match_ts) ELSE -epoch(match_ts) END, CASE WHEN match_ts >= TIMESTAMP '1998-06-01' THEN match_id ELSE -match_id END) AS place FROM s) SELECT * FROM k WHERE place <= 8", ("v_matches",))(

@@ -30,8 +30,8 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
 query("p01_p03_scored", "SELECT match_id, match_phase = 'playoffs' AS playoffs FROM v_matches WHERE team1_score <> team2_score AND match_phase <> 'quarterfinal' AND lower(event_tier) NOT LIKE '%qualifier%' AND match_ts < TIMESTAMP '1998-01-01'", ("v_matches",))(
     lambda x: x.matches.where("team1_score <> team2_score and match_phase <> 'quarterfinal' and not (event_tier ilike '%QUALIFIER%') and match_ts < '1998-01-01'").select("match_id", (F.col("match_phase") == "playoffs").alias("playoffs"))
 )
-query("p05_p07_predicates", "SELECT match_id, map_index, CASE WHEN map_name <> 'TBA' AND team1_rounds IS NOT NULL THEN 1 ELSE 0 END AS playable FROM v_maps WHERE coalesce(nullif(map_name, 'TBA'), '9999') >= 'D' AND match_id BETWEEN 100 AND 9000", ("v_matches", "v_maps"))(
-    lambda x: x.maps.where((F.coalesce(F.nullif("map_name", F.lit("TBA")), F.lit("9999")) >= "D") & F.col("match_id").between(100, 9000)).select("match_id", "map_index", ((F.col("map_name") != "TBA") & F.col("team1_rounds").isNotNull()).cast("int").alias("playable"))
+query("p07_p10_predicates", "SELECT match_id, map_index, CASE WHEN map_name <> 'TBA' AND team1_rounds IS NOT NULL THEN 1 ELSE 0 END AS playable FROM v_maps WHERE coalesce(nullif(map_name, 'TBA'), '9999') >= 'D'", ("v_matches", "v_maps"))(
+    lambda x: x.maps.where(F.coalesce(F.nullif("map_name", F.lit("TBA")), F.lit("9999")) >= "D").select("match_id", "map_index", ((F.col("map_name") != "TBA") & F.col("team1_rounds").isNotNull()).cast("int").alias("playable"))
 )
 
 # -- merges: customers as held rows, suppliers as incoming rows of the same keys

@@ -46,9 +46,9 @@ TIMES = "SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN CAST(1700000000
 scalar("f09_f11_dates", TIMES, {"seconds": lambda: clean.epoch_seconds(c("t")), "day": lambda: clean.multi_format_date(c("d")), "joined": lambda: clean.join_date(c("j"))},
        "CASE k % 4 WHEN 0 THEN CAST(t AS BIGINT) WHEN 1 THEN CAST(t AS BIGINT) // 1000 WHEN 2 THEN 1741064767 END AS seconds, CASE d WHEN '7/11/2024' THEN '2024-11-07' ELSE d END AS day, CASE WHEN j LIKE '%2021%' THEN '2021-02-03' ELSE j END AS joined")
 
-FORMATS = "SELECT o_orderkey AS k, CASE o_orderkey % 6 WHEN 0 THEN 'BO5' WHEN 1 THEN 'Best of 1 (LAN)' WHEN 2 THEN 'bo3 then bo7' WHEN 3 THEN 'Best of 2 (Online)' WHEN 4 THEN '' ELSE 'Best of 3' END AS f, CASE o_custkey % 5 WHEN 0 THEN ' d2' WHEN 1 THEN 'Dust II' WHEN 2 THEN ' ' WHEN 3 THEN 'Nuke' ELSE 'Cache ' END AS m FROM orders"
+FORMATS = "SELECT o_orderkey AS k, CASE o_orderkey % 6 WHEN 0 THEN 'BO5' WHEN 1 THEN 'Best of 1 (LAN)' WHEN 2 THEN 'bo3 then bo7' WHEN 3 THEN 'Best of 2 (Online)' WHEN 4 THEN '' ELSE 'Best of 3' END AS f, CASE o_custkey % 5 WHEN 0 THEN ' d2' WHEN 1 THEN 'Dust II' WHEN 2 THEN ' ' WHEN 3 THEN 'Nuke' ELSE CASE o_orderkey % 2 WHEN 0 THEN 'Cache ' ELSE 'DE_mirage ' END END AS m FROM orders"
 scalar("f12_f13_f52_format", FORMATS, {"best_of": lambda: clean.best_of(c("f")), "feed": lambda: clean.feed_best_of(c("f")), "map": lambda: clean.map_name(c("m")), "n": lambda: clean.format_text(c("f"))["best_of"], "venue": lambda: clean.format_text(c("f"))["venue"]},
-       r"""CASE k % 6 WHEN 0 THEN 5 WHEN 1 THEN 1 WHEN 2 THEN 7 WHEN 3 THEN 2 ELSE 3 END AS best_of, CASE k % 6 WHEN 0 THEN 'bo5' WHEN 2 THEN 'bo3' ELSE 'bo3' END AS feed, CASE m WHEN ' d2' THEN 'Dust2' WHEN 'Dust II' THEN 'Dust2' WHEN ' ' THEN 'TBA' WHEN 'Nuke' THEN 'Nuke' ELSE 'Cache' END AS map,
+       r"""CASE k % 6 WHEN 0 THEN 5 WHEN 1 THEN 1 WHEN 2 THEN 7 WHEN 3 THEN 2 ELSE 3 END AS best_of, CASE k % 6 WHEN 0 THEN 'bo5' WHEN 2 THEN 'bo3' ELSE 'bo3' END AS feed, CASE m WHEN ' d2' THEN 'Dust2' WHEN 'Dust II' THEN 'Dust2' WHEN ' ' THEN 'TBA' WHEN 'Nuke' THEN 'Nuke' WHEN 'DE_mirage ' THEN 'Mirage' ELSE 'Cache' END AS map,
   TRY_CAST(nullif(regexp_extract(f, 'Best of (\d)', 1), '') AS INT) AS n, nullif(regexp_extract(f, '\((LAN|Online)\)', 1), '') AS venue""")
 
 WIKI = "SELECT p_partkey AS k, concat('<!-- x --> ''''''', p_name, '''''''&nbsp;[[Page|', p_brand, ']] [[', p_type, ']]<br/>{{Flag|se}}<i>', CAST(p_size AS STRING), '</i>  {{x}} end ') AS raw FROM part"
@@ -84,9 +84,9 @@ EX = f"(inv OR {EV} = 'tier_3' OR (NOT lan AND ra > 40 AND rb > 40) OR least(ma,
 scalar("f23_f24_integrity", RISK, {"event": ev, "team_a": ta, "team_b": tb, "risk": lambda: F.round(risk(), 6), "excluded": out, "weight": lambda: F.round(rules.training_weight(ev(), c("lan"), risk(), out()), 2)},
        f"{EV} AS event, {TA} AS team_a, {TB} AS team_b, round(CAST({RK} AS DOUBLE), 6) AS risk, {EX} AS excluded, round(CASE WHEN {EX} THEN 0.0 ELSE round(CAST(CASE {EV} WHEN 'tier_1' THEN 1.0 WHEN 'tier_1_5' THEN 0.9 ELSE CASE WHEN lan THEN 0.75 ELSE 0.45 END END * (1.0 - CAST({RK} AS DOUBLE) * 0.5) AS DOUBLE), 3) END, 2) AS weight")
 
-PRODUCT = "SELECT o_orderkey AS k, CASE o_custkey % 6 WHEN 0 THEN 'S-Tier' WHEN 1 THEN 'tier 2' WHEN 2 THEN 'C-Tier' WHEN 3 THEN 'Tier_3' ELSE NULL END AS d, CASE o_orderkey % 5 WHEN 0 THEN 'IEM Spring' WHEN 1 THEN 'CCT Major' WHEN 2 THEN 'Open cup' WHEN 3 THEN 'blastoff' ELSE 'BLAST Final' END AS n, CASE o_orderkey % 4 WHEN 0 THEN 'Not started' WHEN 1 THEN 'Ended' WHEN 2 THEN '' ELSE 'live' END AS w, o_orderdate AS t, CASE o_custkey % 6 WHEN 0 THEN 'Double-Elimination bracket' WHEN 1 THEN 'GSL groups' WHEN 2 THEN 'Swiss (16 teams)' WHEN 3 THEN 'knockout' WHEN 4 THEN 'round_robin' ELSE 'odd' END AS f, CASE o_orderkey % 5 WHEN 0 THEN 'TBD' WHEN 1 THEN 'Winner of A' WHEN 2 THEN '' ELSE 'Team' END AS team FROM orders"
+PRODUCT = "SELECT o_orderkey AS k, CASE o_custkey % 6 WHEN 0 THEN 'S-Tier' WHEN 1 THEN 'tier 2' WHEN 2 THEN 'C-Tier' WHEN 3 THEN 'Tier_3' ELSE NULL END AS d, CASE o_orderkey % 5 WHEN 0 THEN 'IEM Spring' WHEN 1 THEN 'CCT Major' WHEN 2 THEN 'Open cup' WHEN 3 THEN 'blastoff' ELSE 'BLAST Final' END AS n, CASE o_orderkey % 4 WHEN 0 THEN 'Not started' WHEN 1 THEN 'Ended' WHEN 2 THEN '' ELSE 'live' END AS w, o_orderdate AS t, CASE o_custkey % 6 WHEN 0 THEN 'Double-Elimination bracket' WHEN 1 THEN 'GSL groups' WHEN 2 THEN 'Swiss (16 teams)' WHEN 3 THEN 'knockout' WHEN 4 THEN 'round_robin' ELSE 'odd' END AS f, CASE o_orderkey % 11 WHEN 0 THEN 'TBD' WHEN 1 THEN 'unknown' WHEN 2 THEN '' WHEN 3 THEN 'Team 1' WHEN 4 THEN 'Quarterfinal winner' WHEN 5 THEN 'finalist  loser' WHEN 6 THEN ' Europe qualifier' WHEN 7 THEN 'Winner of' WHEN 8 THEN 'Team Spirit' ELSE 'Team' END AS team FROM orders"
 scalar("f25_f27_f29_product", PRODUCT, {"tier": lambda: rules.product_tier(c("d"), c("n")), "status": lambda: rules.status(c("w"), c("t"), c("t"), F.lit("1997-01-01").cast("timestamp")), "format": lambda: rules.format_alias(c("f")), "placeholder": lambda: rules.is_placeholder(c("team"))},
-       "CASE WHEN d = 'S-Tier' THEN 'tier_1' WHEN d = 'tier 2' THEN 'tier_2' WHEN d IN ('C-Tier', 'Tier_3') THEN 'excluded' WHEN n = 'CCT Major' THEN 'tier_2' WHEN n IN ('IEM Spring', 'BLAST Final') THEN 'tier_1' ELSE 'pending' END AS tier, CASE w WHEN 'Not started' THEN 'upcoming' WHEN 'Ended' THEN 'finished' WHEN 'live' THEN 'live' ELSE CASE WHEN t < TIMESTAMP '1997-01-01' THEN 'finished' WHEN t > TIMESTAMP '1997-01-01' THEN 'upcoming' ELSE 'live' END END AS status, CASE f WHEN 'Double-Elimination bracket' THEN 'double_elimination' WHEN 'GSL groups' THEN 'gsl' WHEN 'Swiss (16 teams)' THEN 'swiss' WHEN 'knockout' THEN 'single_elimination' WHEN 'round_robin' THEN 'round_robin' ELSE 'mixed' END AS format, team <> 'Team' AS placeholder")
+       "CASE WHEN d = 'S-Tier' THEN 'tier_1' WHEN d = 'tier 2' THEN 'tier_2' WHEN d IN ('C-Tier', 'Tier_3') THEN 'excluded' WHEN n = 'CCT Major' THEN 'tier_2' WHEN n IN ('IEM Spring', 'BLAST Final') THEN 'tier_1' ELSE 'pending' END AS tier, CASE w WHEN 'Not started' THEN 'upcoming' WHEN 'Ended' THEN 'finished' WHEN 'live' THEN 'live' ELSE CASE WHEN t < TIMESTAMP '1997-01-01' THEN 'finished' WHEN t > TIMESTAMP '1997-01-01' THEN 'upcoming' ELSE 'live' END END AS status, CASE f WHEN 'Double-Elimination bracket' THEN 'double_elimination' WHEN 'GSL groups' THEN 'gsl' WHEN 'Swiss (16 teams)' THEN 'swiss' WHEN 'knockout' THEN 'single_elimination' WHEN 'round_robin' THEN 'round_robin' ELSE 'mixed' END AS format, team NOT IN ('Team', 'Team Spirit') AS placeholder")
 
 IDS = "SELECT c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN ' ' WHEN 1 THEN NULL ELSE c_name END AS a, c_mktsegment AS b, concat('https://x.org/wiki/', c_mktsegment, '/Stage_1%20Group+A#top') AS href, CASE c_custkey % 2 WHEN 0 THEN concat(c_mktsegment, '/Season_1/Group_A') ELSE c_mktsegment END AS title, concat('[', c_name, '](http://x/', c_mktsegment, ') #section:One #section:Two #section:One') AS md FROM customer"
 scalar("f30_f33_f50_f56_identity", IDS, {
@@ -107,10 +107,16 @@ scalar("f34_f40_probabilities", PROBS, {
   greatest(0.08, least(0.92, 1 / (1 + exp(-({LG.format(EP)} + 0.009 * greatest(-40.0, least(40.0, adv)) + 0.00035 * greatest(-650.0, least(650.0, pts)) + 0.3 * greatest(-0.5, least(0.5, form))))))) AS base,
   greatest(0.08, least(0.92, CASE WHEN known THEN p ELSE 0.5 + (p - 0.5) * 0.45 END)) AS shrunk, CASE WHEN n > 0 THEN (w + 2.0) / (n + 4.0) ELSE 0.5 END AS rate""")
 
-TRAITS = "SELECT p_partkey AS k, concat(CAST(p_size AS STRING), '/100') AS t1, CASE p_partkey % 3 WHEN 0 THEN 'n/a' ELSE concat(CAST(p_partkey % 140 AS STRING), ' / 100') END AS t2, 0.6 + p_partkey % 100 / 100.0 AS rating FROM part"
-scalar("f41_traits", TRAITS, {"t1": lambda: rules.trait(c("t1")), "t2": lambda: rules.trait(c("t2")), "signal": lambda: rules.signal_index(F.array(rules.trait(c("t1")), rules.trait(c("t2"))), c("rating")), "role": lambda: rules.player_role(rules.trait(c("t1")), F.coalesce(rules.trait(c("t2")), F.lit(0.0)), F.lit(0.0), F.lit(0.0), F.lit(0.0))},
-       r"""p.a AS t1, p.b AS t2, 0.55 * CASE WHEN p.b IS NULL THEN p.a ELSE (p.a + p.b) / 2 END + 0.45 * greatest(0.0, least(1.0, rating / 1.35)) AS signal, CASE WHEN p.a >= 0.6 THEN 'awper' WHEN coalesce(p.b, 0) >= 0.6 THEN 'opener' ELSE 'rifler' END AS role""")
-ORACLE["f41_traits"] = ORACLE["f41_traits"].replace(" FROM src", r" FROM (SELECT k, rating, struct_pack(a := least(1.0, CAST(regexp_extract(t1, '(\d+)', 1) AS DOUBLE) / 100.0), b := least(1.0, TRY_CAST(nullif(regexp_extract(t2, '(\d+)', 1), '') AS DOUBLE) / 100.0)) AS p FROM src)")
+TRAITS = "SELECT p_partkey AS k, concat(CAST(p_size AS STRING), '/100') AS t1, CASE p_partkey % 3 WHEN 0 THEN 'n/a' ELSE concat(CAST(p_partkey % 140 AS STRING), ' / 100') END AS t2, CASE p_partkey % 5 WHEN 0 THEN 'n/a' WHEN 1 THEN NULL ELSE '61' END AS t3, CASE WHEN p_partkey % 7 <> 0 THEN CAST(60 + p_partkey % 100 AS DOUBLE) / 100 END AS rating FROM part"
+read = lambda *names: F.array(*[rules.trait(c(n)) for n in names])
+scalar("f41_traits", TRAITS, {"t1": lambda: rules.trait(c("t1")), "t2": lambda: rules.trait(c("t2")), "signal": lambda: rules.signal_index(read("t1", "t2", "t3"), c("rating")), "none": lambda: rules.signal_index(F.array(rules.trait(F.lit("?"))), c("rating")), "role": lambda: rules.player_role(rules.trait(c("t1")), F.coalesce(rules.trait(c("t2")), F.lit(0.0)), F.lit(0.0), F.lit(0.0), F.lit(0.0))},
+       "a AS t1, b AS t2, CAST(floor(greatest(0.0, least(100.0, (coalesce(a, 0) + coalesce(b, 0) + coalesce(d, 0)) / greatest(1, len(list_filter([a, b, d], lambda v: v IS NOT NULL))) * 0.55 + coalesce(rating, 1.0) / 1.35 * 100 * 0.45)) + 0.5) AS INT) AS signal, CAST(floor(coalesce(rating, 1.0) / 1.35 * 100 * 0.45 + 0.5) AS INT) AS none, CASE WHEN a >= 60 THEN 'awper' WHEN coalesce(b, 0) >= 60 THEN 'opener' ELSE 'rifler' END AS role")
+ORACLE["f41_traits"] = ORACLE["f41_traits"].replace(" FROM src", r" FROM (SELECT k, CAST(rating AS DOUBLE) AS rating, least(100.0, CAST(regexp_extract(t1, '(\d+)', 1) AS DOUBLE)) AS a, least(100.0, TRY_CAST(nullif(regexp_extract(t2, '^(\d+)', 1), '') AS DOUBLE)) AS b0, t2 IS NULL OR NOT regexp_matches(t2, '^\d') AS none2, CASE t3 WHEN '61' THEN 61.0 END AS d, CASE WHEN none2 THEN NULL ELSE b0 END AS b FROM src)")
+
+NULLS = "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 <> 0 THEN (o_custkey % 101) / 100.0 END AS p, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 90 - 45.0 END AS adv, CASE WHEN o_custkey % 4 <> 0 THEN o_custkey % 1500 - 750.0 END AS pts, CASE WHEN o_custkey % 7 <> 0 THEN (o_orderkey % 21 - 10) / 10.0 END AS form FROM orders"
+scalar("f34_f38_unknowns", NULLS, {"p4": lambda: rules.probability4(c("p")), "sig": lambda: rules.sigmoid(c("adv")), "lg": lambda: rules.logit(c("p")), "base": lambda: rules.bounded_baseline(c("p"), c("adv"), c("pts"), c("form"))},
+       f"""CASE WHEN p IS NOT NULL THEN round(CAST(p AS DOUBLE), 4) END AS p4, CASE WHEN adv IS NOT NULL THEN 1 / (1 + exp(-CAST(greatest(-35.0, least(35.0, adv)) AS DOUBLE))) END AS sig, CASE WHEN p IS NOT NULL THEN {LG.format('p')} END AS lg,
+  greatest(0.08, least(0.92, 1 / (1 + exp(-({LG.format('coalesce(p, 0.5)')} + 0.009 * greatest(-40.0, least(40.0, coalesce(adv, 0))) + 0.00035 * greatest(-650.0, least(650.0, coalesce(pts, 0))) + 0.3 * greatest(-0.5, least(0.5, coalesce(form, 0)))))))) AS base""")
 
 VETO = "SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 0 THEN concat('1. ', c_name, ' removed Nuke') WHEN 1 THEN concat('2. ', c_name, ' picked Dust2 ') WHEN 2 THEN '7. Mirage was left over' ELSE 'no veto here' END AS line, CASE c_custkey % 5 WHEN 0 THEN 'PICK' WHEN 1 THEN 'left over' WHEN 2 THEN 'banned' WHEN 3 THEN 'decider' ELSE 'odd' END AS act, c_name AS name FROM customer"
 scalar("f42_f43_vetoes", VETO, {"team": lambda: clean.veto_line(c("line"))["team"], "action": lambda: clean.veto_line(c("line"))["action"], "map": lambda: clean.veto_line(c("line"))["map"], "word": lambda: clean.status_word(c("act"))},
@@ -127,12 +133,14 @@ scalar("f47_event_format", EVENTS, {"type": lambda: rules.event_format(c("sw") &
        "CASE WHEN ((sw AND k % 5 = 0) OR gr) AND po THEN 'mixed' WHEN sw AND k % 5 = 0 THEN 'swiss' WHEN gr THEN 'gsl' WHEN po THEN 'single_elimination' ELSE 'mixed' END AS type, coalesce(nullif(concat_ws(' + ', CASE WHEN gr THEN 'Group stage' END, CASE WHEN sw AND k % 5 = 0 THEN 'Swiss stage' END, CASE WHEN po THEN 'Playoffs' END), ''), 'Event series') AS label")
 ORACLE["f47_event_format"] = with_views("," + ORACLE["f47_event_format"].removeprefix("WITH"), "v_matches")
 
-EXPLAIN = "SELECT o_orderkey AS k, (o_custkey % 91 + 5) / 100.0 AS p, 1400.0 + o_custkey % 300 AS r1, 1400.0 + o_orderkey % 300 AS r2, (o_custkey % 10) / 10.0 AS f1, (o_orderkey % 10) / 10.0 AS f2, CAST(o_custkey % 40 AS INT) AS v1, CAST(o_orderkey % 40 AS INT) AS v2, CAST(o_custkey % 7 AS INT) AS lineup FROM orders"
-expl = lambda field: (lambda: rules.explanation(c("p"), (c("r1"), c("r2")), (c("f1"), c("f2")), (F.lit(0.5), F.lit(0.5)), (c("v1"), c("v2")), c("lineup"), F.lit(None).cast("double"), F.lit(0))[field])
-scalar("f48_explanations", EXPLAIN, {"confidence": expl("confidence"), "n_signals": expl("n_signals"), "risk_class": lambda: F.when(expl("risk")().endswith("disagrees"), "disagrees").otherwise(expl("risk")())},
-       """greatest(p, 1 - p) AS confidence, len(q) AS n_signals, CASE WHEN greatest(p, 1 - p) < 0.56 THEN 'thin edge' WHEN lineup < 5 THEN 'lineup gap' WHEN list_min(q) < -0.2 THEN 'disagrees' ELSE 'balanced evidence' END AS risk_class""")
-ORACLE["f48_explanations"] = ORACLE["f48_explanations"].replace(" FROM src", """ FROM (SELECT *, list_filter([greatest(-1.0, least(1.0, sgn * (r1 - r2) / 260.0)), greatest(-1.0, least(1.0, sgn * (f1 - f2) * 2.2)), CASE WHEN v1 > 0 AND v2 > 0 THEN greatest(-1.0, least(1.0, sgn * (v2 - v1) / 20.0)) END], lambda z: abs(z) >= 0.025) AS q
-  FROM (SELECT *, CASE WHEN p >= 0.5 THEN 1.0 ELSE -1.0 END AS sgn FROM src))""")
+EXPLAIN = "SELECT o_orderkey AS k, CASE WHEN o_custkey % 53 <> 0 THEN (o_custkey % 91 + 5) / 100.0 END AS p, CASE WHEN o_custkey % 31 <> 0 THEN 1400.0 + o_custkey % 300 END AS r1, 1400.0 + o_orderkey % 300 AS r2, (o_custkey % 10) / 10.0 AS f1, CASE WHEN o_orderkey % 17 <> 0 THEN (o_orderkey % 10) / 10.0 END AS f2, (o_custkey % 9) / 9.0 AS d1, (o_orderkey % 7) / 7.0 AS d2, CAST(o_custkey % 40 AS INT) AS v1, CAST(o_orderkey % 40 AS INT) AS v2, CAST(o_custkey % 7 AS INT) AS l1, CASE WHEN o_orderkey % 13 <> 0 THEN CAST(4 + o_orderkey % 5 AS INT) END AS l2, CASE WHEN o_orderkey % 3 <> 0 THEN ((o_custkey % 91 + 5) + (o_orderkey % 23 - 11)) / 110.0 END AS mp, CAST(o_custkey % 60 AS INT) AS ev, CAST(o_custkey % 37 AS INT) AS s1, CAST(o_orderkey % 41 AS INT) AS s2, o_orderkey % 2 = 0 AS known FROM orders"
+expl = lambda field: (lambda: rules.explanation(c("p"), (c("r1"), c("r2")), (c("f1"), c("f2")), (c("d1"), c("d2")), (c("v1"), c("v2")), (c("l1"), c("l2")), c("mp"), c("ev"), (c("s1"), c("s2")), c("known"))[field])
+scalar("f48_explanations", EXPLAIN, {"confidence": expl("confidence"), "n_signals": expl("n_signals"), "risk": expl("risk"), "counter": expl("counter"), "supports": lambda: F.array_join(expl("supports")(), ",")},
+       """conf AS confidence, len(q) AS n_signals, CASE WHEN conf < 0.56 THEN 'Thin edge' WHEN least(coalesce(l1, 0), coalesce(l2, 0)) < 5 THEN 'Lineup gap' WHEN mp IS NOT NULL AND least(s1, s2) < 10 THEN 'Veto sample' WHEN mp IS NOT NULL AND ev < 20 THEN 'Map sample'
+  WHEN against.s < -0.2 THEN against.l || ' disagrees' ELSE 'Balanced evidence' END AS risk, against.k AS counter, array_to_string(list_transform(list_filter(q, lambda z: z.s > 0)[1:3], lambda z: z.k), ',') AS supports""")
+ORACLE["f48_explanations"] = ORACLE["f48_explanations"].replace(" FROM src", """ FROM (SELECT *, list_filter(q, lambda z: z.s < 0)[1] AS against FROM (SELECT *, list_sort(list_filter([{'n': -abs(e1), 'i': 1, 's': e1, 'k': 'rating', 'l': 'Team rating'}, {'n': -abs(e2), 'i': 2, 's': e2, 'k': 'form', 'l': 'Recent form'}, {'n': -abs(e3), 'i': 3, 's': e3, 'k': 'maps', 'l': 'Map depth'}, {'n': -abs(e4), 'i': 4, 's': e4, 'k': 'ranking', 'l': 'VRS order'}, {'n': -abs(e5), 'i': 5, 's': e5, 'k': 'veto', 'l': CASE WHEN known THEN 'Official veto' ELSE 'Projected veto' END}], lambda z: z.n <= -0.025)) AS q
+  FROM (SELECT *, greatest(-1.0, least(1.0, g * ((coalesce(r1, 1500.0) - r2) / 260.0))) AS e1, greatest(-1.0, least(1.0, g * (f1 - coalesce(f2, 0.5)) * 2.2)) AS e2, greatest(-1.0, least(1.0, g * (d1 - d2) * 2.0)) AS e3, CASE WHEN v1 > 0 AND v2 > 0 THEN greatest(-1.0, least(1.0, g * (v2 - v1) / 20.0)) END AS e4, CASE WHEN mp IS NOT NULL THEN greatest(-1.0, least(1.0, g * (mp - pp) * 5.0)) END AS e5
+  FROM (SELECT *, greatest(pp, 1 - pp) AS conf, CASE WHEN pp >= 0.5 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS g FROM (SELECT * REPLACE (CAST(r1 AS DOUBLE) AS r1, CAST(r2 AS DOUBLE) AS r2, CAST(f1 AS DOUBLE) AS f1, CAST(f2 AS DOUBLE) AS f2, CAST(d1 AS DOUBLE) AS d1, CAST(d2 AS DOUBLE) AS d2, CAST(mp AS DOUBLE) AS mp), greatest(0.001::DOUBLE, least(0.999::DOUBLE, coalesce(CAST(p AS DOUBLE), 0.5))) AS pp FROM src))))""" + ")")
 
 OPPONENT = "SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 0 THEN concat('{{TeamOpponent|', c_name, '|score=2}}') WHEN 1 THEN concat('{{TeamOpponent|team=', c_name, '|score=W}}') WHEN 2 THEN concat('[[', c_name, ']]') ELSE '' END AS raw, c_name AS name FROM customer"
 scalar("f53_opponents", OPPONENT, {"team": lambda: clean.opponent_template(c("raw"))["team"], "score": lambda: clean.opponent_template(c("raw"))["score"]}, "CASE WHEN k % 4 = 3 THEN '' ELSE name END AS team, CASE k % 4 WHEN 0 THEN 2 END AS score")

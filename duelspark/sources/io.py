@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -81,14 +83,30 @@ def publish(df: DataFrame, path: str, version: str, gate: Callable[[DataFrame],
     if not gate(spark.read.parquet(aside.toString())):
         fs.delete(aside, True)
         return False
-    fs.delete(target, True)
-    return fs.rename(aside, target)
+    if not fs.exists(target):
+        return fs.rename(aside, target)
+    # Published again: the version it replaces goes only once the new one is in its place, and comes back if that fails.
+    _, old = _fs(spark, f"{path}/_replaced-{version}")
+    fs.delete(old, True)
+    if not fs.rename(target, old):
+        return False
+    if not fs.rename(aside, target):
+        fs.rename(old, target)
+        return False
+    fs.delete(old, True)
+    return True
 
 
 def published(spark: SparkSession, path: str) -> DataFrame | None:
-    """The last version that passed, None before the first."""
+    """The last version that passed, None before the first; numbers in a version count as numbers: 10 comes after 9.
+
+    A replacement that was cut short leaves the version it was to replace under another name: that one is read then.
+    """
     fs, root = _fs(spark, path)
-    names = sorted(s.getPath().getName() for s in fs.listStatus(root) if s.getPath().getName().startswith("version=")) if fs.exists(root) else []
+    found = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    names = [x for x in found if x.startswith("version=")] + [x for x in found if x.startswith("_replaced-") and f"version={x.removeprefix('_replaced-')}" not in found]
+    parts = lambda name: [(part.isdigit(), int(part) if part.isdigit() else 0, part) for part in re.split(r"(\d+)", re.sub("^(?:version=|_replaced-)", "", name))]
+    names.sort(key=parts)
     return spark.read.parquet(f"{path}/{names[-1]}") if names else None
 
 
