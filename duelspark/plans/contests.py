@@ -79,16 +79,26 @@ rm AS (SELECT m.*, r.rnk AS team2_rank, r.points AS team2_points FROM r1 m ASOF
 """
 
 
+def tiered(x: Fixtures) -> DataFrame:
+    """Contests with ranks and model tier."""
+    none = F.lit("")
+    return ranked_matches(x).withColumn("model_tier", rules.model_tier(F.col("event_tier"), none, none, F.col("match_phase"), F.col("team1_rank"), F.col("team2_rank")))
+
+
+def elo(x: Fixtures) -> DataFrame:
+    """One rating a team over all its contests; the step goes by the contest's model tier."""
+    return fold.elo(tiered(x), F.when(F.col("model_tier").isin("T1", "T1_5"), fold.K_TOP).otherwise(fold.K_OTHER), saved)
+
+
 def feature_rows(x: Fixtures) -> DataFrame:
-    """Leakage-safe features of every contest: as-of ranks, prior rates, head-to-head, tier."""
+    """Leakage-safe features of every contest: Elo before it, as-of ranks, prior rates, head-to-head, tier."""
     sides = prior.prior_features(prior.contest_sides(x.matches))
     names = ["prior_win_rate", "recent_win_rate_10", "prior_playoff_win_rate", "prior_elimination_win_rate", "days_rest"]
     one = lambda n: F.max(F.when(F.col("side") == n, F.struct(*names)))
     both = sides.groupBy("match_id").agg(one(1).alias("a"), one(2).alias("b"))
-    rows = ranked_matches(x).join(both, "match_id").join(prior.head_to_head(x.matches), "match_id")
+    ratings = elo(x).select("match_id", (F.col("elo1") - F.col("elo2")).alias("elo_diff"))
+    rows = tiered(x).join(both, "match_id").join(prior.head_to_head(x.matches), "match_id").join(ratings, "match_id")
     none = F.lit("")
-    tier = rules.model_tier(F.col("event_tier"), none, none, F.col("match_phase"), F.col("team1_rank"), F.col("team2_rank"))
-    rows = rows.withColumn("model_tier", tier)
     diffs = [(F.col(f"a.{n}") - F.col(f"b.{n}")).alias(f"{n}_diff") for n in names]
     return rows.select(
         "match_id", "match_ts", "event_id", "team1_id", "team2_id", "target_team1_win", "match_phase", "is_playoff", "is_elimination", "model_tier",
@@ -97,11 +107,21 @@ def feature_rows(x: Fixtures) -> DataFrame:
         (F.col("team1_rank").isNotNull() & F.col("team2_rank").isNotNull()).cast("int").alias("ranks_known"),
         (F.coalesce("team1_points", F.lit(0.0)) - F.coalesce("team2_points", F.lit(0.0))).alias("points_diff"),
         *diffs, "h2h_win_rate_team1", "h2h_match_count", rules.phase_order(F.col("match_phase")).alias("phase_order"),
-        F.greatest("team1_rank", "team2_rank").alias("worst_rank"),
+        F.greatest("team1_rank", "team2_rank").alias("worst_rank"), "elo_diff", rules.elo_probability(F.col("elo_diff")).alias("elo_prob_team1"),
     )
 
 
-FEATURES = f"""{PRIOR}{H2H}{RANKED}, f AS (SELECT m.match_id, m.match_ts, m.event_id, m.team1_id, m.team2_id, target_team1_win, m.match_phase, m.is_playoff, m.is_elimination,
+TIER_SQL = """CASE WHEN event_tier = 'S-Tier' OR (coalesce(least(team1_rank, team2_rank), 999) <= 30 AND coalesce(greatest(team1_rank, team2_rank), 999) <= 100 AND match_phase <> 'qualifier') THEN 'T1_5'
+       WHEN event_tier IN ('A-Tier', 'B-Tier') OR coalesce(least(team1_rank, team2_rank), 999) <= 120 THEN 'T2' ELSE 'T3' END"""
+#: Exact Elo as a recursion over contests in order; its state is the list of all teams' ratings.
+ELO = f""", elo_q AS (SELECT match_id, team1_id + 1 AS a, team2_id + 1 AS b, target_team1_win AS y, CASE WHEN {TIER_SQL} IN ('T1', 'T1_5') THEN 28.0::DOUBLE ELSE 20.0::DOUBLE END AS k, row_number() OVER (ORDER BY match_ts, match_id) AS i FROM rm),
+elo_c AS MATERIALIZED (SELECT list(struct_pack(m := match_id, a := a, b := b, y := y, k := k) ORDER BY i) AS x, count(*) AS n, max(greatest(a, b)) AS teams FROM elo_q),
+elo_r AS (SELECT 0 AS i, list_transform(range(teams), lambda t: 1500.0::DOUBLE) AS e, NULL::DOUBLE AS e1, NULL::DOUBLE AS e2, NULL::BIGINT AS m FROM elo_c
+  UNION ALL SELECT i + 1, list_transform(e, lambda v, p: CASE WHEN p = t.a THEN v + t.k * (t.y - 1.0::DOUBLE / (1.0::DOUBLE + pow(10.0::DOUBLE, (e[t.b] - e[t.a]) / 400.0::DOUBLE))) WHEN p = t.b THEN v - t.k * (t.y - 1.0::DOUBLE / (1.0::DOUBLE + pow(10.0::DOUBLE, (e[t.b] - e[t.a]) / 400.0::DOUBLE))) ELSE v END), e[t.a], e[t.b], t.m
+  FROM (SELECT elo_r.i, elo_r.e, elo_c.x[elo_r.i + 1] AS t FROM elo_r, elo_c WHERE elo_r.i < elo_c.n) s),
+el AS MATERIALIZED (SELECT m AS match_id, e1, e2 FROM elo_r WHERE i > 0)
+"""
+FEATURES = f"""{PRIOR}{H2H}{RANKED}{ELO}, f AS (SELECT m.match_id, m.match_ts, m.event_id, m.team1_id, m.team2_id, target_team1_win, m.match_phase, m.is_playoff, m.is_elimination,
   CASE WHEN event_tier = 'S-Tier' OR (coalesce(least(team1_rank, team2_rank), 999) <= 30 AND coalesce(greatest(team1_rank, team2_rank), 999) <= 100 AND m.match_phase <> 'qualifier') THEN 'T1_5'
        WHEN event_tier IN ('A-Tier', 'B-Tier') OR coalesce(least(team1_rank, team2_rank), 999) <= 120 THEN 'T2' ELSE 'T3' END AS model_tier,
   greatest(team1_rank, team2_rank) AS worst, event_tier,
@@ -109,8 +129,9 @@ FEATURES = f"""{PRIOR}{H2H}{RANKED}, f AS (SELECT m.match_id, m.match_ts, m.even
   coalesce(team1_points, 0.0) - coalesce(team2_points, 0.0) AS points_diff,
   a.prior_win_rate - b.prior_win_rate AS prior_win_rate_diff, a.recent_win_rate_10 - b.recent_win_rate_10 AS recent_win_rate_10_diff,
   a.prior_playoff_win_rate - b.prior_playoff_win_rate AS prior_playoff_win_rate_diff, a.prior_elimination_win_rate - b.prior_elimination_win_rate AS prior_elimination_win_rate_diff,
-  a.days_rest - b.days_rest AS days_rest_diff, h2h_win_rate_team1, h2h_match_count, CASE m.match_phase WHEN 'group_stage' THEN 20 WHEN 'playoffs' THEN 50 ELSE 75 END AS phase_order
-  FROM rm m JOIN p a ON a.match_id = m.match_id AND a.side = 1 JOIN p b ON b.match_id = m.match_id AND b.side = 2 JOIN h2h ON h2h.match_id = m.match_id)
+  a.days_rest - b.days_rest AS days_rest_diff, h2h_win_rate_team1, h2h_match_count, CASE m.match_phase WHEN 'group_stage' THEN 20 WHEN 'playoffs' THEN 50 ELSE 75 END AS phase_order,
+  e1 - e2 AS elo_diff, 1 / (1 + pow(10.0, -(e1 - e2) / 400.0)) AS elo_prob_team1
+  FROM rm m JOIN el USING (match_id) JOIN p a ON a.match_id = m.match_id AND a.side = 1 JOIN p b ON b.match_id = m.match_id AND b.side = 2 JOIN h2h ON h2h.match_id = m.match_id)
 """
 F_VIEWS = ("v_matches", "v_rankings")
 
@@ -407,11 +428,8 @@ def _(x):
 # -- ratings
 
 
-def elo(x: Fixtures, where: str = "true") -> DataFrame:
-    return fold.elo(x.matches.where(where), F.when(F.col("event_tier") == "S-Tier", fold.K_TOP).otherwise(fold.K_OTHER), saved)
-
-
-query("r01_elo")(lambda x: elo(x))
+AFTER = "t.k * (t.y - 1.0::DOUBLE / (1.0::DOUBLE + pow(10.0::DOUBLE, (e2 - e1) / 400.0::DOUBLE)))"
+query("r01_elo", f"{RANKED}{ELO} SELECT t.match_id, e1 AS elo1, e2 AS elo2, e1 + {AFTER} AS after1, e2 - {AFTER} AS after2 FROM el JOIN elo_q t USING (match_id)", F_VIEWS)(lambda x: elo(x).select("match_id", "elo1", "elo2", "after1", "after2"))
 
 
 @query("r02_elo_periods", """, k AS (SELECT *, CASE WHEN event_tier = 'S-Tier' THEN 28.0 ELSE 20.0 END AS kf, CASE WHEN year(match_ts) < 1996 THEN 0 ELSE 1 END AS pd FROM v_matches),
@@ -430,7 +448,11 @@ query("r04_form", f"""{SIDES}, a AS (SELECT team_id, won, row_number() OVER (PAR
 SELECT team_id, 0.5 * pow(9 / 11.0, count(*)) + 2 / 11.0 * sum(won * pow(9 / 11.0, age)) AS form FROM a GROUP BY 1""", ("v_matches",))(lambda x: fold.form_ewma(prior.contest_sides(x.matches)))
 
 
-@query("r05_state")
+@query("r05_state", f"""{RANKED}{ELO}{SIDES}, fi AS (SELECT unnest(range(len(e))) AS team_id, unnest(e) AS elo FROM elo_r WHERE i = (SELECT n FROM elo_c)),
+ct AS (SELECT team_id, count(*) AS matches FROM s GROUP BY 1), tn AS (SELECT team_id, won, row_number() OVER (PARTITION BY team_id ORDER BY match_ts DESC, match_id DESC) AS k FROM s),
+rc AS (SELECT team_id, avg(won) AS recent FROM tn WHERE k <= 10 GROUP BY 1), lr AS (SELECT * FROM v_rankings WHERE ranking_date = (SELECT max(ranking_date) FROM v_rankings))
+SELECT ct.team_id, round(elo, 2) AS elo, matches, round(coalesce(recent, 0.5), 3) AS recent_win_rate_10, rnk, points FROM ct JOIN fi ON fi.team_id = ct.team_id LEFT JOIN rc ON rc.team_id = ct.team_id LEFT JOIN lr ON lr.team_id = ct.team_id
+WHERE matches >= 3 OR rnk IS NOT NULL ORDER BY rnk NULLS LAST, matches DESC, ct.team_id LIMIT 500""", F_VIEWS)
 def _(x):
     ten = F.row_number().over(Window.partitionBy("team_id").orderBy(F.col("match_ts").desc(), F.col("match_id").desc()))
     recent = prior.contest_sides(x.matches).withColumn("k", ten).where("k <= 10").groupBy("team_id").agg(F.avg("won").alias("recent"))
@@ -446,12 +468,11 @@ def predictions(x: Fixtures) -> DataFrame:
     known = F.col("ranks_known") == 1
     rank = rules.sigmoid(F.when(known, 0.055 * F.col("rank_advantage")).otherwise(0.0))
     form = rules.form_probability(*[F.col(f"{n}_diff") for n in ("recent_win_rate_10", "prior_win_rate", "prior_playoff_win_rate", "prior_elimination_win_rate", "days_rest")])
-    elo_p = rules.elo_probability(40.0 * F.col("rank_advantage") / 10.0)
-    return model.long_predictions(f, {"elo": elo_p, "rank": rank, "form": form}, ["match_id", "event_id", "match_phase", "is_playoff", F.col("target_team1_win").alias("y")])
+    return model.long_predictions(f, {"elo": F.col("elo_prob_team1"), "rank": rank, "form": form}, ["match_id", "event_id", "match_phase", "is_playoff", F.col("target_team1_win").alias("y")])
 
 
 PREDICTIONS = f"""{FEATURES}, pr AS (SELECT match_id, event_id, match_phase, is_playoff, target_team1_win AS y, unnest(['elo', 'rank', 'form']) AS model,
-  unnest([1 / (1 + pow(10.0, -(40.0 * rank_advantage / 10.0) / 400.0)), 1 / (1 + exp(-greatest(-35.0, least(35.0, CASE WHEN ranks_known = 1 THEN 0.055 * rank_advantage ELSE 0.0 END)))),
+  unnest([elo_prob_team1, 1 / (1 + exp(-greatest(-35.0, least(35.0, CASE WHEN ranks_known = 1 THEN 0.055 * rank_advantage ELSE 0.0 END)))),
   1 / (1 + exp(-(1.6 * recent_win_rate_10_diff + prior_win_rate_diff + 0.55 * prior_playoff_win_rate_diff + 0.35 * prior_elimination_win_rate_diff + 0.025 * days_rest_diff)))]) AS p FROM f)
 """
 METRICS = "count(*) AS rows, avg(CASE WHEN (p >= 0.5) = (y = 1) THEN 1.0 ELSE 0.0 END) AS accuracy, avg(-(y * ln(greatest(1e-15, least(1 - 1e-15, p))) + (1 - y) * ln(1 - greatest(1e-15, least(1 - 1e-15, p))))) AS log_loss, avg((y - p) * (y - p)) AS brier, avg(p) AS mean_p"
@@ -504,7 +525,7 @@ query("l05_standardised", f"{FEATURES}, st AS (SELECT avg(rank_advantage) AS m1,
 
 def training(x: Fixtures) -> DataFrame:
     f = feature_rows(x)
-    return f.select("match_id", "match_ts", "target_team1_win", rules.elo_probability(4.0 * F.col("rank_advantage")).alias("elo_prob_team1"), F.col("rank_advantage").alias("vrs_rank_advantage"), (F.col("points_diff") / 1000.0).alias("vrs_points_diff"), "recent_win_rate_10_diff", "prior_win_rate_diff", "h2h_win_rate_team1")
+    return f.select("match_id", "match_ts", "target_team1_win", "elo_prob_team1", F.col("rank_advantage").alias("vrs_rank_advantage"), (F.col("points_diff") / 1000.0).alias("vrs_points_diff"), "recent_win_rate_10_diff", "prior_win_rate_diff", "h2h_win_rate_team1")
 
 
 def searched(x: Fixtures) -> DataFrame:
@@ -607,9 +628,9 @@ def _(x):
 
 @query("l20_l21_scoring", f"""{FEATURES} SELECT match_id, greatest(0.08, least(0.92, CASE WHEN ranks_known = 1 THEN b ELSE 0.5 + (b - 0.5) * 0.45 END)) AS p FROM (SELECT match_id, ranks_known, greatest(0.08, least(0.92, 1 / (1 + exp(-greatest(-35.0, least(35.0,
   ln(greatest(1e-6, least(1 - 1e-6, e)) / (1 - greatest(1e-6, least(1 - 1e-6, e)))) + 0.009 * greatest(-40.0, least(40.0, rank_advantage)) + 0.00035 * greatest(-650.0, least(650.0, points_diff / 1000.0)) + 0.3 * greatest(-0.5, least(0.5, recent_win_rate_10_diff)))))))) AS b
-  FROM (SELECT *, 1 / (1 + pow(10.0, -(4.0 * rank_advantage) / 400.0)) AS e FROM f)) q""", F_VIEWS)
+  FROM (SELECT *, elo_prob_team1 AS e FROM f)) q""", F_VIEWS)
 def _(x):
-    base = rules.bounded_baseline(rules.elo_probability(4.0 * F.col("rank_advantage")), F.col("rank_advantage"), F.col("points_diff") / 1000.0, F.col("recent_win_rate_10_diff"))
+    base = rules.bounded_baseline(F.col("elo_prob_team1"), F.col("rank_advantage"), F.col("points_diff") / 1000.0, F.col("recent_win_rate_10_diff"))
     return feature_rows(x).select("match_id", rules.shrink_unknown(base, F.col("ranks_known") == 1).alias("p"))
 
 

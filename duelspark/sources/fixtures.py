@@ -51,7 +51,8 @@ NEEDS = {"v_maps": ("v_matches",), "v_vetoes": ("v_matches", "v_maps")}
 def with_views(sql: str, *names: str) -> str:
     """The SQL with the views it reads, and those they read, in front."""
     wanted = [v for v in VIEWS if v in names or any(v in NEEDS.get(n, ()) for n in names)]
-    return "WITH " + ",\n".join(f"{v} AS ({VIEWS[v]})" for v in wanted) + ("," if sql.lstrip().startswith(",") else "") + sql.lstrip().removeprefix(",")
+    head = "WITH RECURSIVE " if "UNION ALL SELECT i + 1" in sql else "WITH "
+    return head + ",\n".join(f"{v} AS ({VIEWS[v]})" for v in wanted) + ("," if sql.lstrip().startswith(",") else "") + sql.lstrip().removeprefix(",")
 
 
 class Fixtures:

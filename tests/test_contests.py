@@ -76,12 +76,12 @@ def test_elo_folds(spark):
     assert all(r.after1 == 1500.0 for r in gated)
 
 
-def plain_elo(rows):
-    """Ratings before each contest and after all, one a team."""
+def plain_elo(rows, top=lambda r: r.event_tier == "S-Tier"):
+    """Ratings before each contest and after all, one a team; contests that are `top` weigh more."""
     elo, before = {}, {}
     for r in sorted(rows, key=lambda r: (r.match_ts, r.match_id)):
         a, b = before[r.match_id] = elo.get(r.team1_id, 1500.0), elo.get(r.team2_id, 1500.0)
-        d = (28.0 if r.event_tier == "S-Tier" else 20.0) * (r.target_team1_win - 1 / (1 + 10 ** ((b - a) / 400)))
+        d = (28.0 if top(r) else 20.0) * (r.target_team1_win - 1 / (1 + 10 ** ((b - a) / 400)))
         elo[r.team1_id], elo[r.team2_id] = a + d, b - d
     return before, elo
 
@@ -122,7 +122,7 @@ def test_online_elo_carries_over(spark):
 
 def test_registered_elo_and_state_keep_one_rating(spark):
     x = Fixtures(spark, "/root/testdata/sf0.001")
-    before, last = plain_elo(x.matches.collect())
+    before, last = plain_elo(contest_plans.tiered(x).collect(), lambda r: r.model_tier in ("T1", "T1_5"))
     got = {r.match_id: (r.elo1, r.elo2) for r in contest_plans.QUERIES["r01_elo"](spark, x.sf_dir).collect()}
     assert got.keys() == before.keys() and all(got[i] == pytest.approx(e) for i, e in before.items())
     state = contest_plans.QUERIES["r05_state"](spark, x.sf_dir).collect()
