@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffers, pieces, scan_words, table
+from .common import buffers, lean, pieces, scan_words, table
 
 WINDOW = 13
 BLOCK_BYTES = 1 << 20
@@ -245,9 +245,9 @@ def _judged(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, i
 
         schema = f"id {id_type}, n_words long, spans array<struct<start: long, end: long>>, items array<string>"
         if blocks == 1:
-            return narrow.mapInArrow(judge, schema).withColumn("row", F.lit(None).cast("long"))
+            return narrow.mapInArrow(lean(judge), schema).withColumn("row", F.lit(None).cast("long"))
         # Several blocks: each pass names a document by id and text, so that the passes can be put together.
-        part = narrow.select(F.struct("id", F.xxhash64("id", "text").alias("row")).alias("id"), "text").mapInArrow(judge, schema.replace(f"id {id_type}", f"id struct<id: {id_type}, row: long>", 1))
+        part = narrow.select(F.struct("id", F.xxhash64("id", "text").alias("row")).alias("id"), "text").mapInArrow(lean(judge), schema.replace(f"id {id_type}", f"id struct<id: {id_type}, row: long>", 1))
         out = part if out is None else out.unionByName(part)
     same = out.groupBy("id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"), (F.count(F.lit(1)) / blocks).cast("int").alias("copies"))
     return same.select(F.explode(F.array_repeat("id", F.col("copies"))).alias("id"), "n_words", "spans", F.array_sort(F.array_distinct("items")).alias("items")).select("id.*", "n_words", "spans", "items")
@@ -305,7 +305,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
                     names=["item", "item_word", "id", "doc_word", "length"],
                 )
 
-        part = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(find, f"item string, item_word long, id {id_type}, doc_word long, length long")
+        part = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(find), f"item string, item_word long, id {id_type}, doc_word long, length long")
         out = part if out is None else out.unionByName(part)
     best = F.min(F.struct((-F.col("length")).alias("less"), F.col("id").isNull().alias("none"), "id", "doc_word"))
     return out.groupBy("item", "item_word").agg(best.alias("b")).select(F.col("item").cast(item_type).alias(item_col), "item_word", F.col("b.id").alias(id_col), F.col("b.doc_word").alias("doc_word"), (-F.col("b.less")).alias("length"))
@@ -331,7 +331,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
             n_hit = upto[shard.first + n_words] - upto[shard.first]
             yield rows.filter(pa.array(~((n_hit > 0) & (20 * n_hit >= n_words))))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(lean(clean), docs.schema)
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, saved, table
+from .common import free_name, lean, saved, table
 
 COUNTERS = 1024  # Misra-Gries counters a partition, and so the bound of broadcast winners
 
@@ -41,7 +41,7 @@ def misra_gries(digests: DataFrame, column: str, counters: int = COUNTERS) -> Da
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["digest", "estimate"])
 
-    parts = digests.select(F.col(column).alias("digest")).mapInArrow(summarise, "digest binary, estimate long")
+    parts = digests.select(F.col(column).alias("digest")).mapInArrow(lean(summarise), "digest binary, estimate long")
     return parts.groupBy("digest").agg(F.sum("estimate").alias("estimate"))
 
 

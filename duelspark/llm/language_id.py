@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import buffers, pieces, table
+from .common import buffers, lean, pieces, release, table
 
 SAMPLE_PER_LANGUAGE = 1500
 ORDERS = (1, 2, 3)
@@ -130,7 +130,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         bit = int(rows["bit"].iloc[0])
         data, offsets = buffers(pa.array(rows["text"], pa.string()))
-        x = np.concatenate([features(data, offsets[a : b + 1]) for a, b in slices(offsets)])
+        # Only n-grams that the sample has get a column: others' weights stay 0. Filled in place, so x is held once.
+        used = np.zeros(len(ORDERS) * BUCKETS, bool)
+        for a, b in slices(offsets):
+            used |= features(data, offsets[a : b + 1]).any(0)
+        columns = np.flatnonzero(used)
+        x = np.empty((len(rows), len(columns)), np.float32)
+        for a, b in slices(offsets):
+            x[a:b] = features(data, offsets[a : b + 1])[:, columns]
         y = code[rows["lang"].map(index).to_numpy(), bit].astype(np.float32)
         weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32)
         w, b, vw, vb = np.zeros(x.shape[1], np.float32), np.float32(0), np.full(x.shape[1], 1e-8, np.float32), np.float32(1e-8)
@@ -139,7 +146,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             gw, gb = x.T @ g + 1e-6 * w, g.sum()
             vw, vb = vw + gw * gw, vb + gb * gb
             w, b = w - 0.5 * gw / np.sqrt(vw), b - 0.5 * gb / np.sqrt(vb)
-        return pd.DataFrame({"bit": [bit], "weights": [w.astype(np.float32).tobytes()], "bias": [float(b)]})
+        del x
+        release()
+        whole = np.zeros(len(used), np.float32)
+        whole[columns] = w
+        return pd.DataFrame({"bit": [bit], "weights": [whole.tobytes()], "bias": [float(b)]})
 
     rows = picked.withColumn("bit", F.explode(F.array([F.lit(i) for i in range(code.shape[1])])))
     # A partition for each bit, so that they are fitted beside each other.
@@ -183,7 +194,7 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text", names: tuple[s
             yield pa.RecordBatch.from_arrays([*batch.columns, lang, pa.array(score), pc.less(pa.array(score), AMBIGUOUS)], names=[*batch.schema.names, *results])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(label, f"{fields}, `{results[0]}` string, `{results[1]}` double, `{results[2]}` boolean")
+    return docs.mapInArrow(lean(label), f"{fields}, `{results[0]}` string, `{results[1]}` double, `{results[2]}` boolean")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, buffers, components, dropped, free_name, lookup, mix, pieces, saved, scan_words, shingles, table
+from .common import bounded_batches, buffers, components, dropped, free_name, lean, lookup, mix, pieces, saved, scan_words, shingles, table
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 4
@@ -129,8 +129,8 @@ def frequent_cells(texts: DataFrame) -> tuple[int, np.ndarray]:
 
     fields, slices = "slice int, cells binary, rows long", CELLS // SLICE
     # Slices are added up in two steps, so that no task gets one from each of very many others.
-    few = texts.mapInArrow(sketch, fields).withColumn("salt", F.spark_partition_id() % 256).repartition("slice", "salt").drop("salt").mapInArrow(add, fields)
-    found = few.repartition(slices, "slice").mapInArrow(reached, fields).collect()
+    few = texts.mapInArrow(lean(sketch), fields).withColumn("salt", F.spark_partition_id() % 256).repartition("slice", "salt").drop("salt").mapInArrow(lean(add), fields)
+    found = few.repartition(slices, "slice").mapInArrow(lean(reached), fields).collect()
     out = np.zeros(CELLS, bool)
     for r in found:
         out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.unpackbits(np.frombuffer(r["cells"], np.uint8)).astype(bool)
@@ -159,7 +159,7 @@ def corpus_weights(docs: DataFrame, text_col: str) -> Weights:
                     waiting, held = [], 0
         yield out()
 
-    counted = texts.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") * GRADES >= documents)
+    counted = texts.mapInArrow(lean(count), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") * GRADES >= documents)
     return Weights(documents, [(r["shingle"], r["n"]) for r in counted.collect()])
 
 
@@ -252,7 +252,7 @@ def signatures(docs: DataFrame, weights: Weights, id_col: str, text_col: str) ->
                 )
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), document_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(sign, f"row long, id {id_type}, key long, d1 long, d2 long, weight double, buckets array<long>, {', '.join(f'{p} long' for p in _PLANES)}")
+    return rows.mapInArrow(lean(sign), f"row long, id {id_type}, key long, d1 long, d2 long, weight double, buckets array<long>, {', '.join(f'{p} long' for p in _PLANES)}")
 
 
 _PLANES = [f"p{i}" for i in range(PLANES)]
@@ -307,7 +307,7 @@ def similarities(pairs: DataFrame, texts: DataFrame, weights: Weights, threshold
     # Many pairs may share a leader: the second join is by b, whose partitions Spark splits where they are large.
     left = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
     both = left.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")).hint("merge"), "b").select("a", "b", "ta", "tb")
-    return both.mapInArrow(compare, "a long, b long, similarity double").where(F.col("similarity") >= threshold - 1e-9)
+    return both.mapInArrow(lean(compare), "a long, b long, similarity double").where(F.col("similarity") >= threshold - 1e-9)
 
 
 def labels(links: DataFrame) -> DataFrame:
@@ -389,7 +389,7 @@ def met(members: DataFrame, texts: DataFrame, weights: Weights, threshold: float
             hit = found >= threshold - 1e-9
             yield pa.RecordBatch.from_arrays([pa.array(key[a[hit]]), pa.array(key[b[hit]]), pa.array(found[hit])], names=["a", "b", "similarity"])
 
-    return dealt.mapInArrow(compare, "a long, b long, similarity double")
+    return dealt.mapInArrow(lean(compare), "a long, b long, similarity double")
 
 
 def _apart() -> Column:

@@ -35,14 +35,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffers, free_name, pieces, table
+from .common import buffers, free_name, lean, pieces, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 SLICE = 2 << 20  # text bytes that are encoded together
 SYMBOLS = 1 << 18  # symbols that are composed at once; a longer cut is composed alone
 LONG = 64  # symbols of a word beyond which it is cut further
-PAIRS = (1 << 20) - 1  # pairs of pieces a worker keeps, in a table of 25 MB
+PAIRS = (1 << 19) - 1  # pairs of pieces a worker keeps, in a table of 13 MB
 #: Fixed values of the model format: piece types and model types.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -443,7 +443,7 @@ def _mapped(docs: DataFrame, model_file: str, at: int, fields: str, make) -> Dat
                     yield pa.RecordBatch.from_arrays([*part.columns, *more.values()], names=[*part.schema.names, *more])
 
     have = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{have}, {fields}")
+    return docs.mapInArrow(lean(run), f"{have}, {fields}")
 
 
 def _lists(ids: np.ndarray, sizes: np.ndarray, column: pa.Array) -> pa.Array:

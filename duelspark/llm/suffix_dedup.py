@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import CHUNK, _powers, bounded_batches, buffers, mix, pieces, saved, table
+from .common import _powers, bounded_batches, buffers, CHUNK, lean, mix, pieces, saved, table
 
 LENGTH = 100
 PART_BYTES = 16 << 20  # text bytes whose fragments one task compares
@@ -316,8 +316,8 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
         ids, lists = _lists(wants, ["anchor", "start", "n", "bytes"])
         yield pa.RecordBatch.from_arrays([ids, pa.nulls(len(ids), _SPANS), lists.cast(_WANTS)], names=["num", "spans", "wants"])
 
-    dealt = rows.select("num", "text").mapInArrow(deal, "bucket int, records binary, spans binary").repartition(parts, "bucket")
-    found = saved(dealt.mapInArrow(compare, "num long, spans array<struct<start: long, end: long>>, wants array<struct<anchor: long, start: long, n: long, bytes: long>>"), "fragments")
+    dealt = rows.select("num", "text").mapInArrow(lean(deal), "bucket int, records binary, spans binary").repartition(parts, "bucket")
+    found = saved(dealt.mapInArrow(lean(compare), "num long, spans array<struct<start: long, end: long>>, wants array<struct<anchor: long, start: long, n: long, bytes: long>>"), "fragments")
 
     wants = found.where("wants is not null").groupBy("num").agg(F.flatten(F.collect_list("wants")).alias("wants"))
     wanted = found.where("wants is not null").select(F.explode("wants").alias("w")).agg(F.sum(F.col("w.n") + length).alias("n")).first()["n"] or 0
@@ -383,8 +383,8 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids, lists], names=["num", "spans"])
 
     texts = rows.join(wants, "num").select("num", "text", "wants")
-    borders = texts.mapInArrow(cut, "anchor long, num long, start long, piece binary").repartition(merges, "anchor")
-    merged = borders.mapInArrow(merge, "num long, spans array<struct<start: long, end: long>>")
+    borders = texts.mapInArrow(lean(cut), "anchor long, num long, start long, piece binary").repartition(merges, "anchor")
+    merged = borders.mapInArrow(lean(merge), "num long, spans array<struct<start: long, end: long>>")
     spans = found.where("spans is not null").select("num", "spans").unionByName(merged)
     return spans.groupBy("num").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
@@ -421,7 +421,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.binary()), pa.array(gone, _SPANS)], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"])
 
     joined = rows.join(spans, "num", "left").select("id", "text", "spans")
-    return joined.mapInArrow(keep, f"`{id_col}` {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start: long, end: long>>")
+    return joined.mapInArrow(lean(keep), f"`{id_col}` {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start: long, end: long>>")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
