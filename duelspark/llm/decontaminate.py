@@ -1,8 +1,10 @@
 """Benchmark decontamination with suffix arrays over the training text.
 
 Every task sorts the suffixes of its documents into suffix arrays, one for each shard of a few million words, and
-binary-searches every benchmark suffix in each of them. That gives the longest verbatim match of each benchmark suffix
-and, for the contamination rule, every place where a window of benchmark words occurs.
+binary-searches every benchmark suffix in each of them. Each place found is followed to the end of its longest verbatim
+match. The contamination rule takes all those matches of at least a window (or a whole shorter item): the words they
+cover are the words of all windows that occur, since a window inside a match starts no match of its own.
+Suffixes of fewer words than that cannot begin such a match and are searched by `longest_matches` only.
 
 A suffix is kept in an array only if its first `min_match` words all occur in the benchmark, since no other can match
 that far. Words are compared as numbers of the benchmark's vocabulary (0: not in it); a match ends at 0.
@@ -116,12 +118,12 @@ class Shard:
         order = np.lexsort(keys[::-1])
         self.suffixes, self.keys = starts[order], [k[order] for k in keys]
 
-    def places(self) -> tuple[np.ndarray, np.ndarray]:
-        """(benchmark suffix, place in tokens) wherever the window at that suffix occurs."""
-        q = self.queries
+    def matches(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(benchmark suffix, place in tokens, length): every longest match of a window or more, none inside another of its item's."""
+        q, none = self.queries, (np.zeros(0, np.int64),) * 3
         at = np.flatnonzero(q.is_window)
         if not len(at) or not len(self.suffixes):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return none
         shared = np.minimum(q.need[at], DEPTH)
         low = _keys(q.tokens, q.start[at], shared)
         block, shift = (shared - 1) // PER, np.uint64(BITS) * (PER - 1 - (shared - 1) % PER).astype(np.uint64)
@@ -130,10 +132,15 @@ class Shard:
         n = end - begin
         which = np.repeat(np.arange(len(at)), n)
         place = self.suffixes[np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-        if (q.need > DEPTH).any():
-            same = self._common(q.start[at][which], place) >= q.need[at][which]
-            which, place = which[same], place[same]
-        return at[which], place
+        suffix = at[which]
+        # A match that the word before continues to the left is part of the one that starts there.
+        start = q.start[suffix]
+        before = np.where((start > 0) & (place > 0), q.tokens[start - 1], 0)
+        first = (before == 0) | (before != self.tokens[place - 1])
+        suffix, place = suffix[first], place[first]
+        length = self._common(q.start[suffix], place)
+        long = length >= q.need[suffix]
+        return suffix[long], place[long], length[long]
 
     def longest(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(benchmark suffix, place, length): a longest match of every suffix that matches at least min_match words."""
@@ -208,7 +215,9 @@ def covered(starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
 
 
 def _judged(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, window: int, min_match: int) -> DataFrame:
-    """(id, row, n_words, spans, items) of every document, spans being the hit word runs; items sorted as strings.
+    """(id, row, n_words, longest, spans, items) of every document, spans being the hit word runs; items sorted as strings.
+
+    longest is the longest match's words and first word, of equal ones the earliest; null without a match.
 
     `row` is a hash of id and text where there are several blocks, else null.
     """
@@ -225,9 +234,13 @@ def _judged(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, i
 
             for rows, shard, bounds in shards(batches, q):
                 ids = rows.column(0)
-                suffix, place = shard.places()
-                hit = covered(place, q.need[suffix], len(shard.tokens))
+                suffix, place, length = shard.matches()
+                hit = covered(place, length, len(shard.tokens))
                 doc = np.searchsorted(shard.first, place, "right") - 1
+                best: list[dict | None] = [None] * len(ids)
+                for i in np.lexsort((-place, length)).tolist():  # the longest comes last, of equal ones the earliest
+                    d = int(doc[i])
+                    best[d] = {"length": int(length[i]), "start": int(place[i] - shard.first[d])}
                 pair = np.unique(doc * (len(names) + 1) + q.item[suffix])
                 items: list[list[str]] = [[] for _ in range(len(ids))]
                 for d, i in zip((pair // (len(names) + 1)).tolist(), (pair % (len(names) + 1)).tolist(), strict=True):
@@ -239,18 +252,19 @@ def _judged(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, i
                 for d, a, b in zip(home.tolist(), (edges[::2] - shard.first[home]).tolist(), (edges[1::2] - shard.first[home]).tolist(), strict=True):
                     spans[d].append({"start": a, "end": b})
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(np.diff(bounds), pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string()))],
-                    names=["id", "n_words", "spans", "items"],
+                    [ids, pa.array(np.diff(bounds), pa.int64()), pa.array(best, pa.struct([("length", pa.int64()), ("start", pa.int64())])), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string()))],
+                    names=["id", "n_words", "longest", "spans", "items"],
                 )
 
-        schema = f"id {id_type}, n_words long, spans array<struct<start: long, end: long>>, items array<string>"
+        schema = f"id {id_type}, n_words long, longest struct<length: long, start: long>, spans array<struct<start: long, end: long>>, items array<string>"
         if blocks == 1:
             return narrow.mapInArrow(lean(judge), schema).withColumn("row", F.lit(None).cast("long"))
         # Several blocks: each pass names a document by id and text, so that the passes can be put together.
         part = narrow.select(F.struct("id", F.xxhash64("id", "text").alias("row")).alias("id"), "text").mapInArrow(lean(judge), schema.replace(f"id {id_type}", f"id struct<id: {id_type}, row: long>", 1))
         out = part if out is None else out.unionByName(part)
-    same = out.groupBy("id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"), (F.count(F.lit(1)) / blocks).cast("int").alias("copies"))
-    return same.select(F.explode(F.array_repeat("id", F.col("copies"))).alias("id"), "n_words", "spans", F.array_sort(F.array_distinct("items")).alias("items")).select("id.*", "n_words", "spans", "items")
+    longest = F.max_by("longest", F.struct("longest.length", -F.col("longest.start"))).alias("longest")
+    same = out.groupBy("id").agg(F.max("n_words").alias("n_words"), longest, F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"), (F.count(F.lit(1)) / blocks).cast("int").alias("copies"))
+    return same.select(F.explode(F.array_repeat("id", F.col("copies"))).alias("id"), "n_words", "longest", "spans", F.array_sort(F.array_distinct("items")).alias("items")).select("id.*", "n_words", "longest", "spans", "items")
 
 
 def hit_words(spans) -> F.Column:
@@ -268,7 +282,10 @@ def _flag(n_hit: F.Column) -> F.Column:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, min_match: int = 2) -> DataFrame:
-    """One row a document: (id, n_words, n_hit, n_items, items_sha256, contaminated, spans, items)."""
+    """One row a document: (id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match, longest_start, spans, items).
+
+    longest_match is 0 and longest_start null without a match of a window or a whole shorter item.
+    """
     judged = _judged(docs, benchmark, id_col, text_col, item_col, item_text_col, window, min_match)
     n_hit = hit_words(F.col("spans"))
     return judged.select(
@@ -278,6 +295,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         _flag(n_hit).alias("contaminated"),
+        F.coalesce("longest.length", F.lit(0).cast("long")).alias("longest_match"),
+        F.col("longest.start").alias("longest_start"),
         "spans",
         "items",
     )
@@ -325,8 +344,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = sent.value
         for rows, shard, bounds in shards(batches, q, text_at):
-            suffix, place = shard.places()
-            upto = np.concatenate([[0], np.cumsum(covered(place, q.need[suffix], len(shard.tokens)))])
+            _, place, length = shard.matches()
+            upto = np.concatenate([[0], np.cumsum(covered(place, length, len(shard.tokens)))])
             n_words = np.diff(bounds)
             n_hit = upto[shard.first + n_words] - upto[shard.first]
             yield rows.filter(pa.array(~((n_hit > 0) & (20 * n_hit >= n_words))))
@@ -336,21 +355,27 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match", "longest_start")
 
 
 ORACLE_SQL = r"""
 WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
-iwin AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[s : s + least(13, len(w)) - 1], ' ') AS win
-  FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - least(13, len(w)) + 1)) AS s FROM iw WHERE len(w) > 0)),
+iw AS (SELECT row_number() OVER () AS i, item_id, w FROM (SELECT DISTINCT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark)),
+iwin AS (SELECT i, item_id, o, least(13, len(w)) AS n, array_to_string(w[o : o + least(13, len(w)) - 1], ' ') AS win
+  FROM (SELECT i, item_id, w, unnest(generate_series(1, len(w) - least(13, len(w)) + 1)) AS o FROM iw WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT n FROM iwin),
-dpos AS (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS s FROM dw WHERE len(w) > 0),
-dwin AS (SELECT doc_id, s, n, array_to_string(w[s : s + n - 1], ' ') AS win FROM dpos, sizes WHERE s + n - 1 <= len(w)),
-hits AS (SELECT doc_id, s, dwin.n AS n, item_id FROM dwin JOIN iwin ON dwin.win = iwin.win AND dwin.n = iwin.n),
+-- 64 starts at a time with the words that their windows reach, so that a long text is not copied for every word
+part AS (SELECT doc_id, 64 * c AS base, w[64 * c + 1 : 64 * c + 76] AS w FROM (SELECT doc_id, w, unnest(generate_series(0, (len(w) - 1) // 64)) AS c FROM dw WHERE len(w) > 0)),
+dpos AS (SELECT doc_id, base, w, unnest(generate_series(1, least(64, len(w)))) AS t FROM part),
+dwin AS (SELECT doc_id, base + t AS s, n, array_to_string(w[t : t + n - 1], ' ') AS win FROM dpos, sizes WHERE t + n - 1 <= len(w)),
+hits AS (SELECT doc_id, s, dwin.n AS n, i, item_id, o FROM dwin JOIN iwin ON dwin.win = iwin.win AND dwin.n = iwin.n),
 words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(s, s + n - 1)) AS p FROM hits) GROUP BY doc_id),
-items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS list FROM hits GROUP BY doc_id)
+items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS list FROM hits GROUP BY doc_id),
+-- windows that follow each other in a document and in an item are one match
+runs AS (SELECT doc_id, min(s) AS s, count(*) + any_value(n) - 1 AS n
+  FROM (SELECT *, o - row_number() OVER (PARTITION BY doc_id, i, s - o ORDER BY o) AS run FROM hits) GROUP BY doc_id, i, s - o, run),
+best AS (SELECT doc_id, n, s FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, s) = 1)
 SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(list, '')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, CAST(coalesce(best.n, 0) AS BIGINT) AS longest_match, CAST(best.s - 1 AS BIGINT) AS longest_start
+FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN best USING (doc_id)
 """

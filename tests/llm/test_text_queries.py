@@ -190,7 +190,7 @@ def test_contamination_matches_sql(spark, monkeypatch, block):
     rows, items = contaminated_corpus()
     docs, bench = spark.createDataFrame(rows, SCHEMA).repartition(3), spark.createDataFrame(items, "item_id long, text string")
     monkeypatch.setattr(decontaminate.query_blocks, "__defaults__", (block,))
-    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match", "longest_start"]
     got = by_spark(decontaminate.contamination(docs, bench).select(*names))
     assert got == by_sql(decontaminate.ORACLE_SQL, documents=docs.toPandas(), benchmark=bench.toPandas())
     bad = {r[2] for r in got if r[0]}
@@ -207,7 +207,7 @@ def test_items_and_documents_that_repeat_or_lack_ids(spark, monkeypatch, block):
     bench = spark.createDataFrame(items, "item_id long, text string")
     texts = ["x alpha beta gamma y", "delta epsilon zeta", "a eta theta", "iota kappa", "alpha beta gamma and delta epsilon zeta", "clean", None]
     docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], SCHEMA).repartition(2)
-    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match", "longest_start"]
     assert by_spark(decontaminate.contamination(docs, bench).select(*names)) == by_sql(decontaminate.ORACLE_SQL, documents=docs.toPandas(), benchmark=bench.toPandas().astype({"item_id": "Int64"}))
     same = [(7, "alpha beta gamma"), (7, "clean one"), (None, "iota kappa"), (None, "clean two"), (None, None), (7, "clean one")]
     kept = decontaminate.drop_contaminated(spark.createDataFrame(same, "doc_id long, text string").repartition(2), bench)
