@@ -44,6 +44,33 @@ FINISHED_WORDS, FINISHED_SCORES = ("finished", "completed", "final", "ended"), (
 #: Labels of the signals an explanation is made of, in their order.
 SIGNALS = {"rating": "Team rating", "form": "Recent form", "maps": "Map depth", "ranking": "VRS order", "veto": "veto"}
 
+#: Tiers of contests, events and teams. A line's conditions must all hold; the first line that fits decides.
+MODEL_TIERS = (
+    ("T1", {"publisher": "major"}), ("T1", {"publisher": "tier 1"}), ("T1", {"letter": ("s-tier",), "offline": True, "best_rank": 50}),
+    ("T1_5", {"letter": ("s-tier",)}), ("T1_5", {"letter": ("a-tier",), "offline": True, "best_rank": 80}), ("T1_5", {"best_rank": 30, "worst_rank": 100, "not_phase": "qualifier"}),
+    ("T2", {"letter": ("a-tier", "b-tier")}), ("T2", {"best_rank": 120}),
+)
+EVENT_TIERS = (
+    ("tier_1", {"declared": "tier_1"}), ("tier_1", {"letter": ("S",), "lan": True, "top12": 6, "median_rank": 18}),
+    ("tier_1_5", {"letter": ("S", "A"), "top20": 8, "median_rank": 28}), ("tier_2", {"letter": ("A", "B"), "median_rank": 45}),
+)
+TEAM_TIERS = (("tier_1", {"rank": 12, "rating": 1.03, "core_maps": 20, "changes": 1}), ("tier_1_5", {"rank": 20}), ("tier_2", {"rank": 40}))
+#: Risks that add up to an integrity score, and the changes of a roster that count as one.
+RISKS = {"lan": 0.05, "online": 0.20, "weak_team": 0.10, "changed_team": 0.10, "investigated": 0.50, "rumoured": 0.10, "online_lower": 0.10}
+EVENT_RISKS = {"tier_1_5": 0.05, "tier_2": 0.20, "tier_3": 0.45}
+MANY_CHANGES, UNRANKED = 2, 999
+#: What a contest weighs in training by its event's tier, and what leaves it out.
+WEIGHTS, LAN_WEIGHT, OTHER_WEIGHT = {"tier_1": 1.0, "tier_1_5": 0.9}, 0.75, 0.45
+FAR_RANK, FEW_MAPS = 40, 10
+#: A contest's risk label by its tier.
+LOW_RISK_TIERS, MEDIUM_RISK_TIER, MEDIUM_RISK_RANK = ("T1", "T1_5"), "T2", 120
+
+
+def first_fit(lines: tuple, conditions: dict, otherwise: str) -> Column:
+    """The label of the first line all of whose conditions hold; each condition is a function of the line's value."""
+    fits = [F.when(functools.reduce(lambda a, b: a & b, [conditions[name](value) for name, value in line.items()]), label) for label, line in lines]
+    return F.coalesce(*fits, F.lit(otherwise))
+
 
 def lookup(table: dict, key: Column) -> Column:
     return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[key]
@@ -103,29 +130,31 @@ def live_phase(stage: Column) -> Column:
     return F.struct(order.alias("phase_order"), any_of("playoff", "round of", "quarter", "semi", "final").alias("is_playoff"), any_of("lower", "elimination", "decider", "final").alias("is_elimination"))
 
 
+def _lower(c: Column) -> Column:
+    return F.lower(F.coalesce(c, F.lit("")))
+
+
+def _ranks(rank1: Column, rank2: Column) -> tuple[Column, Column]:
+    """The better and the worse of the known ranks."""
+    return tuple(F.coalesce(side(rank1, rank2), F.lit(UNRANKED)) for side in (F.least, F.greatest))
+
+
 def model_tier(event_tier: Column, publisher_tier: Column, event_type: Column, phase: Column, rank1: Column, rank2: Column) -> Column:
     """T1, T1_5, T2 or T3 of a contest (F20); unknown ranks count as 999."""
-    e, p, o = (F.lower(F.coalesce(c, F.lit(""))) for c in (event_tier, publisher_tier, event_type))
-    best, worst = F.coalesce(F.least(rank1, rank2), F.lit(999)), F.coalesce(F.greatest(rank1, rank2), F.lit(999))
-    offline = o.contains("offline")
-    return (
-        F.when(p.contains("major") | p.contains("tier 1") | ((e == "s-tier") & offline & (best <= 50)), "T1")
-        .when((e == "s-tier") | ((e == "a-tier") & offline & (best <= 80)) | ((best <= 30) & (worst <= 100) & (F.lower(F.coalesce(phase, F.lit(""))) != "qualifier")), "T1_5")
-        .when(e.isin("a-tier", "b-tier") | (best <= 120), "T2")
-        .otherwise("T3")
-    )
+    best, worst = _ranks(rank1, rank2)
+    conditions = {
+        "publisher": lambda v: _lower(publisher_tier).contains(v), "letter": lambda v: _lower(event_tier).isin(*v), "offline": lambda v: _lower(event_type).contains("offline") == v,
+        "best_rank": lambda v: best <= v, "worst_rank": lambda v: worst <= v, "not_phase": lambda v: _lower(phase) != v,
+    }
+    return first_fit(MODEL_TIERS, conditions, "T3")
 
 
 def integrity_label(tier: Column, event_tier: Column, publisher_tier: Column, event_type: Column, phase: Column, rank1: Column, rank2: Column) -> Column:
-    """low, medium or high risk of a contest."""
-    e, p, o, ph = (F.lower(F.coalesce(c, F.lit(""))) for c in (event_tier, publisher_tier, event_type, phase))
-    worst = F.coalesce(F.greatest(rank1, rank2), F.lit(999))
-    return (
-        F.when(ph.contains("showmatch") | e.contains("showmatch"), "high")
-        .when(tier.isin("T1", "T1_5") & o.contains("offline") & ~p.contains("qualifier"), "low")
-        .when((tier == "T2") & (worst <= 120), "medium")
-        .otherwise("high")
-    )
+    """low, medium or high risk of a contest (F21); a showmatch is always a high one."""
+    show = _lower(F.concat_ws(" ", phase, event_tier)).contains("showmatch")
+    safe = tier.isin(*LOW_RISK_TIERS) & _lower(event_type).contains("offline") & ~_lower(publisher_tier).contains("qualifier")
+    middling = (tier == MEDIUM_RISK_TIER) & (_ranks(rank1, rank2)[1] <= MEDIUM_RISK_RANK)
+    return F.coalesce(F.when(~show & safe, "low"), F.when(~show & middling, "medium"), F.lit("high"))
 
 
 def mean_known(*ranks: Column) -> Column:
@@ -136,39 +165,37 @@ def mean_known(*ranks: Column) -> Column:
 
 def team_tier(rank: Column, rating: Column, core_maps: Column, changes: Column) -> Column:
     """tier_1 … tier_3 of a team."""
-    top = (rank <= 12) & (F.coalesce(rating, F.lit(1.0)) >= 1.03) & (core_maps >= 20) & (changes <= 1)
-    return F.when(top, "tier_1").when(rank <= 20, "tier_1_5").when(rank <= 40, "tier_2").otherwise("tier_3")
+    rated = F.coalesce(rating, F.lit(1.0))
+    return first_fit(TEAM_TIERS, {"rank": lambda v: rank <= v, "rating": lambda v: rated >= v, "core_maps": lambda v: core_maps >= v, "changes": lambda v: changes <= v}, "tier_3")
 
 
 def event_tier(declared: Column, letter: Column, is_lan: Column, top12: Column, top20: Column, median_rank: Column) -> Column:
-    m = F.coalesce(median_rank, F.lit(999.0))
-    return (
-        F.when((declared == "tier_1") | ((letter == "S") & is_lan & (top12 >= 6) & (m <= 18)), "tier_1")
-        .when(letter.isin("S", "A") & (top20 >= 8) & (m <= 28), "tier_1_5")
-        .when(letter.isin("A", "B") & (m <= 45), "tier_2")
-        .otherwise("tier_3")
-    )
+    """tier_1 … tier_3 of an event by what it declares, its letter and its field."""
+    middle = F.coalesce(median_rank, F.lit(float(UNRANKED)))
+    conditions = {
+        "declared": lambda v: declared == v, "letter": lambda v: letter.isin(*v), "lan": lambda v: is_lan == v,
+        "top12": lambda v: top12 >= v, "top20": lambda v: top20 >= v, "median_rank": lambda v: middle <= v,
+    }
+    return first_fit(EVENT_TIERS, conditions, "tier_3")
 
 
 def integrity_score(event: Column, is_lan: Column, online: Column, tiers: tuple[Column, Column], changes: tuple[Column, Column], investigated: Column, rumoured: Column) -> Column:
     """Additive risk in [0, 1]."""
-    add = lambda cond, x: F.when(cond, x).otherwise(0.0)
-    risk = F.when(is_lan, 0.05).otherwise(0.20) + add(event == "tier_1_5", 0.05) + add(event == "tier_2", 0.20) + add(event == "tier_3", 0.45)
-    for t in tiers:
-        risk = risk + add(t == "tier_3", 0.10)
-    for n in changes:
-        risk = risk + add(n >= 2, 0.10)
-    risk = risk + add(investigated, 0.50) + add(rumoured, 0.10) + add(online & event.isin("tier_2", "tier_3"), 0.10)
-    return clamp(risk, 0.0, 1.0)
+    present = [
+        ("lan", is_lan), ("online", F.coalesce(~is_lan, F.lit(True))), *[("weak_team", t == "tier_3") for t in tiers], *[("changed_team", n >= MANY_CHANGES) for n in changes],
+        ("investigated", investigated), ("rumoured", rumoured), ("online_lower", online & event.isin("tier_2", "tier_3")),
+    ]
+    return clamp(sum((F.when(here, RISKS[name]).otherwise(0.0) for name, here in present), F.coalesce(lookup(EVENT_RISKS, event), F.lit(0.0))), 0.0, 1.0)
 
 
 def excluded(event: Column, online: Column, ranks: tuple[Column, Column], core_maps: tuple[Column, Column], investigated: Column) -> Column:
-    far = (F.coalesce(ranks[0], F.lit(999.0)) > 40) & (F.coalesce(ranks[1], F.lit(999.0)) > 40)
-    return investigated | (event == "tier_3") | (online & far) | (F.least(*core_maps) < 10)
+    """Whether training leaves a contest out."""
+    closest = F.least(*[F.coalesce(r, F.lit(float(UNRANKED))) for r in ranks])
+    return investigated | (event == "tier_3") | (online & (closest > FAR_RANK)) | (F.least(*core_maps) < FEW_MAPS)
 
 
 def training_weight(event: Column, is_lan: Column, risk: Column, out: Column) -> Column:
-    base = F.when(event == "tier_1", 1.0).when(event == "tier_1_5", 0.9).otherwise(F.when(is_lan, 0.75).otherwise(0.45))
+    base = F.coalesce(lookup(WEIGHTS, event), F.when(is_lan, LAN_WEIGHT).otherwise(OTHER_WEIGHT))
     return F.when(out, 0.0).otherwise(F.round(base * (1.0 - risk * 0.5), 3))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,6 +11,7 @@ from duelspark.functions import rules
 from duelspark.operators import aggregate as agg
 from duelspark.operators import fold, joins, model, prior, select
 from duelspark.sources.fixtures import Fixtures, with_views
+from duelspark.sources.io import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -33,13 +33,7 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
 def saved(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back, to cut lineage."""
     spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    base = base or "file:///tmp/checkpoints/duelspark"
-    path = f"{base}/step-{uuid.uuid4().hex}"
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    path = scratch(spark, "step")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -303,9 +297,10 @@ PLAYER_MAPS = """, pm AS (SELECT player_id, map_name, count(*) AS maps, sum(CASE
 """
 P_VIEWS = ("v_matches", "v_maps", "v_player_stats")
 query("a13_player_maps", f"{PLAYER_MAPS} SELECT * FROM pm", P_VIEWS)(lambda x: agg.player_maps(x.player_stats, x.maps))
-query("a14_roster_eras", "SELECT player_id, team_id, count(*) AS n, min(stat_ts) AS from_ts, max(stat_ts) AS through_ts, avg(rating) AS average_rating, avg(adr) AS average_adr FROM v_player_stats GROUP BY 1, 2", ("v_player_stats",))(lambda x: agg.player_spans(x.player_stats, "team_id"))
-query("a15_event_splits", "SELECT player_id, event_id, count(*) AS n, min(stat_ts) AS from_ts, max(stat_ts) AS through_ts, avg(rating) AS average_rating, avg(adr) AS average_adr FROM v_player_stats JOIN v_matches USING (match_id) GROUP BY 1, 2", ("v_matches", "v_player_stats"))(
-    lambda x: agg.player_spans(x.player_stats.join(x.matches.select("match_id", "event_id"), "match_id"), "event_id")
+RESULTS = ", wr AS (SELECT s.*, CASE WHEN winner_team_id = team_id THEN 1 WHEN winner_team_id IS NOT NULL THEN 0 END AS won FROM v_player_stats s LEFT JOIN (SELECT match_id, map_index, winner_team_id FROM v_maps WHERE map_name <> 'TBA') m ON m.match_id = s.match_id AND m.map_index = s.map_index)"
+query("a14_roster_eras", f"{RESULTS} SELECT player_id, team_id, count(*) AS n, count(CASE WHEN won = 1 THEN 1 END) AS wins, count(CASE WHEN won = 0 THEN 1 END) AS losses, min(stat_ts) AS from_ts, max(stat_ts) AS through_ts, avg(rating) AS average_rating, avg(adr) AS average_adr FROM wr GROUP BY 1, 2", P_VIEWS)(lambda x: agg.player_spans(agg.with_results(x.player_stats, x.maps), "team_id"))
+query("a15_event_splits", f"{RESULTS} SELECT player_id, event_id, count(*) AS n, count(CASE WHEN won = 1 THEN 1 END) AS wins, count(CASE WHEN won = 0 THEN 1 END) AS losses, min(stat_ts) AS from_ts, max(stat_ts) AS through_ts, avg(rating) AS average_rating, avg(adr) AS average_adr FROM wr JOIN v_matches USING (match_id) GROUP BY 1, 2", P_VIEWS)(
+    lambda x: agg.player_spans(agg.with_results(x.player_stats, x.maps).join(x.matches.select("match_id", "event_id"), "match_id"), "event_id")
 )
 query("a16_best_map", f"""{PLAYER_MAPS}, b AS (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY CASE WHEN maps >= 3 THEN 0 ELSE 1 END, round(average_rating, 9) DESC, map_name DESC) AS k FROM pm)
 SELECT player_id, sum(maps) AS maps, max(CASE WHEN k = 1 AND b.maps >= 3 THEN map_name END) AS best_map, max(CASE WHEN k = 1 AND b.maps >= 3 THEN round(average_rating, 9) END) AS best_rating FROM b GROUP BY 1""", P_VIEWS)(
@@ -314,6 +309,21 @@ SELECT player_id, sum(maps) AS maps, max(CASE WHEN k = 1 AND b.maps >= 3 THEN ma
 query("a17_opponents", f"{SIDES} SELECT team_id, opponent_id, count(*) AS n, sum(won) AS wins, sum(1 - won) AS losses, max(match_ts) AS last_ts FROM s GROUP BY 1, 2", ("v_matches",))(lambda x: agg.opponents(prior.contest_sides(x.matches)))
 query("a18_head_to_head", """, b AS (SELECT least(team1_id, team2_id) AS low, greatest(team1_id, team2_id) AS high, map_name, CASE WHEN winner_team_id = least(team1_id, team2_id) THEN 1 WHEN winner_team_id IS NOT NULL THEN 0 END AS won, (CASE WHEN team1_id < team2_id THEN 1 ELSE -1 END) * (team1_rounds - team2_rounds) AS diff FROM v_maps WHERE map_name <> 'TBA')
 SELECT low, high, map_name, count(*) AS n, coalesce(sum(won), 0) AS low_wins, sum(diff) AS round_diff FROM b GROUP BY GROUPING SETS ((low, high), (low, high, map_name))""", M_VIEWS)(lambda x: agg.head_to_head_summary(x.maps))
+
+
+@query("a18_current_era", f"""{SIDES}, lu AS (SELECT match_id, match_ts, CASE WHEN l_linenumber % 2 = 0 THEN team1_id ELSE team2_id END AS team_id, list(DISTINCT l_partkey % 6) AS p FROM lineitem JOIN v_matches ON match_id = l_orderkey GROUP BY 1, 2, 3),
+ro AS (SELECT team_id, p AS roster FROM lu QUALIFY row_number() OVER (PARTITION BY team_id ORDER BY match_ts DESC, match_id DESC) = 1),
+z AS (SELECT s.team_id, opponent_id, won, coalesce(len(list_intersect(p, roster)) >= least(3, len(roster)), FALSE) AS era FROM s LEFT JOIN lu ON lu.match_id = s.match_id AND lu.team_id = s.team_id LEFT JOIN ro ON ro.team_id = s.team_id)
+SELECT team_id, opponent_id, count(*) AS matches, sum(won) AS wins, sum(1 - won) AS losses, avg(won) AS win_rate, count(CASE WHEN era THEN 1 END) AS current_era_matches, count(CASE WHEN era AND won = 1 THEN 1 END) AS current_era_wins,
+  count(CASE WHEN era AND won = 1 THEN 1 END) / nullif(count(CASE WHEN era THEN 1 END), 0) AS current_era_win_rate FROM z GROUP BY 1, 2""", ("v_matches",))
+def _(x):
+    rows = x.table("lineitem").join(x.matches, F.col("match_id") == F.col("l_orderkey"))
+    team = F.when(F.col("l_linenumber") % 2 == 0, F.col("team1_id")).otherwise(F.col("team2_id"))
+    lineups = rows.groupBy("match_id", "match_ts", team.alias("team_id")).agg(F.collect_set(F.col("l_partkey") % 6).alias("players"))
+    roster = agg.last_of(lineups, "team_id", ["match_ts", "match_id"], ["players"]).withColumnRenamed("players", "roster")
+    return agg.current_era(prior.contest_sides(x.matches), lineups.drop("match_ts"), roster)
+
+
 query("a19_event_archive", f"""{SIDES}, c AS (SELECT event_id, CASE WHEN target_team1_win = 1 THEN team1_id ELSE team2_id END AS champion, row_number() OVER (PARTITION BY event_id ORDER BY match_ts DESC, match_id DESC) AS k FROM v_matches WHERE match_phase = 'quarterfinal')
 SELECT m.event_id, min(match_ts) AS first_ts, max(match_ts) AS last_ts, count(*) AS matches, max(CASE WHEN event_tier = 'S-Tier' THEN 1 ELSE 0 END) AS tier_1, any_value(c.champion) AS champion, any_value(n.participants) AS participants
 FROM v_matches m LEFT JOIN c ON c.event_id = m.event_id AND k = 1 JOIN (SELECT event_id, count(DISTINCT team_id) AS participants FROM s GROUP BY 1) n ON n.event_id = m.event_id GROUP BY m.event_id""", ("v_matches",))(
@@ -321,17 +331,18 @@ FROM v_matches m LEFT JOIN c ON c.event_id = m.event_id AND k = 1 JOIN (SELECT e
 )
 
 
-@query("a20_event_records", f"""{SIDES} SELECT e.event_id, t.team_id, coalesce(r.wins, 0) AS wins, coalesce(r.losses, 0) AS losses FROM (SELECT DISTINCT event_id FROM v_matches) e CROSS JOIN (SELECT DISTINCT team1_id AS team_id FROM v_matches) t
-LEFT JOIN (SELECT event_id, team_id, sum(won) AS wins, sum(1 - won) AS losses FROM s WHERE is_playoff = 1 GROUP BY 1, 2) r ON r.event_id = e.event_id AND r.team_id = t.team_id""", ("v_matches",))
+@query("a20_event_records", f"""{SIDES} SELECT e.event_id, e.team_id, coalesce(r.wins, 0) AS wins, coalesce(r.losses, 0) AS losses FROM (SELECT DISTINCT event_id, team_id FROM s) e
+LEFT JOIN (SELECT event_id, team_id, sum(won) AS wins, sum(1 - won) AS losses FROM s WHERE is_playoff = 1 GROUP BY 1, 2) r ON r.event_id = e.event_id AND r.team_id = e.team_id""", ("v_matches",))
 def _(x):
-    everyone = x.matches.select("event_id").distinct().crossJoin(x.matches.select(F.col("team1_id").alias("team_id")).distinct())
-    return agg.event_records(everyone, prior.contest_sides(x.matches).where("is_playoff = 1"))
+    """Participants play in some stage; only their playoff results count, so some have none."""
+    rows = prior.contest_sides(x.matches)
+    return agg.event_records(rows.select("event_id", "team_id").distinct(), rows.where("is_playoff = 1"))
 
 
 @query("a21_events", """, q AS (SELECT *, CASE WHEN match_ts > TIMESTAMP '1999-01-01' THEN 2 WHEN match_ts > TIMESTAMP '1998-12-01' THEN 3 ELSE 1 END AS r FROM v_matches),
 u AS (SELECT event_id, team1_id AS t, match_ts, match_id, 1 AS side FROM q UNION ALL SELECT event_id, team2_id, match_ts, match_id, 2 FROM q),
 f AS (SELECT event_id, t, min(struct_pack(a := match_ts, b := match_id, c := side)) AS k FROM u GROUP BY 1, 2)
-SELECT q.event_id, count(*) AS n, CASE max(r) WHEN 3 THEN 'live' WHEN 2 THEN 'upcoming' ELSE 'finished' END AS status, any_value(p.participants) AS participants
+SELECT q.event_id, count(*) AS n, CASE max(r) WHEN 3 THEN 'live' WHEN 2 THEN 'upcoming' ELSE 'finished' END AS status, any_value(p.participants) AS participants, string_agg(DISTINCT match_phase, ';' ORDER BY match_phase) AS stages
 FROM q JOIN (SELECT event_id, string_agg(CAST(t AS VARCHAR), ';' ORDER BY k) AS participants FROM f GROUP BY 1) p ON p.event_id = q.event_id GROUP BY q.event_id""", ("v_matches",))
 def _(x):
     status = F.when(F.col("match_ts") > "1999-01-01", "upcoming").when(F.col("match_ts") > "1998-12-01", "live").otherwise("finished")
@@ -385,13 +396,14 @@ f AS (SELECT player_id, avg(CASE WHEN k <= 3 THEN rating END) AS recent, avg(CAS
 
 
 @query("w10_timeline", """, o AS (SELECT DISTINCT player_id, stat_ts, match_id, team_id FROM v_player_stats), k AS (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY stat_ts DESC, match_id DESC, team_id DESC) AS place FROM o)
-SELECT k.player_id, k.match_id, k.team_id, place, CASE WHEN k.team_id = m.team1_id THEN m.team2_id WHEN k.team_id = m.team2_id THEN m.team1_id END AS opponent_id FROM k LEFT JOIN v_matches m USING (match_id) WHERE place <= 18""", ("v_matches", "v_player_stats"))
+SELECT k.player_id, k.match_id, k.team_id, place, CASE WHEN k.team_id = m.team1_id THEN m.target_team1_win WHEN k.team_id = m.team2_id THEN 1 - m.target_team1_win END AS won, CASE WHEN k.team_id = m.team1_id THEN m.team2_id WHEN k.team_id = m.team2_id THEN m.team1_id END AS opponent_id FROM k LEFT JOIN v_matches m USING (match_id) WHERE place <= 18""", ("v_matches", "v_player_stats"))
 def _(x):
     rows = x.player_stats.select("player_id", "stat_ts", "match_id", "team_id").distinct()
     place = F.row_number().over(Window.partitionBy("player_id").orderBy(F.col("stat_ts").desc(), F.col("match_id").desc(), F.col("team_id").desc()))
-    top = rows.withColumn("place", place).where("place <= 18").join(x.matches.select("match_id", "team1_id", "team2_id"), "match_id", "left")
+    top = rows.withColumn("place", place).where("place <= 18").join(x.matches.select("match_id", "team1_id", "team2_id", "target_team1_win"), "match_id", "left")
+    won = F.when(F.col("team_id") == F.col("team1_id"), F.col("target_team1_win")).when(F.col("team_id") == F.col("team2_id"), 1 - F.col("target_team1_win"))
     opponent = F.when(F.col("team_id") == F.col("team1_id"), F.col("team2_id")).when(F.col("team_id") == F.col("team2_id"), F.col("team1_id"))
-    return top.select("player_id", "match_id", "team_id", "place", opponent.alias("opponent_id"))
+    return top.select("player_id", "match_id", "team_id", "place", won.alias("won"), opponent.alias("opponent_id"))
 
 
 query("w11_latest_ranking", "SELECT ranking_date, team_id, points, rnk FROM v_rankings WHERE ranking_date = (SELECT max(ranking_date) FROM v_rankings)", ("v_rankings",))(lambda x: prior.latest_per(x.rankings, "ranking_date").select("ranking_date", "team_id", "points", "rnk"))
@@ -432,18 +444,31 @@ AFTER = "t.k * (t.y - 1.0::DOUBLE / (1.0::DOUBLE + pow(10.0::DOUBLE, (e2 - e1) /
 query("r01_elo", f"{RANKED}{ELO} SELECT t.match_id, e1 AS elo1, e2 AS elo2, e1 + {AFTER} AS after1, e2 - {AFTER} AS after2 FROM el JOIN elo_q t USING (match_id)", F_VIEWS)(lambda x: elo(x).select("match_id", "elo1", "elo2", "after1", "after2"))
 
 
-@query("r02_elo_periods", """, k AS (SELECT *, CASE WHEN event_tier = 'S-Tier' THEN 28.0 ELSE 20.0 END AS kf, CASE WHEN year(match_ts) < 1996 THEN 0 ELSE 1 END AS pd FROM v_matches),
-d0 AS (SELECT t, sum(d) AS d FROM (SELECT team1_id AS t, kf * (target_team1_win - 0.5) AS d FROM k WHERE pd = 0 UNION ALL SELECT team2_id, -kf * (target_team1_win - 0.5) FROM k WHERE pd = 0) GROUP BY 1),
-e0 AS (SELECT t, 1500.0 + d AS e FROM d0),
-x1 AS (SELECT team1_id, team2_id, kf * (target_team1_win - 1 / (1 + pow(10.0, (coalesce(b.e, 1500.0) - coalesce(a.e, 1500.0)) / 400.0))) AS d FROM k LEFT JOIN e0 a ON a.t = team1_id LEFT JOIN e0 b ON b.t = team2_id WHERE pd = 1),
-d1 AS (SELECT t, sum(d) AS d FROM (SELECT team1_id AS t, d FROM x1 UNION ALL SELECT team2_id, -d FROM x1) GROUP BY 1)
-SELECT coalesce(e0.t, d1.t) AS team_id, coalesce(e, 1500.0) + coalesce(d1.d, 0.0) AS elo FROM e0 FULL JOIN d1 ON d1.t = e0.t""", ("v_matches",))
+@query("r02_elo_periods", """, q AS (SELECT *, CASE WHEN event_tier = 'S-Tier' THEN 28.0::DOUBLE ELSE 20.0::DOUBLE END AS kf, CAST(4 * year(match_ts) + quarter(match_ts) AS INT) AS quarter_no FROM v_matches),
+k AS (SELECT *, quarter_no - (SELECT min(quarter_no) FROM q) AS pd FROM q),
+rr AS (SELECT 0 AS i, t AS team_id, 1500.0::DOUBLE AS elo FROM (SELECT team1_id AS t FROM q UNION SELECT team2_id FROM q) z
+UNION ALL SELECT i + 1, team_id, elo FROM (SELECT r.i, r.team_id, any_value(r.elo) + coalesce(sum(CASE WHEN r.team_id = d.team1_id THEN d.d ELSE -d.d END), 0.0) AS elo
+  FROM rr r LEFT JOIN (SELECT k.team1_id, k.team2_id, k.pd, kf * (target_team1_win - 1 / (1 + pow(10.0, (b.elo - a.elo) / 400.0))) AS d FROM k JOIN rr a ON a.team_id = k.team1_id AND a.i = k.pd JOIN rr b ON b.team_id = k.team2_id AND b.i = k.pd) d
+  ON d.pd = r.i AND (d.team1_id = r.team_id OR d.team2_id = r.team_id) WHERE r.i <= (SELECT max(pd) FROM k) GROUP BY r.i, r.team_id) step)
+SELECT team_id, elo FROM rr WHERE i = (SELECT max(pd) FROM k) + 1""", ("v_matches",))
 def _(x):
+    """Periods are the quarters of the data."""
+    number = 4 * F.year("match_ts") + F.quarter("match_ts")
+    span = x.matches.agg(F.min(number).alias("low"), F.max(number).alias("high")).first()
     k = F.when(F.col("event_tier") == "S-Tier", fold.K_TOP).otherwise(fold.K_OTHER)
-    return fold.elo_periods(x.matches, F.when(F.year("match_ts") < 1996, 0).otherwise(1), 2, k, saved)
+    low, high = (span["low"] or 0), (span["high"] or 0)
+    return fold.elo_periods(saved(x.matches), number - low, high - low + 1, k, saved)
 
 
 query("r03_online_elo")(lambda x: fold.online(x.feed, saved))
+@query("l19_appended_rows")
+def _(x):
+    """Feed results that the training table lacks, under ids of its own, go below it."""
+    base = training(x).select("match_id", "target_team1_win", F.col("elo_prob_team1"))
+    feed = x.feed.where("event_type in ('click', 'purchase')").drop("event_type").withColumn("match_id", F.when(F.col("event_id") % 3 == 0, F.col("event_id")).otherwise(-F.col("event_id")))
+    return model.appended(base, fold.live_rows(feed.withColumn("event_id", F.col("match_id")).drop("match_id"), base.select(F.col("match_id").alias("event_id")), saved))
+
+
 query("r04_form", f"""{SIDES}, a AS (SELECT team_id, won, row_number() OVER (PARTITION BY team_id ORDER BY match_ts DESC, match_id DESC) - 1 AS age FROM s)
 SELECT team_id, 0.5 * pow(9 / 11.0, count(*)) + 2 / 11.0 * sum(won * pow(9 / 11.0, age)) AS form FROM a GROUP BY 1""", ("v_matches",))(lambda x: fold.form_ewma(prior.contest_sides(x.matches)))
 

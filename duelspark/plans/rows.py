@@ -108,6 +108,50 @@ query("o07_o10_sets", "SELECT s, count(*) AS n FROM (SELECT 'all' AS s, o_custke
 
 # -- sources and pages
 
+
+
+@query("s01_s03_bronze", "SELECT c_custkey, c_name, coalesce(nullif(replace(c_name, '#', '\"#,'), ''), NULL) AS odd, CAST(NULL AS VARCHAR) AS missing FROM customer")
+def _(x):
+    """Written as gzip CSV and read back by names, quotes and commas in a value included."""
+    path = io.scratch(x.spark, "bronze")
+    io.write_bronze(x.table("customer").select("c_custkey", "c_name", F.replace("c_name", F.lit("#"), F.lit('"#,')).alias("odd")), path, compression="gzip")
+    return io.read_bronze(x.spark, path, ["c_custkey", "c_name", "odd", "missing"]).withColumn("c_custkey", F.col("c_custkey").cast("long"))
+
+
+@query("s04_log", "SELECT event_id, event_type, value FROM events UNION ALL SELECT event_id, event_type, value FROM events WHERE event_type = 'click'")
+def _(x):
+    path, rows = io.scratch(x.spark, "log"), x.table("events").select("event_id", "event_type", "value")
+    io.append_log(rows, path)
+    io.append_log(rows.where("event_type = 'click'"), path)
+    return io.read_log(x.spark, path, "event_id long, event_type string, value double")
+
+
+@query("s11_published", "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 0")
+def _(x):
+    """Three versions: the gate lets 9 and 10 through and stops 11, which has rows out of range."""
+    path, rows = io.scratch(x.spark, "published"), x.table("customer").select("c_custkey", "c_acctbal")
+    gate = lambda df: df.where("c_acctbal <= 0").isEmpty()
+    for version, part in (("9", rows.where("c_acctbal > 100")), ("10", rows.where("c_acctbal > 0")), ("11", rows)):
+        io.publish(part, path, version, gate)
+    return io.published(x.spark, path).select("c_custkey", "c_acctbal")
+
+
+@query("s20_labelled", "SELECT c_custkey, c_mktsegment, CASE WHEN c_custkey % 2 = 0 THEN 'even' ELSE 'odd' END AS label FROM customer")
+def _(x):
+    base, rows = io.scratch(x.spark, "labelled"), x.table("customer").select("c_custkey", "c_mktsegment")
+    for label, rest in (("even", 0), ("odd", 1)):
+        io.write_bronze(rows.where(F.col("c_custkey") % 2 == rest), f"{base}/{label}", ["c_custkey", "c_mktsegment"])
+    return io.labelled_files(x.spark, {label: f"{base}/{label}" for label in ("even", "odd", "absent")}, "c_custkey long, c_mktsegment string")
+
+
+@query("m09_partitions", "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 2 ELSE 1 END AS run, c_mktsegment AS segment FROM customer")
+def _(x):
+    path, rows = io.scratch(x.spark, "partitions"), x.table("customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
+    merge.overwrite_partitions(rows.withColumn("run", F.lit(1)), path, ["segment"])
+    merge.overwrite_partitions(rows.where("segment = 'BUILDING'").withColumn("run", F.lit(2)), path, ["segment"])
+    return x.spark.read.parquet(path).select("c_custkey", "run", "segment")
+
+
 query("s05_nested", "SELECT event_id, CAST(regexp_extract(props, '(\\d+)', 1) AS BIGINT) AS k FROM events WHERE event_id % 4 <> 3")(
     lambda x: io.nested_items(x.table("events").withColumn("j", F.concat(F.lit('{"id":'), F.col("event_id").cast("string"), F.lit(","), F.expr("substring(props, 2)"))).withColumn("d", F.element_at(F.array(F.concat(F.lit("["), F.col("j"), F.lit("]")), F.concat(F.lit('{"items":['), F.col("j"), F.lit("]}")), F.concat(F.lit('{"matches":['), F.col("j"), F.lit("]}")), F.lit('{"other":1}')), (F.col("event_id") % 4 + 1).cast("int"))), "d", "struct<id: bigint, k: bigint>").select(F.col("id").alias("event_id"), "k")
 )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from collections.abc import Callable
 
@@ -21,6 +22,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares, deleted when the session ends."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    path = f"{base or 'file:///tmp/checkpoints/duelspark'}/{name}-{uuid.uuid4().hex}"
+    fs, target = _fs(spark, path)
+    fs.deleteOnExit(target)
+    return path
+
+
 def read_bronze(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """A headered CSV as strings; columns by name whatever their order; a missing or blank file is empty."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])

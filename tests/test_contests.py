@@ -231,3 +231,27 @@ def test_boosted_trees_fit(spark):
     fitted = model.boosted_trees(rows, ["a", "b"], "y", trees=3)
     assert fitted.getNumTrees == 3
     assert model.logistic_model(rows, ["a", "b"], "y").coefficients[0] > 0
+
+
+def test_live_rows_follow_a_plain_loop(spark):
+    """Known ids, draws, repeats and nulls give no row; features are those before the result, in stretches too."""
+    import random
+
+    rng = random.Random(5)
+    feed = [(i, T0 + timedelta(hours=i // 2), rng.randint(1, 4), rng.randint(5, 7), rng.randint(0, 2), rng.randint(0, 2)) for i in range(60)]
+    feed += [feed[10], (None, T0, 1, 5, 2, 0), (90, T0, None, 5, 2, 0), (91, T0, 1, 5, None, 0)]
+    known = [(3,), (4,), (None,)]
+    elo, want, seen = {9: 1.0}, {}, {3, 4, None}
+    for event, ts, a, b, x, y in sorted((r for r in feed if None not in r), key=lambda r: (r[1], r[0])):
+        if event in seen or x == y:
+            continue
+        seen.add(event)
+        p, q = elo.get(a, 1500.0), elo.get(b, 1500.0)
+        chance = 1 / (1 + 10 ** ((q - p) / 400))
+        want[event] = (int(x > y), p - q, chance)
+        d = 22 * min(1.35, 1 + 0.12 * abs(x - y)) * ((x > y) - chance)
+        elo[a], elo[b] = p + d, q - d
+    rows = spark.createDataFrame(feed, "event_id long, ts timestamp, team1_id int, team2_id int, score1 int, score2 int").repartition(3)
+    out = fold.live_rows(rows, spark.createDataFrame(known, "event_id long"), lambda df: df.persist(), stretch=20)
+    got = {r.event_id: (r.target_team1_win, r.elo_diff, r.elo_prob_team1) for r in out.collect()}
+    assert set(got) == set(want) and all(got[e] == pytest.approx(want[e]) for e in want)
