@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, html_extract, language_id, license_scan, near_dedup, sentencepiece_fst, suffix_dedup, token_counts, warc
+from . import decontaminate, exact_dedup, html_extract, language_id, license_scan, near_dedup, periodic_runs, sentencepiece_fst, suffix_dedup, token_counts, warc
 
 _QUERIES = {
     "op1_exact_dedup": (exact_dedup.op1_exact_dedup, exact_dedup.ORACLE_SQL),
@@ -15,6 +15,7 @@ _QUERIES = {
     "op8_html_extraction": (html_extract.op8_html_extraction, None),
     "op9_sentencepiece": (sentencepiece_fst.op9_sentencepiece, None),
     "op10_suffix_dedup": (suffix_dedup.op10_suffix_dedup, None),
+    "op13_periodic_runs": (periodic_runs.op13_periodic_runs, None),
 }
 
 
