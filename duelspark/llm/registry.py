@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, html_extract, language_id, license_scan, near_dedup, periodic_runs, sentencepiece_fst, spelling_variants, suffix_dedup, token_counts, warc
+from . import decontaminate, exact_dedup, html_extract, language_id, license_scan, near_dedup, periodic_runs, sentencepiece_fst, spelling_variants, suffix_dedup, token_counts, token_files, warc
 
 _QUERIES = {
     "op1_exact_dedup": (exact_dedup.op1_exact_dedup, exact_dedup.ORACLE_SQL),
@@ -15,6 +15,7 @@ _QUERIES = {
     "op8_html_extraction": (html_extract.op8_html_extraction, None),
     "op9_sentencepiece": (sentencepiece_fst.op9_sentencepiece, None),
     "op10_suffix_dedup": (suffix_dedup.op10_suffix_dedup, None),
+    "op11_token_files": (token_files.op11_token_files, None),
     "op12_spelling_variants": (spelling_variants.op12_spelling_variants, spelling_variants.ORACLE_SQL),
     "op13_periodic_runs": (periodic_runs.op13_periodic_runs, None),
 }
