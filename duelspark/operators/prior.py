@@ -1,7 +1,8 @@
 """Strictly-prior features, as-of joins and side unpivots.
 
 Contest order is (time, id). A feature of a contest reads only contests before it, for which windows end one row short.
-Both sides of a contest are exploded from one scan; each window partitions by the entity, so the work spreads over them.
+Both sides of a contest are exploded from one scan; what a team, a pair or a map has behind it is added up in two levels
+(`carry.running`), months first, so that the work of a very popular one spreads over its months.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .carry import bucket_of, mean, month, running
+
 SECONDS_PER_DAY = 86400.0
 
 
@@ -28,21 +31,25 @@ def _rate(wins: Column, n: Column) -> Column:
     return F.when(n > 0, wins / n).otherwise(0.5)
 
 
+def _one(known: Column) -> Column:
+    return F.when(known, 1).otherwise(0)
+
+
 def prior_features(side_rows: DataFrame, rest_default: float = 14.0, rest_cap: float = 30.0) -> DataFrame:
     """Adds prior counts and rates (W01), recent-10 (W02), playoff and elimination rates (W03) and days of rest."""
-    order = Window.partitionBy("team_id").orderBy("match_ts", "match_id")
-    before, ten = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(-10, -1)
-    n, wins = F.count("won").over(before), F.sum("won").over(before)
-    part = lambda flag: _rate(F.sum(F.when(F.col(flag) == 1, F.col("won"))).over(before), F.sum((F.col(flag) == 1).cast("int")).over(before))
-    gap = (F.unix_timestamp("match_ts") - F.unix_timestamp(F.lag("match_ts").over(order))) / SECONDS_PER_DAY
-    return side_rows.select(
-        "*",
-        n.alias("prior_matches"),
-        F.coalesce(wins, F.lit(0)).alias("prior_wins"),
-        _rate(wins, n).alias("prior_win_rate"),
-        F.coalesce(F.avg("won").over(ten), F.lit(0.5)).alias("recent_win_rate_10"),
-        part("is_playoff").alias("prior_playoff_win_rate"),
-        part("is_elimination").alias("prior_elimination_win_rate"),
+    won, flags = F.col("won"), ("is_playoff", "is_elimination")
+    sums = {"prior_matches": _one(won.isNotNull()), "prior_wins": won}
+    for flag in flags:
+        sums |= {f"__n_{flag}": _one(F.col(flag) == 1), f"__w_{flag}": F.when(F.col(flag) == 1, won)}
+    out = running(side_rows, ["team_id"], ["match_ts", "match_id"], month(F.col("match_ts")), sums=sums, tails={"__ten": (won, 10)}, latest={"__since": F.col("match_ts")})
+    gap = (F.unix_timestamp("match_ts") - F.unix_timestamp("__since")) / SECONDS_PER_DAY
+    return out.select(
+        *side_rows.columns,
+        "prior_matches",
+        "prior_wins",
+        _rate(F.col("prior_wins"), F.col("prior_matches")).alias("prior_win_rate"),
+        F.coalesce(mean(F.col("__ten")), F.lit(0.5)).alias("recent_win_rate_10"),
+        *[_rate(F.col(f"__w_{flag}"), F.col(f"__n_{flag}")).alias(f"prior_{flag.removeprefix('is_')}_win_rate") for flag in flags],
         F.least(F.coalesce(gap, F.lit(rest_default)), F.lit(rest_cap)).alias("days_rest"),
     )
 
@@ -51,24 +58,26 @@ def head_to_head(matches: DataFrame) -> DataFrame:
     """(match_id, h2h_win_rate_team1, h2h_match_count) before each contest."""
     low = F.least("team1_id", "team2_id")
     low_won = F.when(F.col("team1_id") == low, F.col("target_team1_win")).otherwise(1 - F.col("target_team1_win"))
-    before = Window.partitionBy(low, F.greatest("team1_id", "team2_id")).orderBy("match_ts", "match_id").rowsBetween(Window.unboundedPreceding, -1)
-    n, wins = F.count(low_won).over(before), F.coalesce(F.sum(low_won).over(before), F.lit(0))
-    own = F.when(F.col("team1_id") == low, wins).otherwise(n - wins)
-    return matches.select("match_id", _rate(own, n).alias("h2h_win_rate_team1"), n.alias("h2h_match_count"))
+    rows = matches.select("match_id", "match_ts", low.alias("low"), F.greatest("team1_id", "team2_id").alias("high"), (F.col("team1_id") == low).alias("is_low"), low_won.alias("low_won"))
+    out = running(rows, ["low", "high"], ["match_ts", "match_id"], month(F.col("match_ts")), sums={"n": _one(F.col("low_won").isNotNull()), "wins": F.col("low_won")})
+    own = F.when(F.col("is_low"), F.col("wins")).otherwise(F.col("n") - F.col("wins"))
+    return out.select("match_id", _rate(own, F.col("n")).alias("h2h_win_rate_team1"), F.col("n").alias("h2h_match_count"))
 
 
-def asof_join(rows: DataFrame, history: DataFrame, key: list[str], at: str, since: str, values: list[str], strict: bool = False) -> DataFrame:
+def asof_join(rows: DataFrame, history: DataFrame, key: list[str], at: str, since: str, values: list[str], strict: bool = False, bucket: Column | None = None) -> DataFrame:
     """rows with the latest history at or before their time (J04), or strictly before.
 
-    One union and one window a key instead of a range join: every row is shuffled once and no pair is made. History that
-    repeats a key and time should be reduced first; of such rows the one with the largest values wins.
+    One union and two levels of windows instead of a range join: every row is shuffled once, no pair is made, and a popular
+    key spreads over its months, or over what `bucket` makes of `__at`, the time of either side. History that repeats a key
+    and time should be reduced first; of such rows the one with the largest values wins.
     """
     tag = F.lit(0 if strict else 1)
     extra = [c for c in rows.columns if c not in key]
     left = rows.select(*key, F.col(at).alias("__at"), tag.alias("__order"), F.struct(*extra).alias("__row"), F.lit(None).cast(_struct(history, values)).alias("__value"))
     right = history.select(*key, F.col(since).alias("__at"), F.lit(1 - (0 if strict else 1)).alias("__order"), F.lit(None).cast(left.schema["__row"].dataType).alias("__row"), F.struct(*values).alias("__value"))
-    order = Window.partitionBy(*key).orderBy("__at", "__order", F.col("__value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = left.unionByName(right).withColumn("__seen", F.last("__value", ignorenulls=True).over(order)).where("__row is not null")
+    both = left.unionByName(right)
+    order = ["__at", "__order", F.when(F.col("__row").isNull(), F.col("__value"))]
+    seen = running(both, list(key), order, bucket_of(both, "__at") if bucket is None else bucket, known={"__seen": F.col("__value")}).where("__row is not null")
     return seen.select(*key, "__row.*", *[F.col(f"__seen.{v}").alias(v) for v in values])
 
 
@@ -93,9 +102,9 @@ def prior_map_rates(maps: DataFrame, matches: DataFrame, prior: float = 0.0) ->
     rows = sides(played, {"team_id": "team1_id", "rounds": "team1_rounds", "other": "team2_rounds"}, {"team_id": "team2_id", "rounds": "team2_rounds", "other": "team1_rounds"}, ["match_id", "map_name"])
     one = rows.groupBy("match_id", "team_id", "map_name").agg(F.count(F.lit(1)).alias("__n"), F.sum(won).alias("__wins"))
     timed = one.join(matches.select("match_id", "match_ts"), "match_id")
-    before = Window.partitionBy("team_id", "map_name").orderBy("match_ts", "match_id").rowsBetween(Window.unboundedPreceding, -1)
-    n, wins = F.coalesce(F.sum("__n").over(before), F.lit(0)), F.coalesce(F.sum("__wins").over(before), F.lit(0))
-    return timed.select("match_id", "team_id", "map_name", n.alias("n"), wins.alias("wins"), F.when(n > 0, (wins + 0.5 * prior) / (n + prior)).otherwise(0.5).alias("rate"))
+    out = running(timed, ["team_id", "map_name"], ["match_ts", "match_id"], month(F.col("match_ts")), sums={"n": F.col("__n"), "wins": F.col("__wins")})
+    n, wins = F.col("n"), F.col("wins")
+    return out.select("match_id", "team_id", "map_name", "n", "wins", F.when(n > 0, (wins + 0.5 * prior) / (n + prior)).otherwise(0.5).alias("rate"))
 
 
 def map_advantages(maps: DataFrame, matches: DataFrame, priors: tuple[float, ...]) -> DataFrame:
@@ -123,11 +132,11 @@ def gated_features(side_rows: DataFrame, flag: str = "updates_state") -> DataFra
 
     Flagged rows carry the state after them; each row takes the latest of those strictly before it in contest order.
     """
-    order = Window.partitionBy("team_id").orderBy("match_ts", "match_id")
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    state = side_rows.where(F.col(flag)).select(
-        "team_id", F.struct("match_ts", "match_id").alias("since"), F.count("won").over(upto).alias("n"), F.sum("won").over(upto).alias("wins"),
-        F.avg("won").over(order.rowsBetween(-9, 0)).alias("recent"), F.col("match_ts").alias("last_ts"),
+    won = F.col("won")
+    past = running(side_rows.where(F.col(flag)), ["team_id"], ["match_ts", "match_id"], month(F.col("match_ts")), sums={"__n": _one(won.isNotNull()), "__wins": won}, tails={"__nine": (won, 9)})
+    state = past.select(
+        "team_id", F.struct("match_ts", "match_id").alias("since"), (F.col("__n") + _one(won.isNotNull())).alias("n"), (F.col("__wins") + F.coalesce(won, F.lit(0))).alias("wins"),
+        mean(F.concat("__nine", F.array(F.struct(won.alias("v"))))).alias("recent"), F.col("match_ts").alias("last_ts"),
     )
     rows = side_rows.withColumn("at", F.struct("match_ts", "match_id"))
     out = asof_join(rows, state, ["team_id"], "at", "since", ["n", "wins", "recent", "last_ts"], strict=True)
