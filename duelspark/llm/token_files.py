@@ -24,8 +24,10 @@ they come.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,12 +41,13 @@ from .common import bounded_batches, lean, saved, scratch_path, table
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 SHARD = 1 << 21  # tokens of a file
-SEEN, SEEN_LETTERS = 1 << 19, 64  # pieces a worker remembers, and how long they may be
-SLICE = 1 << 20  # characters of a text that are encoded at once
+SEEN, SEEN_LETTERS = 1 << 20, 64  # pieces a worker remembers, and how long they may be
+SLICE = 1 << 20  # letters of texts that are encoded at once
 MAGIC = b"WAVEMTX1"
 _HEAD = struct.Struct(">8sIIQQI")
 _TAIL = ".,;:!?"
 _U64 = np.uint64
+_STEP = 1 << 16  # ids dealt out at a time, so that they stay in a core's cache
 
 
 # -- planes -----------------------------------------------------------------------------------------------------------
@@ -114,12 +117,13 @@ def shard_bytes(ids: np.ndarray, documents: pa.RecordBatch, partition: int = 0,
     known = sink.getvalue().to_pybytes()
     out = [_HEAD.pack(MAGIC, partition, shard, before, len(ids), bits), struct.pack(">Q", len(known)), known]
     for k in reversed(range(bits)):
-        one = ((ids >> k) & 1).astype(bool)
+        one = (ids & ids.dtype.type(1 << k)) != 0
         packed, directory = Plane.pack(one)
-        zeros = ids[~one]
-        part = struct.pack(">Q", len(zeros)) + _packed(packed.tobytes()) + _packed(directory.tobytes())
+        halves = [[ids[a : a + _STEP].take(np.flatnonzero(half[a : a + _STEP]), mode="clip") for a in range(0, len(ids), _STEP)] for half in (~one, one)]
+        n_zeros = sum(map(len, halves[0]))
+        part = struct.pack(">Q", n_zeros) + _packed(packed.tobytes()) + _packed(directory.tobytes())
         out += [struct.pack(">Q", len(part)), part]
-        ids = np.concatenate([zeros, ids[one]])
+        ids = np.concatenate([*halves[0], *halves[1]]) if len(ids) else ids
     return b"".join([*out, b"\n"])
 
 
@@ -164,9 +168,14 @@ class Shard:
         out = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for k, plane in reversed(list(self._levels())):
             one = plane.bits(self.n)
-            above = np.empty_like(out)
-            above[~one] = out[: plane.zeros]
-            above[one] = out[plane.zeros :] | out.dtype.type(1 << k)
+            above, zero_at, one_at = np.empty_like(out), 0, plane.zeros
+            out[plane.zeros :] |= out.dtype.type(1 << k)
+            for a in range(0, self.n, _STEP):
+                part = one[a : a + _STEP]
+                ones, zeros = np.flatnonzero(part), np.flatnonzero(~part)
+                block = above[a : a + _STEP]
+                block[zeros], block[ones] = out[zero_at : zero_at + len(zeros)], out[one_at : one_at + len(ones)]
+                zero_at, one_at = zero_at + len(zeros), one_at + len(ones)
             out = above
         return out
 
@@ -221,47 +230,96 @@ def tokenizer_file(name: str = TOKENIZER) -> str:
 _PROBES = ("a b", " a", "a ", "a\nb", "a  b", "a \n b", ". a", "1 1", "a's 's", "\n")
 
 
+#: Runs that no token of a byte-level tokenizer of this kind crosses, once letters are small.
+_RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\sa-z0-9\xdf-\xf6\xf8-\xff]+", re.ASCII)
+#: ASCII and letters below U+0100; < may begin a special token, whose case counts.
+_PLAIN = re.compile(r"[^<\x80-\xbf\xd7\xf7\u0100-\U0010ffff]+")
+#: Words whose ids its model gives by their bytes' characters.
+_MIXED = ("don't", "'s'", "a''ll.", "x2y34", "(U.S.A.)", "'re-'VE|_", "\x1c\x00a", "...\x0b", "L'ÉTÉ,à")
+_WORDS = ("hello", "x", "straße", "été", "àâæçèéêëîïñôöùûüÿ", "µªº", "honorificabilitudinitatibus")
+
+
+def _byte_characters() -> dict[int, str]:
+    """Byte-level vocabularies write a visible byte as its character, the others as characters from 256 on, in order."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) if b in visible else chr(256 + hidden.index(b)) for b in range(256)}
+
+
+_BYTES = _byte_characters()
+
+
 class Encoder(dict):
-    """The ids of pieces without spaces and line feeds, as bytes of little-endian numbers; the library makes them."""
+    """The ids of pieces without spaces and line feeds, as bytes of little-endian numbers; the library makes them.
+
+    Two generations of pieces are remembered: when the young one, the dictionary itself, is full, it becomes the old one.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.model = self.library.model
+        self.code = "H" if self.library.get_vocab_size() <= 1 << 16 else "I"
+        self.kind = np.dtype("<u2" if self.code == "H" else "<u4")
+        self.old: dict[str, bytes] = {}
         for probe in _PROBES:
             if self.whole(probe) != b"".join(self.whole(x) for x in probe.replace("\n", " ").split(" ")):
                 raise ValueError("only tokenizers that drop white space encode piece by piece")
+        self.by_bytes = all(self.whole(w) == self._word(w) for w in _WORDS) and all(self.whole(w) == b"".join(map(self._word, _RUNS.findall(w.lower()))) for w in _MIXED)
 
     def whole(self, piece: str) -> bytes:
-        return np.array(self.library.encode(piece, add_special_tokens=False).ids, self.kind).tobytes()
+        return array(self.code, self.library.encode(piece, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """Of a lower-case run that no step of the tokenizer but its model changes or cuts."""
+        mapped = word if word.isalpha() and word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
+        return array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        if len(piece) > SEEN_LETTERS:
+        found = self.old.get(piece)
+        if found is None:
+            found = self._made(piece)
+        if len(piece) <= SEEN_LETTERS:
+            if len(self) >= SEEN // 2:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = found
+        return found
+
+    def _made(self, piece: str) -> bytes:
+        if not self.by_bytes or not _PLAIN.fullmatch(piece):
             return self.whole(piece)
-        if len(self) >= SEEN:
-            self.clear()
-        core = piece.rstrip(_TAIL)
-        # marks behind an ASCII word are a token run of their own, and its letters' case is dropped anyway
-        if core.isalpha() and core.isascii() and (len(core) < len(piece) or not core.islower()):
-            out = self[core.lower()] + (self[piece[len(core) :]] if len(core) < len(piece) else b"")
-        else:
-            out = self.whole(piece)
-        self[piece] = out
-        return out
-
-    def ids(self, text: str, end: int) -> Iterator[tuple[np.ndarray, bool]]:
-        """(ids, is it the last) of a text by slices that end before a space; the end id comes with the last."""
-        at = 0
-        while True:
-            upto = len(text) if len(text) - at <= SLICE else text.find(" ", at + SLICE)
-            upto = len(text) if upto < 0 else upto
-            found = b"".join(map(self.__getitem__, text[at:upto].replace("\n", " ").split(" ")))
-            last = upto == len(text)
-            yield np.frombuffer(found + (np.array([end], self.kind).tobytes() if last else b""), self.kind), last
-            if last:
-                return
-            at = upto
+        runs = _RUNS.findall(piece.lower())
+        return self._word(piece) if runs == [piece] else b"".join([self[r] for r in runs])
+
+    def text(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+
+    def parts(self, column: pa.Array, end_id: int) -> Iterator[tuple[np.ndarray, int, np.ndarray, bool]]:
+        """(ids, first text, how many ids of it and of those that follow, is the last text whole), about SLICE letters at a time.
+
+        An end id comes behind each text. A long text is cut before spaces.
+        """
+        end, size = array(self.code, [end_id]).tobytes(), self.kind.itemsize
+        held, first, letters = [], 0, 0
+
+        def out(whole: bool) -> tuple[np.ndarray, int, np.ndarray, bool]:
+            return np.frombuffer(b"".join(held), self.kind), first, np.array([len(h) for h in held]) // size, whole
+
+        for i, value in enumerate(column):
+            text, at = value.as_py() or "", 0
+            if held and letters + len(text) > SLICE:
+                yield out(True)
+                held, first, letters = [], i, 0
+            while len(text) - at > 2 * SLICE and (cut := text.find(" ", at + SLICE)) >= 0:
+                held = [self.text(text[at:cut])]
+                yield out(False)
+                held, at = [], cut
+            held.append(self.text(text[at:] if at else text) + end)
+            letters += len(text) - at
+        if held:
+            yield out(True)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -288,36 +346,39 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, partition = encoder(tokenizer), TaskContext.get().partitionId()
         held: list[np.ndarray] = []
-        entries: list[tuple[int, pa.Array, int, bool]] = []
+        entries: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
         n = before = shard = number = 0
-
-        def flushed() -> pa.RecordBatch:
-            numbers, ids, sizes, parts = zip(*entries, strict=True)
-            known = pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.concat_arrays(ids), pa.array(sizes, pa.int64()), pa.array(parts, pa.bool_())], names=["number", "id", "n", "part"])
+        open_text = -1  # the text that the shard before left unfinished
+
+        def flushed(whole: bool) -> pa.RecordBatch:
+            nonlocal open_text
+            numbers, sizes = (np.concatenate([e[k] for e in entries]) for k in (0, 2))
+            first = np.flatnonzero(np.append(True, numbers[1:] != numbers[:-1]))  # a long text comes in slices
+            part = (numbers[first] == open_text) | ((numbers[first] == numbers[-1]) & (not whole))
+            open_text = -1 if whole else int(numbers[-1])
+            ids = pa.concat_arrays([e[1] for e in entries]).take(pa.array(first))
+            known = pa.RecordBatch.from_arrays([pa.array(numbers[first], pa.int64()), ids, pa.array(np.add.reduceat(sizes, first), pa.int64()), pa.array(part)], names=["number", "id", "n", "part"])
             data = shard_bytes(np.concatenate(held), known, partition, shard, before)
             return pa.RecordBatch.from_arrays([pa.array([data[:-1]], pa.binary())], names=["value"])  # the writer adds the line feed
 
         for batch in batches:
-            for i, text in enumerate(batch.column(1)):
-                size, part = 0, False
-                for ids, last in own.ids(text.as_py(), end_id):
-                    while len(ids):
-                        took, ids = ids[: shard_tokens - n], ids[shard_tokens - n :]
-                        held.append(took)
-                        n, size = n + len(took), size + len(took)
-                        done = last and not len(ids)
-                        part |= not done and n == shard_tokens
-                        if done or n == shard_tokens:
-                            entries.append((number, batch.column(0).slice(i, 1), size, part))
-                            size = 0
-                        if n == shard_tokens:
-                            yield flushed()
-                            before, shard, n = before + n, shard + 1, 0
-                            held.clear()
-                            entries.clear()
-                number += 1
+            for ids, first, counts, whole in own.parts(batch.column(1), end_id):
+                ends, at = np.cumsum(counts), 0
+                while at < len(ids):
+                    upto = min(len(ids), at + shard_tokens - n)
+                    lo, hi = np.searchsorted(ends, at, "right"), np.searchsorted(ends, upto, "left") + 1
+                    sizes = np.minimum(ends[lo:hi], upto) - np.maximum(ends[lo:hi] - counts[lo:hi], at)
+                    entries.append((number + first + np.arange(lo, hi), batch.column(0).slice(first + lo, hi - lo), sizes))
+                    held.append(ids[at:upto])
+                    n, at = n + upto - at, upto
+                    if n == shard_tokens:
+                        yield flushed(bool(ends[hi - 1] == upto and (whole or hi < len(ends))))
+                        before, shard, n = before + n, shard + 1, 0
+                        held.clear()
+                        entries.clear()
+            number += batch.num_rows
         if entries:
-            yield flushed()
+            yield flushed(True)
 
     blobs = rows.mapInArrow(lean(encode), "value binary")
     blobs.select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)

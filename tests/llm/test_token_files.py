@@ -58,13 +58,18 @@ def test_damaged_files_are_refused():
 
 def test_pieces_encode_like_whole_texts(monkeypatch):
     own, whole = token_files.Encoder(token_files.tokenizer_file()), library()
+    assert own.by_bytes
+    rows = [*texts(), None, "", " ", "\n\n", "w" * 500, "a " * 3000, "ÀÉÎ,", "Straße.", "ß", "ÿÿ!", "Μu µ", "", ""]
+    want = [[*whole.encode(t or "", add_special_tokens=False).ids, 2] for t in rows]
     for limits in ((1 << 19, 64, 1 << 20), (20, 3, 10)):
         for name, value in zip(("SEEN", "SEEN_LETTERS", "SLICE"), limits):
             monkeypatch.setattr(token_files, name, value)
-        for text in [*texts(), "", " ", "\n\n", "w" * 500, "a " * 3000]:
-            parts = list(own.ids(text, 2))
-            assert np.concatenate([p for p, _ in parts]).tolist() == [*whole.encode(text, add_special_tokens=False).ids, 2]
-            assert [last for _, last in parts] == [False] * (len(parts) - 1) + [True]
+        got = [[] for _ in rows]
+        for ids, first, counts, last in own.parts(pa.array(rows), 2):
+            assert len(ids) == counts.sum() and (last or len(counts) == 1)
+            for i, part in enumerate(np.split(ids, np.cumsum(counts)[:-1])):
+                got[first + i] += part.tolist()
+        assert got == want
 
 
 def test_other_tokenizers_are_refused():
