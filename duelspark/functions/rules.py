@@ -426,5 +426,17 @@ def boosted_score(features: dict[str, Column], artifact: dict) -> Column:
     return sigmoid(z)
 
 
+def portable_score(features: dict[str, Column], artifact: dict, baseline: Column) -> Column:
+    """Either kind of portable artifact, blended with the baseline; what can't be read gives the baseline."""
+    if not artifact.get("trees"):
+        return logistic_score(features, artifact, baseline)
+    try:
+        p = boosted_score(features, artifact)
+        blend = max(0.0, min(1.0, float(artifact.get("blend_weight", 1.0))))
+    except (KeyError, TypeError, ValueError, IndexError):
+        return baseline
+    return clamp(blend * p + (1.0 - blend) * baseline, 0.08, 0.92)
+
+
 def non_empty(c: Column) -> Column:
     return blank_null(c).isNotNull()

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from duelspark.functions import rules
 from duelspark.operators import aggregate as agg
-from duelspark.operators import fold, joins, model, prior, select
+from duelspark.operators import fold, joins, model, prior, search, select
 from duelspark.sources.fixtures import Fixtures, with_views
-from duelspark.sources.io import scratch
+from duelspark.sources.io import exists, files_state, publish, published, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -38,6 +38,18 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_SHARED: dict[tuple, DataFrame] = {}
+
+
+def shared(x: Fixtures, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """What several queries read, made once a session and again when the contests' files have changed."""
+    state = tuple(files_state(x.spark, f"{x.sf_dir}/{t}.parquet") for t in ("orders", "lineitem"))
+    key = (x.spark.sparkContext.applicationId, x.sf_dir, state, name)
+    if key not in _SHARED or not exists(x.spark, _SHARED[key].inputFiles()[0]):
+        _SHARED[key] = saved(build())
+    return _SHARED[key]
+
+
 #: Side rows in SQL, and the frame of everything before a contest.
 SIDES = """, s AS (SELECT match_id, match_ts, event_id, match_phase, is_playoff, is_elimination, 1 AS side, team1_id AS team_id, team2_id AS opponent_id, target_team1_win AS won FROM v_matches
 UNION ALL SELECT match_id, match_ts, event_id, match_phase, is_playoff, is_elimination, 2, team2_id, team1_id, 1 - target_team1_win FROM v_matches)
@@ -76,12 +88,14 @@ rm AS (SELECT m.*, r.rnk AS team2_rank, r.points AS team2_points FROM r1 m ASOF
 def tiered(x: Fixtures) -> DataFrame:
     """Contests with ranks and model tier."""
     none = F.lit("")
-    return ranked_matches(x).withColumn("model_tier", rules.model_tier(F.col("event_tier"), none, none, F.col("match_phase"), F.col("team1_rank"), F.col("team2_rank")))
+    tier = rules.model_tier(F.col("event_tier"), none, none, F.col("match_phase"), F.col("team1_rank"), F.col("team2_rank"))
+    return shared(x, "tiered", lambda: ranked_matches(x).withColumn("model_tier", tier))
 
 
 def elo(x: Fixtures) -> DataFrame:
     """One rating a team over all its contests; the step goes by the contest's model tier."""
-    return fold.elo(tiered(x), F.when(F.col("model_tier").isin("T1", "T1_5"), fold.K_TOP).otherwise(fold.K_OTHER), saved)
+    step = F.when(F.col("model_tier").isin("T1", "T1_5"), fold.K_TOP).otherwise(fold.K_OTHER)
+    return shared(x, "elo", lambda: fold.elo(tiered(x), step, saved))
 
 
 def feature_rows(x: Fixtures) -> DataFrame:
@@ -102,6 +116,7 @@ def feature_rows(x: Fixtures) -> DataFrame:
         (F.coalesce("team1_points", F.lit(0.0)) - F.coalesce("team2_points", F.lit(0.0))).alias("points_diff"),
         *diffs, "h2h_win_rate_team1", "h2h_match_count", rules.phase_order(F.col("match_phase")).alias("phase_order"),
         F.greatest("team1_rank", "team2_rank").alias("worst_rank"), "elo_diff", rules.elo_probability(F.col("elo_diff")).alias("elo_prob_team1"),
+        "best_of", rules.is_lan(F.col("event_type")).alias("is_lan"),
     )
 
 
@@ -124,7 +139,7 @@ FEATURES = f"""{PRIOR}{H2H}{RANKED}{ELO}, f AS (SELECT m.match_id, m.match_ts, m
   a.prior_win_rate - b.prior_win_rate AS prior_win_rate_diff, a.recent_win_rate_10 - b.recent_win_rate_10 AS recent_win_rate_10_diff,
   a.prior_playoff_win_rate - b.prior_playoff_win_rate AS prior_playoff_win_rate_diff, a.prior_elimination_win_rate - b.prior_elimination_win_rate AS prior_elimination_win_rate_diff,
   a.days_rest - b.days_rest AS days_rest_diff, h2h_win_rate_team1, h2h_match_count, CASE m.match_phase WHEN 'group_stage' THEN 20 WHEN 'playoffs' THEN 50 ELSE 75 END AS phase_order,
-  e1 - e2 AS elo_diff, 1 / (1 + pow(10.0, -(e1 - e2) / 400.0)) AS elo_prob_team1
+  e1 - e2 AS elo_diff, 1 / (1 + pow(10.0, -(e1 - e2) / 400.0)) AS elo_prob_team1, m.best_of, CASE WHEN m.event_type LIKE 'Offline%' THEN 1 ELSE 0 END AS is_lan
   FROM rm m JOIN el USING (match_id) JOIN p a ON a.match_id = m.match_id AND a.side = 1 JOIN p b ON b.match_id = m.match_id AND b.side = 2 JOIN h2h ON h2h.match_id = m.match_id)
 """
 F_VIEWS = ("v_matches", "v_rankings")
@@ -548,21 +563,78 @@ query("l05_standardised", f"{FEATURES}, st AS (SELECT avg(rank_advantage) AS m1,
 )
 
 
+#: The search's feature sets.
+CALIBRATION = ["baseline_logit"]
+CORE = ["elo_diff", "vrs_rank_advantage", "vrs_points_diff", "recent_win_rate_10_diff"]
+CONTEXT = [*CORE, "best_of", "phase_order", "is_lan", "is_playoff", "is_elimination"]
+
+
 def training(x: Fixtures) -> DataFrame:
-    f = feature_rows(x)
-    return f.select("match_id", "match_ts", "target_team1_win", "elo_prob_team1", F.col("rank_advantage").alias("vrs_rank_advantage"), (F.col("points_diff") / 1000.0).alias("vrs_points_diff"), "recent_win_rate_10_diff", "prior_win_rate_diff", "h2h_win_rate_team1")
+    """Contests that may train a model, with the features of all sets, the label and the baseline's probability."""
+    f = feature_rows(x).where(rules.clean_training(F.col("model_tier"), F.col("integrity_risk")))
+    rows = f.select("match_id", "match_ts", "target_team1_win", "elo_prob_team1", "elo_diff", F.col("rank_advantage").alias("vrs_rank_advantage"), (F.col("points_diff") / 1000.0).alias("vrs_points_diff"), "recent_win_rate_10_diff", *CONTEXT[len(CORE) :])
+    base = rules.bounded_baseline(*[F.col(c) for c in ("elo_prob_team1", "vrs_rank_advantage", "vrs_points_diff", "recent_win_rate_10_diff")])
+    return rows.withColumn("base", base).withColumn("baseline_logit", rules.logit(F.col("base")))
+
+
+def configurations() -> list[dict]:
+    """All 45 settings: three feature sets for descents, two for boosted trees."""
+    return search.configurations({"calibration": CALIBRATION, "core": CORE, "context": CONTEXT}, {"core": CORE, "context": CONTEXT})
 
 
 def searched(x: Fixtures) -> DataFrame:
-    rows = saved(training(x))
-    configs = model.configurations({"core": ["baseline_logit", "recent_win_rate_10_diff"], "context": ["baseline_logit", "prior_win_rate_diff", "h2h_win_rate_team1"]})
-    return model.search(rows, model.purged_folds(rows, "match_ts", "match_id"), "match_id", configs, 120)
+    """(config, fold, id, y, p) of every setting on every purged fold, fitted once a session."""
 
+    def build() -> DataFrame:
+        rows = saved(training(x))
+        return search.search(rows, saved(model.purged_folds(rows, "match_ts", "match_id")), "match_id", configurations(), saved)
 
-query("l08_search")(lambda x: model.evaluated(saved(searched(x)), ["config"]))
-query("l09_blend", f"{PREDICTIONS}, wide AS (SELECT match_id, any_value(y) AS y, max(CASE WHEN model = 'elo' THEN p END) AS a, max(CASE WHEN model = 'form' THEN p END) AS b FROM pr GROUP BY 1), z AS (SELECT w.name AS weights, y, a * w.x + b * (1 - w.x) AS p FROM wide, (VALUES ('0,1', 0.0), ('0.25,0.75', 0.25), ('0.5,0.5', 0.5), ('0.75,0.25', 0.75), ('1,0', 1.0)) w(name, x)) SELECT weights, {METRICS} FROM z GROUP BY 1", F_VIEWS)(
-    lambda x: model.blend_search(agg.prediction_cards(predictions(x)).join(x.matches.select("match_id", F.col("target_team1_win").alias("y")), "match_id"), ["elo", "form"])
-)
+    return shared(x, "searched", build)
+
+
+query("l08_search")(lambda x: model.evaluated(searched(x), ["config"]))
+
+
+def power_models(f: DataFrame) -> dict[str, Column]:
+    """Probabilities of the models that need no fit."""
+    known, rank, points = F.col("ranks_known") == 1, F.col("rank_advantage"), F.col("points_diff") / 1000.0
+    form = rules.form_probability(*[F.col(f"{n}_diff") for n in ("recent_win_rate_10", "prior_win_rate", "prior_playoff_win_rate", "prior_elimination_win_rate", "days_rest")])
+    return {**rules.power_probabilities(F.col("elo_prob_team1"), rank, known, rank, points, known), "form": form}
+
+
+def _clipped(z: str) -> str:
+    return f"1 / (1 + exp(-greatest(-35.0, least(35.0, {z}))))"
+
+
+_R, _V = "CASE WHEN ranks_known = 1 THEN 0.055 * rank_advantage ELSE 0.0 END", "CASE WHEN ranks_known = 1 THEN 0.0115 * rank_advantage + 0.00045 * (points_diff / 1000.0) ELSE 0.0 END"
+_E = "ln(greatest(1e-6, least(1 - 1e-6, elo_prob_team1)) / (1 - greatest(1e-6, least(1 - 1e-6, elo_prob_team1))))"
+POWER_SQL = {
+    "elo": "elo_prob_team1", "rank": _clipped(_R), "vrs": _clipped(_V), "rank_vrs": _clipped(f"0.52 * ({_R}) + 0.48 * ({_V})"), "elo_rank_vrs": _clipped(f"0.42 * {_E} + 0.31 * ({_R}) + 0.27 * ({_V})"),
+    "form": "1 / (1 + exp(-(1.6 * recent_win_rate_10_diff + prior_win_rate_diff + 0.55 * prior_playoff_win_rate_diff + 0.35 * prior_elimination_win_rate_diff + 0.025 * days_rest_diff)))",
+}
+VALIDATION = f"""{FEATURES}, pl AS (SELECT match_id, row_number() OVER (ORDER BY match_ts, match_id) - 1 AS place, count(*) OVER () AS n FROM v_matches),
+pm AS (SELECT target_team1_win AS y, {", ".join(f"{p} AS m_{m}" for m, p in POWER_SQL.items())} FROM f JOIN pl USING (match_id) WHERE place >= least(greatest(80, floor(n * 0.72)), n - 40))"""
+BLENDS = model.blend_weights(list(POWER_SQL))
+_BLEND_SQL = ", ".join(f"struct_pack(weights := '{','.join(f'{m}={v:.4g}' for m, v in w.items())}', p := {' + '.join(f'm_{m} * {v!r}::DOUBLE' for m, v in w.items())})" for w in BLENDS)
+
+
+@query("l09_blend", f"{VALIDATION}, z AS (SELECT y, unnest([{_BLEND_SQL}], recursive := true) FROM pm) SELECT weights, {METRICS} FROM z GROUP BY 1", F_VIEWS)
+def _(x):
+    """All 161 blends of the six models that need no fit, over the validation part of the chronological split."""
+    validation = model.chronological_split(x.matches, "match_ts", "match_id").where("role = 'test'").select("match_id")
+    f = feature_rows(x).join(validation, "match_id")
+    return model.blend_search(f.select(F.col("target_team1_win").alias("y"), *[p.alias(m) for m, p in power_models(f).items()]), BLENDS)
+
+
+@query("l16_export", "SELECT match_id, true AS same FROM v_matches", ("v_matches",))
+def _(x):
+    """A fitted ensemble's portable form gives its own probabilities, for every contest."""
+    rows = saved(training(x))
+    fitted = model.boosted_trees(rows, CORE, "target_team1_win", *search.TREES[0])
+    f = feature_rows(x).withColumns({"vrs_rank_advantage": F.col("rank_advantage"), "vrs_points_diff": F.col("points_diff") / 1000.0})
+    own = rules.boosted_score({c: F.col(c) for c in CORE}, model.portable_ensemble(fitted, CORE))
+    scored = model.ensemble_probability(f, fitted, CORE, "p")
+    return scored.select("match_id", (F.abs(own - F.col("p")) < 1e-9).alias("same"))
 
 
 GRID_SQL = ", ".join(f"('{r}|{m}|{d}|{k}', {r}::DOUBLE, {m}::DOUBLE, {d}::DOUBLE, {k}::DOUBLE)" for r in model.MAP_GRID["rank"] for m in model.MAP_GRID["map"] for d in model.MAP_GRID["evidence"] for k in model.MAP_GRID["prior"])
@@ -636,12 +708,13 @@ def _(x):
 
 @query("l17_gate")
 def _(x):
-    """The best searched config against the rank model, both on the folds' test rows; the folds are those that were scored."""
-    scored = saved(searched(x))
+    """The best searched setting against the baseline, both on the folds' test rows; the folds are those that were scored."""
+    scored = searched(x)
     best = model.best_config(saved(model.evaluated(scored, ["config"])))
     found = scored.groupBy("config").agg(F.count_distinct("fold").alias("folds"))
-    same = predictions(x).where("model = 'rank'").join(scored.select(F.col("id").alias("match_id")).distinct(), "match_id", "left_semi")
-    return model.promotion_gate(best.drop("folds").join(found, "config"), model.evaluated(same, ["model"]))
+    tested = scored.select(F.col("id").alias("match_id")).distinct()
+    champion = training(x).join(tested, "match_id", "left_semi").select(F.lit("baseline").alias("model"), F.col("target_team1_win").alias("y"), F.col("base").alias("p"))
+    return model.promotion_gate(best.drop("folds").join(found, "config"), model.evaluated(champion, ["model"]))
 
 
 @query("l18_registry", "SELECT CAST(o_orderkey AS BIGINT) AS version, o_orderstatus = 'F' AS promoted, o_orderkey = (SELECT max(o_orderkey) FROM (SELECT * FROM orders ORDER BY o_orderkey DESC LIMIT 12) WHERE o_orderstatus = 'F') AS champion FROM orders ORDER BY o_orderkey DESC LIMIT 12")
@@ -651,13 +724,58 @@ def _(x):
     return model.registry_append(rows.join(last, F.col("version") == F.col("v"), "left_anti"), rows.join(last, F.col("version") == F.col("v"), "left_semi"))
 
 
-@query("l20_l21_scoring", f"""{FEATURES} SELECT match_id, greatest(0.08, least(0.92, CASE WHEN ranks_known = 1 THEN b ELSE 0.5 + (b - 0.5) * 0.45 END)) AS p FROM (SELECT match_id, ranks_known, greatest(0.08, least(0.92, 1 / (1 + exp(-greatest(-35.0, least(35.0,
-  ln(greatest(1e-6, least(1 - 1e-6, e)) / (1 - greatest(1e-6, least(1 - 1e-6, e)))) + 0.009 * greatest(-40.0, least(40.0, rank_advantage)) + 0.00035 * greatest(-650.0, least(650.0, points_diff / 1000.0)) + 0.3 * greatest(-0.5, least(0.5, recent_win_rate_10_diff)))))))) AS b
-  FROM (SELECT *, elo_prob_team1 AS e FROM f)) q""", F_VIEWS)
-def _(x):
-    base = rules.bounded_baseline(F.col("elo_prob_team1"), F.col("rank_advantage"), F.col("points_diff") / 1000.0, F.col("recent_win_rate_10_diff"))
-    return feature_rows(x).select("match_id", rules.shrink_unknown(base, F.col("ranks_known") == 1).alias("p"))
+CUT = "1998-01-01"
+
 
+def state_before(x: Fixtures, cut: str) -> DataFrame:
+    """The teams' published state as of a cut-off: nothing that was played from then on is in it."""
+    past = tiered(x).where(F.col("match_ts") < F.lit(cut).cast("timestamp"))
+    ten = F.row_number().over(Window.partitionBy("team_id").orderBy(F.col("match_ts").desc(), F.col("match_id").desc()))
+    recent = prior.contest_sides(past).withColumn("k", ten).where("k <= 10").groupBy("team_id").agg(F.avg("won").alias("recent"))
+    ranks = prior.latest_per(x.rankings.where(F.col("ranking_date") < F.lit(cut).cast("timestamp")), "ranking_date")
+    # Elo is a fold in contest order, so the ratings after a contest don't depend on later ones
+    return fold.state_snapshot(elo(x), past, recent, ranks)
+
+
+def published_state(x: Fixtures, cut: str) -> DataFrame:
+    """The state, published as a version that has every team once, and read back as a scorer would."""
+    path = scratch(x.spark, "state")
+    publish(state_before(x, cut), path, cut, lambda s: s.count() == s.select("team_id").distinct().count())
+    return published(x.spark, path)
+
+
+STATE_SQL = f"""{RANKED}{ELO}{SIDES}, ps AS (SELECT * FROM s WHERE match_ts < TIMESTAMP '{CUT}'),
+fe AS (SELECT match_id, team_id, e FROM (SELECT t.match_id, t.a - 1 AS team_id, e1 + {AFTER} AS e FROM el JOIN elo_q t USING (match_id) UNION ALL SELECT t.match_id, t.b - 1, e2 - {AFTER} FROM el JOIN elo_q t USING (match_id)) z),
+fi AS (SELECT team_id, max_by(e, (match_ts, match_id)) AS elo FROM fe JOIN v_matches USING (match_id) WHERE match_ts < TIMESTAMP '{CUT}' GROUP BY 1),
+ct AS (SELECT team_id, count(*) AS matches FROM ps GROUP BY 1), tn AS (SELECT team_id, won, row_number() OVER (PARTITION BY team_id ORDER BY match_ts DESC, match_id DESC) AS k FROM ps),
+rc AS (SELECT team_id, avg(won) AS recent FROM tn WHERE k <= 10 GROUP BY 1), pr AS (SELECT * FROM v_rankings WHERE ranking_date < TIMESTAMP '{CUT}'), lr AS (SELECT * FROM pr WHERE ranking_date = (SELECT max(ranking_date) FROM pr)),
+st AS (SELECT ct.team_id, round(elo, 2) AS elo, round(coalesce(recent, 0.5), 3) AS recent, rnk, points FROM ct JOIN fi USING (team_id) LEFT JOIN rc USING (team_id) LEFT JOIN lr USING (team_id)
+  WHERE (matches >= 3 OR rnk IS NOT NULL) AND ct.team_id % 16 <> 5 ORDER BY rnk NULLS LAST, matches DESC, ct.team_id LIMIT 500),
+"""
+SCORE_SQL = """SELECT match_id, team1_id, team2_id, round(ep, 4) AS elo_prob_team1, round(q, 4) AS prob_team1, round(greatest(q, 1 - q), 4) AS confidence,
+  CASE WHEN greatest(q, 1 - q) >= 0.75 THEN 'strong' WHEN greatest(q, 1 - q) >= 0.65 THEN 'watch' WHEN greatest(q, 1 - q) >= 0.58 THEN 'lean' ELSE 'thin' END AS confidence_label,
+  CASE WHEN q >= 0.5 THEN team1_id ELSE team2_id END AS predicted_winner, CASE WHEN both_known THEN 'full' ELSE 'partial' END AS data_quality
+FROM (SELECT *, greatest(0.08, least(0.92, CASE WHEN both_known THEN p ELSE 0.5 + (p - 0.5) * 0.45 END)) AS q FROM sc) q"""
+BASE_SQL = """sd AS (SELECT m.match_id, m.team1_id, m.team2_id, m.best_of, coalesce(a.elo, 1500.0) - coalesce(b.elo, 1500.0) AS ed, a.team_id IS NOT NULL AND b.team_id IS NOT NULL AS both_known,
+  CASE WHEN coalesce(a.rnk, 0) > 0 AND coalesce(b.rnk, 0) > 0 THEN greatest(-40, least(40, b.rnk - a.rnk)) ELSE 0 END AS ra, greatest(-650.0, least(650.0, (coalesce(a.points, 0.0) - coalesce(b.points, 0.0)) / 1000.0)) AS pd,
+  greatest(-0.5, least(0.5, coalesce(a.recent, 0.5) - coalesce(b.recent, 0.5))) AS rd FROM v_matches m LEFT JOIN st a ON a.team_id = m.team1_id LEFT JOIN st b ON b.team_id = m.team2_id WHERE m.match_ts >= TIMESTAMP 'CUT'),
+se AS (SELECT *, 1 / (1 + pow(10.0, -ed / 400.0)) AS ep FROM sd),
+sb AS (SELECT *, 1 / (1 + exp(-greatest(-35.0, least(35.0, ln(greatest(1e-6, least(1 - 1e-6, ep)) / (1 - greatest(1e-6, least(1 - 1e-6, ep)))) + 0.009 * ra + 0.00035 * pd + 0.3 * rd)))) AS base FROM se),
+""".replace("CUT", CUT)
+CHAMPION = {"features": ["baseline_logit", "elo_diff", "best_of"], "mean": [0.02, 3.0, 3.1], "std": [0.4, 60.0, 1.2], "weights": [0.03, 0.35, 0.1, -0.02], "blend_weight": 0.75}
+
+
+def scored_after(x: Fixtures, artifact: dict | None) -> DataFrame:
+    """Contests from the cut-off on, scored from the state before it; every sixteenth team has no state."""
+    state = published_state(x, CUT).where("team_id % 16 <> 5")
+    future = x.matches.where(F.col("match_ts") >= F.lit(CUT).cast("timestamp"))
+    rows = future.select("match_id", "team1_id", "team2_id", "best_of", rules.phase_order(F.col("match_phase")).alias("phase_order"), rules.is_lan(F.col("event_type")).alias("is_lan"), "is_playoff", "is_elimination")
+    return model.scored_contests(rows, state, artifact)
+
+
+query("l20_upcoming", f"{STATE_SQL}{BASE_SQL}sc AS (SELECT *, base AS p FROM sb) {SCORE_SQL}", F_VIEWS)(lambda x: scored_after(x, None))
+query("l21_live", f"""{STATE_SQL}{BASE_SQL}sc AS (SELECT *, greatest(0.08, least(0.92, 0.75 / (1 + exp(-(0.03 + 0.35 * greatest(-8.0, least(8.0, (ln(greatest(1e-6, least(1 - 1e-6, base)) / (1 - greatest(1e-6, least(1 - 1e-6, base)))) - 0.02) / 0.4))
+  + 0.1 * greatest(-8.0, least(8.0, (ed - 3.0) / 60.0)) - 0.02 * greatest(-8.0, least(8.0, (best_of - 3.1) / 1.2))))) + 0.25 * base)) AS p FROM sb) {SCORE_SQL}""", F_VIEWS)(lambda x: scored_after(x, CHAMPION))
 
 query("l22_map_probability", f"{FEATURES}{MAP_PRIOR} SELECT match_id, 1 / (1 + exp(-(0.022 * rank_advantage + least(1.0, map_evidence / 18.0) * 2.1 * map_advantage))) AS p FROM f JOIN ma USING (match_id)", ("v_matches", "v_rankings", "v_maps"))(
     lambda x: feature_rows(x).join(prior.map_advantage(x.maps, x.matches, 4.0), "match_id").select("match_id", rules.map_probability(F.col("rank_advantage"), F.col("map_advantage"), F.col("map_evidence")).alias("p"))

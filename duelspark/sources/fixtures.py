@@ -18,7 +18,9 @@ VIEWS = {
   CASE o_orderpriority WHEN '1-URGENT' THEN 'S-Tier' WHEN '2-HIGH' THEN 'A-Tier' WHEN '3-MEDIUM' THEN 'B-Tier'
        WHEN '4-NOT SPECIFIED' THEN 'C-Tier' ELSE 'Qualifier' END AS event_tier,
   CASE o_orderstatus WHEN 'F' THEN 'group_stage' WHEN 'O' THEN 'playoffs' ELSE 'quarterfinal' END AS match_phase,
-  CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END AS is_playoff, CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS is_elimination
+  CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END AS is_playoff, CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS is_elimination,
+  CAST(CASE WHEN o_orderstatus = 'P' THEN 5 WHEN o_orderkey % 5 = 0 THEN 1 ELSE 3 END AS INT) AS best_of,
+  CASE WHEN o_custkey % 40 % 3 = 0 THEN 'Offline finals' ELSE 'Online' END AS event_type
 FROM (SELECT *, CAST(ROUND(o_totalprice * 100) AS BIGINT) AS h FROM orders) o
 WHERE o_custkey % 64 <> (CAST(FLOOR(o_custkey / 64) AS BIGINT) + o_orderkey) % 64""",
     "v_maps": """SELECT match_id, map_index, map_name, team1_id, team2_id, r1 AS team1_rounds, r2 AS team2_rounds,

@@ -22,6 +22,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def files_state(spark: SparkSession, path: str) -> str:
+    """What a table's files are now: names, lengths and times of change."""
+    fs, p = _fs(spark, path)
+    return ";".join(sorted(f"{f.getPath().getName()},{f.getLen()},{f.getModificationTime()}" for f in fs.listStatus(p))) if fs.exists(p) else ""
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the cluster shares, deleted when the session ends."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
