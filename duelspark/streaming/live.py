@@ -7,10 +7,12 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from duelspark.functions.rules import elo_probability
 from duelspark.operators.merge import merge_columns
 
+START = 1500.0
 SNAPSHOT = "event_id long, ts timestamp, team1_id int, team2_id int, score1 int, score2 int, event_type string"
 
 
@@ -29,35 +31,78 @@ def bounded_distinct(rows: DataFrame, key: str, time: str, within: str) -> DataF
     return rows.withWatermark(time, within).dropDuplicatesWithinWatermark([key])
 
 
-def rating_fold(rows: DataFrame, pool: str, keep_ids: int = 1500) -> DataFrame:
-    """(pool, team_id, elo, matches) as updates, a row for each team a batch touches.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def keyed_state(spark: SparkSession) -> None:
+    """Let streams of this session keep their state in RocksDB, as `rating_fold` needs."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+
+class Ratings(StatefulProcessor):
+    """A pool's ratings and contests by team, and the ids it has seen, each an entry of its own in the state store.
 
-    State of a pool: ratings, contests and the last keep_ids seen ids, so a result that comes twice changes nothing.
-    Results of a batch are applied in (ts, id) order; late ones on arrival, the batch fold being their backfill (T05).
+    Seen ids are numbered as they come; when one more than keep_ids has come, the oldest is forgotten. A batch reads and
+    writes the teams and ids it touches and nothing else, so a pool of very many teams is never held or rewritten whole.
     """
 
-    def update(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        teams, elos, counts, seen = state.get if state.exists else ([], [], [], [])
-        elo, n, seen = dict(zip(teams, elos, strict=True)), dict(zip(teams, counts, strict=True)), list(seen)
-        known, touched = set(seen), set()
-        group = pd.concat(list(parts)).sort_values(["ts", "event_id"])
-        for event, a, b, s1, s2 in zip(group["event_id"], group["team1_id"], group["team2_id"], group["score1"], group["score2"], strict=True):
-            if event in known or s1 == s2:
+    def __init__(self, keep_ids: int):
+        self.keep_ids = keep_ids
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.teams = handle.getMapState("teams", "team_id int", "elo double, matches long")
+        self.seen = handle.getMapState("seen", "event_id long", "number long")
+        self.order = handle.getMapState("order", "number long", "event_id long")
+        self.count = handle.getValueState("count", "number long")
+
+    def _is_new(self, event: int, number: int) -> bool:
+        if self.seen.containsKey((event,)):
+            return False
+        self.seen.updateValue((event,), (number,))
+        self.order.updateValue((number,), (event,))
+        if number >= self.keep_ids:
+            oldest = self.order.getValue((number - self.keep_ids,))
+            self.seen.removeKey((oldest[0],))
+            self.order.removeKey((number - self.keep_ids,))
+        return True
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        number = self.count.get()[0] if self.count.exists() else 0
+        known: dict[int, tuple[float, int]] = {}
+
+        def state(team: int) -> tuple[float, int]:
+            if team not in known:
+                known[team] = tuple(self.teams.getValue((team,))) if self.teams.containsKey((team,)) else (START, 0)
+            return known[team]
+
+        group = pd.concat(list(rows)).dropna(subset=["event_id", "team1_id", "team2_id", "score1", "score2"]).sort_values(["ts", "event_id"])
+        for event, a, b, s1, s2 in zip(*[group[c].tolist() for c in ("event_id", "team1_id", "team2_id", "score1", "score2")], strict=True):
+            if s1 == s2 or not self._is_new(int(event), number):
                 continue
-            known.add(event)
-            seen.append(int(event))
-            x, y = elo.get(a, 1500.0), elo.get(b, 1500.0)
+            number += 1
+            (x, n), (y, m) = state(int(a)), state(int(b))
             delta = 22.0 * min(1.35, 1.0 + 0.12 * abs(s1 - s2)) * (float(s1 > s2) - 1.0 / (1.0 + 10 ** ((y - x) / 400.0)))
-            elo[a], elo[b] = round(x + delta, 2), round(y - delta, 2)
-            n[a], n[b] = n.get(a, 0) + 1, n.get(b, 0) + 1
-            touched |= {a, b}
-        names = sorted(elo)
-        state.update(([int(t) for t in names], [float(elo[t]) for t in names], [int(n[t]) for t in names], seen[-keep_ids:]))
-        order = sorted(touched)
-        yield pd.DataFrame({"pool": [key[0]] * len(order), "team_id": [int(t) for t in order], "elo": [elo[t] for t in order], "matches": [n[t] for t in order]}).astype({"team_id": "int32", "elo": "float64", "matches": "int64"})
+            known[int(a)], known[int(b)] = (round(x + delta, 2), n + 1), (round(y - delta, 2), m + 1)
+        for team, value in known.items():
+            self.teams.updateValue((team,), value)
+        self.count.update((number,))
+        order = sorted(known)
+        pool = pd.Series([key[0]] * len(order), dtype=object)
+        yield pd.DataFrame({"pool": pool, "team_id": order, "elo": [known[t][0] for t in order], "matches": [known[t][1] for t in order]}).astype({"team_id": "int32", "elo": "float64", "matches": "int64"})
 
+    def close(self) -> None:
+        pass
+
+
+def rating_fold(rows: DataFrame, pool: str, keep_ids: int = 1500) -> DataFrame:
+    """(pool, team_id, elo, matches) as updates, a row for each team a batch touches.
+
+    A result whose id is among the last keep_ids changes nothing. Results of a batch are applied in (ts, id) order; late
+    ones on arrival, the batch fold being their backfill (T05). Draws and rows with nulls are passed over. The session has
+    to keep stream state in RocksDB: `keyed_state`.
+    """
     kind = rows.schema[pool].dataType.simpleString()
-    return rows.groupBy(pool).applyInPandasWithState(update, f"pool {kind}, team_id int, elo double, matches long", "teams array<int>, elos array<double>, counts array<long>, seen array<long>", "update", "NoTimeout")
+    return rows.groupBy(pool).transformWithStateInPandas(Ratings(keep_ids), f"pool {kind}, team_id int, elo double, matches long", "Update", "None")
 
 
 def scored_stream(rows: DataFrame, ratings: DataFrame) -> DataFrame:

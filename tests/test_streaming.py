@@ -1,5 +1,9 @@
 """One batch, many batches and replayed batches end in the same state."""
 
+import json
+import os
+import random
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -33,6 +37,7 @@ def test_rating_fold(spark, tmp_path, n, replay):
     folder = tmp_path / f"in{n}"
     folder.mkdir()
     write_batches(spark, folder, n, replay)
+    live.keyed_state(spark)
     stream = live.snapshot_stream(spark, str(folder)).withColumn("pool", F.lit("all"))
     out = run(spark, live.rating_fold(stream, "pool", 100_000), f"ratings{n}").toPandas()
     final = out.groupby("team_id").tail(1).set_index("team_id")
@@ -45,6 +50,47 @@ def test_rating_fold(spark, tmp_path, n, replay):
         assert set(last["t"]) == set(final.index)
 
 
+def plain_fold(batches, keep):
+    """The rule by hand, in order of arrival."""
+    elo, n, seen = {}, {}, []
+    for batch in batches:
+        for event, _, a, b, s1, s2 in sorted((r for r in batch if None not in r), key=lambda r: (r[1], r[0])):
+            if event in seen[-keep:] or s1 == s2:
+                continue
+            seen.append(event)
+            x, y = elo.get(a, 1500.0), elo.get(b, 1500.0)
+            delta = 22.0 * min(1.35, 1.0 + 0.12 * abs(s1 - s2)) * ((s1 > s2) - 1.0 / (1.0 + 10 ** ((y - x) / 400.0)))
+            elo[a], elo[b] = round(x + delta, 2), round(y - delta, 2)
+            n[a], n[b] = n.get(a, 0) + 1, n.get(b, 0) + 1
+    return {t: (elo[t], n[t]) for t in elo}
+
+
+@pytest.mark.parametrize("keep", [1500, 5])
+def test_fold_survives_replays_late_results_and_a_restart(spark, tmp_path, keep):
+    """Each file is a batch; the query stops after two and goes on from its checkpoint. With few ids kept, old ones count again."""
+    rng = random.Random(keep)
+    rows = [(i, f"2025-01-{1 + i // 6:02d} 00:00:00", rng.randint(1, 5), rng.randint(6, 9), rng.randint(0, 2), rng.randint(0, 2)) for i in range(60)]
+    batches = [rows[20:40], rows[25:45] + rows[5:10] + [(99, "2025-02-01 00:00:00", None, 6, 2, 0)], rows[:20] + rows[40:60], rows[50:60] + [rows[0]]]
+    live.keyed_state(spark)
+    (tmp_path / "in").mkdir()
+    final = {}
+
+    def keep_last(df, _):
+        final.update({r.team_id: (r.elo, r.matches) for r in df.collect()})
+
+    for part in (batches[:2], batches[2:]):
+        for batch in part:
+            names = ["event_id", "ts", "team1_id", "team2_id", "score1", "score2"]
+            at = len(list((tmp_path / "in").iterdir()))
+            (tmp_path / "in" / f"{at:03d}.json").write_text("\n".join(json.dumps(dict(zip(names, r)) | {"event_type": "click"}) for r in batch))
+            os.utime(tmp_path / "in" / f"{at:03d}.json", (1e9 + at, 1e9 + at))  # files are read by their time
+        stream = live.snapshot_stream(spark, str(tmp_path / "in")).withColumn("pool", F.lit("all"))
+        query = live.rating_fold(stream, "pool", keep).writeStream.outputMode("update").foreachBatch(keep_last).option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start()
+        query.awaitTermination(180)
+    assert final == plain_fold(batches, keep)
+    assert (final == plain_fold([sum(batches, [])], 1500)) is False  # order of arrival counts
+
+
 def test_filter_dedupe_and_windows(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
