@@ -107,12 +107,14 @@ class Rollup:
         return self._put(f"batch={batch_id}", deltas)
 
     def _put(self, name: str, rows: DataFrame, ids: list[str] | None = None) -> bool:
-        aside = self._folder(f"_writing-{name}")
+        aside, target = self._folder(f"_writing-{name}"), self._folder(name)
+        if self._fs.exists(target):  # a rename would put the batch inside it
+            return False
         self._fs.delete(aside, True)
         rows.write.parquet(aside.toString())
         if ids:
             self.spark.createDataFrame([(x,) for x in ids], "value string").coalesce(1).write.text(f"{aside.toString()}/_ids")
-        return self._fs.rename(aside, self._folder(name))
+        return self._fs.rename(aside, target)
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, n_docs, n_tokens) as of the batches committed now."""
@@ -130,7 +132,8 @@ class Rollup:
         old, ids = self._folders(), self.committed()
         if len(old) < 2:
             return
-        name, aside = f"batch=all-{len(ids)}", self._folder("_compacted")
+        # no batch can have this name: `apply` refuses ids with a dot
+        name, aside = f"batch=all.{len(ids)}", self._folder("_compacted")
         self._fs.delete(aside, True)
         self.totals().write.parquet(f"{aside.toString()}/{name}")
         self.spark.createDataFrame([(x,) for x in ids], "value string").coalesce(1).write.text(f"{aside.toString()}/{name}/_ids")

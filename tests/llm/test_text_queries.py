@@ -300,6 +300,22 @@ def test_rollup_cut_between_deletion_and_rename(spark, tmp_path):
     assert not rollup.apply("a", token_counts.counted(docs, {"words@1": token_counts.word_count})) and by_spark(rollup.totals()) == want
 
 
+def test_no_batch_can_take_a_compacted_ones_place(spark, tmp_path):
+    rollup = token_counts.Rollup(spark, f"file://{tmp_path}/r")
+    docs = spark.createDataFrame(documents(4), SCHEMA)
+    feed = token_counts.counted(docs, {"words@1": token_counts.word_count})
+    n = sum(r.n_docs for r in feed.groupBy().agg(F.count(F.lit(1)).alias("n_docs")).collect())
+    total = lambda: rollup.totals().agg(F.sum("n_docs")).first()[0]
+    assert rollup.apply("b0", feed) and rollup.apply("b1", feed)
+    rollup.compact()
+    assert rollup.apply("all-2", feed) and total() == 3 * n and rollup.committed() == ["all-2", "b0", "b1"]
+    assert not rollup.apply("all-2", feed) and not rollup.apply("b0", feed) and total() == 3 * n
+    rollup.compact()
+    assert rollup.apply("all-3", feed) and total() == 4 * n and rollup.committed() == ["all-2", "all-3", "b0", "b1"]
+    with pytest.raises(ValueError):
+        rollup.apply("all.2", feed)
+
+
 def test_rollup_recovers(spark, tmp_path):
     rollup = token_counts.Rollup(spark, f"file://{tmp_path}/r")
     docs = spark.createDataFrame(documents(4), SCHEMA)
