@@ -5,14 +5,27 @@ Nulls give null unless a function says otherwise.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented Latin letters and what they fold to.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďēęěğīłńňōőřśşšșťțūůűźżžÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝŠŽ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccdeeegilnnoorssssttuuuzzzAAAAAACEEEEIIIINOOOOOUUUUYSZ"
+
+def _folds() -> tuple[str, str, list[tuple[str, str]]]:
+    """(letters, what each stands for, letters that stand for several) of all characters that compatibility decomposition,
+    without the combining marks, turns into ASCII letters and digits."""
+    one, many = [], []
+    for n in [*range(0x80, 0xD800), *range(0xF900, 0x10000)]:
+        plain = re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFKD", chr(n)))
+        plain = re.sub("[^A-Za-z0-9]+", " ", plain)
+        if plain.strip():
+            (one if len(plain) == 1 else many).append((chr(n), plain))
+    return "".join(c for c, _ in one), "".join(p for _, p in one), [(c, p) for c, p in many if unicodedata.category(c).startswith("L")]
+
+
+ACCENTED, PLAIN, LIGATURES = _folds()
 #: Score words that are no numbers.
 NO_SCORE = ("W", "L", "FF", "DQ")
 #: Map names by their raw spelling.
@@ -37,8 +50,10 @@ def slug_key(c: Column) -> Column:
 
 
 def fold_accents(c: Column) -> Column:
-    """Accented Latin letters as plain ones; marks that stand by themselves are dropped."""
-    return F.regexp_replace(F.translate(c, ACCENTED, PLAIN), r"\p{Mn}+", "")
+    """Letters and digits in any accented, wide or joined form as plain ones; combining marks are dropped."""
+    joined = reduce(lambda text, pair: F.replace(text, F.lit(pair[0]), F.lit(pair[1])), LIGATURES, c)
+    some = F.regexp_like(c, F.lit(f"[{''.join(letter for letter, _ in LIGATURES)}]"))
+    return F.regexp_replace(F.translate(F.when(some, joined).otherwise(c), ACCENTED, PLAIN), "[\u0300-\u036f]+", "")
 
 
 def name_key(c: Column, accents: bool = True) -> Column:

@@ -35,7 +35,21 @@ def at_least(rows: DataFrame, n: int, name: str) -> DataFrame:
 
 def distinct_elements(rows: DataFrame, column: str, name: str) -> DataFrame:
     """Arrays that repeat an element (Q08)."""
-    return holds(rows, F.size(F.array_distinct(column)) == F.size(column), name)
+    return holds(rows, elements_once(column), name)
+
+
+def inspect(rows: DataFrame, conditions: dict[str, Column], least: dict[str, int] | None = None) -> DataFrame:
+    """All row checks of a table in one pass: each condition's rows that don't hold (Q02, Q04, Q06-Q08), and whether there
+    are as many rows as each of `least` wants (Q05)."""
+    counts = [F.count_if(~F.coalesce(c, F.lit(False))).alias(f"c{i}") for i, c in enumerate(conditions.values())]
+    one = rows.agg(F.count(F.lit(1)).alias("total"), *counts)
+    found = [(name, F.col(f"c{i}")) for i, name in enumerate(conditions)] + [(name, (F.col("total") < n).cast("long")) for name, n in (least or {}).items()]
+    return one.select(F.inline(F.array(*[F.struct(F.lit(name).alias("check"), failed.alias("failed"), F.col("total")) for name, failed in found])))
+
+
+def elements_once(column: str) -> Column:
+    """Whether an array repeats no element (Q08)."""
+    return F.size(F.array_distinct(column)) == F.size(column)
 
 
 def report(*checks: DataFrame) -> DataFrame:

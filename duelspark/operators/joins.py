@@ -30,19 +30,44 @@ def first_child(rows: DataFrame, children: DataFrame, key: str, index: str) -> D
     return rows.join(children.groupBy(key).agg(F.min(index).alias(f"first_{index}")), key, "left")
 
 
+PIECE = 4  # letters of a piece, and the least length of a slug that may stand inside another
+
+
+def _pieces(slug: Column) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(slug) - (PIECE - 1)), lambda i: F.substring(slug, i, F.lit(PIECE))))
+
+
+def _inside(short: DataFrame, long: DataFrame, scope: str) -> DataFrame:
+    """(scope, short's columns, long's columns) where short's slug stands inside long's, by an index of pieces.
+
+    Each short slug is looked up by the one of its pieces that the fewest long slugs of its scope have.
+    """
+    index = long.where(F.length("long") >= PIECE).select("*", F.explode(_pieces(F.col("long"))).alias("piece"))
+    sizes = index.groupBy(scope, "piece").agg(F.count(F.lit(1)).alias("n"))
+    asked = short.where(F.length("short") >= PIECE).select("*", F.explode(_pieces(F.col("short"))).alias("piece"))
+    own = [c for c in short.columns if c not in (scope, "short")]
+    # a piece that no long slug has is the rarest: such a slug stands in none, and the join drops it
+    rare = asked.join(sizes, [scope, "piece"], "left").groupBy(scope, "short", *own).agg(F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)), "piece")).alias("piece"))
+    return rare.join(index, [scope, "piece"]).where(F.col("long").contains(F.col("short"))).drop("piece")
+
+
 def resolve_aliases(names: DataFrame, candidates: DataFrame, scope: str, trusted: DataFrame) -> DataFrame:
     """(scope, raw, resolved): a raw name takes a candidate of its scope where exactly one fits.
 
-    A candidate fits by equal slug, a trusted alias, one slug inside the other (four letters or more), or its initials.
+    A candidate fits by equal slug, a trusted alias, one slug inside the other (four letters or more), or its initials. Each
+    rule is a join on keys of its own, so that no name meets all candidates of a scope.
     """
-    pairs = names.select(scope, "raw").distinct().join(candidates.select(scope, "name").distinct(), scope)
-    pairs = pairs.join(F.broadcast(trusted.select(F.col("alias").alias("raw"), F.col("name").alias("__trusted"))), "raw", "left")
-    a, b = slug_key(F.col("raw")), slug_key(F.col("name"))
+    raw = names.select(scope, "raw").where(F.col("raw").isNotNull()).distinct().withColumn("a", slug_key(F.col("raw")))
     initials = F.array_join(F.transform(F.split(name_key(F.col("name")), " "), lambda w: F.substring(w, 1, 1)), "")
-    inside = (F.least(F.length(a), F.length(b)) >= 4) & (a.contains(b) | b.contains(a))
-    fits = (a == b) | F.coalesce(F.col("__trusted") == F.col("name"), F.lit(False)) | inside | (F.translate(a, "_", "") == initials)
-    good = pairs.where(fits).select(scope, "raw", "name").distinct()
-    return good.groupBy(scope, "raw").agg(F.count(F.lit(1)).alias("__n"), F.min("name").alias("resolved")).where("__n = 1").drop("__n")
+    known = candidates.select(scope, "name").where(F.col("name").isNotNull()).distinct().withColumn("b", slug_key(F.col("name"))).withColumn("initials", initials)
+    pair = [scope, "raw", "name"]
+    equal = raw.join(known.withColumn("a", F.col("b")), [scope, "a"]).select(*pair)
+    told = raw.join(trusted.select(F.col("alias").alias("raw"), "name"), "raw").join(known, [scope, "name"]).select(*pair)
+    short = raw.withColumn("initials", F.translate("a", "_", "")).join(known, [scope, "initials"]).select(*pair)
+    a_in_b = _inside(raw.select(scope, "raw", F.col("a").alias("short")), known.select(scope, "name", F.col("b").alias("long")), scope).select(*pair)
+    b_in_a = _inside(known.select(scope, "name", F.col("b").alias("short")), raw.select(scope, "raw", F.col("a").alias("long")), scope).select(*pair)
+    good = equal.unionByName(told).unionByName(short).unionByName(a_in_b).unionByName(b_in_a)
+    return good.groupBy(scope, "raw").agg(F.count_distinct("name").alias("__n"), F.min("name").alias("resolved")).where("__n = 1").drop("__n")
 
 
 def apply_aliases(rows: DataFrame, aliases: DataFrame, scope: str, columns: list[str]) -> DataFrame:

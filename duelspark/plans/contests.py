@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from duelspark.functions import rules
 from duelspark.operators import aggregate as agg
-from duelspark.operators import fold, joins, model, prior, search, select
+from duelspark.operators import declared, fold, joins, model, prior, search, select
 from duelspark.sources.fixtures import Fixtures, with_views
 from duelspark.sources.io import exists, files_state, publish, published, scratch
 
@@ -724,6 +724,33 @@ def _(x):
     return model.registry_append(rows.join(last, F.col("version") == F.col("v"), "left_anti"), rows.join(last, F.col("version") == F.col("v"), "left_semi"))
 
 
+DECLARED = ["roster_continuity_diff", "avg_player_rating_3m_diff", "top_player_rating_3m_diff", "recent_lan_win_rate_diff", "map_pick_rate_diff", "map_ban_rate_diff"]
+
+
+@query("l26_declared", f"""{PRIOR}, lp AS (SELECT m.match_id, m.match_ts, x.player_id, CASE WHEN x.map_index % 2 = 1 THEN m.team1_id ELSE m.team2_id END AS team_id, CAST(x.rating AS DOUBLE) AS rating FROM v_player_stats x JOIN v_matches m USING (match_id)),
+lu AS (SELECT match_id, team_id, max(match_ts) AS ts, list(DISTINCT player_id) AS now FROM lp GROUP BY 1, 2),
+co AS (SELECT match_id, team_id, CASE WHEN bef IS NOT NULL THEN CAST(len(list_intersect(now, bef)) AS DOUBLE) / len(now) END AS v FROM (SELECT *, lag(now) OVER (PARTITION BY team_id ORDER BY ts, match_id) AS bef FROM lu) q),
+pm AS (SELECT match_id, team_id, player_id, avg(rating) OVER (PARTITION BY player_id ORDER BY CAST(match_ts AS TIMESTAMP) RANGE BETWEEN INTERVAL 90 DAYS PRECEDING AND INTERVAL 1 SECOND PRECEDING) AS mean FROM lp),
+rt AS (SELECT match_id, team_id, avg(mean) AS a, max(mean) AS t FROM (SELECT match_id, team_id, player_id, max(mean) AS mean FROM pm GROUP BY 1, 2, 3) q GROUP BY 1, 2),
+ln AS (SELECT p.match_id, p.team_id, p.match_ts, p.won, CASE WHEN m.event_type LIKE 'Offline%' THEN 1 ELSE 0 END AS lan, coalesce(sum(CASE WHEN m.event_type LIKE 'Offline%' THEN 1 ELSE 0 END) OVER (PARTITION BY p.team_id ORDER BY p.match_ts, p.match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM p JOIN v_matches m USING (match_id)),
+lr AS (SELECT team_id, row_number() OVER w AS k, avg(won) OVER (w ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS rate FROM ln WHERE lan = 1 WINDOW w AS (PARTITION BY team_id ORDER BY match_ts, match_id)),
+la AS (SELECT ln.match_id, ln.team_id, coalesce(lr.rate, 0.5) AS v FROM ln LEFT JOIN lr USING (team_id, k)),
+ch AS (SELECT match_id, team_id, map_name, count(*) FILTER (action = 'picked') AS picks, count(*) FILTER (action = 'removed') AS bans FROM v_vetoes GROUP BY 1, 2, 3),
+cb AS (SELECT match_id, team_id, map_name, prior_matches AS n, coalesce(sum(picks) OVER w, 0) AS picks, coalesce(sum(bans) OVER w, 0) AS bans FROM p JOIN (SELECT DISTINCT match_id, map_name FROM v_maps WHERE map_name <> 'TBA') pl USING (match_id) LEFT JOIN ch USING (match_id, team_id, map_name)
+  WINDOW w AS (PARTITION BY team_id, map_name ORDER BY match_ts, match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+cr AS (SELECT match_id, team_id, avg(CASE WHEN n > 0 THEN picks / n ELSE 0.0 END) AS pick, avg(CASE WHEN n > 0 THEN bans / n ELSE 0.0 END) AS ban FROM cb GROUP BY 1, 2)
+SELECT m.match_id, c1.v - c2.v AS roster_continuity_diff, r1.a - r2.a AS avg_player_rating_3m_diff, r1.t - r2.t AS top_player_rating_3m_diff, l1.v - l2.v AS recent_lan_win_rate_diff, h1.pick - h2.pick AS map_pick_rate_diff, h1.ban - h2.ban AS map_ban_rate_diff
+FROM v_matches m LEFT JOIN co c1 ON c1.match_id = m.match_id AND c1.team_id = m.team1_id LEFT JOIN co c2 ON c2.match_id = m.match_id AND c2.team_id = m.team2_id LEFT JOIN rt r1 ON r1.match_id = m.match_id AND r1.team_id = m.team1_id LEFT JOIN rt r2 ON r2.match_id = m.match_id AND r2.team_id = m.team2_id
+LEFT JOIN la l1 ON l1.match_id = m.match_id AND l1.team_id = m.team1_id LEFT JOIN la l2 ON l2.match_id = m.match_id AND l2.team_id = m.team2_id LEFT JOIN cr h1 ON h1.match_id = m.match_id AND h1.team_id = m.team1_id LEFT JOIN cr h2 ON h2.match_id = m.match_id AND h2.team_id = m.team2_id""", ("v_matches", "v_maps", "v_vetoes", "v_player_stats"))
+def _(x):
+    """The declared features that have a function, for every contest; players of odd lines play for the first side."""
+    team = F.when(F.col("map_index") % 2 == 1, F.col("team1_id")).otherwise(F.col("team2_id"))
+    games = x.matches.select("match_id", "match_ts", "team1_id", "team2_id")
+    lines = x.player_stats.select("match_id", "map_index", "player_id", F.col("rating").cast("double").alias("rating")).join(games, "match_id").select("match_id", "match_ts", team.alias("team_id"), "player_id", "rating")
+    sides = prior.contest_sides(x.matches).join(x.matches.select("match_id", rules.is_lan(F.col("event_type")).alias("is_lan")), "match_id")
+    return declared.declared_features(declared.Inputs(x.matches, sides, saved(lines), x.maps, x.vetoes), DECLARED)
+
+
 CUT = "1998-01-01"
 
 

@@ -27,7 +27,9 @@ def product_only(rows: DataFrame, eligible: list[str]) -> DataFrame:
 
 
 def bounded_distinct(rows: DataFrame, key: str, time: str, within: str) -> DataFrame:
-    """The first row of each key inside a time bound, which also bounds the state."""
+    """The first row of each key inside a time bound, which also bounds the state (T04); in a batch, one row of each key."""
+    if not rows.isStreaming:
+        return rows.dropDuplicates([key])
     return rows.withWatermark(time, within).dropDuplicatesWithinWatermark([key])
 
 
