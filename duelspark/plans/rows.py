@@ -170,12 +170,46 @@ query("s13_s14_members", "SELECT c_custkey AS k, u.i, CASE u.i WHEN 1 THEN c_nam
 )
 query("s15_page_runs", "SELECT o_custkey AS page, count(*) AS n, min(o_orderdate) AS first, max(o_orderdate) AS last, min(o_orderdate) <= TIMESTAMP '1995-01-01' AS stop FROM orders GROUP BY 1")(lambda x: io.page_runs(x.table("orders").withColumnRenamed("o_custkey", "page"), "page", "o_orderdate", F.lit("1995-01-01").cast("timestamp")))
 query("s16_typed", "SELECT c_custkey, CAST(c_acctbal AS INT) AS bal, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM customer".replace("CAST(c_acctbal AS INT)", "CAST(trunc(c_acctbal) AS INT)"))(lambda x: io.typed(x.table("customer"), {"c_custkey": F.col("c_custkey"), "bal": F.col("c_acctbal").cast("int"), "slug": slug_key(F.col("c_name"))}))
-query("s17_wide", "SELECT event_id AS player_id, m.i AS map_index, CASE m.i WHEN 1 THEN 'Nuke' ELSE 'Mirage' END AS name, m.i * 10 AS kills FROM events, (VALUES (1), (2)) m(i)")(
-    lambda x: io.wide_stats(x.table("events").withColumn("d", F.concat(F.lit('{"player":{"id":'), F.col("event_id").cast("string"), F.lit(',"name":"p"},"maps":[{"name":"Nuke","kills":10},{"name":"Mirage","kills":20}]}'))), "d").select("player_id", "map_index", "name", "kills")
-)
-query("s18_detail", "SELECT event_id AS match_id, 2 AS score1, CAST(event_id % 2 AS INT) AS score2, 1 AS winner FROM events")(
-    lambda x: io.detail_tables(x.table("events").withColumn("d", F.concat(F.lit('{"id":'), F.col("event_id").cast("string"), F.lit(',"best_of":3,"maps":[{"name":"A","s1":13,"s2":4},{"name":"B","s1":'), F.when(F.col("event_id") % 2 == 1, "1").otherwise("5"), F.lit(',"s2":5},{"name":"C","s1":13,"s2":9}]}'))), "d")["contest"].select("match_id", "score1", "score2", "winner")
-)
+def detail_documents(x):
+    """A JSON document a contest: its maps, vetoes, line-ups and stat lines, as a feed would send them."""
+    ordered = lambda order, **fields: F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("k"), *[F.col(c).alias(n) for n, c in fields.items()]))), lambda v: F.struct(*[v[n].alias(n) for n in fields]))
+    maps = x.maps.groupBy("match_id").agg(ordered("map_index", name="map_name", s1="team1_rounds", s2="team2_rounds").alias("maps"))
+    vetoes = x.vetoes.groupBy("match_id").agg(ordered("veto_index", team="team_id", action="action", map="map_name").alias("vetoes"))
+    lines = x.player_stats.select("match_id", "map_index", "team_id", F.col("player_id").cast("string").alias("player"), F.col("rating").cast("double").alias("rating"))
+    people = lines.groupBy("match_id").agg(ordered("map_index", team="team_id", player="player").alias("lineups"), ordered("map_index", player="player", rating="rating").alias("stats"))
+    rows = x.matches.select("match_id", F.col("match_id").alias("id"), "best_of").join(maps, "match_id", "left").join(vetoes, "match_id", "left").join(people, "match_id", "left")
+    return rows.select(F.when(F.col("id") % 97 == 0, "cut short {").otherwise(F.to_json(F.struct("id", "best_of", "maps", "vetoes", "lineups", "stats"))).alias("text"))
+
+
+def details(x):
+    """The five tables of all documents; each text is parsed once."""
+    from duelspark.plans.contests import saved, shared
+
+    return io.detail_tables(shared(x, "details", lambda: io.variants(detail_documents(x), "text", saved)))
+
+
+WHOLE = "match_id % 97 <> 0"
+query("s18_detail", f", w AS (SELECT match_id, count(CASE WHEN team1_rounds > team2_rounds THEN 1 END) AS a, count(CASE WHEN team2_rounds > team1_rounds THEN 1 END) AS b FROM v_maps GROUP BY 1) SELECT m.match_id, m.best_of, coalesce(a, 0) AS score1, coalesce(b, 0) AS score2, CASE WHEN a > b THEN 1 WHEN b > a THEN 2 END AS winner FROM v_matches m LEFT JOIN w USING (match_id) WHERE {WHOLE}", ("v_matches", "v_maps"))(lambda x: details(x)["contest"])
+query("s18_maps", f"SELECT match_id, row_number() OVER (PARTITION BY match_id ORDER BY map_index) AS \"index\", map_name AS name, team1_rounds AS s1, team2_rounds AS s2 FROM v_maps WHERE {WHOLE}", ("v_matches", "v_maps"))(lambda x: details(x)["maps"])
+query("s18_vetoes", f"SELECT match_id, row_number() OVER (PARTITION BY match_id ORDER BY veto_index) AS \"index\", team_id AS team, action, map_name AS map FROM v_vetoes WHERE {WHOLE}", ("v_matches", "v_maps", "v_vetoes"))(lambda x: details(x)["vetoes"])
+LINES_SQL = f"SELECT x.match_id, row_number() OVER (PARTITION BY x.match_id ORDER BY map_index, {{tie}}) AS \"index\", {{cols}} FROM v_player_stats x JOIN v_matches m ON m.match_id = x.match_id WHERE m.{WHOLE}"
+query("s18_lineups", LINES_SQL.format(tie="x.team_id, CAST(player_id AS VARCHAR)", cols="x.team_id AS team, CAST(player_id AS VARCHAR) AS player"), ("v_matches", "v_player_stats"))(lambda x: details(x)["lineups"])
+query("s18_stats", LINES_SQL.format(tie="CAST(player_id AS VARCHAR), rating", cols="CAST(player_id AS VARCHAR) AS player, CAST(rating AS DOUBLE) AS rating"), ("v_matches", "v_player_stats"))(lambda x: details(x)["stats"])
+
+
+@query("s17_wide", """, l AS (SELECT x.match_id, x.player_id, x.kills, x.deaths, CAST(x.rating AS DOUBLE) AS rating, coalesce(m.map_name, 'unknown') AS name, row_number() OVER (PARTITION BY x.match_id, x.player_id ORDER BY x.map_index, coalesce(m.map_name, 'unknown'), kills, deaths, rating) AS map_index
+  FROM v_player_stats x LEFT JOIN v_maps m ON m.match_id = x.match_id AND m.map_index = x.map_index) SELECT player_id, 'player ' || CAST(player_id AS VARCHAR) AS player, map_index, name, kills, deaths, rating FROM l""", ("v_matches", "v_maps", "v_player_stats"))
+def _(x):
+    """A document for each player and contest, of the lines that the player has there."""
+    from duelspark.plans.contests import saved
+
+    lines = x.player_stats.join(x.maps.select("match_id", "map_index", "map_name"), ["match_id", "map_index"], "left")
+    own = F.struct("map_index", F.coalesce("map_name", F.lit("unknown")).alias("name"), "kills", "deaths", F.col("rating").cast("double").alias("rating"))
+    docs = lines.groupBy("match_id", "player_id").agg(F.sort_array(F.collect_list(own)).alias("maps"))
+    player = F.struct(F.col("player_id").alias("id"), F.concat(F.lit("player "), F.col("player_id").cast("string")).alias("name")).alias("player")
+    return io.wide_stats(io.variants(docs.select(F.to_json(F.struct(player, "maps")).alias("text")), "text", saved))
+
+
 query("s19_snapshot", "SELECT CAST(event_id AS VARCHAR) AS match_id, CASE event_id % 2 WHEN 0 THEN 'live' ELSE 'upcoming' END AS status FROM events WHERE event_id % 5 NOT IN (0, 1)")(
     lambda x: io.normalised_snapshot(x.table("events").withColumn("d", F.concat(F.lit('{"matches":[{"id":"'), F.col("event_id").cast("string"), F.lit('","team1":"'), F.when(F.col("event_id") % 5 == 0, "TBD").otherwise("Alpha"), F.lit('","team2_name":"'), F.when(F.col("event_id") % 5 == 1, "alpha").otherwise("Beta"), F.lit('"'), F.when(F.col("event_id") % 2 == 0, ',"status":"LIVE"').otherwise(""), F.lit("}]}"))), "d").select("match_id", "status")
 )
@@ -244,8 +278,11 @@ def _(x):
     return joins.roster(rows.where("place % 3 = 0"), rows, "team")
 
 
-query("m17_traits", "SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN 2.0 ELSE 1.0 END AS a, 1.0 AS b, 3.0 AS c FROM orders")(
-    lambda x: (lambda m: x.table("orders").select("o_orderkey", m["a"].alias("a"), m["b"].alias("b"), m["c"].alias("c")))(
-        merge.merge_maps(F.create_map(F.lit("a"), F.lit(1.0), F.lit("b"), F.lit(1.0)), F.create_map(F.lit("a"), F.when(F.col("o_custkey") % 2 == 0, 2.0), F.lit("b"), F.lit(None).cast("double"), F.lit("c"), F.lit(3.0)))
+query("m17_traits", "SELECT l_orderkey, l_linenumber, l_partkey, coalesce(CASE WHEN l_partkey % 2 = 0 THEN CAST(l_quantity AS DOUBLE) END, CAST(l_discount AS DOUBLE)) AS a, CAST(l_tax AS DOUBLE) AS b, CAST(l_suppkey AS DOUBLE) AS c FROM lineitem")(
+    lambda x: (lambda m: x.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", m["a"].alias("a"), m["b"].alias("b"), m["c"].alias("c")))(
+        merge.merge_maps(
+            F.create_map(F.lit("a"), F.col("l_discount").cast("double"), F.lit("b"), F.col("l_tax").cast("double")),
+            F.create_map(F.lit("a"), F.when(F.col("l_partkey") % 2 == 0, F.col("l_quantity").cast("double")), F.lit("b"), F.lit(None).cast("double"), F.lit("c"), F.col("l_suppkey").cast("double")),
+        )
     )
 )

@@ -157,24 +157,40 @@ def typed(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return rows.select(*[c.alias(name) for name, c in columns.items()])
 
 
-def wide_stats(docs: DataFrame, column: str) -> DataFrame:
-    """Nested player documents as one wide row a map and player."""
-    schema = "struct<player: struct<id: bigint, name: string>, maps: array<struct<name: string, kills: int, deaths: int, rating: double>>>"
-    return docs.select(F.from_json(column, schema).alias("d")).select(F.col("d.player.id").alias("player_id"), F.col("d.player.name").alias("player"), F.posexplode("d.maps").alias("map_index", "m")).select("player_id", "player", (F.col("map_index") + 1).alias("map_index"), "m.*")
-
-
-def detail_tables(docs: DataFrame, column: str) -> dict[str, DataFrame]:
-    """One detail document as contest, maps, vetoes, line-ups and stat lines (S18); the text is parsed once per table."""
-    schema = (
-        "struct<id: bigint, best_of: int, maps: array<struct<name: string, s1: int, s2: int>>, vetoes: array<struct<team: int, action: string, map: string>>,"
-        " lineups: array<struct<team: int, player: string>>, stats: array<struct<player: string, rating: double>>>"
-    )
-    d = docs.select(F.from_json(column, schema).alias("d")).where("d.id is not null").select(F.col("d.id").alias("match_id"), "d.*")
+def variants(docs: DataFrame, column: str, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(d): the JSON texts of a column, each parsed once and kept as a variant; what isn't JSON is dropped.
+
+    Every table that is read from the documents then takes its paths from the saved variants.
+    """
+    return save(docs.select(F.try_parse_json(F.col(column)).alias("d")).where("d is not null"))
+
+
+def _field(path: str, kind: str) -> Column:
+    return F.try_variant_get("d", path, kind)
+
+
+def wide_stats(docs: DataFrame) -> DataFrame:
+    """Nested player documents, variants in `d`, as one wide row a map and player."""
+    each = docs.select(_field("$.player.id", "bigint").alias("player_id"), _field("$.player.name", "string").alias("player"), F.posexplode(_field("$.maps", "array<struct<name: string, kills: int, deaths: int, rating: double>>")).alias("map_index", "m"))
+    return each.select("player_id", "player", (F.col("map_index") + 1).alias("map_index"), "m.*")
+
+
+#: The children of a detail document.
+DETAIL_CHILDREN = {
+    "maps": "array<struct<name: string, s1: int, s2: int>>", "vetoes": "array<struct<team: int, action: string, map: string>>",
+    "lineups": "array<struct<team: int, player: string>>", "stats": "array<struct<player: string, rating: double>>",
+}
+
+
+def detail_tables(docs: DataFrame) -> dict[str, DataFrame]:
+    """Detail documents, variants in `d`, as contest, maps, vetoes, line-ups and stat lines (S18); those without an id are dropped."""
+    known = docs.select(_field("$.id", "bigint").alias("match_id"), "d").where("match_id is not null")
+    child = lambda name: known.select("match_id", F.posexplode(_field(f"$.{name}", DETAIL_CHILDREN[name])).alias("p", "x")).select("match_id", (F.col("p") + 1).alias("index"), "x.*")
+    scored = known.select("match_id", _field("$.best_of", "int").alias("best_of"), F.coalesce(_field("$.maps", DETAIL_CHILDREN["maps"]), F.array().cast(DETAIL_CHILDREN["maps"])).alias("maps"))
     wins = lambda f: F.size(F.filter("maps", f))
-    child = lambda name: d.select("match_id", F.posexplode(name).alias("p", "x")).select("match_id", (F.col("p") + 1).alias("index"), "x.*")
     s1, s2 = wins(lambda m: m["s1"] > m["s2"]), wins(lambda m: m["s2"] > m["s1"])
-    contest = d.select("match_id", "best_of", s1.alias("score1"), s2.alias("score2"), F.when(s1 > s2, 1).when(s2 > s1, 2).alias("winner"))
-    return {"contest": contest} | {name: child(name) for name in ("maps", "vetoes", "lineups", "stats")}
+    contest = scored.select("match_id", "best_of", s1.alias("score1"), s2.alias("score2"), F.when(s1 > s2, 1).when(s2 > s1, 2).alias("winner"))
+    return {"contest": contest} | {name: child(name) for name in DETAIL_CHILDREN}
 
 
 def normalised_snapshot(docs: DataFrame, column: str) -> DataFrame:
