@@ -153,6 +153,24 @@ def recent_form(stats: DataFrame, key: str, order: list[str], value: str, n: int
     return ranked.groupBy(key).agg(recent.alias("recent"), previous.alias("previous")).withColumn("delta", F.col("recent") - F.col("previous"))
 
 
+def player_timeline(lines: DataFrame, matches: DataFrame, most: int = 18) -> DataFrame:
+    """(player_id, place, match_id, match_ts, team_id, opponent_id, won): a player's latest contests, the earliest first.
+
+    lines: (player_id, match_id, match_ts, team_id), one a contest. A result is the winner's id if that and the team are
+    known, else the scores' if they differ, else unknown. The opponent is the first side unless the player's team is that.
+    """
+    order = Window.partitionBy("player_id").orderBy(F.col("match_ts").desc(), F.col("match_id").desc(), F.col("team_id").desc())
+    recent = lines.where("match_ts is not null").withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most)
+    rows = recent.join(matches.select("match_id", "team1_id", "team2_id", "winner_team_id", "team1_score", "team2_score"), "match_id")
+    team, first = F.col("team_id"), F.col("team1_id")
+    mine = ((first == team) & (F.col("team1_score") > F.col("team2_score"))) | ((F.col("team2_id") == team) & (F.col("team2_score") > F.col("team1_score")))
+    by_score = F.when(F.col("team1_score") != F.col("team2_score"), F.coalesce(mine, F.lit(False)))
+    won = F.coalesce(F.col("winner_team_id") == team, by_score)
+    opponent = F.when(first == team, F.col("team2_id")).otherwise(first)
+    place = F.row_number().over(Window.partitionBy("player_id").orderBy(F.col("__n").desc()))
+    return rows.select("player_id", place.alias("place"), "match_id", "match_ts", "team_id", opponent.alias("opponent_id"), won.alias("won"))
+
+
 def latest_per(rows: DataFrame, date: str, region: str | None = None) -> DataFrame:
     """The rows of the latest date, overall or in each region."""
     if region is None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duelspark.functions.clean import name_key
+from duelspark.functions.clean import name_key, slug_key
 
 from .merge import insert_ignore
 from .prior import contest_sides, latest_per
@@ -85,3 +85,32 @@ def mark(queue: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
     back = done.select(*key, F.col("status").alias("__status"))
     out = queue.join(back, key, "left")
     return out.withColumn("attempts", F.col("attempts") + F.col("__status").isNotNull().cast("int")).withColumn("status", F.coalesce("__status", "status")).drop("__status")
+
+
+#: The tiers that leave the warehouse, and the date of what has none.
+PRODUCT_TIERS, NO_DATE = ("tier_1", "tier_2"), "9999-12-31"
+
+
+def tier_gate(events: DataFrame, matches: DataFrame, players: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(events, matches, players) that may leave the warehouse.
+
+    Events: (event_id, name, tier). A contest is kept if its event is, by id or by name, else by the tier it states itself,
+    and takes the event's tier first. Players: (match_id, player_id), those in kept contests.
+    """
+    kept = events.where(F.col("tier").isin(*PRODUCT_TIERS))
+    by_id = kept.select("event_id", F.col("tier").alias("__by_id")).dropDuplicates(["event_id"])
+    by_name = kept.groupBy(slug_key(F.col("name")).alias("__slug")).agg(F.min("tier").alias("__by_name"))
+    rows = matches.withColumn("__slug", slug_key(F.col("event_name"))).join(by_id, "event_id", "left").join(by_name, "__slug", "left")
+    tier = F.coalesce("__by_id", "__by_name", F.when(F.col("event_tier").isin(*PRODUCT_TIERS), F.col("event_tier")))
+    games = rows.withColumn("product_tier", tier).where("product_tier is not null").select(*matches.columns, "product_tier")
+    return kept, games, players.join(games.select("match_id"), "match_id", "left_semi")
+
+
+def not_before(date: Column, bound: str) -> Column:
+    """Whether a date is at or after a bound; what has no date is (P10)."""
+    return F.coalesce(date.cast("date"), F.lit(NO_DATE).cast("date")) >= F.lit(bound).cast("date")
+
+
+def detail_queue(matches: DataFrame, details: DataFrame, high: Column, stars: str, top: int) -> DataFrame:
+    """Contests without details, the most important first."""
+    return priority_queue(missing_children(matches, details), high, stars, top)

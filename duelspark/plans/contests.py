@@ -421,6 +421,45 @@ def _(x):
     return top.select("player_id", "match_id", "team_id", "place", won.alias("won"), opponent.alias("opponent_id"))
 
 
+@query("w10_fallbacks", """, o AS (SELECT player_id, match_id, max(stat_ts) AS ts, max(team_id) AS team_id FROM v_player_stats GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY ts DESC, match_id DESC, team_id DESC) AS n FROM o),
+m AS (SELECT *, CASE WHEN match_id % 3 <> 0 THEN CASE WHEN target_team1_win = 1 THEN team1_id ELSE team2_id END END AS w, CASE WHEN match_id % 6 <> 0 THEN team1_score END AS s1, team2_score AS s2 FROM v_matches)
+SELECT player_id, row_number() OVER (PARTITION BY player_id ORDER BY n DESC) AS place, match_id, ts AS match_ts, team_id, CASE WHEN team1_id = team_id THEN team2_id ELSE team1_id END AS opponent_id,
+  coalesce(w = team_id, CASE WHEN s1 <> s2 THEN coalesce((team1_id = team_id AND s1 > s2) OR (team2_id = team_id AND s2 > s1), false) END) AS won FROM k JOIN m USING (match_id) WHERE n <= 18""", ("v_matches", "v_player_stats"))
+def _(x):
+    """A third of the contests state no winner, half of those no score of the first side."""
+    lines = x.player_stats.groupBy("player_id", "match_id").agg(F.max("stat_ts").alias("match_ts"), F.max("team_id").alias("team_id"))
+    winner = F.when(F.col("match_id") % 3 != 0, F.when(F.col("target_team1_win") == 1, F.col("team1_id")).otherwise(F.col("team2_id")))
+    games = x.matches.withColumn("winner_team_id", winner).withColumn("team1_score", F.when(F.col("match_id") % 6 != 0, F.col("team1_score")))
+    return prior.player_timeline(lines, games)
+
+
+query("a19_event_formats", ", z AS (SELECT event_id, max(match_phase = 'group_stage') AS g, max(is_playoff = 1 AND best_of > 1) AS p, max(match_phase LIKE 'swiss%') AS s FROM v_matches WHERE match_id % 40 < 2 GROUP BY 1) SELECT event_id, CASE WHEN (s OR g) AND p THEN 'mixed' WHEN s THEN 'swiss' WHEN g THEN 'gsl' WHEN p THEN 'single_elimination' ELSE 'mixed' END AS format FROM z", ("v_matches",))(
+    lambda x: agg.event_formats(x.matches.where("match_id % 40 < 2"), F.col("match_phase").startswith("swiss"), F.col("match_phase") == "group_stage", (F.col("is_playoff") == 1) & (F.col("best_of") > 1)).select("event_id", "format")
+)
+
+
+@query("p09_tier_gate", """, e AS (SELECT n_nationkey AS event_id, n_name AS name, CASE n_nationkey % 3 WHEN 0 THEN 'tier_1' WHEN 1 THEN 'tier_2' ELSE 'tier_3' END AS tier FROM nation),
+g AS (SELECT m.match_id, coalesce(a.tier, b.tier, CASE WHEN event_tier = 'S-Tier' THEN 'tier_1' END) AS product_tier FROM v_matches m LEFT JOIN e a ON a.event_id = m.event_id AND a.tier <> 'tier_3' LEFT JOIN e b ON m.event_id % 2 = 0 AND b.event_id = m.event_id - 24 AND b.tier <> 'tier_3')
+SELECT player_id, count(DISTINCT match_id) AS n, count(DISTINCT CASE WHEN product_tier = 'tier_1' THEN match_id END) AS n_first FROM v_player_stats JOIN g USING (match_id) WHERE product_tier IS NOT NULL GROUP BY 1""", ("v_matches", "v_player_stats"))
+def _(x):
+    """Players of kept contests; some events are known by name only, the others by the contest's own tier."""
+    n = x.table("nation")
+    tier = F.when(F.col("event_id") % 3 == 0, "tier_1").when(F.col("event_id") % 3 == 1, "tier_2").otherwise("tier_3")
+    events = n.select(F.col("n_nationkey").cast("int").alias("event_id"), F.col("n_name").alias("name")).withColumn("tier", tier)
+    named = events.select((F.col("event_id") + 24).alias("event_id"), F.concat(F.lit(" "), F.initcap("name")).alias("event_name")).where("event_id % 2 = 0")
+    games = x.matches.select("match_id", "event_id", F.when(F.col("event_tier") == "S-Tier", "tier_1").otherwise("tier_3").alias("event_tier")).join(named, "event_id", "left")
+    _, kept, people = select.tier_gate(events, games, x.player_stats.select("match_id", "player_id").distinct())
+    return people.join(kept.select("match_id", "product_tier"), "match_id").groupBy("player_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("product_tier") == "tier_1").alias("n_first"))
+
+
+query("p10_date_bound", "SELECT match_id FROM v_matches WHERE coalesce(CASE WHEN match_id % 7 <> 0 THEN CAST(match_ts AS DATE) END, DATE '9999-12-31') >= DATE '1997-03-01'", ("v_matches",))(
+    lambda x: x.matches.where(select.not_before(F.when(F.col("match_id") % 7 != 0, F.col("match_ts")), "1997-03-01")).select("match_id")
+)
+query("k04_detail_queue", ", z AS (SELECT match_id, match_ts, event_id % 5 AS stars, CASE WHEN event_tier = 'S-Tier' THEN 1 ELSE 0 END AS high_profile FROM v_matches WHERE match_id NOT IN (SELECT match_id FROM v_maps WHERE map_name IN ('Nuke', 'Mirage'))) SELECT match_id, high_profile FROM z ORDER BY high_profile DESC, stars DESC, match_ts DESC, match_id DESC LIMIT 50", M_VIEWS)(
+    lambda x: select.detail_queue(x.matches.withColumn("stars", F.col("event_id") % 5), x.maps.where("map_name in ('Nuke', 'Mirage')"), F.col("event_tier") == "S-Tier", "stars", 50).select("match_id", "high_profile")
+)
+
+
 query("w11_latest_ranking", "SELECT ranking_date, team_id, points, rnk FROM v_rankings WHERE ranking_date = (SELECT max(ranking_date) FROM v_rankings)", ("v_rankings",))(lambda x: prior.latest_per(x.rankings, "ranking_date").select("ranking_date", "team_id", "points", "rnk"))
 query("w12_movement", ", l AS (SELECT * FROM v_rankings WHERE ranking_date = (SELECT max(ranking_date) FROM v_rankings)), q AS (SELECT *, row_number() OVER (ORDER BY points * (1 + team_id % 5 / 10.0) DESC, team_id) AS projected FROM l) SELECT team_id, rnk, projected, rnk - projected AS movement FROM q", ("v_rankings",))(
     lambda x: prior.latest_per(x.rankings, "ranking_date").withColumn("projected", F.row_number().over(Window.partitionBy("ranking_date").orderBy((F.col("points") * (1 + F.col("team_id") % 5 / 10.0)).desc(), "team_id"))).select("team_id", "rnk", "projected", (F.col("rnk") - F.col("projected")).alias("movement"))
@@ -522,6 +561,7 @@ rb AS (SELECT g.model, g.bin, coalesce(avg(p), g.bin * 0.1 + 0.05) AS predicted,
 """
 query("l13_predictions", f"{PREDICTIONS} SELECT match_id, model, p FROM pr", F_VIEWS)(lambda x: predictions(x).select("match_id", "model", "p"))
 query("a26_metrics", f"{PREDICTIONS} SELECT model, {METRICS} FROM pr GROUP BY 1", F_VIEWS)(lambda x: predictions(x).groupBy("model").agg(*agg.metric_columns()))
+query("a30_summary", f"{PREDICTIONS} SELECT model, {METRICS}, count(CASE WHEN p >= 0.5 THEN 1 END) AS favorites FROM pr GROUP BY 1", F_VIEWS)(lambda x: agg.metric_summary(predictions(x), ["model"]))
 query("a27_reliability", f"{PREDICTIONS}{BINS} SELECT * FROM rb", F_VIEWS)(lambda x: agg.reliability(predictions(x), ["model"]))
 query("a27_calibration_error", f"{PREDICTIONS}{BINS} SELECT model, sum(abs(predicted - empirical) * n) / sum(n) AS ece FROM rb GROUP BY 1", F_VIEWS)(lambda x: agg.calibration_error(agg.reliability(predictions(x), ["model"]), ["model"]))
 query("a28_grouped_accuracy", f"{PREDICTIONS} SELECT model, match_phase, is_playoff, {METRICS} FROM pr GROUP BY 1, 2, 3", F_VIEWS)(lambda x: predictions(x).groupBy("model", "match_phase", "is_playoff").agg(*agg.metric_columns()))
