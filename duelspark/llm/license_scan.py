@@ -1,7 +1,8 @@
 """License scans as an exact set-similarity join, in DataFrame functions only.
 
-A text block is a line of a text with the LINES - 1 lines after it, since notices wrap, or the line alone where they have
-more than BLOCK_CHARS characters together. A template is a licence notice. Both count as sets of lower-cased words. A
+A text block is a window of twice as many words as the longest template has, and such windows begin every so many words:
+a notice stands wholly inside one of them, however its lines wrap and whatever stands around it. A template is a licence
+notice. Both count as sets of lower-cased words. A
 block meets a template if it holds CONTAINMENT or more of the template's words and, of the words that no other template
 has, half or more: those tell a licence from its neighbours. All such pairs are found:
 
@@ -28,7 +29,6 @@ from pyspark.sql import functions as F
 from .common import RAW_WORD, ascii_lower, saved, table
 
 CONTAINMENT = 0.8
-LINES, BLOCK_CHARS = 3, 600
 
 #: Phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -85,6 +85,11 @@ def own_words(templates: dict[str, str]) -> dict[str, list[str]]:
     return {label: sorted(words.difference(*[x for other, x in sets.items() if other != label])) for label, words in sets.items()}
 
 
+def block_words(templates: dict[str, str]) -> int:
+    """Words of the longest template: half a window, and how far windows are apart."""
+    return max(len(text.split(" ")) for text in templates.values())
+
+
 def token_order(docs: DataFrame, text_col: str, vocabulary: list[str]) -> list[str]:
     """The templates' words by their frequency over all texts, rarest first. The counts are as many as the vocabulary."""
     words = docs.select(F.explode(F.split(F.col(text_col), _SEPARATOR + "+")).alias("raw"))
@@ -128,20 +133,24 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
         needed |= set(have[: len(have) - math.ceil(containment * len(have) - 1e-9) + 1])
     holds = F.lit(rf"(?i){_WORD_BEFORE}(?:{'|'.join(sorted(needed))}){_WORD_AFTER}")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    split = F.split(text, "\n")
-
-    def block(line: Column, at: Column) -> Column:
-        wide = F.array_join(F.slice(split, at + 1, LINES), "\n")
-        return F.when(F.length(wide) <= BLOCK_CHARS, wide).otherwise(line)
-
-    lines = F.when(F.regexp_like(text, holds), F.filter(F.transform(split, block), lambda b: F.regexp_like(b, holds))).otherwise(F.array().cast("array<string>"))
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), n_words(text).alias("n_words"), *[c.alias(name) for name, c in base_columns(text).items()], lines.alias("lines"))
-    base = saved(base, "license-lines")
-    ranks = F.broadcast(spark.createDataFrame(list(rank.items()), "token string, rank int"))
-    tokens = base.select("row", F.posexplode("lines").alias("block", "line")).select("row", "block", F.explode(F.array_distinct(F.split(ascii_lower(F.col("line")), _SEPARATOR + "+"))).alias("token"))
-    blocks = tokens.join(ranks, "token").groupBy("row", "block").agg(F.sort_array(F.collect_set("rank")).alias("words"))
+    stride = block_words(templates)
+    literal = lambda words: F.array(*[F.lit(w) for w in words])
+
+    def windows(words: Column) -> Column:
+        """Of each window of words those that templates have, where one of them is a prefix token."""
+        starts = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(stride))
+        own = F.transform(starts, lambda i: F.array_intersect(F.slice(words, i + 1, 2 * stride), literal(vocabulary)))
+        return F.filter(own, lambda b: F.arrays_overlap(b, literal(sorted(needed))))
+
+    # the words are bound once, as the element of an array of one, and not split anew for every window
+    words = F.array(F.split(ascii_lower(text), _SEPARATOR + "+"))
+    blocks = F.when(F.regexp_like(text, holds), F.flatten(F.transform(words, lambda w: windows(F.filter(w, lambda x: x != ""))))).otherwise(F.array().cast("array<array<string>>"))
+    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), n_words(text).alias("n_words"), *[c.alias(name) for name, c in base_columns(text).items()], blocks.alias("blocks"))
+    base = saved(base, "license-blocks")
+    ranks = F.create_map(*[F.lit(x) for pair in rank.items() for x in pair])
+    blocks = base.select("row", F.posexplode("blocks").alias("block", "tokens")).select("row", "block", F.array_sort(F.transform("tokens", lambda t: ranks[t])).alias("words"))
     found = template_matches(blocks, templates, order, containment).groupBy("row").agg(F.collect_set("label").alias("more"), F.max("score").alias("best"))
-    joined = base.drop("lines").join(found, "row", "left")
+    joined = base.drop("blocks").join(found, "row", "left")
     labels = F.array_sort(F.array_distinct(F.concat("base_labels", F.coalesce("more", F.array().cast("array<string>")))))
     score = F.greatest(F.coalesce("best", F.lit(0.0)), F.when(F.col("n_base") > 0, 1.0).otherwise(0.0))
     return joined.select(F.col("id").alias(id_col), "n_words", "n_base", "first_word", "last_word", F.array_join(F.array_sort("base_labels"), ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"))
@@ -152,6 +161,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _VALUES = ", ".join(f"('{label}', '{text}', {own_words(TEMPLATES)[label]})" for label, text in TEMPLATES.items())
+_STRIDE = block_words(TEMPLATES)
 ORACLE_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM d),
@@ -162,9 +172,7 @@ p AS (SELECT r, doc_id, len(w) AS n_words,
 base AS (SELECT r, doc_id, n_words, len(a) + len(b) + len(c) AS n_base, list_min(a || b || c) AS first_word, list_max(a || b || c) AS last_word,
   (CASE WHEN len(a) > 0 THEN ['cc-by'] ELSE [] END) || (CASE WHEN len(b) > 0 THEN ['gpl'] ELSE [] END) || (CASE WHEN len(c) > 0 THEN ['reserved'] ELSE [] END) AS labels FROM p),
 t AS (SELECT label, list_distinct(string_split(notice, ' ')) AS t, CAST(marks AS VARCHAR[]) AS marks FROM (VALUES {_VALUES}) v(label, notice, marks)),
-lines AS (SELECT r, list_distinct(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS l
-  FROM (SELECT r, CASE WHEN length(array_to_string(x[i : i + {LINES - 1}], chr(10))) <= {BLOCK_CHARS} THEN array_to_string(x[i : i + {LINES - 1}], chr(10)) ELSE x[i] END AS line
-    FROM (SELECT r, x, unnest(generate_series(1, len(x))) AS i FROM (SELECT r, string_split(text, chr(10)) AS x FROM d)))),
+lines AS (SELECT r, list_distinct(w[{_STRIDE} * i + 1 : {_STRIDE} * (i + 2)]) AS l FROM (SELECT r, w, unnest(range((len(w) + {_STRIDE - 1}) // {_STRIDE})) AS i FROM w)),
 met AS (SELECT r, list(DISTINCT label) AS more, max(len(list_intersect(l, t)) / len(t)) AS best FROM lines, t
   WHERE len(list_intersect(l, t)) >= ceil(0.8 * len(t) - 1e-9) AND 2 * len(list_intersect(l, marks)) >= len(marks) GROUP BY r)
 SELECT doc_id, n_words, n_base, first_word, last_word, array_to_string(list_sort(labels), ',') AS base_labels,

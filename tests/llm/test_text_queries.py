@@ -82,6 +82,16 @@ def test_misra_gries_bound(spark):
 # -- license scan
 
 
+def test_a_notice_counts_whatever_stands_around_it(spark):
+    """Its label depends neither on how its lines wrap nor on the length of lines near it."""
+    notice = "Redistribution and use in source and binary forms\nwith or without modification are permitted"
+    filler = "filler " * 90
+    texts = [f"{notice}\nshort", f"{notice}\n{filler}", f"{filler}\n{notice}\n{filler}", notice.replace(" ", "\n"), filler + notice.replace("\n", " ") + " " + filler, *[("x " * n) + notice for n in range(45)]]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)] + [(99, filler, "en", "a", 1)], SCHEMA)
+    got = {r.doc_id: r.labels for r in license_scan.scan(docs).collect()}
+    assert got.pop(99) == "" and set(got.values()) == {"bsd"} and len(got) == 50
+
+
 def test_license_scan_matches_sql(spark):
     rows = documents(7) + [(500, "Licensed under the Apache License, Version 2.0.\nAll  rights\nreserved", "en", "a", 1), (501, "the cc by cc by CC-BY ccby", "en", "a", 1)]
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
