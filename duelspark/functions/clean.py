@@ -125,6 +125,36 @@ def multi_format_date(c: Column) -> Column:
     return F.coalesce(F.date_format(parsed, "yyyy-MM-dd"), c)
 
 
+#: Zone words that say nothing here, and the months.
+ZONES = ("CEST", "CET", "EDT", "EST", "UTC", "PDT", "PST", "CDT", "CST")
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+
+
+def fuzzy_date(c: Column) -> Column:
+    """struct(date, seconds) of a date inside a text (F10): `March 5th, 2024 - 18:30 CET`, `the 5 of Mar 2024`, `2024-03-05 18:30`.
+
+    Zone words are left out and times are read as they stand; a text without a date, or with an impossible one, comes back
+    cleaned, without seconds; blank is the empty text.
+    """
+    t = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), rf"\b(?:{'|'.join(ZONES)})\b", ""))
+    name = rf"({'|'.join(MONTHS)})[a-z]*\.?"
+    forms = {  # pattern: which groups are year, month and day
+        r"\b(\d{4})-(\d{1,2})-(\d{1,2})": (1, 2, 3),
+        rf"(?i)\b{name}\s+(\d{{1,2}})(?:st|nd|rd|th)?\b,?\s+(\d{{4}})\b": (3, 1, 2),
+        rf"(?i)\b(\d{{1,2}})(?:st|nd|rd|th)?\s+(?:of\s+)?{name},?\s+(\d{{4}})\b": (3, 2, 1),
+        r"\b(\d{1,2})/(\d{1,2})/(\d{4})\b": (3, 2, 1),
+    }
+    number = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS, 1) for x in (m, str(i))])
+    clock = F.regexp_extract(t, r"\b(\d{1,2}:\d{2})\b", 1)
+    found = []
+    for pattern, groups in forms.items():
+        year, month, day = (F.regexp_extract(t, pattern, g) for g in groups)
+        month = F.coalesce(number[F.lower(month)], month)
+        found.append(F.try_to_timestamp(F.concat(F.concat_ws("-", year, month, day), F.lit(" "), F.coalesce(F.nullif(clock, F.lit("")), F.lit("0:00"))), F.lit("yyyy-M-d H:mm")))
+    at = F.coalesce(*found)
+    return F.struct(F.coalesce(F.date_format(at, "yyyy-MM-dd"), t).alias("date"), F.unix_timestamp(at).alias("seconds"))
+
+
 def join_date(c: Column) -> Column:
     """First YYYY-MM-DD, else the input."""
     s = F.coalesce(c, F.lit(""))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
+from duelspark.functions import clean
 from duelspark.functions.clean import slug_key
 from duelspark.operators import expect, merge
 from duelspark.sources import io, pages
@@ -158,6 +159,41 @@ query("s05_nested", "SELECT event_id, CAST(regexp_extract(props, '(\\d+)', 1) AS
 query("s06_envelopes", "SELECT event_id AS id FROM events WHERE event_type <> 'error'")(
     lambda x: io.envelopes(x.table("events").withColumn("e", F.concat(F.lit('{"status":"'), F.when(F.col("event_type") == "error", "failed").otherwise("ok"), F.lit('","data":{"id":'), F.col("event_id").cast("string"), F.lit("}}"))), "e", "struct<id: bigint>")[0]
 )
+def result_pages(x):
+    """A result page for each event and month, odd events in rows; every ninth block comes again, cut short."""
+    at, day = (F.unix_timestamp("match_ts") * 1000).cast("string"), F.date_format("match_ts", "yyyy-MM-dd")
+    team, score = (lambda s: F.concat(F.lit("Team "), F.col(f"team{s}_id").cast("string"))), (lambda s: F.col(f"team{s}_score").cast("string"))
+    own, event, form = F.col("match_id").cast("string"), F.concat(F.lit("Event "), F.col("event_id").cast("string")), F.concat(F.lit("bo"), F.col("best_of").cast("string"))
+    stars = F.col("event_id") % 4
+    card = F.concat(F.lit('<h3 class="day">'), day, F.lit('</h3><div class="match" data-at="'), at, F.lit('"><a href="/match/'), own, F.lit('/x"><b class="team">'), team(1), F.lit('</b> <i>'), score(1), F.lit("</i> - <i>"), score(2), F.lit('</i> <b class="team"> '), team(2), F.lit("</b><em>"), event, F.lit("</em><small>"), form, F.lit("</small></a>"), F.repeat(F.lit('<i class="star"></i>'), stars), F.lit("</div><!--match-->"))
+    row = F.concat(F.lit('<tr><th colspan="6">'), day, F.lit('</th></tr><tr class="result" data-unix="'), at, F.lit('"><td class="t">'), team(1), F.lit("</td><td>"), score(1), F.lit(":"), score(2), F.lit('</td><td class="t">'), team(2), F.lit('</td><td><a title="'), event, F.lit('" href="/m?x=1&id='), own, F.lit('">m</a></td><td class="f">'), form, F.lit("</td><td>"), F.repeat(F.lit("&#9733;"), stars), F.lit("</td></tr>"))
+    short = F.when(F.col("match_id") % 9 == 0, F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('<div class="match"><a href="/match/'), own, F.lit('/x"></a></div><!--match-->'))).otherwise(F.concat(F.lit('<tr class="result"><td><a href="?id='), own, F.lit('">m</a></td></tr>')))).otherwise("")
+    text = F.concat(F.when(F.col("event_id") % 3 == 0, short).otherwise(""), F.when(F.col("event_id") % 2 == 0, card).otherwise(row), F.when(F.col("event_id") % 3 != 0, short).otherwise(""))
+    blocks = x.matches.select("event_id", F.date_format("match_ts", "yyyyMM").cast("long").alias("month"), F.struct("match_ts", "match_id", text.alias("text")).alias("b"))
+    return blocks.groupBy("event_id", "month").agg(F.array_join(F.transform(F.sort_array(F.collect_list("b")), lambda b: b["text"]), "\n").alias("html")).select((F.col("month") * 100 + F.col("event_id")).alias("page_id"), "event_id", "html")
+
+
+query("s07_match_blocks", """SELECT (CAST(strftime(match_ts, '%Y%m') AS BIGINT) * 100 + event_id) AS page_id, match_id, CAST(match_ts AS TIMESTAMP) AS match_ts, strftime(match_ts, '%Y-%m-%d') AS day, 'Team ' || team1_id AS team1, 'Team ' || team2_id AS team2, team1_score AS score1, team2_score AS score2,
+  'Event ' || event_id AS event, 'bo' || best_of AS format, event_id % 4 AS stars FROM v_matches""", ("v_matches",))(
+    lambda x: (lambda p: pages.match_blocks(p.where("event_id % 2 = 0"), pages.LAYOUTS["cards"]).unionByName(pages.match_blocks(p.where("event_id % 2 = 1"), pages.LAYOUTS["rows"])))(result_pages(x)).drop("position")
+)
+
+
+@query("s07_rosters", ", l AS (SELECT DISTINCT match_id, team_id, player_id FROM v_player_stats), s AS (SELECT match_id * 64 + team_id AS page_id, CASE WHEN player_id % 5 = 0 THEN 'Bench' ELSE 'Players' END AS section, player_id FROM l) SELECT page_id, section, row_number() OVER (PARTITION BY page_id, section ORDER BY player_id) AS place, player_id, 'P' || player_id AS name FROM s", ("v_player_stats",))
+def _(x):
+    """A team page for each line-up: players, and those on the bench below them."""
+    lines = x.player_stats.select("match_id", "team_id", "player_id").distinct()
+    member = F.concat(F.lit('<li data-player="'), F.col("player_id").cast("string"), F.lit('"> P'), F.col("player_id").cast("string"), F.lit(" </li>"))
+    part = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(c, F.struct("player_id", member.alias("m"))))), lambda m: m["m"]), "")
+    text = F.concat(F.lit("<h2>Players</h2><ul>"), part(F.col("player_id") % 5 != 0), F.lit("</ul><h2> Bench</h2><ul>"), part(F.col("player_id") % 5 == 0), F.lit("</ul>"))
+    docs = lines.groupBy("match_id", "team_id").agg(text.alias("html")).select((F.col("match_id") * 64 + F.col("team_id")).alias("page_id"), "html")
+    return pages.rosters(docs, pages.LAYOUTS["cards"])
+
+
+query("f10_fuzzy_date", """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS date, CAST(epoch(o_orderdate) AS BIGINT) + CASE WHEN o_orderkey % 4 < 2 THEN 66600 ELSE 0 END AS seconds FROM orders WHERE o_orderkey % 5 <> 0 UNION ALL SELECT o_orderkey, 'round ' || o_orderkey, NULL FROM orders WHERE o_orderkey % 5 = 0""")(
+    lambda x: x.table("orders").select("o_orderkey", clean.fuzzy_date(F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("round "), F.col("o_orderkey").cast("string"), F.lit(" UTC"))).when(F.col("o_orderkey") % 4 == 0, F.date_format("o_orderdate", "'starts' MMMM d, yyyy '- 18:30 CET'"))
+        .when(F.col("o_orderkey") % 4 == 1, F.date_format("o_orderdate", "'EST' d'th of' MMM yyyy 18:30")).when(F.col("o_orderkey") % 4 == 2, F.date_format("o_orderdate", "d/M/yyyy")).otherwise(F.date_format("o_orderdate", "'on' yyyy-MM-dd"))).alias("d")).select("o_orderkey", "d.date", "d.seconds")
+)
 query("s07_page_links", "SELECT page_id, unnest(regexp_extract_all(html, '(?s)<a\\b[^>]*href=\"([^\"]*)\"[^>]*>', 1)) AS href FROM pages")(lambda x: pages.page_links(x.table("pages")).select("page_id", "href"))
 query("s07_page_headers", "SELECT page_id, nullif(regexp_extract(html, '<html[^>]*\\blang=[\"'']([^\"'']+)', 1), '') AS lang, nullif(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '') AS title, nullif(regexp_extract(url, '^\\w+://([^/?#]+)', 1), '') AS host, nullif(regexp_extract(url, '^\\w+://[^/]+(/[^?#]*)', 1), '') AS path FROM pages")(lambda x: pages.page_headers(x.table("pages")))
 query("s10_history", ", m AS (SELECT match_id, count(*) AS n, max(CASE WHEN map_index = 1 THEN map_name END) AS first FROM v_maps GROUP BY 1), p AS (SELECT match_id, count(DISTINCT CASE WHEN team_id = team1_id THEN player_id END) AS a, count(DISTINCT CASE WHEN team_id = team2_id THEN player_id END) AS b FROM v_player_stats JOIN v_matches USING (match_id) GROUP BY 1) SELECT v.match_id, n, first, a, b FROM v_matches v LEFT JOIN m USING (match_id) LEFT JOIN p USING (match_id)", ("v_matches", "v_maps", "v_player_stats"))(

@@ -9,7 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from duelspark.functions import clean
-from duelspark.operators import declared, expect, joins
+from duelspark.operators import declared, expect, joins, prior, select
+from duelspark.plans.contests import saved
+from duelspark.sources import io, pages
 
 T0 = datetime(2025, 1, 1)
 
@@ -85,3 +87,43 @@ def test_declared_features_by_hand(spark):
     with pytest.raises(ValueError):
         declared.declared_features(declared.Inputs(lineups, lineups, lines, lines, lines), ["utility_profile_diff"])
     assert {level for level, _ in declared.REGISTRY.values()} == {"team", "player", "player_style", "map", "context"}
+
+
+def test_dates_inside_texts(spark):
+    texts = {
+        "March 5th, 2024 - 18:30 CET": ("2024-03-05", 1709663400), "the 5 of Mar 2024": ("2024-03-05", 1709596800), "2024-03-05 07:05 UTC": ("2024-03-05", 1709622300), "05/03/2024": ("2024-03-05", 1709596800),
+        "June 31, 2024": ("June 31, 2024", None), "sometime in May": ("sometime in May", None), "TBA EST": ("TBA", None), "": ("", None), None: ("", None), "SEPT. 1 2023": ("2023-09-01", 1693526400),
+    }
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: tuple(r.d) for r in rows.select("t", clean.fuzzy_date(F.col("t")).alias("d")).collect()} == texts
+
+
+def test_result_blocks_and_rosters(spark):
+    card = lambda i, a, b, extra="": f'<div class="match" data-at="86400000{extra}"><a href="/match/{i}/x"><b class="team">{a}</b><i>2</i> - <i>0</i><b class="team">{b}</b></a></div><!--match-->'
+    html = card(1, "A", "B") + '<h3 class="day">May 1</h3>' + card(2, "C", "D") + '<div class="match"><a href="/match/2/x"></a></div><!--match--><div class="match">no link</div><!--match--><h3 class="day">May 2</h3><div class="match"><a href="/match/3/x"><b class="team">E</b></a></div><!--match-->'
+    docs = spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id long, html string")
+    got = {r.match_id: (r.day, r.team1, r.team2, r.score1, r.event, r.match_ts) for r in pages.match_blocks(docs, pages.LAYOUTS["cards"]).collect()}
+    assert got == {1: (None, "A", "B", 2, None, datetime(1970, 1, 2)), 2: ("May 1", "C", "D", 2, None, datetime(1970, 1, 2)), 3: ("May 2", "E", None, None, None, None)}
+    team = '<table><tr><td id="p9">X</td></tr><caption>Players</caption><tr><td id="p1">Ann </td><td id="p2">Bo</td></tr><caption>Coach</caption><td id="p3">Cy</td></table>'
+    members = pages.rosters(spark.createDataFrame([(1, team)], "page_id long, html string"), pages.LAYOUTS["rows"]).collect()
+    assert sorted((r.section or "", r.place, r.player_id, r.name) for r in members) == [("", 1, 9, "X"), ("Coach", 1, 3, "Cy"), ("Players", 1, 1, "Ann"), ("Players", 2, 2, "Bo")]
+
+
+def test_documents_are_parsed_once(spark):
+    texts = ['{"id": 1, "best_of": 3, "maps": [{"name": "A", "s1": 13, "s2": 4}], "vetoes": [{"team": 1, "action": "pick", "map": "A"}], "lineups": [], "stats": null}', '{"id": null}', "cut {", None, '{"id": 2}', '{"id": 3, "maps": "none"}']
+    docs = io.variants(spark.createDataFrame([(t,) for t in texts], "text string"), "text", saved)
+    tables = io.detail_tables(docs)
+    assert sorted((r.match_id, r.best_of, r.score1, r.score2, r.winner) for r in tables["contest"].collect()) == [(1, 3, 1, 0, 1), (2, None, 0, 0, None), (3, None, 0, 0, None)]
+    assert [tuple(r) for r in tables["maps"].collect()] == [(1, 1, "A", 13, 4)] and [tuple(r) for r in tables["vetoes"].collect()] == [(1, 1, 1, "pick", "A")] and tables["lineups"].count() == tables["stats"].count() == 0
+    assert all("parse_json" not in t._jdf.queryExecution().optimizedPlan().toString() for t in tables.values())
+
+
+def test_timeline_fallbacks_and_the_tier_gate(spark):
+    lines = spark.createDataFrame([(1, m, T0 + timedelta(days=m), 10) for m in range(1, 6)] + [(1, 9, None, 10)], "player_id int, match_id long, match_ts timestamp, team_id int")
+    games = spark.createDataFrame([(1, 10, 20, 10, 0, 2), (2, 10, 20, None, 2, 1), (3, 20, 10, None, 2, 1), (4, 10, 20, None, 1, 1), (5, 20, 30, None, 2, 0)], "match_id long, team1_id int, team2_id int, winner_team_id int, team1_score int, team2_score int")
+    got = [(r.place, r.match_id, r.opponent_id, r.won) for r in prior.player_timeline(lines, games, 4).orderBy("place").collect()]
+    assert got == [(1, 2, 20, True), (2, 3, 20, False), (3, 4, 20, None), (4, 5, 20, False)]
+    events = spark.createDataFrame([(1, "Big Cup", "tier_1"), (2, "Small", "tier_3")], "event_id int, name string, tier string")
+    contests = spark.createDataFrame([(1, 1, None, None), (2, None, "big cup!", "tier_2"), (3, 2, "Small", "tier_3"), (4, 7, None, "tier_2"), (5, None, None, None)], "match_id long, event_id int, event_name string, event_tier string")
+    kept, rows, people = select.tier_gate(events, contests, spark.createDataFrame([(1, 5), (3, 6), (4, 7)], "match_id long, player_id int"))
+    assert kept.count() == 1 and {r.match_id: r.product_tier for r in rows.collect()} == {1: "tier_1", 2: "tier_1", 4: "tier_2"} and sorted(r.player_id for r in people.collect()) == [5, 7]
