@@ -517,10 +517,12 @@ def _(x):
 query("r03_online_elo")(lambda x: fold.online(x.feed, saved))
 @query("l19_appended_rows")
 def _(x):
-    """Feed results that the training table lacks, under ids of its own, go below it."""
-    base = training(x).select("match_id", "target_team1_win", F.col("elo_prob_team1"))
-    feed = x.feed.where("event_type in ('click', 'purchase')").drop("event_type").withColumn("match_id", F.when(F.col("event_id") % 3 == 0, F.col("event_id")).otherwise(-F.col("event_id")))
-    return model.appended(base, fold.live_rows(feed.withColumn("event_id", F.col("match_id")).drop("match_id"), base.select(F.col("match_id").alias("event_id")), saved))
+    """Feed results that the training table lacks, under ids of their own, go below it with the features of the search."""
+    base = training(x).select("match_id", "target_team1_win", "elo_prob_team1", *CONTEXT)
+    stage = F.when(F.col("event_type") == "click", "Grand final").otherwise("Group stage")
+    feed = x.feed.where("event_type in ('click', 'purchase')").withColumn("match_id", F.when(F.col("event_id") % 3 == 0, F.col("event_id")).otherwise(-F.col("event_id")))
+    feed = feed.select(F.col("match_id").alias("event_id"), "ts", "team1_id", "team2_id", "score1", "score2", stage.alias("stage"), F.lit(3).alias("best_of"), (F.col("event_id") % 2).cast("int").alias("is_lan"))
+    return model.appended(base, fold.live_rows(feed, base.select(F.col("match_id").alias("event_id")), saved, state=published_state(x, CUT)))
 
 
 query("r04_form", f"""{SIDES}, a AS (SELECT team_id, won, row_number() OVER (PARTITION BY team_id ORDER BY match_ts DESC, match_id DESC) - 1 AS age FROM s)

@@ -255,3 +255,24 @@ def test_live_rows_follow_a_plain_loop(spark):
     out = fold.live_rows(rows, spark.createDataFrame(known, "event_id long"), lambda df: df.persist(), stretch=20)
     got = {r.event_id: (r.target_team1_win, r.elo_diff, r.elo_prob_team1) for r in out.collect()}
     assert set(got) == set(want) and all(got[e] == pytest.approx(want[e]) for e in want)
+
+
+def test_live_rows_from_a_published_state(spark):
+    """Ratings and form go on from the state, ranks stay; the stage gives the phase."""
+    state = spark.createDataFrame([(1, 1600.0, 0.8, 3, 9000.0), (2, 1400.0, 0.4, 50, 1000.0)], "team_id int, elo double, recent_win_rate_10 double, rnk int, points double")
+    feed = [(i, T0 + timedelta(hours=i), *pair, i % 3 if i % 2 else 2, 1, stage, bo, lan) for i, (pair, stage, bo, lan) in enumerate([((1, 2), "Grand final", 5, 1), ((2, 1), "Group A", None, None), ((1, 3), None, 0, 0), ((3, 2), "Lower bracket", 3, 1)])]
+    elo, form, want = {1: 1600.0, 2: 1400.0}, {1: 0.8, 2: 0.4}, {}
+    for event, _, a, b, x, y, *_ in feed:
+        if x == y:
+            continue
+        p, q, f, g = elo.get(a, 1500.0), elo.get(b, 1500.0), form.get(a, 0.5), form.get(b, 0.5)
+        want[event] = (p - q, max(-0.5, min(0.5, f - g)))
+        d = 22 * min(1.35, 1 + 0.12 * abs(x - y)) * ((x > y) - 1 / (1 + 10 ** ((q - p) / 400)))
+        elo[a], elo[b] = p + d, q - d
+        form[a], form[b] = f + 2 / 11 * ((x > y) - f), g + 2 / 11 * ((y > x) - g)
+    rows = spark.createDataFrame(feed, "event_id long, ts timestamp, team1_id int, team2_id int, score1 int, score2 int, stage string, best_of int, is_lan int")
+    got = {r.event_id: r for r in fold.live_rows(rows, spark.createDataFrame([], "event_id long"), contest_plans.saved, stretch=2, state=state).collect()}
+    assert set(got) == set(want) and len(want) == 3
+    assert all((got[e].elo_diff, got[e].recent_win_rate_10_diff) == pytest.approx(want[e]) for e in want)
+    assert (got[0].vrs_rank_advantage, got[0].vrs_points_diff, got[0].phase_order, got[0].best_of, got[0].is_lan) == (40, 8.0, 100, 5, 1)
+    assert (got[2].vrs_rank_advantage, got[2].phase_order, got[2].best_of) == (0, 1, 3) and got[3].is_elimination == 1
