@@ -1,6 +1,6 @@
 """Benchmark decontamination with suffix arrays over the training text.
 
-Every task sorts the suffixes of its documents into suffix arrays, one for each shard of a few million words, and
+Every task sorts the suffixes of its documents into suffix arrays, one for each shard of about a million words, and
 binary-searches every benchmark suffix in each of them. Each place found is followed to the end of its longest verbatim
 match. The contamination rule takes all those matches of at least a window (or a whole shorter item): the words they
 cover are the words of all windows that occur, since a window inside a match starts no match of its own.
@@ -31,7 +31,7 @@ from .common import buffers, lean, pieces, scan_words, table
 
 WINDOW = 13
 BLOCK_BYTES = 1 << 20
-SHARD_BYTES = 24 << 20  # text bytes of one suffix array
+SHARD_BYTES = 4 << 20  # text bytes of one suffix array, which takes about 20 times that room while it is sorted
 #: A sort key has KEYS numbers of PER words of BITS bits; longer matches are followed in the text.
 KEYS, PER, BITS = 5, 3, 21
 DEPTH, VOCAB = KEYS * PER, (1 << BITS) - 2
@@ -77,7 +77,8 @@ def _keys(tokens: np.ndarray, starts: np.ndarray, length: np.ndarray | None = No
             alive &= value > 0
             if length is not None:
                 alive &= k < length
-            key = (key << np.uint64(BITS)) | np.where(alive, value, 0).astype(np.uint64)
+            key <<= np.uint64(BITS)
+            key |= np.where(alive, value, 0).astype(np.uint64)
         keys.append(key)
     return keys
 
@@ -101,12 +102,12 @@ def _search(array: list[np.ndarray], wanted: list[np.ndarray]) -> np.ndarray:
 class Shard:
     """The suffix array of some documents' words."""
 
-    def __init__(self, queries: Queries, words: np.ndarray, bounds: np.ndarray):
+    def __init__(self, queries: Queries, numbers: np.ndarray, bounds: np.ndarray):
         self.queries = queries
         counts = np.diff(bounds)
         text = np.repeat(np.arange(len(counts)), counts)
-        self.tokens = np.zeros(len(words) + len(counts), np.int32)  # a 0 after each document
-        self.tokens[np.arange(len(words)) + text] = queries.numbers(words)
+        self.tokens = np.zeros(len(numbers) + len(counts), np.int32)  # a 0 after each document
+        self.tokens[np.arange(len(numbers)) + text] = numbers
         self.first = bounds[:-1] + np.arange(len(counts))
         good = self.tokens > 0
         kept = good.copy()
@@ -116,7 +117,9 @@ class Shard:
         starts = np.flatnonzero(kept)
         keys = _keys(self.tokens, starts)
         order = np.lexsort(keys[::-1])
-        self.suffixes, self.keys = starts[order], [k[order] for k in keys]
+        for i in range(KEYS):  # one at a time, so that only one is held twice
+            keys[i] = keys[i][order]
+        self.suffixes, self.keys = starts[order], keys
 
     def matches(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(benchmark suffix, place in tokens, length): every longest match of a window or more, none inside another of its item's."""
@@ -200,10 +203,13 @@ def shards(batches: Iterator[pa.RecordBatch], queries: Queries, text_at: int = 1
     for batch in batches:
         data, offsets = buffers(batch.column(text_at))
         for lo, hi in pieces(offsets, SHARD_BYTES):
-            parts = [scan_words(data, offsets[lo:hi + 1][a:b + 1]) for a, b in pieces(offsets[lo:hi + 1])]
-            words = np.concatenate([p[0] for p in parts])
-            bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))])
-            yield batch.slice(lo, hi - lo), Shard(queries, words, bounds), bounds
+            words, counts = [], []
+            for a, b in pieces(offsets[lo:hi + 1]):
+                found, _, upto = scan_words(data, offsets[lo:hi + 1][a:b + 1])
+                words.append(queries.numbers(found))
+                counts.append(np.diff(upto))
+            bounds = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+            yield batch.slice(lo, hi - lo), Shard(queries, np.concatenate(words), bounds), bounds
 
 
 def covered(starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:

@@ -21,7 +21,6 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -86,6 +85,35 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+class Grams:
+    """The features of texts without their zeros, by blocks of rows: most n-grams aren't in most texts."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.blocks = []  # (first row, last row, rows with any, their starts, numbers of all rows, columns, values)
+        for a, b in slices(offsets):
+            x = features(data, offsets[a : b + 1])
+            row, column = np.nonzero(x)
+            n = np.bincount(row, minlength=b - a)
+            some = np.flatnonzero(n)
+            self.blocks.append((a, b, some, (np.cumsum(n) - n)[some], n, column.astype(np.uint16), x[row, column]))
+        self.rows, self.nbytes = len(offsets) - 1, sum(x.nbytes for block in self.blocks for x in block[2:])
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        """x @ w."""
+        out = np.zeros(self.rows, np.float32)
+        for a, b, some, starts, _, column, value in self.blocks:
+            if len(some):
+                out[a:b][some] = np.add.reduceat(w[column] * value, starts)
+        return out
+
+    def back(self, g: np.ndarray) -> np.ndarray:
+        """x.T @ g."""
+        out = np.zeros(len(ORDERS) * BUCKETS)
+        for a, b, _, _, n, column, value in self.blocks:
+            out += np.bincount(column, value * np.repeat(g[a:b], n), len(out))
+        return out.astype(np.float32)
+
+
 def slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
     """Row ranges of about SLICE bytes and at most SLICE_ROWS texts: a text's features take the same room, long or short."""
     for a, b in pieces(offsets, SLICE):
@@ -127,34 +155,25 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return {"languages": languages, "code": code, "weights": np.zeros((len(ORDERS) * BUCKETS, code.shape[1]), np.float32), "bias": np.ones(code.shape[1], np.float32)}
     index = {lang: i for i, lang in enumerate(languages)}
 
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        bit = int(rows["bit"].iloc[0])
-        data, offsets = buffers(pa.array(rows["text"], pa.string()))
-        # Only n-grams that the sample has get a column: others' weights stay 0. Filled in place, so x is held once.
-        used = np.zeros(len(ORDERS) * BUCKETS, bool)
-        for a, b in slices(offsets):
-            used |= features(data, offsets[a : b + 1]).any(0)
-        columns = np.flatnonzero(used)
-        x = np.empty((len(rows), len(columns)), np.float32)
-        for a, b in slices(offsets):
-            x[a:b] = features(data, offsets[a : b + 1])[:, columns]
-        y = code[rows["lang"].map(index).to_numpy(), bit].astype(np.float32)
+    def fit(rows: pa.Table) -> pa.Table:
+        bit = rows["bit"][0].as_py()
+        x = Grams(*buffers(rows["text"]))
+        y = code[[index[lang] for lang in rows["lang"].to_pylist()], bit].astype(np.float32)
         weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32)
-        w, b, vw, vb = np.zeros(x.shape[1], np.float32), np.float32(0), np.full(x.shape[1], 1e-8, np.float32), np.float32(1e-8)
+        # Weights of n-grams that the sample lacks stay 0.
+        w, b, vw, vb = np.zeros(len(ORDERS) * BUCKETS, np.float32), np.float32(0), np.full(len(ORDERS) * BUCKETS, 1e-8, np.float32), np.float32(1e-8)
         for _ in range(EPOCHS):  # logistic regression, all rows a step, step sizes by accumulated squares
-            g = -y * weight / (1 + np.exp(np.clip(y * (x @ w + b), -30, 30)))
-            gw, gb = x.T @ g + 1e-6 * w, g.sum()
+            g = -y * weight / (1 + np.exp(np.clip(y * (x.times(w) + b), -30, 30)))
+            gw, gb = x.back(g) + 1e-6 * w, g.sum()
             vw, vb = vw + gw * gw, vb + gb * gb
             w, b = w - 0.5 * gw / np.sqrt(vw), b - 0.5 * gb / np.sqrt(vb)
         del x
         release()
-        whole = np.zeros(len(used), np.float32)
-        whole[columns] = w
-        return pd.DataFrame({"bit": [bit], "weights": [whole.tobytes()], "bias": [float(b)]})
+        return pa.table({"bit": pa.array([bit], pa.int32()), "weights": pa.array([w.tobytes()], pa.binary()), "bias": [float(b)]})
 
     rows = picked.withColumn("bit", F.explode(F.array([F.lit(i) for i in range(code.shape[1])])))
     # A partition for each bit, so that they are fitted beside each other.
-    fitted = sorted(rows.repartition(code.shape[1], "bit").groupBy("bit").applyInPandas(fit, "bit int, weights binary, bias double").collect())
+    fitted = sorted(rows.repartition(code.shape[1], "bit").groupBy("bit").applyInArrow(fit, "bit int, weights binary, bias double").collect())
     return {"languages": languages, "code": code, "weights": np.stack([np.frombuffer(r["weights"], np.float32) for r in fitted], 1), "bias": np.array([r["bias"] for r in fitted], np.float32)}
 
 

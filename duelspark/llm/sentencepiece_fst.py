@@ -475,6 +475,28 @@ def decode(docs: DataFrame, ids_col: str = "ids", out_col: str = "text", model_f
     return _mapped(docs, model_file, docs.columns.index(ids_col), f"`{free}` string", make).withColumn(out_col, F.col(free)).select(*docs.columns, *[c for c in (out_col,) if c not in docs.columns])
 
 
+def _round_trip(machine: Transducer, ids: np.ndarray, sizes: np.ndarray, texts: pa.Array) -> pa.Array:
+    """Whether ids decode to their texts, null for null."""
+    same = [x == y for x, y in zip(machine.decode(ids, sizes), pc.fill_null(texts, "").cast(pa.large_binary()).to_pylist(), strict=True)]
+    return pa.array(same, pa.bool_(), mask=pc.is_null(texts).to_numpy(zero_copy_only=False))
+
+
+def encode_checked(docs: DataFrame, text_col: str = "text", out_col: str = "ids", same_col: str = "round_trip", model_file: str = MODEL) -> DataFrame:
+    """docs with the ids of its text and whether they decode to it.
+
+    One pass: `decode` after `encode` would hold a second Python worker a task, with a transducer of its own.
+    """
+    docs = docs.drop(*[c for c in (out_col, same_col) if c.lower() != text_col.lower()])
+    ids, same = free_name(docs, "ids"), free_name(docs, "same")
+
+    def make(machine: Transducer, texts: pa.Array) -> dict[str, pa.Array]:
+        found, sizes = machine.encode(texts)
+        return {ids: _lists(found, sizes, texts), same: _round_trip(machine, found, sizes, texts)}
+
+    out = _mapped(docs, model_file, docs.columns.index(text_col), f"`{ids}` array<int>, `{same}` boolean", make)
+    return out.withColumns({out_col: F.col(ids), same_col: F.col(same)}).select(*docs.columns, *[c for c in (out_col, same_col) if c not in docs.columns])
+
+
 def encoded_summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_file: str = MODEL) -> DataFrame:
     """(id, n_tokens, n_byte_tokens, ids_sha256, round_trip): of each text's ids, and whether they decode to it."""
 
@@ -484,8 +506,7 @@ def encoded_summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         fall = np.concatenate([[0], np.cumsum(machine.is_byte[ids])])
         data, none = ids.astype("<i4").tobytes(), pc.is_null(texts).to_numpy(zero_copy_only=False)
         digest = [hashlib.sha256(data[4 * a : 4 * b]).hexdigest() for a, b in zip(upto.tolist(), upto[1:].tolist(), strict=False)]
-        same = [x == y for x, y in zip(machine.decode(ids, sizes), pc.fill_null(texts, "").cast(pa.large_binary()).to_pylist(), strict=True)]
-        return {"n_tokens": pa.array(sizes, pa.int64(), mask=none), "n_byte_tokens": pa.array(fall[upto[1:]] - fall[upto[:-1]], pa.int64(), mask=none), "ids_sha256": pa.array(digest, pa.string(), mask=none), "round_trip": pa.array(same, pa.bool_(), mask=none)}
+        return {"n_tokens": pa.array(sizes, pa.int64(), mask=none), "n_byte_tokens": pa.array(fall[upto[1:]] - fall[upto[:-1]], pa.int64(), mask=none), "ids_sha256": pa.array(digest, pa.string(), mask=none), "round_trip": _round_trip(machine, ids, sizes, texts)}
 
     narrow = docs.select(F.col(id_col), F.col(text_col).alias("__text"))
     return _mapped(narrow, model_file, 1, "n_tokens long, n_byte_tokens long, ids_sha256 string, round_trip boolean", make).drop("__text")
