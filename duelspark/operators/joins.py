@@ -9,6 +9,8 @@ from duelspark.functions import rules
 
 from duelspark.functions.clean import name_key, slug_key
 
+from .prior import asof_join
+
 
 def unordered(a: Column, b: Column) -> tuple[Column, Column]:
     return F.least(a, b), F.greatest(a, b)
@@ -88,17 +90,28 @@ def prioritised_lookup(rows: DataFrame, keys: list[tuple[str, str]], table: Data
     return rows.withColumn(value, F.coalesce(*found)).drop(*[f"__v{i}" for i in range(len(keys))])
 
 
-def same_contest(rows: DataFrame, feed: DataFrame, hours: float = 18.0) -> DataFrame:
+def same_contest(rows: DataFrame, feed: DataFrame, hours: float = 18.0, same_ids: bool = True) -> DataFrame:
     """rows with their feed contest (J14): the same id, else the same unordered pair within hours, the closest first.
 
-    Both sides have (contest_id, a, b, ts). The time condition rides on an equality of the pair, so no cross product.
+    Both sides have (contest_id, a, b, ts). same_ids: whether both number contests alike; if not, equal ids mean nothing.
+    The closest is the last of the pair's feed contests up to a row's second or the first from then on, found by as-of joins
+    in both directions, so no two contests of a pair meet. Of equal gaps the smallest id wins.
     """
-    right = feed.select(F.col("contest_id").alias("feed_id"), F.least("a", "b").alias("__low"), F.greatest("a", "b").alias("__high"), F.col("ts").alias("feed_ts"))
-    by_id = rows.select("contest_id").join(right.select("feed_id"), F.col("contest_id") == F.col("feed_id"), "left_semi").select("contest_id", F.col("contest_id").alias("feed_id"), F.lit(0.0).alias("gap"))
-    left = rows.join(by_id.select("contest_id"), "contest_id", "left_anti").withColumn("__low", F.least("a", "b")).withColumn("__high", F.greatest("a", "b"))
-    gap = F.abs(F.unix_timestamp("ts") - F.unix_timestamp("feed_ts")) / 3600.0
-    near = left.join(right, ["__low", "__high"]).where(gap < hours).groupBy("contest_id").agg(F.min(F.struct(gap.alias("gap"), "feed_id")).alias("m"))
-    return by_id.unionByName(near.select("contest_id", F.col("m.feed_id").alias("feed_id"), F.col("m.gap").alias("gap")))
+    pair, second = ["__low", "__high"], F.unix_timestamp("ts")
+    both = lambda df: df.withColumn("__low", F.least("a", "b")).withColumn("__high", F.greatest("a", "b"))
+    timed = both(feed).where("__low is not null").select(*pair, second.alias("at"), "contest_id").where("at is not null").groupBy(*pair, "at").agg(F.min("contest_id").alias("feed_id"))
+    near = both(rows).where("__low is not null").select("contest_id", *pair, second.alias("at")).where("at is not null")
+    by_id = rows.select("contest_id").join(feed.select(F.col("contest_id").alias("feed_id")), F.col("contest_id") == F.col("feed_id"), "left_semi").select("contest_id", F.col("contest_id").alias("feed_id"), F.lit(0.0).alias("gap"))
+    if same_ids:
+        near = near.join(by_id.select("contest_id"), "contest_id", "left_anti")
+    found = []
+    for n, sign in enumerate((1, -1)):  # backwards, time runs the other way
+        history = timed.select(*pair, (sign * F.col("at")).alias(f"since{n}"), F.col("feed_id").alias(f"id{n}"))
+        near = asof_join(near.withColumn("__by", sign * F.col("at")), history, pair, "__by", f"since{n}", [f"since{n}", f"id{n}"], bucket=F.floor(F.col("__at") / 86_400)).drop("__by")
+        gap = F.abs(F.col("at") - sign * F.col(f"since{n}")) / 3600.0
+        found.append(F.when(gap < hours, F.struct(gap.alias("gap"), F.col(f"id{n}").isNull().alias("unknown"), F.col(f"id{n}").alias("feed_id"))))
+    best = near.withColumn("m", F.least(*found)).where("m is not null").groupBy("contest_id").agg(F.min("m").alias("m")).select("contest_id", "m.feed_id", "m.gap")
+    return by_id.unionByName(best) if same_ids else best
 
 
 def feed_overlay(board: DataFrame, feed: DataFrame) -> DataFrame:
